@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from nearmatch.llm import exact_dedup
 from nearmatch.llm.html_extract import op7_html_extraction
 
 QUERIES = {
     "op7_html_extraction": op7_html_extraction,
+    "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_exact_dedup": exact_dedup.SQL,
+}

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from nearmatch.llm import exact_dedup, packing
+from nearmatch.llm import exact_dedup, packing, toxicity
 from nearmatch.llm.html_extract import op7_html_extraction
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op7_html_extraction": op7_html_extraction,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }

@@ -3,40 +3,19 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearmatch.sources.shared import materialize, shared_dir
+
+__all__ = ["WORD", "WS", "bucket_of", "groups_for", "lookup", "materialize", "shared_dir", "shuffle_partitions", "table", "text_batches"]
+
 #: The white space of all word definitions here: space and U+0009 to U+000D.
 WS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="nearmatch-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: cuts lineage and survives the loss of executors.
-
-    The files go when the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/nearmatch-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -58,3 +37,21 @@ def groups_for(rows: int, per_group: int) -> int:
 def bucket_of(cols: list[str], groups: Column | int, seed: int) -> Column:
     """A group number from 0, even over all rows, whatever their keys."""
     return F.pmod(F.xxhash64(*cols, F.lit(seed)), F.lit(groups) if isinstance(groups, int) else groups)
+
+
+def lookup(rows: DataFrame, entries: DataFrame, key: str, weight: str, spread: str, hot_share: float = 0.001) -> DataFrame:
+    """rows with a struct column found: the entry of their key, a long, or null.
+
+    weight is the number of rows of each entry. Entries with hot_share of all
+    rows or more, at most 1 / hot_share of them, are broadcast; the rows that
+    they answer are dealt out by the column spread, so that no key's rows meet
+    in one task.
+    """
+    total = entries.agg(F.sum(weight)).first()[0] or 0
+    hot_from = max(1000, int(total * hot_share))
+    fields = F.struct(*[c for c in entries.columns if c != key])
+    hot = entries.where(F.col(weight) >= hot_from).select(key, fields.alias("_hot"))
+    cold = entries.where(F.col(weight) < hot_from).select(F.col(key).alias("_key"), fields.alias("_found"))
+    tagged = rows.join(F.broadcast(hot), key, "left")
+    tagged = tagged.withColumn("_key", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(F.xxhash64(spread)))
+    return tagged.join(cold, "_key", "left").withColumn("found", F.coalesce("_hot", "_found")).drop("_hot", "_found", "_key")

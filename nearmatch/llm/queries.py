@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from nearmatch.llm import exact_dedup, mixing, packing, toxicity
+from nearmatch.llm import exact_dedup, mixing, packing, simhash, toxicity
 from nearmatch.llm.html_extract import op7_html_extraction
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op2_simhash": simhash.op2_simhash,
     "op3_mixing": mixing.op3_mixing,
     "op5_toxicity": toxicity.op5_toxicity,
     "op7_html_extraction": op7_html_extraction,

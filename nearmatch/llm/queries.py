@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from nearmatch.llm import exact_dedup, mixing, packing, simhash, toxicity
+from nearmatch.llm import exact_dedup, licenses, mixing, packing, simhash, toxicity
 from nearmatch.llm.html_extract import op7_html_extraction
 
 QUERIES = {
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_toxicity": toxicity.op5_toxicity,
     "op7_html_extraction": op7_html_extraction,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_license_scans": licenses.op10_license_scans,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -40,7 +40,7 @@ def bucket_of(cols: list[str], groups: Column | int, seed: int) -> Column:
 
 
 def lookup(rows: DataFrame, entries: DataFrame, key: str, weight: str, spread: str, hot_share: float = 0.001) -> DataFrame:
-    """rows with a struct column found: the entry of their key, a long, or null.
+    """rows with a struct column found: the entry of their key, a long or a binary, or null.
 
     weight is the number of rows of each entry. Entries with hot_share of all
     rows or more, at most 1 / hot_share of them, are broadcast; the rows that
@@ -53,5 +53,8 @@ def lookup(rows: DataFrame, entries: DataFrame, key: str, weight: str, spread: s
     hot = entries.where(F.col(weight) >= hot_from).select(key, fields.alias("_hot"))
     cold = entries.where(F.col(weight) < hot_from).select(F.col(key).alias("_key"), fields.alias("_found"))
     tagged = rows.join(F.broadcast(hot), key, "left")
-    tagged = tagged.withColumn("_key", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(F.xxhash64(spread)))
+    dealt = F.xxhash64(spread)
+    if entries.schema[key].dataType.typeName() == "binary":
+        dealt = F.encode(dealt.cast("string"), "utf-8")
+    tagged = tagged.withColumn("_key", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(dealt))
     return tagged.join(cold, "_key", "left").withColumn("found", F.coalesce("_hot", "_found")).drop("_hot", "_found", "_key")

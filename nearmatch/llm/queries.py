@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from nearmatch.llm import exact_dedup, licenses, mixing, packing, simhash, toxicity
+from nearmatch.llm import exact_dedup, licenses, mixing, packing, simhash, substring_dedup, suffix_dedup, toxicity
 from nearmatch.llm.html_extract import op7_html_extraction
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_simhash": simhash.op2_simhash,
     "op3_mixing": mixing.op3_mixing,
+    "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_toxicity": toxicity.op5_toxicity,
     "op7_html_extraction": op7_html_extraction,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_license_scans": licenses.op10_license_scans,
 }

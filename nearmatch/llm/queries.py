@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from nearmatch.llm import exact_dedup, licenses, mixing, packing, simhash, substring_dedup, suffix_dedup, toxicity
+from nearmatch.llm import exact_dedup, licenses, mixing, packing, simhash, spotsigs, substring_dedup, suffix_dedup, toxicity
 from nearmatch.llm.html_extract import op7_html_extraction
 
 QUERIES = {
@@ -11,6 +11,7 @@ QUERIES = {
     "op3_mixing": mixing.op3_mixing,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_fingerprints": spotsigs.op6_fingerprints,
     "op7_html_extraction": op7_html_extraction,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,

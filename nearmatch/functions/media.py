@@ -74,6 +74,9 @@ def thumbnail_name(path: Column, i: Column) -> Column:
     return F.concat(stem(path), F.lit("_"), F.left(F.sha1(path), F.lit(8)), F.format_string("_thumb-%03d.jpg", i))
 
 
+# Two-digit labels round the shortest decimal text of a number, halves up.
+
+
 def size_label(size: Column) -> Column:
     return F.format_string("%.2f GB", size / F.lit(1024.0**3))
 

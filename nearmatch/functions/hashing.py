@@ -34,9 +34,13 @@ def median64(block: Column) -> Column:
 def pack_bits(block: Column) -> Column:
     """The hash of an 8x8 coefficient block, row by row: bit 64 - i is set where coefficient i, from 1, is above the median."""
     doubles = F.transform(block, lambda x: x.cast("double"))
-    m = median64(doubles)
-    bits = F.transform(doubles, lambda x, i: F.when((i > 0) & (x > m), F.call_function("shiftleft", F.lit(1).cast("long"), (64 - i).cast("int"))).otherwise(F.lit(0).cast("long")))
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+
+    def pack(s: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), F.lit(63)), F.lit(0).cast("long"), lambda a, i: a.bitwiseOR(F.when(F.get(s["v"], i) > s["m"], F.call_function("shiftleft", F.lit(1).cast("long"), 64 - i)).otherwise(F.lit(0).cast("long"))))
+
+    # through an array of one struct, so that the median is not computed again for each coefficient
+    once = F.transform(F.array(doubles), lambda v: F.struct(v.alias("v"), median64(v).alias("m")))
+    return F.get(F.transform(once, pack), 0)
 
 
 def usable(h: Column, sign_bit: bool = False) -> Column:

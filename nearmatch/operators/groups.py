@@ -9,11 +9,15 @@ from nearmatch.functions import media
 from nearmatch.operators.components import connected_components
 
 
+#: Edges, 16 bytes each, up to which one task finds the groups.
+SMALL_GRAPH = 200_000
+
+
 def membership(videos: DataFrame, edges: DataFrame) -> DataFrame:
     """group_id (the smallest id), video_id of every video, those without edges alone. Edges to unknown videos don't count."""
     ids = videos.select(F.col("id").alias("video_id"))
     known = edges.join(ids.withColumnRenamed("video_id", "src"), "src", "left_semi").join(ids.withColumnRenamed("video_id", "dst"), "dst", "left_semi")
-    labels = connected_components(known.select("src", "dst")).select(F.col("id").alias("video_id"), F.col("component"))
+    labels = connected_components(known.select("src", "dst"), small=SMALL_GRAPH).select(F.col("id").alias("video_id"), F.col("component"))
     joined = ids.join(labels, ids["video_id"].cast("long") == labels["video_id"], "left").select(ids["video_id"], "component")
     return joined.select(F.coalesce("component", F.col("video_id").cast("long")).cast(ids.schema[0].dataType).alias("group_id"), "video_id")
 

@@ -21,6 +21,7 @@ from nearmatch.operators import actions, filters, groups, sampling, similarity
 from nearmatch.operators.components import connected_components
 from nearmatch.sources import files as scans
 from nearmatch.sources import store
+from nearmatch.sources.shared import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -162,7 +163,7 @@ def match_counts(spark, sf):
 
 @query(f"WITH {_pairs_sql(100, 22)} SELECT src, dst, matches FROM c WHERE matches >= 2")
 def edges_fixed_threshold(spark, sf):
-    h = _hashes(spark, sf, 100)
+    h = materialize(_hashes(spark, sf, 100), "hashes")
     return similarity.edges(similarity.match_counts(similarity.hamming_pairs(h, 22)), h, number=2)
 
 
@@ -172,7 +173,7 @@ WHERE matches >= ceil(greatest(x.n, y.n)::DOUBLE * 50.0::DOUBLE / 100.0::DOUBLE)
 
 @query(f"WITH {_PERCENT} SELECT src, dst, matches FROM ed")
 def edges_percent_threshold(spark, sf):
-    h = _hashes(spark, sf, 125)
+    h = materialize(_hashes(spark, sf, 125), "hashes")
     return similarity.edges(similarity.match_counts(similarity.hamming_pairs(h, 22)), h, percent=50.0)
 
 
@@ -182,14 +183,14 @@ _IDS = "ids AS (SELECT DISTINCT video_id AS id FROM u)"
 @query(f"WITH RECURSIVE {_pairs_sql(250, 18)}, {_IDS}, {_components_sql('c', 'ids')} SELECT root AS group_id, id AS video_id FROM (SELECT *, count(*) OVER (PARTITION BY root) AS k FROM r) WHERE k >= 2")
 def duplicate_groups(spark, sf):
     """Flagship: pack hashes, join within the radius, count, threshold, components; groups of two or more."""
-    h = _hashes(spark, sf, 250)
+    h = materialize(_hashes(spark, sf, 250), "hashes")
     e = similarity.edges(similarity.match_counts(similarity.hamming_pairs(h, 18)), h, number=1)
     return groups.with_duplicates(groups.membership(_ids(h), e))
 
 
 @query(f"WITH RECURSIVE {_PERCENT}, {_IDS}, {_components_sql('ed', 'ids')} SELECT root AS group_id, count(*) AS members, list_sort(list(id))::VARCHAR AS video_ids FROM r GROUP BY root")
 def all_components_with_singletons(spark, sf):
-    h = _hashes(spark, sf, 125)
+    h = materialize(_hashes(spark, sf, 125), "hashes")
     e = similarity.edges(similarity.match_counts(similarity.hamming_pairs(h, 22)), h, percent=50.0)
     m = groups.members(groups.membership(_ids(h), e))
     return m.select("group_id", F.size("video_ids").cast("long").alias("members"), F.concat(F.lit("["), F.array_join("video_ids", ", "), F.lit("]")).alias("video_ids"))

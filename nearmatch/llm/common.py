@@ -9,13 +9,18 @@ from pyspark.sql import functions as F
 
 from nearmatch.sources.shared import materialize, shared_dir
 
-__all__ = ["WORD", "WS", "bucket_of", "groups_for", "lookup", "materialize", "shared_dir", "shuffle_partitions", "table", "text_batches"]
+__all__ = ["WORD", "WS", "bucket_of", "groups_for", "lookup", "materialize", "own", "shared_dir", "shuffle_partitions", "table", "text_batches"]
 
 #: The white space of all word definitions here: space and U+0009 to U+000D.
 WS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def own(name: str) -> str:
+    """A column name of ours that no table is likely to have."""
+    return f"__nearmatch_{name}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

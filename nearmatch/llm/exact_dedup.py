@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from nearmatch.llm.common import WS, materialize, shuffle_partitions, table
+from nearmatch.llm.common import WS, materialize, own, shuffle_partitions, table
 
 #: Entries that a bucket holds before it splits.
 CAPACITY = 4096
@@ -132,11 +132,10 @@ def exact_dedup(docs: DataFrame, capacity: int = CAPACITY, hot_share: float = HO
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    stay = exact_dedup(docs).where("kept").select("doc_id", F.lit(True).alias("stays"))
-    stay = stay.withColumnRenamed("doc_id", "stay_id")
+    stay = exact_dedup(docs).where("kept").select(F.col("doc_id").alias(own("id")))
     nth = F.row_number().over(Window.partitionBy("doc_id", normalised(F.col("text"))).orderBy("doc_id"))
-    rows = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("stay_id")), "left_semi")
-    return rows.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+    rows = docs.join(stay, F.col("doc_id").eqNullSafe(F.col(own("id"))), "left_semi")
+    return rows.withColumn(own("nth"), nth).where(F.col(own("nth")) == 1).drop(own("nth"))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from nearmatch.llm.common import WORD, bucket_of, materialize, table
+from nearmatch.llm.common import WORD, bucket_of, materialize, own, table
 
 MAX_COPIES = 3.0
 #: Weights of the sources in their order, repeating.
@@ -169,9 +169,9 @@ def mix(docs: DataFrame) -> DataFrame:
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, as often as the mix takes them. doc_id has to be unique; documents without words go."""
-    taken = mix(docs).where("copies > 0 AND size > 0").select(F.col("doc_id").alias("_id"), F.col("copies").cast("int").alias("_copies"))
-    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    taken = mix(docs).where("copies > 0 AND size > 0").select(F.col("doc_id").alias(own("id")), F.col("copies").cast("int").alias(own("copies")))
+    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col(own("id"))))
+    return rows.withColumn(own("copy"), F.explode(F.sequence(F.lit(1), F.col(own("copies"))))).select(*docs.columns)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

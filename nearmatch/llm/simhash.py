@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearmatch.llm.common import lookup, materialize, shuffle_partitions, table, text_batches
+from nearmatch.llm.common import lookup, materialize, own, shuffle_partitions, table, text_batches
 from nearmatch.operators.components import connected_components, union_find
 
 SHINGLE = 4
@@ -214,8 +214,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each group of near-duplicates, that of the smallest doc_id, with all columns. doc_id has to be unique."""
-    stay = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"))
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    stay = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(own("id")))
+    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col(own("id"))), "left_semi")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

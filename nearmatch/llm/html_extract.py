@@ -4,8 +4,8 @@ Method: events of the standard library's streaming parser are cut into lines
 at block tags; each line's text-to-tag ratio is smoothed by a Gaussian and
 compared with a threshold; runs above it are the content clusters. An article
 or main element that holds a cluster is the content region as a whole, so that
-its short paragraphs stay; on pages without one, the clusters themselves and
-the short lines between two of them are. Elements whose tag, class, id or role
+its short paragraphs stay; on pages without one, the clusters themselves are, with
+the few lines between two of them. Elements whose tag, class, id or role
 names a menu, header, footer, sidebar, notice, advert, form or reader comment
 never become lines.
 
@@ -41,6 +41,8 @@ BOILERPLATE = frozenset(
 )
 CONTAINERS = frozenset(("article", "main"))
 SIGMA = 1.5
+#: Clusters this many lines apart are one.
+GAP = 3
 
 _NAMES = re.compile(r"[a-z0-9]+")
 _WEIGHTS = [math.exp(-(k * k) / (2 * SIGMA * SIGMA)) for k in range(-4, 5)]
@@ -159,12 +161,16 @@ def select(lines: list[tuple[str, float, int]]) -> list[str]:
         inside = {max(sizes, key=lambda c: (sizes[c], -c))}
     if inside:
         return [text for text, _, c in lines if c in inside]
-    kept = [i for i, ok in enumerate(above) if ok]
-    out: list[str] = []
-    for i, (text, _, _) in enumerate(lines):
-        near = above[i] or (kept[0] < i < kept[-1] and any(above[max(0, i - 2) : i]) and any(above[i + 1 : i + 3]))
-        if near:
-            out.append(text)
+    # clusters don't begin or end with lines that only their neighbours lift
+    limit = min(mean, spread)
+    strong = [i for i, ok in enumerate(above) if ok and lines[i][1] >= limit]
+    if not strong:
+        return [text for (text, _, _), ok in zip(lines, above) if ok]
+    out = []
+    for i, j in zip(strong, [*strong[1:], len(lines)]):
+        out.append(lines[i][0])
+        if j < len(lines) and (all(above[i:j]) or j - i <= GAP):
+            out += [x[0] for x in lines[i + 1 : j]]
     return out
 
 

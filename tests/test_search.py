@@ -86,3 +86,22 @@ def test_stream_sampler(spark, tmp_path):
     q.stop()
     assert sorted(r["t"] for r in spark.table("kept").collect()) == [0.0, 1.2, 2.5]
     assert spark.table("kept").where(F.col("key") != 1).count() == 0
+
+
+def test_thumbnails(spark, tmp_path):
+    from nearmatch.sources.thumbnails import write_thumbnails
+
+    _video(tmp_path / "a.mp4", 1)
+    videos = spark.createDataFrame([(1, str(tmp_path / "a.mp4"), 10), (2, str(tmp_path / "gone.mp4"), 10)], "id int, path string, duration int")
+    got = {r["id"]: r["thumbnail_path"] for r in write_thumbnails(videos, str(tmp_path / "out"), PgmAdapter(), 3).collect()}
+    assert got[2] == ["./sneed.png"] and len(got[1]) == 3
+    assert got[1][0].endswith("_thumb-000.jpg") and open(got[1][0], "rb").read(14) == b"P5\n128 128\n255"
+
+
+def test_counts_and_tags(spark):
+    from nearmatch.plans.control import cancel, cancellable, counted
+
+    with cancellable(spark, "search-1"):
+        df, seen = counted(spark.range(10), even=F.col("id") % 2 == 0)
+        assert df.count() == 10
+    assert seen.get == {"rows": 10, "even": 5} and cancel(spark, "search-1") == []

@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -40,6 +41,8 @@ BOILERPLATE = frozenset(
     "ad ads adv advert advertisement adsense alert banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification pagination pager popup promo promoted promotion related replies respond share sharing sidebar signup social sponsor sponsored subscribe toc toolbar widget widgets".split()
 )
 CONTAINERS = frozenset(("article", "main"))
+# Of these, the words that also rule out an article or main element.
+OTHERS = frozenset("ad ads advert advertisement comment comments promo promoted related replies respond sponsor sponsored".split())
 SIGMA = 1.5
 #: Clusters this many lines apart are one.
 GAP = 3
@@ -81,9 +84,7 @@ class _Lines(HTMLParser):
                 self.flush()
             self.tags += 1
             return
-        if tag == "body":
-            attrs = []
-        if tag in SKIPPED or attrs and self.is_boilerplate(attrs):
+        if tag in SKIPPED or attrs and tag not in ("html", "body") and is_boilerplate(tag, attrs):
             self.flush()
             self.skip_tag, self.skip_depth = tag, 1
             return
@@ -121,14 +122,25 @@ class _Lines(HTMLParser):
         if not self.skip_tag:
             self.parts.append(data)
 
-    @staticmethod
-    def is_boilerplate(attrs: list) -> bool:
-        for name, value in attrs:
-            if name == "hidden" or name == "aria-hidden" and value == "true":
-                return True
-            if value and name in ("class", "id", "role") and not BOILERPLATE.isdisjoint(_NAMES.findall(value.lower())):
-                return True
-        return False
+
+@lru_cache(maxsize=10_000)
+def names_boilerplate(value: str, container: bool) -> bool:
+    """Whether a class, id or role says that its element isn't main text. That a page has a sidebar, or none, says nothing."""
+    words: set[str] = set()
+    for name in value.lower().split():
+        parts = _NAMES.findall(name)
+        if parts and parts[0] not in ("has", "no", "with", "without"):
+            words.update(parts)
+    return not (OTHERS if container else BOILERPLATE).isdisjoint(words)
+
+
+def is_boilerplate(tag: str, attrs: list) -> bool:
+    for name, value in attrs:
+        if name == "hidden" or name == "aria-hidden" and value == "true":
+            return True
+        if value and name in ("class", "id", "role") and names_boilerplate(value, tag in CONTAINERS):
+            return True
+    return False
 
 
 def smooth(ratios: list[float]) -> list[float]:

@@ -199,6 +199,12 @@ def test_html():
     assert "Brief." in html_extract.extract(plain) and not html_extract.extract(plain).startswith("a")
 
 
+def test_html_containers():
+    page = '<body class="has-sidebar"><div class="no-sidebar wrap"><main class="with-sidebar"><article class="post header-style"><p>Kept text.</p></article><article class="comment"><p>Reader.</p></article></main></div></body>'
+    assert html_extract.extract(page) == "Kept text."
+    assert html_extract.extract('<main><p>In.</p><div class="ad">Out.<p>Out.</p></div><p>Also &lt;in&gt;.</p></main>') == "In. Also <in>."
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, "y"), (3, "v", "<p>unclosed <b>text", "z")], "page_id long, url string, html string, text string")
     got = sorted(map(tuple, html_extract.extract_pages(df).collect()), key=str)

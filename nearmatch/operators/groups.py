@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from nearmatch.functions import media
 from nearmatch.operators.components import connected_components
+from nearmatch.sources.store import with_ids
 
 
 #: Edges, 16 bytes each, up to which one task finds the groups.
@@ -48,16 +49,14 @@ def place_in_group(group: str, size: str, tie: str, ascending: bool = False) ->
 
 
 def group_places(rows: DataFrame, group: str, size: str, ascending: bool = False) -> DataFrame:
-    """group, total_size, place of each group by its total size. One row per group passes the window."""
+    """group, total_size, place of each group by its total size."""
     total = rows.groupBy(group).agg(F.sum(size).alias("total_size"))
-    w = Window.orderBy(F.asc("total_size") if ascending else F.desc("total_size"), F.asc(group))
-    return total.withColumn("place", F.row_number().over(w))
+    return with_ids(total, 0, F.asc("total_size") if ascending else F.desc("total_size"), F.asc(group), name="place")
 
 
 def first_in_group(group: str, position: str) -> Column:
-    """Whether a row, in display order, begins another group than the row before."""
-    before = F.lag(group).over(Window.orderBy(group, position))
-    return ~F.col(group).eqNullSafe(before)
+    """Whether a row begins its group in display order."""
+    return F.row_number().over(Window.partitionBy(group).orderBy(position)) == 1
 
 
 def report(rows: DataFrame, group: str = "group_id", tie: str = "id") -> DataFrame:
@@ -68,7 +67,7 @@ def report(rows: DataFrame, group: str = "group_id", tie: str = "id") -> DataFra
     """
     shown = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(group))).where("_n >= 2").drop("_n")
     per = shown.groupBy(group).agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("total"))
-    heads = per.withColumn("number", F.row_number().over(Window.orderBy(group)))
+    heads = with_ids(per, 0, group, name="number")
     columns = {
         "label": media.group_label(F.col("number"), F.col("members"), F.col("total")),
         "position": F.lit(0),

@@ -221,7 +221,7 @@ printf('%.2f Mbps', total_size::DOUBLE / 1e6) AS rate FROM k
 """)
 def group_report(spark, sf):
     s = groups.sizes(groups.with_duplicates(_videos(spark, sf).withColumnRenamed("id", "video_id")))
-    s = s.withColumn("number", F.row_number().over(Window.orderBy("group_id")).cast("long"))
+    s = store.with_ids(s, 0, "group_id", name="number").withColumn("number", F.col("number").cast("long"))
     return s.select("group_id", "number", "members", "total_size", media.group_label(F.col("number"), F.col("members"), F.col("total_size") * 1000000).alias("label"), media.bit_rate_label(F.col("total_size")).alias("rate"))
 
 
@@ -251,8 +251,7 @@ def sort_groups_by_size(spark, sf):
 
 @query("SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1 AS first_row FROM embeddings")
 def first_in_group_flag(spark, sf):
-    first = F.min("vec_id").over(Window.partitionBy("label"))
-    return _t(spark, sf, "embeddings").select("vec_id", "label", (F.col("vec_id") == first).alias("first_row"))
+    return _t(spark, sf, "embeddings").select("vec_id", "label", groups.first_in_group("label", "vec_id").alias("first_row"))
 
 
 @query("SELECT c_custkey AS id, row_number() OVER (ORDER BY c_custkey) AS place FROM customer")

@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nearmatch import schemas
 from nearmatch.settings import SearchParams
+from nearmatch.sources.shared import materialize
 
 TABLES = {"video": schemas.VIDEO, "hash": schemas.HASH, "dup_group": schemas.DUP_GROUP, "dup_group_map": schemas.DUP_GROUP_MAP, "app_settings": schemas.APP_SETTINGS}
 
@@ -26,16 +27,19 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return joined.select(*[F.coalesce(F.col(f"_new_{c}"), F.col(c)).alias(c) if c != key and c in new.columns else F.col(c) for c in old.columns])
 
 
-def with_ids(rows: DataFrame, start: int, order: str) -> DataFrame:
-    """rows with id, counting on from start in the order of a column, without a single-task sort of whole rows.
+def with_ids(rows: DataFrame, start: int, *order: str | Column, name: str = "id") -> DataFrame:
+    """rows with a number, counting on from start in an order, without a single-task sort of whole rows.
 
-    Range partitions in order are counted first; a row's id is its place in
-    its partition plus the rows of all partitions before.
+    Rows are written in range partitions, which are counted; a row's number is
+    its place in its partition plus the rows of all partitions before. Ties
+    get numbers in any order.
     """
-    placed = rows.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
-    counts = placed.groupBy("_part").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    nth = F.row_number().over(Window.partitionBy("_part").orderBy(order))
-    return placed.join(F.broadcast(counts.select("_part", "_before")), "_part").withColumn("id", (nth + F.col("_before") + start).cast("int")).drop("_part", "_before")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    placed = materialize(rows.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "ordered")
+    before = F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = placed.groupBy("_part").count().withColumn("_before", before).select("_part", "_before")
+    nth = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return placed.join(F.broadcast(counts), "_part").withColumn(name, (nth + F.col("_before") + start).cast("int")).drop("_part", "_before")
 
 
 def copy_metadata(videos: DataFrame, source_id: int, target_id: int) -> DataFrame:

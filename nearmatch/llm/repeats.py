@@ -10,8 +10,9 @@ operator decides exactly; a window can only equal windows of its own group.
 
 Equal documents are one class, and only the class's document of the smallest
 doc_id gives spans: a class of any size costs what one document costs. Anchors
-that over ``HOT`` documents of different text share don't go into groups;
-their windows are hashed (128 bits) and counted by aggregation instead.
+that over ``HOT`` documents of different text share don't go into groups; the
+windows of their different contents are hashed (128 bits) and counted by
+aggregation instead.
 """
 
 from __future__ import annotations
@@ -146,7 +147,7 @@ class Found:
     rows: DataFrame  # doc_id, sha, n
     classes: DataFrame  # sha, rep_id, n_docs
     texts: DataFrame  # doc_id, text, spans, of the documents with repeated anchors
-    marks: DataFrame  # doc_id, lo, hi: first and last of consecutive repeated windows
+    marks: DataFrame  # doc_id, marks: first and last (lo, hi) of consecutive repeated windows
 
 
 Decide = Callable[[list[tuple[int, int, int, bytes]]], Iterator[tuple[int, int, int]]]
@@ -206,47 +207,81 @@ def find(docs: DataFrame, units: Units, decide: Decide, earlier: bool, hot: int
         return pd.DataFrame(found, columns=["doc_id", "lo", "hi"]).astype("int64")
 
     spans = texts.mapInArrow(emit, "h long, doc_id long, lo long, span binary").withColumn("grp", F.pmod(F.xxhash64("h"), F.lit(groups)))
-    marks = spans.groupBy("grp").applyInPandas(settle, "doc_id long, lo long, hi long")
+    marks = spans.groupBy("grp").applyInPandas(settle, "doc_id long, lo long, hi long").select("doc_id", F.array(F.struct("lo", "hi")).alias("marks"))
 
     if any_hot:
-
-        def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            from xxhash import xxh3_128_digest
-
-            for b in batches:
-                out: list[list] = [[], [], []]
-                for _, doc, lo, hi, joined, places in spans_of(b, True):
-                    for start in range(lo, hi + 1):
-                        out[0].append(xxh3_128_digest(units.cut(joined, places, start, start + units.length)))
-                        out[1].append(doc)
-                        out[2].append(start)
-                    if len(out[0]) > 100_000:
-                        yield _windows(out)
-                        out = [[], [], []]
-                yield _windows(out)
-
-        windows = materialize(texts.where(F.exists("spans", lambda s: s["hot"])).mapInArrow(hashes, "w binary, doc_id long, lo long"), "windows")
-        seen = windows.groupBy("w").agg(F.count(F.lit(1)).alias("times"), F.min("doc_id").alias("first_id")).where("times > 1")
-        keyed = windows.withColumn("k", F.xxhash64("w"))
-        entries = seen.groupBy(F.xxhash64("w").alias("k")).agg(F.collect_list(F.struct("w", "first_id")).alias("same"), F.sum("times").alias("times"))
-        again = lookup(keyed, entries, "k", "times", "doc_id").where("found IS NOT NULL")
-        again = again.withColumn("entry", F.filter("found.same", lambda s: s["w"] == F.col("w"))[0]).where("entry IS NOT NULL")
-        if earlier:
-            again = again.where("entry.first_id < doc_id")
-        marks = marks.unionByName(again.select("doc_id", "lo", F.col("lo").alias("hi")))
+        marks = marks.unionByName(_hot_marks(texts, units, spans_of, earlier))
     return Found(rows.select("doc_id", "sha", "n"), classes, texts, materialize(marks, "marks"))
 
 
+def _hot_marks(texts: DataFrame, units: Units, spans_of: Callable, earlier: bool) -> DataFrame:
+    """Marks of the spans of hot anchors, by aggregation.
+
+    Spans of the same bytes are one content, however many there are, and one
+    row for each document. Windows are hashed once for each content; those that
+    occur twice, counted with their contents' spans, come back to the contents,
+    and these to the documents.
+    """
+
+    def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
+        for b in batches:
+            places_of: dict[tuple[bytes, int, int], list[int]] = {}
+            for _, doc, lo, hi, joined, places in spans_of(b, True):
+                c = xxh3_128_digest(units.cut(joined, places, lo, hi + units.length))
+                places_of.setdefault((c, doc, hi - lo), []).append(lo)
+            columns = list(zip(*places_of)) if places_of else [()] * 3
+            kinds = (pa.binary(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(columns, kinds)), pa.array(list(places_of.values()), pa.list_(pa.int64()))], names=["c", "doc_id", "width", "los"])
+
+    hot = texts.where(F.exists("spans", lambda s: s["hot"]))
+    spans = materialize(hot.mapInArrow(contents, "c binary, doc_id long, width long, los array<long>"), "hot-spans")
+    one = F.min(F.struct("doc_id", F.array_min("los").alias("lo"), "width"))
+    kinds = materialize(spans.groupBy("c").agg(F.sum(F.size("los")).alias("times"), F.count(F.lit(1)).alias("n"), one.alias("one")), "contents")
+    first = F.struct("c", "times", F.col("one.lo").alias("lo"), (F.col("one.lo") + F.col("one.width")).alias("hi"))
+    wanted = kinds.select(F.col("one.doc_id").alias("doc_id"), first.alias("s")).groupBy("doc_id").agg(F.collect_list("s").alias("kinds"))
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
+        for b in batches:
+            for doc, text, found in zip(*(b.column(k).to_pylist() for k in range(3))):
+                joined, _ = units.split(text)
+                places = units.places(joined)
+                rows = [(xxh3_128_digest(units.cut(joined, places, at, at + units.length)), k["c"], at - k["lo"], k["times"], doc) for k in found for at in range(k["lo"], k["hi"] + 1)]
+                w, c, off, times, first = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(c, pa.binary()), pa.array(off, pa.int32()), pa.array(times, pa.int64()), pa.array(first, pa.int64())], names=["w", "c", "off", "times", "first_id"])
+
+    made = texts.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(windows, "w binary, c binary, off int, times long, first_id long")
+    made = materialize(made, "windows")
+    seen = materialize(made.groupBy("w").agg(F.sum("times").alias("times"), F.count(F.lit(1)).alias("n"), F.min("first_id").alias("first_id")).where("times > 1"), "seen")
+    again = lookup(made.select("w", "c", "off"), seen, "w", "n", "c").where("found IS NOT NULL")
+    offsets = again.groupBy("c").agg(F.collect_list(F.struct("off", F.col("found.first_id").alias("first_id"))).alias("offs"))
+    entries = materialize(kinds.select("c", "n").join(offsets, "c"), "content-marks")
+    placed = lookup(spans.select("c", "doc_id", "los"), entries, "c", "n", "doc_id").where("found IS NOT NULL").select("doc_id", "los", F.col("found.offs").alias("offs"))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple[int, list[dict]]] = []
+            for doc, los, offs in zip(*(b.column(k).to_pylist() for k in range(3))):
+                at = sorted(x["off"] for x in offs if not earlier or x["first_id"] < doc)
+                if at:
+                    flags = np.zeros(at[-1] + 1, bool)
+                    flags[at] = True
+                    out.append((doc, [{"lo": lo + x, "hi": lo + y} for x, y in ranges(flags) for lo in los]))
+            columns = list(zip(*out)) if out else [()] * 2
+            kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], kind)], names=["doc_id", "marks"])
+
+    return placed.mapInArrow(place, "doc_id long, marks array<struct<lo:long,hi:long>>")
+
+
 def _spans(out: list[list]) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], names=["h", "doc_id", "lo", "span"])
 
 
-def _windows(out: list[list]) -> pa.RecordBatch:
-    kinds = (pa.binary(), pa.int64(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], names=["w", "doc_id", "lo"])
-
-
 def by_anchor(spans: list[tuple[int, int, int, bytes]]) -> Iterator[list[tuple[int, int, int, bytes]]]:
     """The spans of each anchor hash that more than one span has."""
     spans.sort(key=lambda s: (s[0], s[1], s[2]))
@@ -275,7 +310,7 @@ def removed_units(n: int, marks: list[tuple[int, int]], length: int) -> np.ndarr
 
 def removal(found: Found, units: Units, keep: Callable[[bytes, list, np.ndarray], tuple[bytes, int]]) -> DataFrame:
     """doc_id, n_removed, n_spans, kept_sha of the documents with marks. keep gives the kept bytes of a text."""
-    marked = found.marks.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))
+    marked = found.marks.groupBy("doc_id").agg(F.flatten(F.collect_list("marks")).alias("marks"))
     joined = found.texts.select("doc_id", "text").dropDuplicates(["doc_id"]).join(marked, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

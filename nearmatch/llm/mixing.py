@@ -35,7 +35,7 @@ MAX_COPIES = 3.0
 #: Weights of the sources in their order, repeating.
 WEIGHTS = (1, 2, 3)
 #: Documents of a group in the first round, and residuals of a group after it.
-GROUP = 50_000
+GROUP = 2000
 FAN_IN = 256
 SEED = 11
 

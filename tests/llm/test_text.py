@@ -155,6 +155,13 @@ def test_toxicity(spark):
     assert by[1000] == by[1001] == 0 and by[1002] == 1
 
 
+def test_toxicity_keeps_every_repeated_bigram(spark):
+    rows = [(int(i > 200), " ".join(f"w{i // 2}x{k}" for k in range(1000))) for i in range(240)] + [(1, "zz vile once")] * 2 + [(0, "never seen")]
+    model = toxicity._language_models(toxicity._counts(spark.createDataFrame(rows, "toxic int, text string")))
+    assert len(model.word) == 1 + 120 * 1000 + 3 and len(model.bigrams) == 120 * 999 + 2
+    assert model.features("zz vile")[2] > model.features("never seen")[2] == model.features("new words")[2]
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r["score"] for r in toxicity.toxicity(documents(spark, [(1, "a"), (2, None)]), none).collect()} == {0.0}

@@ -205,6 +205,13 @@ def components_chain(spark, sf):
     return connected_components(e)
 
 
+@query()
+def components_chain_whole(spark, sf):
+    """Chains of 40 vertices over all orders; recursive SQL is too slow for it."""
+    k = F.floor(F.col("o_orderkey") / 4)
+    return connected_components(_t(spark, sf, "orders").where(k % 40 != 39).select(k.alias("src"), (k + 1).alias("dst")))
+
+
 # Reports, selection and order, over documents as videos.
 
 

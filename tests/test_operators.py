@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from nearmatch.operators import actions, filters, groups, sampling, similarity
 from nearmatch.operators.components import connected_components, union_find
+from nearmatch.plans import catalogue
 from nearmatch.sources import store as stores
 
 
@@ -53,6 +54,15 @@ def test_components_match_union_find(spark):
     assert connected_components(df.where("false")).count() == 0
 
 
+def test_chains_over_all_orders(spark, tmp_path):
+    keys = [*range(1, 900), 3999, 4000, 4001, 4004, *range(50_000, 50_400), 9_000_001]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").repartition(5).write.parquet(f"{tmp_path}/orders.parquet")
+    pairs = {(k // 4, k // 4 + 1) for k in keys if k // 4 % 40 != 39}
+    got = catalogue.QUERIES["components_chain_whole"](spark, str(tmp_path)).collect()
+    expected = union_find(*zip(*pairs))
+    assert len(got) == len(expected) and {r["id"]: r["component"] for r in got} == expected
+
+
 def test_membership_keeps_isolated_and_ignores_unknown(spark):
     videos = spark.createDataFrame([(i,) for i in (1, 2, 3, 7)], "id int")
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 99)], "src long, dst long")

@@ -7,7 +7,9 @@ diagonals are near each other make a candidate; a banded sequence alignment of
 the template with the document around it (matches, one cost for a word that
 differs, is missing or is added) gives the matched words, so that edited
 notices are found with their coverage and span. Candidates under
-``MIN_COVERAGE`` go; of overlapping ones the best stays.
+``MIN_COVERAGE`` go, and those in which a word of a license's name or version
+(``required``) is not matched or has another word put in beside it; of
+overlapping ones the best stays. 2, 2.0 and v2 are one version.
 
 Templates are short notices and identification lines of public licenses, given
 below; callers may pass their own. The index is as small as the templates.
@@ -35,6 +37,12 @@ WINDOW = 2
 #: Words by which an alignment may drift from its diagonal.
 BAND = 6
 MIN_COVERAGE = 0.8
+#: Templates of up to so many words identify a license by every word that isn't in FILLERS.
+SHORT = 13
+# Words of identification lines that can differ.
+FILLERS = frozenset("a an and generic in international into is license licensed of released the this to under unported v version work".split())
+# Words of license names.
+NAMES = frozenset("affero apache attribution bsd cc cc0 commons creative general gnu isc lesser mit mozilla".split())
 
 # Public license notices and identification lines.
 TEMPLATES = {
@@ -42,7 +50,9 @@ TEMPLATES = {
         "Licensed under the Apache License, Version 2.0.",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
         'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+        "Licensed under the Apache Software License, Version 2.0.",
     ],
+    "Apache-1.1": ["Licensed under the Apache License, Version 1.1.", "Licensed under the Apache Software License, Version 1.1."],
     "MIT": [
         "Released under the MIT License.",
         "Licensed under the MIT License.",
@@ -54,6 +64,7 @@ TEMPLATES = {
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
         "Licensed under the BSD 3-Clause License.",
     ],
+    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License."],
     "GPL-2.0": [
         "This work is licensed under the GNU General Public License, version 2.",
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
@@ -63,20 +74,41 @@ TEMPLATES = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "You should have received a copy of the GNU General Public License along with this program.",
     ],
-    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3."],
-    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3."],
+    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3.", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "LGPL-2.1": ["This work is licensed under the GNU Lesser General Public License, version 2.1.", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
+    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0."],
-    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "MPL-1.1": ["Licensed under the Mozilla Public License, version 1.1."],
+    "EPL-2.0": ["Licensed under the Eclipse Public License, version 2.0."],
+    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0."],
+    "Zlib": ["Licensed under the zlib License."],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "Licensed under the ISC License.", "Released under the ISC License."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "CC-BY-NC-SA-4.0": ["Licensed under CC BY-NC-SA 4.0."],
+    "CC-BY-NC-SA-4.0": ["Licensed under CC BY-NC-SA 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."],
     "CC0-1.0": ["Licensed under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
+_KINDS = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-ND": "Attribution-NoDerivs", "BY-NC-ND": "Attribution-NonCommercial-NoDerivs"}
+for _kind, _name in _KINDS.items():
+    for _version, _area in (("2.0", "Generic"), ("2.5", "Generic"), ("3.0", "Unported"), ("4.0", "International")):
+        _full = _name.replace("NoDerivs", "NoDerivatives") if _version == "4.0" else _name
+        TEMPLATES.setdefault(f"CC-{_kind}-{_version}", [f"Licensed under CC {_kind} {_version}.", f"This work is licensed under a Creative Commons {_full} {_version} {_area} License."])
 
 _word = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 
+_version = re.compile(r"v?(\d+(?:\.\d+)*?)(?:\.0)*").fullmatch
+
+
+def required(words: list[str]) -> list[bool]:
+    """Which words of a template are a license's name or version."""
+    out: list[bool] = []
+    for w in words:
+        follows = bool(out) and out[-1] and w in ("public", "license")
+        out.append(follows or bool(_version(w)) or (w not in FILLERS if len(words) <= SHORT else w in NAMES or w.startswith("attribution-")))
+    return out
+
 
 class Scanner:
     """The inverted index of winnowed template fingerprints, and the scan of a text."""
@@ -84,12 +116,13 @@ class Scanner:
     def __init__(self, templates: dict[str, list[str]], gram: int = GRAM, window: int = WINDOW, band: int = BAND, coverage: float = MIN_COVERAGE) -> None:
         self.gram, self.band, self.coverage = gram, band, coverage
         self.ids: dict[str, int] = {}
-        self.templates: list[tuple[str, int, list[int]]] = []
+        self.templates: list[tuple[str, int, list[int], list[bool]]] = []
         self.index: dict[tuple[int, ...], list[tuple[int, int]]] = defaultdict(list)
         for name, texts in templates.items():
             for k, text in enumerate(texts):
-                words = [self.ids.setdefault(w, len(self.ids) + 1) for w in _word.findall(text.lower())]
-                self.templates.append((name, k, words))
+                split = _word.findall(text.lower())
+                words = [self.id_of(w) for w in split]
+                self.templates.append((name, k, words, required(split)))
                 grams = [tuple(words[i : i + gram]) for i in range(max(1, len(words) - gram + 1))]
                 hashes = [crc32(repr(g).encode()) for g in grams]
                 picked = {min(range(i, min(i + window, len(grams))), key=lambda j: (hashes[j], -j)) for i in range(max(1, len(grams) - window + 1))}
@@ -97,6 +130,15 @@ class Scanner:
                     self.index[grams[i]].append((len(self.templates) - 1, i))
         self.starts = {g[0] for g in self.index}
 
+    def id_of(self, word: str) -> int:
+        """The number of a template's word; other spellings of a version have the same."""
+        if word not in self.ids:
+            n = len(self.ids) + 1
+            v = _version(word)
+            for w in (word, *((v[1], f"{v[1]}.0", f"v{v[1]}", f"v{v[1]}.0") if v else ())):
+                self.ids[w] = n
+        return self.ids[word]
+
     def scan(self, text: str | None) -> list[tuple[str, int, int, int, float]]:
         """(license, template number, start, end, coverage) of each match, by start."""
         if not text:
@@ -117,7 +159,7 @@ class Scanner:
             group: list[int] = []
             for d in [*sorted(diagonals), None]:
                 if group and (d is None or d - group[0] > self.band):
-                    if match := self.align(self.templates[template][2], ids, group[len(group) // 2]):
+                    if match := self.align(*self.templates[template][2:], ids, group[len(group) // 2]):
                         found.append((*match, template))
                     group = []
                 if d is not None:
@@ -134,23 +176,23 @@ class Scanner:
             spans = [m.span() for m in _word.finditer(text)]
         return [(self.templates[t][0], self.templates[t][1], spans[a][0], spans[b - 1][1], c) for a, b, c, t in sorted(kept)]
 
-    def align(self, words: list[int], ids: list[int], diagonal: int) -> tuple[int, int, float] | None:
+    def align(self, words: list[int], needed: list[bool], ids: list[int], diagonal: int) -> tuple[int, int, float] | None:
         """First word, end and coverage of the best alignment of a template within the band around a diagonal."""
         band, n = self.band, len(words)
-        # by offset from the diagonal: (score, matched words, first word, end)
-        row = {k: (0, 0, -1, -1) for k in range(-band, band + 1) if 0 <= diagonal + k <= len(ids)}
-        best = (0, 0, -1, -1)
+        # by offset from the diagonal: (score, matched words, first word, end, matches as (before, template's word, word))
+        row: dict[int, tuple] = {k: (0, 0, -1, -1, None) for k in range(-band, band + 1) if 0 <= diagonal + k <= len(ids)}
+        best = (0, 0, -1, -1, None)
         for i in range(n):
-            new: dict[int, tuple[int, int, int, int]] = {}
+            new: dict[int, tuple] = {}
             for k in range(-band, band + 1):
                 j = diagonal + i + k
                 options = []
                 if k in row and 0 <= j < len(ids):
-                    score, matched, first, end = row[k]
+                    score, matched, first, end, path = row[k]
                     if ids[j] == words[i]:
-                        options.append((score + 2, matched + 1, j if first < 0 else first, j + 1))
+                        options.append((score + 2, matched + 1, j if first < 0 else first, j + 1, (path, i, j)))
                     else:
-                        options.append((score - 1, matched, first, end))
+                        options.append((score - 1, matched, first, end, path))
                 if k + 1 in row:  # the template's word is missing
                     score, *rest = row[k + 1]
                     options.append((score - 1, *rest))
@@ -158,18 +200,29 @@ class Scanner:
                     score, *rest = new[k - 1]
                     options.append((score - 1, *rest))
                 if not options and 0 <= j <= len(ids):
-                    options.append((-i, 0, -1, -1))
+                    options.append((-i, 0, -1, -1, None))
                 if options:
-                    new[k] = max(options)
+                    new[k] = max(options, key=_without_path)
             row = new
             if not row:
                 break
-            best = max(best, max(row.values()))
+            best = max(best, *row.values(), key=_without_path)
         if best[2] < 0 or best[1] / n < self.coverage:
             return None
+        at, path = {}, best[4]
+        while path:
+            path, i, j = path
+            at[i] = j
+        for i in range(n):
+            if needed[i] and (i not in at or i and needed[i - 1] and at[i] != at[i - 1] + 1):
+                return None
         return best[2], best[3], best[1] / n
 
 
+def _without_path(state: tuple) -> tuple:
+    return state[:4]
+
+
 def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None) -> DataFrame:
     """doc_id, license, template, coverage, span_start, span_end of each match in docs(doc_id, text)."""
     templates = templates or TEMPLATES

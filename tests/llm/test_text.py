@@ -235,3 +235,34 @@ def test_licenses(spark):
     assert rows[0][1][int(one["span_start"]) : int(one["span_end"])] == "Licensed under the Apache License, Version 2.0" and one["coverage"] == 1.0
     assert 0.8 <= got[got["doc_id"] == 2].iloc[0]["coverage"] < 1
     assert licenses.scan_licenses(documents(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "name"),
+    [
+        ("Licensed under the ISC License.", "ISC"),
+        ("Licensed under the WTFPL License.", None),
+        ("Licensed under CC BY-NC-ND 4.0.", "CC-BY-NC-ND-4.0"),
+        ("Licensed under CC BY NC 4.0.", None),
+        ("Licensed under CC BY 3.0.", "CC-BY-3.0"),
+        ("Licensed under CC BY 1.0.", None),
+        ("This work is licensed under the GNU Lesser General Public License, version 2.1.", "LGPL-2.1"),
+        ("This work is licensed under the GNU Lesser General Public License, version 2.", None),
+        ("This work is licensed under the GNU Library General Public License, version 2.", None),
+        ("This work is licenced under the GNU General Public License, version 3.0.", "GPL-3.0"),
+        ("This work is licensed under the GNU General Public License v2.", "GPL-2.0"),
+        ("This work is licensed under a Creative Commons Attribution 4.0 License.", "CC-BY-4.0"),
+        ("Licensed under the Apache License 2.0.", "Apache-2.0"),
+        ("Licensed under the BSD 3-Clause Clear License.", None),
+        ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", "LGPL-2.1"),
+    ],
+)
+def test_licenses_by_name_and_version(text, name):
+    assert [m[0] for m in licenses.Scanner(licenses.TEMPLATES).scan(f"Code. {text} More text.")] == ([name] if name else [])
+
+
+def test_licenses_find_every_template_as_its_own():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    for name, texts in licenses.TEMPLATES.items():
+        for text in texts:
+            assert [(m[0], m[4]) for m in scanner.scan(f"Some words. {text} Other words.")] == [(name, 1.0)], text

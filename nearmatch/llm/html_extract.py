@@ -7,7 +7,7 @@ or main element that holds a cluster is the content region as a whole, so that
 its short paragraphs stay; on pages without one, the clusters themselves are, with
 the few lines between two of them. Elements whose tag, class, id or role
 names a menu, header, footer, sidebar, notice, advert, form or reader comment
-never become lines.
+never become lines; those whose end tag can be left out end where HTML ends them.
 
 Null, empty or unparseable html gives an empty text; repeated rows give
 repeated results; columns besides page_id, url and html are ignored.
@@ -41,6 +41,36 @@ BOILERPLATE = frozenset(
     "ad ads adv advert advertisement adsense alert banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification pagination pager popup promo promoted promotion related replies respond share sharing sidebar signup social sponsor sponsored subscribe toc toolbar widget widgets".split()
 )
 CONTAINERS = frozenset(("article", "main"))
+_CELLS = frozenset("td th tr tbody tfoot thead".split())
+# Of elements whose end tag can be left out, the start tags that end them.
+ENDED_BY = {
+    "p": _CELLS
+    | frozenset(
+        "address article aside blockquote center details dialog dd dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li listing main menu nav ol p plaintext pre search section summary table ul xmp".split()
+    ),
+    "li": _CELLS | {"li"},
+    "dt": _CELLS | {"dt", "dd"},
+    "dd": _CELLS | {"dt", "dd"},
+    "option": frozenset(("option", "optgroup")),
+    "td": _CELLS,
+    "th": _CELLS,
+    "tr": _CELLS - {"td", "th"},
+    "tbody": _CELLS - {"td", "th", "tr"},
+    "tfoot": _CELLS - {"td", "th", "tr"},
+    "thead": _CELLS - {"td", "th", "tr"},
+}
+ENDING = frozenset().union(*ENDED_BY.values())
+_LISTED = frozenset("article aside blockquote button details dir dl fieldset figure footer form header main menu nav object ol section select table td template th ul".split())
+# Elements in which a start tag ends none of those around them.
+KEPT_BY = {
+    "p": frozenset("button caption object table td template th".split()),
+    "li": _LISTED,
+    "dt": _LISTED,
+    "dd": _LISTED,
+    "option": frozenset(("select",)),
+} | dict.fromkeys(_CELLS, frozenset(("table", "template")))
+#: Elements that are followed inside a skipped one.
+FOLLOWED = BLOCKS | SKIPPED | ENDING
 # Of these, the words that also rule out an article or main element.
 OTHERS = frozenset("ad ads advert advertisement comment comments promo promoted related replies respond sponsor sponsored".split())
 SIGMA = 1.5
@@ -60,7 +90,8 @@ class _Lines(HTMLParser):
         self.parts: list[str] = []
         self.tags = 0
         self.skip_tag = ""
-        self.skip_depth = 0
+        self.inner: list[str] = []  # the skipped element and what is open in it
+        self.open: list[str] = []  # the blocks around, without paragraphs
         self.containers: list[int] = []
         self.n_containers = 0
 
@@ -72,10 +103,25 @@ class _Lines(HTMLParser):
                 self.tags = 0
             self.parts = []
 
+    def end_implied(self, tag: str) -> None:
+        """Close what the start of tag ends in the skipped element, and that element if it is ended too."""
+        above: set[str] = set()
+        cut = len(self.inner)
+        for i in range(len(self.inner) - 1, -1, -1):
+            name = self.inner[i]
+            if tag in ENDED_BY.get(name, ()) and above.isdisjoint(KEPT_BY[name]):
+                cut = i
+            above.add(name)
+        del self.inner[cut:]
+        if not self.inner:
+            self.skip_tag = ""
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if self.skip_tag and tag in ENDING:
+            self.end_implied(tag)
         if self.skip_tag:
-            if tag == self.skip_tag:
-                self.skip_depth += 1
+            if tag not in VOID and (tag in FOLLOWED or tag == self.skip_tag):
+                self.inner.append(tag)
             return
         if tag in VOID:
             if tag == "br":
@@ -86,10 +132,14 @@ class _Lines(HTMLParser):
             return
         if tag in SKIPPED or attrs and tag not in ("html", "body") and is_boilerplate(tag, attrs):
             self.flush()
-            self.skip_tag, self.skip_depth = tag, 1
+            self.skip_tag, self.inner = tag, [tag]
             return
         if tag in BLOCKS:
             self.flush()
+            if tag != "p":
+                if self.open and tag in ENDED_BY.get(self.open[-1], ()):
+                    self.open.pop()
+                self.open.append(tag)
             if tag in CONTAINERS:
                 self.n_containers += 1
                 self.containers.append(self.n_containers)
@@ -104,16 +154,20 @@ class _Lines(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         if self.skip_tag:
-            if tag == self.skip_tag:
-                self.skip_depth -= 1
-                if not self.skip_depth:
+            if tag in self.inner:
+                while self.inner.pop() != tag:
+                    pass
+                if not self.inner:
                     self.skip_tag = ""
-            elif tag in ("body", "html") or tag in CONTAINERS and self.skip_tag not in CONTAINERS and self.containers:
+            elif tag in ("body", "html") or tag in CONTAINERS and self.skip_tag not in CONTAINERS and self.containers or self.skip_tag in ENDED_BY and tag in self.open:
                 self.skip_tag = ""  # an element left open ends with what holds it
                 self.handle_endtag(tag)
             return
         if tag in BLOCKS:
             self.flush()
+            if tag in self.open:
+                while self.open.pop() != tag:
+                    pass
             if tag in CONTAINERS and self.containers:
                 self.containers.pop()
         self.tags += 1

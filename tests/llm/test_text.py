@@ -212,6 +212,26 @@ def test_html_containers():
     assert html_extract.extract('<main><p>In.</p><div class="ad">Out.<p>Out.</p></div><p>Also &lt;in&gt;.</p></main>') == "In. Also <in>."
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ('<article><p class="notice">Note<p>Text</p><p>More</p></article>', "Text More"),
+        ('<article><p class="notice">Note<b> bold<h2>Head</h2><p>More</article>', "Head More"),
+        ('<article><p class="notice">Note<p class="ad">Advert<p>Text</article>', "Text"),
+        ('<article><div><p class="notice">Note</div>Text</article>', "Text"),
+        ('<article><ul><li class="promo">Buy<ul><li>inner<li>inner</ul>buy<li>Text<li>More</ul></article>', "Text More"),
+        ('<article><ul><li>Text<li class="promo">Buy</ul><p>More</article>', "Text More"),
+        ('<article><dl><dt class="ad">Buy<dd>Text</dl></article>', "Text"),
+        ('<article><table><tr><td class="ad">Buy<table><tr><td>inner</table>buy<td>Text<tr class="ad"><td>Buy<td>buy<tr><td>More</table></article>', "Text More"),
+        ('<article><div class="ad">Buy<p>buy<p>buy<ul><li>buy</ul></div>Text</article>', "Text"),
+        ('<article><p class="notice">Note <button>a<p>b</button> c</p>Text</article>', "Text"),
+        ('<article><option>One<option>Two</option>Text</article>', "Text"),
+    ],
+)
+def test_html_ends_that_are_left_out(html, text):
+    assert html_extract.extract(html) == text
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, "y"), (3, "v", "<p>unclosed <b>text", "z")], "page_id long, url string, html string, text string")
     got = sorted(map(tuple, html_extract.extract_pages(df).collect()), key=str)

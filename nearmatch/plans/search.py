@@ -28,6 +28,10 @@ def unseen(files: DataFrame, known: DataFrame) -> DataFrame:
     return files.join(known.select("path"), "path", "left_anti")
 
 
+#: Files named in Progress.errors.
+SHOWN = 100
+
+
 @dataclass
 class Progress:
     """Counts of a search, and what went wrong."""
@@ -36,13 +40,20 @@ class Progress:
     new: int = 0
     probed: int = 0
     hashed: int = 0
+    failed: int = 0
     errors: list[str] = field(default_factory=list)
+    #: All files that can't be probed, of which errors names SHOWN; a table in the shared folder, gone when the application ends.
+    failures: DataFrame | None = None
 
 
 def ingest(spark: SparkSession, store: Store, files: DataFrame, params: SearchParams, adapter: Adapter, progress: Progress) -> None:
     """Add files to the store: probe, keep what is a video, sample, hash. A file whose hashing fails is known afterwards."""
     probed = materialize(probe_files(files, adapter), "probed")
-    progress.errors += [f"cannot read {r['path']}" for r in probed.where("NOT ok").select("path").limit(100).collect()]
+    progress.failures = materialize(probed.where("NOT ok"), "failed")
+    progress.failed = progress.failures.count()
+    progress.errors += [f"cannot read {r['path']}" for r in progress.failures.select("path").orderBy("path").limit(SHOWN).collect()]
+    if progress.failed > SHOWN:
+        progress.errors.append(f"cannot read {progress.failed - SHOWN} more files, {progress.failed} in all")
     good = filters.valid_probe(probed.where("ok"))
     progress.probed = good.count()
     if not progress.probed:

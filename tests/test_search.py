@@ -47,6 +47,17 @@ def test_search_end_to_end(spark, tmp_path):
     assert store.read("video").count() == 2
 
 
+def test_search_keeps_all_failed_probes(spark, tmp_path):
+    media = tmp_path / "media"
+    media.mkdir()
+    for k in range(105):
+        (media / f"broken{k:03}.mp4").write_bytes(b"nothing")
+    _, progress = search(spark, Store(spark, str(tmp_path / "store")), SearchParams(directories=((str(media), True),)), PgmAdapter())
+    assert (progress.new, progress.failed, progress.probed) == (105, 105, 0)
+    assert {r["path"].rsplit("/", 1)[1] for r in progress.failures.collect()} == {f"broken{k:03}.mp4" for k in range(105)}
+    assert len(progress.errors) == 101 and progress.errors[-1] == "cannot read 5 more files, 105 in all"
+
+
 def test_slow_hashing_percent(spark):
     videos = spark.createDataFrame([(1,), (2,), (3,)], "id int")
     rows = [(1, 16 << k) for k in range(4)] + [(2, 16), (2, 32), (3, 1 << 50)]

@@ -6,7 +6,8 @@ documents and exchanges one for one or two for one, always towards the fuller
 bin, so that the sum of squared fills grows until bins empty or no step is
 left. Groups are hashes of the documents, even whatever the data; what stands
 in underfull bins afterwards is dealt into new, fewer groups and packed again,
-until it is one group: a reduction tree over ever smaller leftovers. No task
+until it is one group: a reduction tree over ever smaller leftovers. Where a round
+fills hardly any bin, the emptiest bins of all groups make the last group. No task
 ever holds more than a group, and nothing but counts reaches the driver.
 
 Only documents over the sequence length are cut: a first piece with the
@@ -27,11 +28,12 @@ from array import array
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from functools import partial
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nearmatch.llm.common import bucket_of, groups_for, materialize, table, text_batches
@@ -40,8 +42,6 @@ SEQUENCE = 1024
 END_ID = 2
 #: Pieces of a group; its packing needs a few MB.
 GROUP = 20_000
-#: Bins, the emptiest, from which two pieces are taken at once.
-PAIR_DONORS = 16
 #: The ranks of byte_bpe_50k.json; a test holds the ids against that file's tokenizer.
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -122,27 +122,85 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
+class _Pairs:
+    """Sums of two pieces of one bin, over all bins of a pool."""
+
+    def __init__(self, lengths: list[int], capacity: int) -> None:
+        self.lengths = lengths
+        self.homes: list[dict[int, None]] = [{} for _ in range(capacity + 1)]
+        self.sums: list[int] = []  # those that a bin has, in order
+        self.of_bin: dict[int, list[int]] = {}
+
+    def add(self, home: int, members: list[int]) -> None:
+        sizes = sorted(self.lengths[i] for i in members)
+        different = sorted(set(sizes))
+        sums = {x + y for k, x in enumerate(different) for y in different[k + 1 :]} | {2 * x for x, y in zip(sizes, sizes[1:]) if x == y}
+        self.of_bin[home] = sorted(sums)
+        for total in self.of_bin[home]:
+            if not self.homes[total]:
+                insort(self.sums, total)
+            self.homes[total][home] = None
+
+    def remove(self, home: int) -> None:
+        for total in self.of_bin.pop(home):
+            del self.homes[total][home]
+            if not self.homes[total]:
+                self.sums.pop(bisect_left(self.sums, total))
+
+    def largest(self, most: int) -> int:
+        at = bisect_right(self.sums, most)
+        return self.sums[at - 1] if at else 0
+
+    def pieces(self, total: int, bins: list[list[int]]) -> tuple[tuple[int, int, int], tuple[int, int, int]]:
+        home = next(iter(self.homes[total]))
+        rows = sorted((self.lengths[i], i, home) for i in bins[home])
+        lo, hi = 0, len(rows) - 1
+        while rows[lo][0] + rows[hi][0] != total:
+            if rows[lo][0] + rows[hi][0] > total:
+                hi -= 1
+            else:
+                lo += 1
+        return rows[lo], rows[hi]
+
+
 def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
     """Steps between underfull bins, each towards the fuller one, until none is left; empty bins go.
 
-    Bins are filled in turn, the fullest first, from those after them. Every
-    step raises the sum of squared fills, which is bounded, so the search ends.
+    A pass fills the fullest bin in turn from all others that are to come;
+    passes repeat until one makes no step. Every step raises the sum of
+    squared fills, which is bounded, so the search ends.
     """
     fills = [sum(lengths[i] for i in b) for b in bins]
-    order = sorted((k for k in range(len(bins)) if 0 < fills[k] < capacity), key=lambda k: (-fills[k], k))
+    while _pass(bins, fills, lengths, capacity):
+        pass
+    return [b for b in bins if b]
+
+
+def _pass(bins: list[list[int]], fills: list[int], lengths: list[int], capacity: int) -> bool:
+    """Whether a step was made."""
+    moved = False
+    heap = [(-fills[k], k) for k in range(len(bins)) if 0 < fills[k] < capacity]
+    heapify(heap)
     # pieces of the bins that are still to come, by length
-    pool = sorted((lengths[i], i, k) for k in order for i in bins[k])
-    for at, a in enumerate(order):
+    pool = sorted((lengths[i], i, k) for _, k in heap for i in bins[k])
+    pairs = _Pairs(lengths, capacity)
+    for _, k in sorted(heap, key=lambda x: (-x[0], -x[1])):
+        pairs.add(k, bins[k])
+    while heap:
+        fill, a = heappop(heap)
+        if -fill != fills[a] or a not in pairs.of_bin:  # it has given since, and stands in the heap again
+            continue
         for i in bins[a]:
             pool.pop(bisect_left(pool, (lengths[i], i, a)))
-        emptiest = order[max(at + 1, len(order) - PAIR_DONORS) :]
+        pairs.remove(a)
         while pool and fills[a] < capacity:
-            gap = capacity - fills[a]
-            step = _best_step(bins[a], pool, [bins[k] for k in emptiest], emptiest, lengths, gap)
+            step = _best_step(bins, a, pool, pairs, lengths, capacity - fills[a])
             if step is None:
                 break
+            moved = True
             gained, given, taken = step
             home = taken[0][2]
+            pairs.remove(home)
             for x in taken:
                 pool.pop(bisect_left(pool, x))
                 bins[x[2]].remove(x[1])
@@ -154,10 +212,13 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> li
                 fills[home] += lengths[given]
                 insort(pool, (lengths[given], given, home))
             fills[a] += gained
-    return [b for b in bins if b]
+            if bins[home]:
+                pairs.add(home, bins[home])
+                heappush(heap, (-fills[home], home))
+    return moved
 
 
-def _best_step(own: list[int], pool: list[tuple[int, int, int]], donors: list[list[int]], homes: list[int], lengths: list[int], gap: int) -> tuple | None:
+def _best_step(bins: list[list[int]], a: int, pool: list[tuple[int, int, int]], pairs: _Pairs, lengths: list[int], gap: int) -> tuple | None:
     """(tokens gained, piece given away or None, pieces taken from one bin) of the step that fills the gap best."""
     best: tuple | None = None
     at = bisect_right(pool, (gap, 1 << 60, 0)) - 1  # a move
@@ -166,7 +227,7 @@ def _best_step(own: list[int], pool: list[tuple[int, int, int]], donors: list[li
         if pool[at][0] == gap:
             return best
     by_size: dict[int, int] = {}
-    for i in own:
+    for i in bins[a]:
         by_size.setdefault(lengths[i], i)
     for size, i in by_size.items():  # one for one
         at = bisect_right(pool, (size + gap, 1 << 60, 0)) - 1
@@ -174,23 +235,12 @@ def _best_step(own: list[int], pool: list[tuple[int, int, int]], donors: list[li
             best = (pool[at][0] - size, i, (pool[at],))
             if best[0] == gap:
                 return best
-    for home, members in zip(homes, donors):  # two of one bin for one, or for nothing
-        if len(members) < 2:
-            continue
-        rows = sorted((lengths[i], i, home) for i in members)
-        for size, i in [(0, None), *by_size.items()]:
-            lo, hi = 0, len(rows) - 1
-            while lo < hi:
-                total = rows[lo][0] + rows[hi][0]
-                if total > size + gap:
-                    hi -= 1
-                    continue
-                if total > size and (best is None or total - size > best[0]):
-                    best = (total - size, i, (rows[lo], rows[hi]))
-                    if best[0] == gap:
-                        return best
-                lo += 1
-    return best
+    two: tuple | None = None
+    for size, i in [(0, None), *by_size.items()]:  # two of one bin for one, or for nothing
+        gained = pairs.largest(size + gap) - size
+        if gained > max(best[0] if best else 0, two[0] if two else 0):
+            two = (gained, i, size)
+    return (two[0], two[1], pairs.pieces(two[0] + two[2], bins)) if two else best
 
 
 def pack_group(lengths: np.ndarray, capacity: int) -> list[list[int]]:
@@ -239,8 +289,15 @@ def pack(docs: DataFrame, ranks: str, pattern: str, capacity: int = SEQUENCE, en
             break
         rest, before = packed.where("NOT closed").select(*columns), left
         left = rest.count()
-        if left > 0.9 * before:  # hardly any bin became full: the next round would repeat this one
-            done.append(packed.where("NOT closed").select(*columns, number.alias("sequence_id"), "offset"))
+        if left > 0.9 * before and groups_for(left, group) > 1:  # hardly any bin became full: the next round would repeat this one
+            fill = F.sum("length").over(Window.partitionBy("grp", "bin"))
+            upto = F.count(F.lit(1)).over(Window.partitionBy("grp").orderBy("fill", "bin").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+            open_ = materialize(packed.where("NOT closed").withColumn("fill", fill).withColumn("upto", upto), "open")
+            emptiest = F.col("upto") <= max(1, group // groups)
+            done.append(open_.where(~emptiest).select(*columns, number.alias("sequence_id"), "offset"))
+            merged = materialize(_pack_round(open_.where(emptiest).select(*columns), 1, turn + 1, capacity, last=True), "merged")
+            number = F.lit((turn + 1) << 56) + F.col("grp") * F.lit(1 << 24) + F.col("bin")
+            done.append(merged.select(*columns, number.alias("sequence_id"), "offset"))
             break
     out = done[0]
     for df in done[1:]:

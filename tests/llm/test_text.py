@@ -81,6 +81,20 @@ def test_local_search_empties_a_bin():
     assert len(packing.local_search([[0], [1], [2, 3]], lengths, 100)) == 2
 
 
+def test_local_search_takes_two_from_any_bin():
+    lengths = [60, 30, 20, 20, 45] + [42, 41] * 20  # two of the second bin for one of the first fill it
+    after = packing.local_search([[0, 1], [2, 3, 4]] + [[k, k + 1] for k in range(5, 45, 2)], lengths, 100)
+    assert sorted(i for b in after for i in b) == list(range(45)) and any({0, 2, 3} == set(b) for b in after)
+
+
+def test_packing_merges_the_emptiest_bins_of_all_groups(spark, reference_ids):
+    n = len(reference_ids("w " * 270))
+    rows = [(i, "w " * 270) for i in range(97)]
+    got = packing.pack(documents(spark, rows), P.path(packing.VOCABULARY), P.PATTERN, group=10).toPandas()
+    assert sorted(got["doc_id"]) == list(range(97)) and (got.groupby("sequence_id")["length"].sum() <= packing.SEQUENCE).all()
+    assert n == 271 and got["sequence_id"].nunique() == 33  # three fit in one; without the merge there are 34
+
+
 def test_mixing(spark):
     rng = np.random.default_rng(1)
     rows = [(i, "w " * int(rng.integers(0, 60)), None if i % 10 == 0 else f"s{min(i % 7, 3)}") for i in range(900)] + [(5, "a b", "s1"), (5, "a b", "s1"), (1000, None, "empty")]

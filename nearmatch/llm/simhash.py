@@ -6,8 +6,10 @@ fingerprints whose counts differ by more than the radius, summed over the
 words, cannot link. Cells in order form tiles of bounded size (large cells are
 split by hash); tile pairs further apart than the radius are skipped; the
 others are compared exactly, cell against near cells, with numpy's exclusive-or
-and bit counts. Each tile pair returns a spanning forest of its links, not all
-pairs; components of the forests are the components of all links.
+and bit counts, in blocks of at most ``BLOCK`` pairs. A block's links are folded
+into the tile pair's spanning forest before the next block is compared, so that
+a tile of near copies never lists its pairs; components of the forests are the
+components of all links.
 
 The histogram of cells, at most 17^4 rows, and the tile pairs, at most about
 MAX_TILES^2 / 2, are all that reaches the driver.
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearmatch.llm.common import lookup, materialize, own, shuffle_partitions, table, text_batches
-from nearmatch.operators.components import connected_components, union_find
+from nearmatch.operators.components import connected_components
 
 SHINGLE = 4
 RADIUS = 4
@@ -37,7 +39,7 @@ SEED = 42
 TILE = 4096
 MAX_TILES = 768
 #: Fingerprint pairs of one numpy call.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 _LANES = np.uint64(0x0101010101010101)
 
@@ -132,33 +134,54 @@ def tile_pairs(low: np.ndarray, high: np.ndarray, radius: int) -> list[tuple[int
     return out
 
 
-def links(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the linked pairs between two tiles, each in the order of its cells."""
+class Forest:
+    """Components of positions 0 to n - 1, and the links that joined them. Holds two arrays of n, however many links it sees."""
+
+    def __init__(self, n: int) -> None:
+        self.label = np.arange(n)
+        self.left: list[int] = []
+        self.right: list[int] = []
+
+    def add(self, at: int, others: np.ndarray) -> None:
+        """Links position at to each of the others."""
+        own = self.label[at]
+        labels = self.label[others]
+        new = labels != own
+        while new.any():  # one step for each component that is joined
+            k = int(np.argmax(new))
+            self.left.append(at)
+            self.right.append(int(others[k]))
+            self.label[self.label == labels[k]] = own
+            new &= labels != labels[k]
+
+
+def forest(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links between two tiles, each in the order of its cells: positions in a, and in b after those of a.
+
+    Blocks of at most BLOCK pairs are compared, and folded into the forest
+    before the next one. same: b is a.
+    """
     ca, cb = cells_of(a), cells_of(b)
     starts_a = np.flatnonzero(np.r_[True, (ca[1:] != ca[:-1]).any(axis=1)])
     starts_b = np.flatnonzero(np.r_[True, (cb[1:] != cb[:-1]).any(axis=1)])
     sizes_b = np.diff(np.r_[starts_b, len(b)])
     cell_b = np.repeat(np.arange(len(starts_b)), sizes_b)
-    left, right = [], []
-    for at, end in zip(starts_a, np.r_[starts_a[1:], len(a)]):
+    shift = 0 if same else len(a)
+    found = Forest(len(a) + (0 if same else len(b)))
+    for at, end in zip(starts_a.tolist(), np.r_[starts_a[1:], len(a)].tolist()):
         near = np.abs(cb[starts_b] - ca[at]).sum(axis=1) <= radius
         if same:
             near &= starts_b >= at
-        rows = np.flatnonzero(near[cell_b])
-        if not len(rows):
-            continue
-        others = b[rows]
-        step = max(1, BLOCK // len(rows))
-        for lo in range(at, end, step):
-            hit = np.bitwise_count(a[lo : min(end, lo + step), None] ^ others) <= radius
-            x, y = np.nonzero(hit)
-            if len(x):
-                left.append(x + lo)
-                right.append(rows[y])
-    if not left:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    x, y = np.concatenate(left), np.concatenate(right)
-    return (x[x < y], y[x < y]) if same else (x, y)
+        columns = np.flatnonzero(near[cell_b])
+        for first in range(0, len(columns), BLOCK):
+            part = columns[first : first + BLOCK]
+            others = b[part]
+            step = max(1, BLOCK // len(part))
+            for lo in range(at, end, step):
+                hit = np.bitwise_count(a[lo : min(end, lo + step), None] ^ others) <= radius
+                for row in np.flatnonzero(hit.any(axis=1)).tolist():
+                    found.add(lo + row, part[hit[row]] + shift)
+    return np.array(found.left, np.int64), np.array(found.right, np.int64)
 
 
 def linked(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
@@ -191,11 +214,10 @@ def linked(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataF
         for batch in batches:
             for i, j, x, y in zip(*(batch.column(k).to_pylist() for k in ("i", "j", "a", "b"))):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                s, t = links(x, y, radius, i == j)
+                s, t = forest(x, y, radius, i == j)
                 if len(s):
-                    found = union_find(x[s].view(np.int64).tolist(), y[t].view(np.int64).tolist())
-                    rows = [(v, r) for v, r in found.items() if v != r]
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["src", "dst"])
+                    both = (x if i == j else np.concatenate([x, y])).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(both[s]), pa.array(both[t])], names=["src", "dst"])
 
     return work.mapInArrow(run, "src long, dst long")
 

@@ -52,6 +52,44 @@ def test_exact_dedup_empty_and_stage(spark):
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
 
 
+@pytest.mark.parametrize("kinds", [1, 8])
+def test_exact_dedup_walks_the_chains_of_colliding_keys(spark, kinds):
+    from pyspark.sql import functions as F
+
+    rows = [(i, t) for i, t in enumerate(["a", "b  b", None, "c", "a", "b b", "", "d", "a", "\ta"] * 3)]
+    few = lambda norm: F.shiftleft(F.pmod(F.xxhash64(norm), F.lit(kinds)), 61)
+    got = exact_dedup.exact_dedup(documents(spark, rows), 1, key=few).collect()
+    assert sorted(tuple(r)[:5] for r in got) == sorted(_exact(rows))
+    assert max(r["chain"] for r in got) > 0
+
+
+def test_exact_dedup_needs_a_right_directory(spark, monkeypatch):
+    whole = exact_dedup.directory
+
+    def half(entries, capacity):
+        slots, depth = whole(entries, capacity)
+        return slots.where("slot % 2 = 0"), depth
+
+    rows = corpus(1)
+    monkeypatch.setattr(exact_dedup, "directory", half)
+    assert exact_dedup.exact_dedup(documents(spark, rows), 4).count() < len(rows)
+
+
+def test_exact_dedup_directory_doubles_to_a_bucket_a_key(spark):
+    from pyspark.sql import functions as F
+
+    entries = spark.range(64).select(F.shiftleft("id", 58).alias("key"))  # all of a directory of 64 slots
+    slots, depth = exact_dedup.directory(entries, 1)
+    assert depth == 6 and sorted(map(tuple, slots.select("slot", "bucket", "local_depth").collect())) == [(i, i, 6) for i in range(64)]
+
+
+def test_exact_dedup_keeps_one_row_of_null_and_repeated_ids(spark):
+    df = documents(spark, [(None, "only here"), (None, "copy"), (1, "copy"), (2, "x"), (2, "copy"), (None, "twice"), (None, "twice"), (2, "x")])
+    got = [(r["doc_id"], r["text"]) for r in exact_dedup.keep_one(df).collect()]
+    assert sorted(got, key=str) == sorted([(None, "only here"), (1, "copy"), (2, "x"), (None, "twice")], key=str)
+    assert exact_dedup.exact_dedup(df).where("kept").count() == 4
+
+
 def _fingerprint(text):
     ws = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not ws:

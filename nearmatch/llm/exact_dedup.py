@@ -36,7 +36,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearmatch.llm.common import WS, materialize, shuffle_partitions, table
+from nearmatch.llm.common import WS, materialize, shuffle_partitions, table, text_batches
 
 #: Entries that a bucket holds before it splits; fewer where that makes less than BUCKETS buckets for each task.
 CAPACITY = 4096
@@ -186,4 +186,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_batches(spark)
     return exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")

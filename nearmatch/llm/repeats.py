@@ -2,17 +2,23 @@
 
 A window is ``length`` units (bytes or words) of one document. The anchor of a
 window is the run of ``gram`` units in it with the smallest hash, the last of
-equals: equal windows have equal anchors, so only windows whose anchor's hash
-occurs twice can be repeated. The windows of one anchor are consecutive; their
-span is the text that they cover, and it contains no other whole window.
-Spans with the same anchor hash meet in one group of bounded size, where the
-operator decides exactly; a window can only equal windows of its own group.
-
-Equal documents are one class, and only the class's document of the smallest
-doc_id gives spans: a class of any size costs what one document costs. Anchors
-that over ``HOT`` documents of different text share don't go into groups; the
-windows of their different contents are hashed (128 bits) and counted by
-aggregation instead.
+equals: equal windows have equal anchors at equal places, so only windows whose
+anchor's hash occurs twice can be repeated. The windows of one anchor are
+consecutive; their span is the text that they cover, and it contains no other
+whole window. Spans stream by anchor hash into pieces of bounded size, where
+the operator decides by comparing units; a window can only equal windows of its
+own anchor.
+
+Equal documents are one class, and only one text of it gives spans, with the
+number of its documents as their weight: a class of any size costs what one
+document costs. Likewise the spans of an anchor with over ``HOT`` of them:
+equal ones are combined, first within each batch, then by aggregation, to
+weighted kinds, which go to the pieces in place of the spans; their marks come
+back to the places. Where over ``HOT`` kinds remain, their key is made longer:
+of a window's units besides the anchor at least half stand on one side of it,
+so the windows part into those that have that many after it and those that
+have them before it, and these units join the key. That repeats until no key
+has too many kinds; a key as long as a window has one.
 """
 
 from __future__ import annotations
@@ -22,19 +28,22 @@ from dataclasses import dataclass
 from hashlib import sha256
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearmatch.llm.common import groups_for, lookup, materialize
+from nearmatch.llm.common import lookup, materialize
 
-#: Spans of an anchor from which its windows are counted by aggregation.
-HOT = 4000
-#: Bytes of spans in a group, on average.
-GROUP = 4 << 20
-#: Units that the anchors of a batch are computed for at once.
-BLOCK = 1 << 20
+#: Spans, or kinds of spans, of one anchor that go to one piece.
+HOT = 2000
+#: Bytes of spans in a piece.
+PIECE = 1 << 19
+#: Units that the anchors are computed for at once, and bytes of an Arrow batch of spans.
+BLOCK = 1 << 17
+#: Stands for a null doc_id: after all others.
+LAST = (1 << 63) - 1
+#: For the smallest id, of operators that don't ask for it.
+ANYWHERE = -(1 << 63)
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -50,6 +59,8 @@ class Units:
     cut: Callable[[bytes, list, int, int], bytes]
     #: What cut needs besides the bytes, once per text.
     places: Callable[[bytes], list]
+    #: Number of units of some bytes.
+    count: Callable[[bytes], int]
 
 
 def rolling(values: np.ndarray, gram: int) -> np.ndarray:
@@ -84,213 +95,259 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def anchors(values: np.ndarray, sizes: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of concatenated texts of the given sizes: text number, anchor hash and first window of each anchor, in order."""
-    none = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+def anchors(values: np.ndarray, sizes: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of concatenated texts of the given sizes: text number, anchor hash, first window and place of each anchor, in order."""
+    none = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     if len(values) < length:
         return none
     h = rolling(values, gram)
     low = np.uint64(0xFFFFFFFF)
     keyed = (h & ~low) | (low - np.arange(len(h), dtype=np.uint64))
     least = sliding_min(keyed, length - gram + 1)
-    ends = np.cumsum(sizes)
+    begins = np.cumsum(sizes) - sizes
     windows = np.maximum(sizes - length + 1, 0)
     text = np.repeat(np.arange(len(sizes)), windows)
     if not len(text):
         return none
     first = np.cumsum(windows) - windows
-    start = np.arange(len(text)) - first[text] + (ends - sizes)[text]
+    start = np.arange(len(text)) - first[text] + begins[text]
     at = (low - (least[start] & low)).astype(np.int64)
-    new = np.r_[True, (at[1:] != at[:-1]) | (text[1:] != text[:-1])]
-    return text[new], h[at[new]], (start - (ends - sizes)[text])[new]
+    new = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (text[1:] != text[:-1])])
+    text, start, at = text[new], start[new], at[new]
+    return text, h[at], start - begins[text], at - begins[text]
 
 
 def profile(docs: DataFrame, units: Units) -> DataFrame:
-    """doc_id, sha (of the joined units), n (units), hs and los (hash and first window of each anchor)."""
+    """doc_id, sha, n (units), joined (SHA-256 of the joined units), hs, los and ats (hash, first window and place of each anchor) of docs(doc_id, sha, text)."""
 
-    def emit(ids: list, shas: list, arrays: list) -> pa.RecordBatch:
+    def emit(ids: list, shas: list, joined: list, arrays: list) -> pa.RecordBatch:
         sizes = np.array([len(a) for a in arrays], np.int64)
-        text, h, lo = anchors(np.concatenate(arrays) if arrays else np.zeros(0, np.uint64), sizes, units.length, units.gram)
+        text, h, lo, at = anchors(np.concatenate(arrays), sizes, units.length, units.gram)
         offsets = pa.array(np.searchsorted(text, np.arange(len(ids) + 1)), pa.int32())
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(ids, pa.int64()),
-                pa.array(shas, pa.binary()),
-                pa.array(sizes),
-                pa.ListArray.from_arrays(offsets, pa.array(h.view(np.int64))),
-                pa.ListArray.from_arrays(offsets, pa.array(lo.astype(np.int32))),
-            ],
-            names=["doc_id", "sha", "n", "hs", "los"],
-        )
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (h.view(np.int64), lo.astype(np.int32), at.astype(np.int32))]
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(shas, pa.binary()), pa.array(sizes), pa.array(joined, pa.binary()), *lists], names=["doc_id", "sha", "n", "joined", "hs", "los", "ats"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, shas, arrays, held = [], [], [], 0
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                joined, values = units.split(text)
-                ids.append(doc)
-                shas.append(sha256(joined).digest())
+            ids, shas, joined, arrays, held = [], [], [], [], 0
+            for row in range(b.num_rows):
+                whole, values = units.split(b.column(2)[row].as_py())
+                ids.append(b.column(0)[row].as_py())
+                shas.append(b.column(1)[row].as_py())
+                joined.append(sha256(whole).digest())
                 arrays.append(values)
                 held += len(values)
                 if held >= BLOCK:
-                    yield emit(ids, shas, arrays)
-                    ids, shas, arrays, held = [], [], [], 0
+                    yield emit(ids, shas, joined, arrays)
+                    ids, shas, joined, arrays, held = [], [], [], [], 0
             if ids:
-                yield emit(ids, shas, arrays)
+                yield emit(ids, shas, joined, arrays)
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return source.mapInArrow(run, "doc_id long, sha binary, n long, hs array<long>, los array<int>")
+    return docs.select("doc_id", "sha", "text").mapInArrow(run, "doc_id long, sha binary, n long, joined binary, hs array<long>, los array<int>, ats array<int>")
 
 
 @dataclass
-class Found:
-    rows: DataFrame  # doc_id, sha, n
-    classes: DataFrame  # sha, rep_id, n_docs
-    texts: DataFrame  # doc_id, text, spans, of the documents with repeated anchors
-    marks: DataFrame  # doc_id, marks: first and last (lo, hi) of consecutive repeated windows
+class Span:
+    """Part of a text, or several equal parts of one key."""
+
+    key: object
+    weight: int  # documents that it stands for
+    did: int  # the smallest of their ids
+    content: bytes
+
+
+#: Gets whole keys' spans, in order of the keys. Gives span number, first and last repeated window, and the smallest id of the documents that have them.
+Decide = Callable[[list[Span]], Iterator[tuple[int, int, int, int]]]
+
 
+@dataclass
+class Found:
+    rows: DataFrame  # doc_id, sha
+    classes: DataFrame  # cid, sha, rep (smallest id), n_docs, n, joined
+    texts: DataFrame  # cid, did, text of a document of each class with repeated anchors
+    marks: DataFrame  # cid, lo, hi, own: first and last of consecutive repeated windows; own: no document before rep has them
 
-Decide = Callable[[list[tuple[int, int, int, bytes]]], Iterator[tuple[int, int, int]]]
 
+def settle(spans: DataFrame, ref: list[str], kinds: str, decide: Decide) -> DataFrame:
+    """ref, a, b, least: repeated windows of spans(key, weight, did, content, ref...). kinds: the types of ref."""
+    n = len(ref)
 
-def find(docs: DataFrame, units: Units, decide: Decide, earlier: bool, hot: int = HOT, group: int = GROUP) -> Found:
-    """Marks of repeated windows of docs(doc_id, text).
+    def batch(held: list[Span], refs: list[tuple], fields: list[pa.Field]) -> pa.RecordBatch:
+        found = list(decide(held))
+        columns = list(zip(*((*refs[k], a, b, least) for k, a, b, least in found))) if found else [()] * (n + 3)
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (*(f.type for f in fields), pa.int64(), pa.int64(), pa.int64()))], names=[*ref, "a", "b", "least"])
 
-    decide gets the spans (anchor hash, doc_id, first window, bytes) of whole
-    groups, and gives marks. earlier: a window counts as repeated only if it
-    also starts in a document of a smaller doc_id, not anywhere else.
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[Span] = []
+        refs: list[tuple] = []
+        size, fields = 0, []
+        for b in batches:
+            fields = list(b.schema)[4:]
+            for key, weight, did, content, *at in zip(*(c.to_pylist() for c in b.columns)):
+                if size > PIECE and key != held[-1].key:
+                    yield batch(held, refs, fields)
+                    held, refs, size = [], [], 0
+                held.append(Span(key, weight, did, content))
+                refs.append(tuple(at))
+                size += len(content)
+        if held:
+            yield batch(held, refs, fields)
+
+    dealt = spans.select("key", "weight", "did", "content", *ref).repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(run, f"{kinds}, a long, b long, least long")
+
+
+def find(docs: DataFrame, units: Units, decide: Decide, hot: int = HOT) -> Found:
+    """Marks of repeated windows of docs(doc_id, text)."""
+    text = F.coalesce("text", F.lit(""))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("sha"), "text")
     rows = materialize(profile(docs, units), "anchors")
-    classes = materialize(rows.groupBy("sha").agg(F.min("doc_id").alias("rep_id"), F.count(F.lit(1)).alias("n_docs")), "classes")
-    total = classes.agg(F.sum("n_docs")).first()[0] or 0
-    big = classes.where(F.col("n_docs") >= max(1000, total // 1000)).select("sha", F.col("rep_id").alias("_rep"))  # at most 1000
-    some = rows.where(F.size("hs") > 0).join(F.broadcast(big), "sha", "left").where("_rep IS NULL OR _rep = doc_id")
-    counts = materialize(some.select(F.explode("hs").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "counts")
-    ends = F.expr(f"transform(los, (x, i) -> named_struct('h', hs[i], 'lo', x, 'hi', coalesce(try_element_at(los, i + 2) - 1, cast(n - {units.length} as int))))")
-    placed = some.select("doc_id", F.explode(ends).alias("a")).select("doc_id", F.col("a.h").alias("h"), F.col("a.lo").alias("lo"), F.col("a.hi").alias("hi"))
-    repeated = lookup(placed, counts, "h", "times", "doc_id").where("found IS NOT NULL")
-    anchor = F.struct("h", "lo", "hi", (F.col("found.times") > hot).alias("hot"))
-    wanted = repeated.groupBy("doc_id").agg(F.collect_list(anchor).alias("spans"))
-    wanted = wanted.join(classes.select(F.col("rep_id").alias("doc_id")), "doc_id", "left_semi")
-    texts = materialize(docs.join(wanted, "doc_id"), "candidates")
-    size = F.aggregate("spans", F.lit(0).cast("long"), lambda x, s: x + s["hi"] - s["lo"] + units.length)
-    volume, any_hot = texts.agg(F.sum(size), F.max(F.exists("spans", lambda s: s["hot"]))).first()
-    groups = groups_for((volume or 0) * (1 if units.gram > 16 else 6), group)
-
-    def spans_of(b: pa.RecordBatch, wants_hot: bool) -> Iterator[tuple[int, int, int, int, bytes, list]]:
-        for doc, text, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-            joined = None
-            for s in spans:
-                if s["hot"] == wants_hot:
-                    if joined is None:
-                        joined, _ = units.split(text)
-                        places = units.places(joined)
-                    yield s["h"], doc, s["lo"], s["hi"], joined, places
+    did = F.coalesce("doc_id", F.lit(LAST))
+    first = [F.first(c).alias(c) for c in ("n", "joined", "hs", "los", "ats")]  # equal texts have equal ones
+    classes = rows.groupBy("sha").agg(F.min(did).alias("rep"), F.count(F.lit(1)).alias("n_docs"), *first)
+    classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    some = classes.where(F.size("hs") > 0)
+    counts = some.select("n_docs", F.explode("hs").alias("h")).groupBy("h").agg(F.sum("n_docs").alias("times"), F.count(F.lit(1)).alias("spans"))
+    counts = materialize(counts.where("times > 1"), "counts")
+    ends = F.expr(f"transform(los, (x, i) -> named_struct('h', hs[i], 'lo', x, 'hi', coalesce(try_element_at(los, i + 2) - 1, cast(n - {units.length} as int)), 'at', ats[i]))")
+    placed = some.select("cid", F.explode(ends).alias("a")).select("cid", "a.h", "a.lo", "a.hi", "a.at")
+    repeated = lookup(placed, counts.drop("times"), "h", "spans", "cid").where("found IS NOT NULL")
+    anchor = F.struct("h", "lo", "hi", "at", (F.col("found.spans") > hot).alias("hot"))
+    wanted = repeated.groupBy("cid").agg(F.collect_list(anchor).alias("spans"))
+    wanted = wanted.join(classes.select("cid", "sha", F.col("rep").alias("did"), F.col("n_docs").alias("weight")), "cid")
+    own = docs.select("sha", did.alias("did"), "text").join(wanted, ["sha", "did"]).dropDuplicates(["sha", "did"])
+    texts = materialize(own.select("cid", "did", "weight", "text", "spans", F.exists("spans", lambda x: x["hot"]).alias("any_hot")), "candidates")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
+        out: list[tuple] = []
+        held = 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=["key", "weight", "did", "content", "cid", "lo"])
+
         for b in batches:
-            out: list[list] = [[], [], [], []]
-            held = 0
-            for h, doc, lo, hi, joined, places in spans_of(b, False):
-                content = units.cut(joined, places, lo, hi + units.length)
-                for column, value in zip(out, (h, doc, lo, content)):
-                    column.append(value)
-                held += len(content)
+            for cid, did, weight, text, spans in _rows(b):
+                whole, _ = units.split(text)
+                places = units.places(whole)
+                for s in spans:
+                    if not s["hot"]:
+                        content = units.cut(whole, places, s["lo"], s["hi"] + units.length)
+                        out.append((s["h"], weight, did, content, cid, s["lo"]))
+                        held += len(content)
                 if held > BLOCK:
-                    yield _spans(out)
-                    out, held = [[], [], [], []], 0
-            yield _spans(out)
+                    yield batch()
+                    out, held = [], 0
+        if out:
+            yield batch()
 
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = list(decide(list(zip(pdf["h"].tolist(), pdf["doc_id"].tolist(), pdf["lo"].tolist(), pdf["span"].tolist()))))
-        return pd.DataFrame(found, columns=["doc_id", "lo", "hi"]).astype("int64")
+    spans = texts.select("cid", "did", "weight", "text", "spans").mapInArrow(emit, "key long, weight long, did long, content binary, cid long, lo long")
+    spans = spans.withColumn("own_did", F.col("did"))
+    marks = settle(spans, ["cid", "lo", "own_did"], "cid long, lo long, own_did long", decide)
+    marks = marks.select("cid", (F.col("lo") + F.col("a")).alias("lo"), (F.col("lo") + F.col("b")).alias("hi"), (F.col("least") == F.col("own_did")).alias("own"))
+    if not texts.where("any_hot").isEmpty():
+        marks = marks.unionByName(_hot_marks(texts.where("any_hot"), units, decide, hot))
+    return Found(rows.select("doc_id", "sha"), classes.drop("hs", "los", "ats"), texts.select("cid", "did", "text"), materialize(marks, "marks"))
 
-    spans = texts.mapInArrow(emit, "h long, doc_id long, lo long, span binary").withColumn("grp", F.pmod(F.xxhash64("h"), F.lit(groups)))
-    marks = spans.groupBy("grp").applyInPandas(settle, "doc_id long, lo long, hi long").select("doc_id", F.array(F.struct("lo", "hi")).alias("marks"))
 
-    if any_hot:
-        marks = marks.unionByName(_hot_marks(texts, units, spans_of, earlier))
-    return Found(rows.select("doc_id", "sha", "n"), classes, texts, materialize(marks, "marks"))
+def _rows(b: pa.RecordBatch) -> Iterator[tuple]:
+    """One row at a time as Python values: long texts don't all become strings at once."""
+    for k in range(b.num_rows):
+        yield tuple(c[k].as_py() for c in b.columns)
 
 
-def _hot_marks(texts: DataFrame, units: Units, spans_of: Callable, earlier: bool) -> DataFrame:
-    """Marks of the spans of hot anchors, by aggregation.
+class _Kinds:
+    """Equal parts of one key within a batch, with their places."""
 
-    Spans of the same bytes are one content, however many there are, and one
-    row for each document. Windows are hashed once for each content; those that
-    occur twice, counted with their contents' spans, come back to the contents,
-    and these to the documents.
-    """
+    TYPES = "key binary, c binary, p int, q int, content binary, weight long, did long, places array<struct<cid:long,did:long,weight:long,lo:long>>"
 
-    def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_128_digest
+    def __init__(self) -> None:
+        self.places: dict[tuple[bytes, int, int, bytes], list[dict]] = {}
+        self.held = 0
 
-        for b in batches:
-            places_of: dict[tuple[bytes, int, int], list[int]] = {}
-            for _, doc, lo, hi, joined, places in spans_of(b, True):
-                c = xxh3_128_digest(units.cut(joined, places, lo, hi + units.length))
-                places_of.setdefault((c, doc, hi - lo), []).append(lo)
-            columns = list(zip(*places_of)) if places_of else [()] * 3
-            kinds = (pa.binary(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(columns, kinds)), pa.array(list(places_of.values()), pa.list_(pa.int64()))], names=["c", "doc_id", "width", "los"])
-
-    hot = texts.where(F.exists("spans", lambda s: s["hot"]))
-    spans = materialize(hot.mapInArrow(contents, "c binary, doc_id long, width long, los array<long>"), "hot-spans")
-    one = F.min(F.struct("doc_id", F.array_min("los").alias("lo"), "width"))
-    kinds = materialize(spans.groupBy("c").agg(F.sum(F.size("los")).alias("times"), F.count(F.lit(1)).alias("n"), one.alias("one")), "contents")
-    first = F.struct("c", "times", F.col("one.lo").alias("lo"), (F.col("one.lo") + F.col("one.width")).alias("hi"))
-    wanted = kinds.select(F.col("one.doc_id").alias("doc_id"), first.alias("s")).groupBy("doc_id").agg(F.collect_list("s").alias("kinds"))
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add(self, key: bytes, p: int, q: int, content: bytes, places: list[dict]) -> None:
+        at = self.places.setdefault((key, p, q, content), [])
+        if not at:
+            self.held += len(content)
+        at += places
+        self.held += 32 * len(places)
+
+    def batch(self) -> pa.RecordBatch:
         from xxhash import xxh3_128_digest
 
-        for b in batches:
-            for doc, text, found in zip(*(b.column(k).to_pylist() for k in range(3))):
-                joined, _ = units.split(text)
-                places = units.places(joined)
-                rows = [(xxh3_128_digest(units.cut(joined, places, at, at + units.length)), k["c"], at - k["lo"], k["times"], doc) for k in found for at in range(k["lo"], k["hi"] + 1)]
-                w, c, off, times, first = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(c, pa.binary()), pa.array(off, pa.int32()), pa.array(times, pa.int64()), pa.array(first, pa.int64())], names=["w", "c", "off", "times", "first_id"])
-
-    made = texts.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(windows, "w binary, c binary, off int, times long, first_id long")
-    made = materialize(made, "windows")
-    seen = materialize(made.groupBy("w").agg(F.sum("times").alias("times"), F.count(F.lit(1)).alias("n"), F.min("first_id").alias("first_id")).where("times > 1"), "seen")
-    again = lookup(made.select("w", "c", "off"), seen, "w", "n", "c").where("found IS NOT NULL")
-    offsets = again.groupBy("c").agg(F.collect_list(F.struct("off", F.col("found.first_id").alias("first_id"))).alias("offs"))
-    entries = materialize(kinds.select("c", "n").join(offsets, "c"), "content-marks")
-    placed = lookup(spans.select("c", "doc_id", "los"), entries, "c", "n", "doc_id").where("found IS NOT NULL").select("doc_id", "los", F.col("found.offs").alias("offs"))
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[tuple[int, list[dict]]] = []
-            for doc, los, offs in zip(*(b.column(k).to_pylist() for k in range(3))):
-                at = sorted(x["off"] for x in offs if not earlier or x["first_id"] < doc)
-                if at:
-                    flags = np.zeros(at[-1] + 1, bool)
-                    flags[at] = True
-                    out.append((doc, [{"lo": lo + x, "hi": lo + y} for x, y in ranges(flags) for lo in los]))
-            columns = list(zip(*out)) if out else [()] * 2
-            kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], kind)], names=["doc_id", "marks"])
+        place = pa.struct([(c, pa.int64()) for c in ("cid", "did", "weight", "lo")])
+        kinds = (pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.list_(place))
+        rows = [(key, xxh3_128_digest(b"%b %d %d %b" % (key, p, q, content)), p, q, content, sum(x["weight"] for x in at), min(x["did"] for x in at), at) for (key, p, q, content), at in self.places.items()]
+        self.__init__()
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=["key", "c", "p", "q", "content", "weight", "did", "places"])
 
-    return placed.mapInArrow(place, "doc_id long, marks array<struct<lo:long,hi:long>>")
 
+def halves(n: int, p: int, q: int, length: int) -> Iterator[tuple[int, int, int, int]]:
+    """Parts (first unit, end, first and end of the units that all its windows share) of n units whose windows share units p to q."""
+    extra = length - (q - p)
+    half = (extra + 1) // 2
+    turn = q + half - length  # the first window that has half of the others after q
+    if turn <= n - length:
+        yield max(0, turn), n, p, q + half
+    if turn > 0:
+        yield 0, min(n, turn - 1 + length), p - (extra - half + 1), q
 
-def _spans(out: list[list]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], names=["h", "doc_id", "lo", "span"])
 
+def _hot_marks(texts: DataFrame, units: Units, decide: Decide, hot: int) -> DataFrame:
+    """Marks of the spans of hot anchors."""
+    from xxhash import xxh3_128_digest
 
-def by_anchor(spans: list[tuple[int, int, int, bytes]]) -> Iterator[list[tuple[int, int, int, bytes]]]:
-    """The spans of each anchor hash that more than one span has."""
-    spans.sort(key=lambda s: (s[0], s[1], s[2]))
-    at = 0
-    for k in range(1, len(spans) + 1):
-        if k == len(spans) or spans[k][0] != spans[at][0]:
-            if k - at > 1:
-                yield spans[at:k]
-            at = k
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = _Kinds()
+        for b in batches:
+            for cid, did, weight, text, found in _rows(b):
+                whole, _ = units.split(text)
+                places = units.places(whole)
+                for s in found:
+                    if s["hot"]:
+                        content = units.cut(whole, places, s["lo"], s["hi"] + units.length)
+                        p = s["at"] - s["lo"]
+                        kinds.add(s["h"].to_bytes(8, "little", signed=True), p, p + units.gram, content, [{"cid": cid, "did": did, "weight": weight, "lo": s["lo"]}])
+                if kinds.held > BLOCK:
+                    yield kinds.batch()
+        if kinds.held:
+            yield kinds.batch()
+
+    def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = _Kinds()
+        for b in batches:
+            for key, p, q, content, places in _rows(b):
+                at = units.places(content)
+                for first, end, x, y in halves(units.count(content), p, q, units.length):
+                    new = xxh3_128_digest(b"%b %d %b" % (key, x < p, units.cut(content, at, x, y)))
+                    kinds.add(new, x - first, y - first, units.cut(content, at, first, end), [{**s, "lo": s["lo"] + first} for s in places])
+                if kinds.held > BLOCK:
+                    yield kinds.batch()
+        if kinds.held:
+            yield kinds.batch()
+
+    done = []
+    parts = materialize(texts.select("cid", "did", "weight", "text", "spans").mapInArrow(spans, _Kinds.TYPES), "hot-spans")
+    while True:
+        kinds = parts.groupBy("key", "c", "p", "q", "content").agg(F.sum("weight").alias("weight"), F.min("did").alias("did"), F.sum(F.size("places")).alias("places"))
+        kinds = materialize(kinds, "kinds")
+        keys = materialize(kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum("weight").alias("times")).where("times > 1"), "keys")
+        ready = lookup(kinds, keys, "key", "kinds", "c").where(F.col("found.kinds") <= hot)
+        found = settle(ready, ["c", "places"], "c binary, places long", decide)
+        entries = found.groupBy("c").agg(F.first("places").alias("n"), F.collect_list(F.struct("a", "b", "least")).alias("marks"))
+        entries = materialize(entries, "kind-marks")
+        placed = lookup(parts.select("c", F.explode("places").alias("at")).select("c", "at.cid", "at.did", "at.lo"), entries, "c", "n", "cid")
+        placed = placed.where("found IS NOT NULL").select("cid", "did", "lo", F.explode("found.marks").alias("m"))
+        done.append(placed.select("cid", (F.col("lo") + F.col("m.a")).alias("lo"), (F.col("lo") + F.col("m.b")).alias("hi"), (F.col("m.least") == F.col("did")).alias("own")))
+        full = keys.where(F.col("kinds") > hot)
+        if full.isEmpty():
+            break
+        more = lookup(parts.select("key", "c", "p", "q", "content", "places"), full, "key", "kinds", "c").where("found IS NOT NULL")
+        parts = materialize(more.select("key", "p", "q", "content", "places").mapInArrow(longer, _Kinds.TYPES), "longer")
+    out = done[0]
+    for df in done[1:]:
+        out = out.unionByName(df)
+    return out
 
 
 def ranges(flags: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -308,21 +365,39 @@ def removed_units(n: int, marks: list[tuple[int, int]], length: int) -> np.ndarr
     return np.cumsum(change[:-1]) > 0
 
 
-def removal(found: Found, units: Units, keep: Callable[[bytes, list, np.ndarray], tuple[bytes, int]]) -> DataFrame:
-    """doc_id, n_removed, n_spans, kept_sha of the documents with marks. keep gives the kept bytes of a text."""
-    marked = found.marks.groupBy("doc_id").agg(F.flatten(F.collect_list("marks")).alias("marks"))
-    joined = found.texts.select("doc_id", "text").dropDuplicates(["doc_id"]).join(marked, "doc_id")
+def removal(found: Found, units: Units, keep: Callable[[bytes, list, np.ndarray], bytes]) -> DataFrame:
+    """Of the classes with marks: cid, and of its first documents and of its copies n_removed, n_spans, kept_sha. keep gives the kept bytes of a text."""
+    marked = found.marks.groupBy("cid").agg(F.collect_list(F.struct("lo", "hi", "own")).alias("marks"))
+    joined = found.texts.select("cid", "text").join(marked, "cid").select("cid", "text", "marks")
+    result = pa.struct([("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha", pa.binary())])
+
+    def outcome(whole: bytes, places: list, n: int, marks: list[tuple[int, int]]) -> dict:
+        gone = removed_units(n, marks, units.length)
+        n_spans = int(np.count_nonzero(np.diff(np.r_[0, gone.astype(np.int8)]) == 1))
+        return {"n_removed": int(gone.sum()), "n_spans": n_spans, "kept_sha": sha256(keep(whole, places, gone)).digest()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for doc, text, marks in zip(*(b.column(k).to_pylist() for k in range(3))):
+            cids, firsts, copies = [], [], []
+            for cid, text, marks in _rows(b):
                 whole, values = units.split(text)
-                gone = removed_units(len(values), [(m["lo"], m["hi"]) for m in marks], units.length)
-                kept = keep(whole, units.places(whole), gone)
-                n_spans = int(np.count_nonzero(np.diff(np.r_[0, gone.astype(np.int8)]) == 1))
-                rows.append((doc, int(gone.sum()), n_spans, sha256(kept).digest()))
-            doc, gone, runs, sha = zip(*rows) if rows else ([],) * 4
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.binary())], names=["doc_id", "n_removed", "n_spans", "kept_sha"])
-
-    return joined.mapInArrow(run, "doc_id long, n_removed long, n_spans long, kept_sha binary")
+                places = units.places(whole)
+                every = [(m["lo"], m["hi"]) for m in marks]
+                others = [(m["lo"], m["hi"]) for m in marks if not m["own"]]
+                cids.append(cid)
+                firsts.append(outcome(whole, places, len(values), others))
+                copies.append(firsts[-1] if len(others) == len(every) else outcome(whole, places, len(values), every))
+            yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(firsts, result), pa.array(copies, result)], names=["cid", "first", "copy"])
+
+    kind = "struct<n_removed:long,n_spans:long,kept_sha:binary>"
+    return joined.mapInArrow(run, f"cid long, first {kind}, copy {kind}")
+
+
+def results(found: Found, gone: DataFrame, earlier: bool) -> DataFrame:
+    """doc_id, n, n_removed, n_spans, kept_sha256 of each row. earlier: only what a document of a smaller id has too is removed."""
+    entries = found.classes.join(gone, "cid", "left").drop("cid")
+    rows = lookup(found.rows.withColumn("did", F.coalesce("doc_id", F.lit(LAST))), entries, "sha", "n_docs", "did")
+    out = F.when(F.col("did") == F.col("found.rep"), F.col("found.first")).otherwise(F.col("found.copy")) if earlier else F.col("found.copy")
+    rows = rows.select("doc_id", F.col("found.n").alias("n"), F.col("found.joined").alias("joined"), out.alias("out"))
+    zero = F.lit(0).cast("long")
+    return rows.select("doc_id", "n", F.coalesce("out.n_removed", zero).alias("n_removed"), F.coalesce("out.n_spans", zero).alias("n_spans"), F.lower(F.hex(F.coalesce("out.kept_sha", "joined"))).alias("kept_sha256"))

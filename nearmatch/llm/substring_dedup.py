@@ -3,7 +3,8 @@
 Removes every word that a window of ``LENGTH`` words covers whose sequence
 also starts in a document with a smaller doc_id.
 
-Within a group of spans (see repeats), levels of window lengths each about
+Spans of documents come anchor by anchor (see repeats): runs of GRAM words that
+are repeated. Among the spans of a piece, levels of window lengths each about
 twice the last lead from single words to LENGTH: a window is a candidate at
 one level only if the two windows of the level before that make it up are
 both repeated, and survives if it is repeated itself; the search ends where no
@@ -11,28 +12,23 @@ candidate survives.
 
 Defined results: null text has no words; documents of fewer than LENGTH words
 lose nothing; of equal word sequences all but those of the smallest doc_id
-lose everything; repeated rows share a doc_id and a result; rows with a null
-doc_id lose only what is equal as a whole; empty tables give no rows; columns
-besides doc_id and text are ignored. doc_id has to be unique but for repeated
-rows.
+lose everything; repeated rows share a doc_id and a result; a null doc_id
+stands after all others, and none is smaller than another; empty tables give
+no rows; columns besides doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import sha256
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from nearmatch.llm.common import lookup, table, text_batches
-from nearmatch.llm.repeats import HOT, Units, by_anchor, find, ranges, removal
+from nearmatch.llm.common import table, text_batches
+from nearmatch.llm.repeats import HOT, LAST, Span, Units, find, removal, results
 
 LENGTH = 50
 GRAM = 12
-#: Bytes of spans that are searched together.
-SEARCH = 4 << 20
 
 
 def _split(text: str | None) -> tuple[bytes, np.ndarray]:
@@ -49,7 +45,7 @@ def _places(joined: bytes) -> list:
 
 
 def units(length: int = LENGTH, gram: int = GRAM) -> Units:
-    return Units(length, gram, _split, lambda joined, at, a, b: joined[at[a] : at[b] - 1], _places)
+    return Units(length, gram, _split, lambda joined, at, a, b: joined[at[a] : at[b] - 1], _places, lambda joined: joined.count(b" ") + 1)
 
 
 def levels(length: int) -> list[int]:
@@ -60,9 +56,10 @@ def levels(length: int) -> list[int]:
     return out[::-1]
 
 
-def repeated_windows(words: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the windows of words that occur twice, and a number for each that equal windows share. Negative words end spans."""
+def repeated_windows(words: np.ndarray, length: int, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the windows of words that occur twice, and a number for each that equal windows share. Negative words end spans; a word of weight n stands for n."""
     n = len(words)
+    weights = np.ones(n, np.int64) if weights is None else weights
     _, label = np.unique(words, return_inverse=True)
     alive = words >= 0
     width = 1
@@ -72,62 +69,59 @@ def repeated_windows(words: np.ndarray, length: int) -> tuple[np.ndarray, np.nda
         if not len(starts):
             return starts, starts
         pair = label[starts] * np.int64(n) + label[starts + step]
-        _, inverse, counts = np.unique(pair, return_inverse=True, return_counts=True)
-        twice = counts[inverse] > 1
-        starts, inverse = starts[twice], inverse[twice]
+        order = np.argsort(pair)
+        ordered = pair[order]
+        group = np.cumsum(np.r_[0, ordered[1:] != ordered[:-1]])
+        twice = np.bincount(group, weights=weights[starts[order]])[group] > 1
+        kept, group = starts[order[twice]], group[twice]
         alive = np.zeros(n, bool)
-        alive[starts] = True
+        alive[kept] = True
         label = np.zeros(n, np.int64)
-        label[starts] = inverse
+        label[kept] = group
         width = wider
     starts = np.flatnonzero(alive)
     return starts, label[starts]
 
 
-def decide(spans: list[tuple[int, int, int, bytes]], length: int = LENGTH) -> Iterator[tuple[int, int, int]]:
-    """Marks of all windows that also start in a span of a smaller doc_id."""
-    held: list[tuple[int, int, int, bytes]] = []
-    size = 0
-    for group in by_anchor(spans):
-        first = group[0]
-        if all(s[3] == first[3] for s in group):  # the same throughout: no search needed
-            n = first[3].count(b" ") + 1
-            for _, doc, lo, _ in group:
-                if doc > first[1]:
-                    yield doc, lo, lo + n - length
-            continue
-        held += group
-        size += sum(len(s[3]) for s in group)
-        if size > SEARCH:
-            yield from _searched(held, length)
-            held, size = [], 0
-    if held:
-        yield from _searched(held, length)
-
-
-def _searched(spans: list[tuple[int, int, int, bytes]], length: int) -> Iterator[tuple[int, int, int]]:
+def decide(spans: list[Span], length: int = LENGTH) -> Iterator[tuple[int, int, int, int]]:
+    """Marks of all windows that occur twice among the spans of their key, with the smallest id of the documents that have them.
+
+    Equal spans are one, with their number as its weight: all that is in a span
+    of weight 2 or more is repeated at every level.
+    """
+    kinds: dict[tuple[object, bytes], list[int]] = {}
+    times: dict[object, int] = {}
+    for k, s in enumerate(spans):
+        kinds.setdefault((s.key, s.content), []).append(k)
+        times[s.key] = times.get(s.key, 0) + s.weight
+    searched = [kind for kind in kinds if times[kind[0]] > 1]
+    if not searched:
+        return
     numbers: dict[bytes, int] = {}
-    parts, sizes = [], []
-    for *_, content in spans:
-        ws = content.split(b" ")
-        parts += [numbers.setdefault(w, len(numbers)) for w in ws]
+    parts: list[int] = []
+    sizes = []
+    for _, content in searched:
+        words = content.split(b" ")
+        parts += [numbers.setdefault(w, len(numbers)) for w in words]
         parts.append(-1)
-        sizes.append(len(ws) + 1)
-    ends = np.cumsum(sizes)
-    starts, label = repeated_windows(np.array(parts, np.int64), length)
+        sizes.append(len(words) + 1)
+    sizes_, ends = np.array(sizes), np.cumsum(sizes)
+    weights = np.array([sum(spans[k].weight for k in kinds[kind]) for kind in searched])
+    dids = np.array([min(spans[k].did for k in kinds[kind]) for kind in searched], np.int64)
+    starts, label = repeated_windows(np.array(parts, np.int64), length, np.repeat(weights, sizes_))
     if not len(starts):
         return
     span = np.searchsorted(ends, starts, side="right")
-    doc = np.array([s[1] for s in spans], np.int64)[span]
-    least = np.full(int(label.max()) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(least, label, doc)
-    later = doc > least[label]
-    flags = np.zeros(int(ends[-1]), bool)
-    flags[starts[later]] = True
-    for k in np.unique(span[later]):
-        first = int(ends[k]) - sizes[k]
-        for a, b in ranges(flags[first : int(ends[k])]):
-            yield spans[k][1], spans[k][2] + a, spans[k][2] + b
+    least = np.full(int(label.max()) + 1, LAST)
+    np.minimum.at(least, label, dids[span])
+    least, first = least[label], starts - (ends - sizes_)[span]
+    # runs of consecutive windows of one span whose smallest ids are the same
+    new = np.flatnonzero(np.r_[True, (span[1:] != span[:-1]) | (first[1:] != first[:-1] + 1) | (least[1:] != least[:-1])])
+    last = np.r_[new[1:], len(starts)] - 1
+    for at, a, b, did in zip(span[new].tolist(), first[new].tolist(), first[last].tolist(), least[new].tolist()):
+        for k in kinds[searched[at]]:
+            if did <= spans[k].did:
+                yield k, a, b, did
 
 
 def _keep(joined: bytes, at: list, gone: np.ndarray) -> bytes:
@@ -138,19 +132,10 @@ def _keep(joined: bytes, at: list, gone: np.ndarray) -> bytes:
 def substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of each row of docs(doc_id, text)."""
     u = units(length, gram)
-    found = find(docs, u, lambda spans: decide(spans, length), earlier=True, hot=hot)
-    gone = removal(found, u, _keep)
-    rows = lookup(found.rows, found.classes, "sha", "n_docs", "doc_id").join(gone, "doc_id", "left")
-    copied = (F.col("doc_id") > F.col("found.rep_id")) & (F.col("n") >= length)
-    copied = F.coalesce(copied, F.lit(False))
-    return rows.select(
-        "doc_id",
-        F.col("n").alias("n_words"),
-        F.when(copied, F.col("n")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(copied, F.lit(sha256(b"").hexdigest())).otherwise(F.lower(F.hex(F.coalesce("kept_sha", "sha")))).alias("kept_sha256"),
-    )
+    found = find(docs, u, lambda spans: decide(spans, length), hot)
+    return results(found, removal(found, u, _keep), earlier=True).withColumnRenamed("n", "n_words").drop("n_spans")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     text_batches(spark)
-    return substring_dedup(table(spark, sf_dir, "documents"))
+    return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")

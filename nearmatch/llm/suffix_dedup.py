@@ -3,39 +3,36 @@
 Removes every byte that a string of ``LENGTH`` bytes covers which also starts
 anywhere else, in another document or the same one.
 
-The documents' repetitive parts are indexed in groups (see repeats). Of a
-group's text, the suffix array gives the Burrows-Wheeler transform, of which
-only run ends are sampled: the longest common prefixes of a suffix with the
-one before it are computed at run starts, with the one after it at run ends.
-All other matching statistics are streamed over the text: inside a run, a
-statistic is one less than that of the position before. Windows whose
-statistic reaches LENGTH are marked. Spans that are the same bytes throughout
-an anchor need no index: all their windows are repeated.
+The documents' repetitive parts come as spans, anchor by anchor (see repeats),
+and are indexed in pieces of bounded size. A piece's index is the run-compressed
+Burrows-Wheeler transform of its spans: of each run the symbol and the number
+of rows, and samples of its two ends. A sample is a text position and the
+length of the longest common prefix of its suffix with that of the row before
+(at a run's first row) or after (at its last). Matching statistics are streamed
+over the text from the samples: inside a run a statistic is one less than that
+of the text position before. Equal spans of one anchor stand once in the index,
+with their number as their weight: their rows are next to each other
+throughout, so they only make runs longer, and each of their statistics reaches
+to the end of the span. Windows whose statistic reaches LENGTH are marked.
 
 Defined results: null text is empty; documents shorter than LENGTH lose
 nothing; of equal documents (repeated rows too) of LENGTH bytes or more all
-lose everything; rows with a null doc_id are compared as copies only; empty
-tables give no rows; columns besides doc_id and text are ignored. doc_id has
-to be unique but for repeated rows.
+lose everything; rows with a null doc_id are compared like any other; empty
+tables give no rows; columns besides doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
-from hashlib import sha256
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from nearmatch.llm.common import lookup, table, text_batches
-from nearmatch.llm.repeats import HOT, Units, by_anchor, find, ranges, removal
+from nearmatch.llm.common import table, text_batches
+from nearmatch.llm.repeats import ANYWHERE, HOT, Span, Units, find, ranges, removal, results
 
 LENGTH = 200
 GRAM = 32
-#: Bytes of one index; a larger anchor's spans have one of their own.
-INDEX = 1 << 20
 
 _TABLE = np.random.default_rng(200).integers(0, 1 << 63, 256, dtype=np.uint64)
 
@@ -46,122 +43,136 @@ def _split(text: str | None) -> tuple[bytes, np.ndarray]:
 
 
 def units(length: int = LENGTH, gram: int = GRAM) -> Units:
-    return Units(length, gram, _split, lambda raw, _, a, b: raw[a:b], lambda raw: [])
+    return Units(length, gram, _split, lambda raw, _, a, b: raw[a:b], lambda raw: [], len)
 
 
 class RunLengthIndex:
-    """Suffix array, run-compressed transform and sampled statistics of one text of symbols (0: end of a span)."""
-
-    def __init__(self, text: np.ndarray) -> None:
-        self.text, n = text, len(text)
-        padded = np.r_[text.astype(np.int64), np.zeros(8, np.int64)]
-        key = np.zeros(n, np.int64)
-        for k in range(7):
-            key = key << 9 | padded[k : k + n]
-        self.levels: list[tuple[int, np.ndarray]] = []
-        width = 7
+    """Run-compressed transform of a text of symbols (0: end of a span), with samples at both ends of each run.
+
+    What follows the end of a span doesn't count: ends differ from each other,
+    in the order of the spans. least: statistics under it may be given too low.
+    """
+
+    #: Symbols that one 64-bit key holds.
+    PACKED = 8
+
+    def __init__(self, text: np.ndarray, least: int = 0) -> None:
+        self.given = len(text)
+        if not len(text) or text[-1]:
+            text = np.r_[text, 0]
+        n = self.n = len(text)
+        ends = np.flatnonzero(text == 0)
+        self.span = np.repeat(np.arange(len(ends)), np.diff(np.r_[-1, ends]))
+        self.left = ends[self.span] - np.arange(n)  # symbols up to the end of the span
+        order, levels = self._sorted(text)
+        before = text[order - 1]
+        before[(order == 0) | (before == 0)] = -1  # the start of a span
+        new = (before[1:] != before[:-1]) | (before[1:] < 0)  # the start of a span is a run of its own
+        heads, lasts = np.flatnonzero(np.r_[True, new]), np.flatnonzero(np.r_[new, True])
+        self.symbols, self.rows = before[heads], lasts - heads + 1
+        tops, bottoms = heads[heads > 0], lasts[lasts < n - 1]
+        up = self._common(text, levels, order[tops], order[tops - 1], least)
+        down = self._common(text, levels, order[bottoms], order[bottoms + 1], least)
+        #: Text positions and common prefixes at the first and at the last rows of runs.
+        self.first = np.r_[order[:1], order[tops]], np.r_[0, up]
+        self.last = np.r_[order[bottoms], order[-1:]], np.r_[down, 0]
+
+    def _sorted(self, text: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+        """Suffixes in order, and by width which first symbols are equal: by doubling."""
+        n, width = self.n, self.PACKED
+        key = np.zeros(n + width, np.uint64)
+        key[:n] = text
+        for step in (1, 2, 4):
+            key[: n + width - step] = key[: n + width - step] << np.uint64(8 * step) | key[step:]
+        key = key[:n]
+        cut = self.left < width - 1
+        key[cut] &= ~np.uint64(0) << (np.uint64(8) * (np.uint64(width - 1) - self.left[cut].astype(np.uint64)))
+        levels: list[tuple[int, np.ndarray]] = []
         while True:
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             ordered = key[order]
             rank = np.empty(n, np.int32)
             rank[order] = np.cumsum(np.r_[0, ordered[1:] != ordered[:-1]])
-            self.levels.append((width, rank))
-            top = int(rank[order[-1]]) + 1
-            if top == n or width >= n:
-                break
-            key = rank.astype(np.int64) * (n + 1)
-            key[: max(0, n - width)] += rank[width:] + 1
+            levels.append((width, rank))
+            if rank[order[-1]] == n - 1:
+                return order, levels
+            following = np.zeros(n, np.int64)
+            following[: max(0, n - width)] = rank[width:]
+            # of equal beginnings either all or none hold the end of their span
+            key = rank.astype(np.int64) * n + np.where(self.left < width, self.span, following)
             width *= 2
-        self.suffixes = order
-        before = text[order - 1]
-        before[order == 0] = -1
-        self.heads = np.flatnonzero(np.r_[True, before[1:] != before[:-1]])  # first of each run
-        self.ends = np.r_[self.heads[1:] - 1, n - 1]
-        self.runs = before[self.heads]
-
-    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Lengths of the longest common prefixes of suffixes a and b."""
-        n, at = len(self.text), np.zeros(len(a), np.int64)
-        for width, rank in reversed(self.levels):
-            x, y = a + at, b + at
-            inside = np.maximum(x, y) + width <= n
-            same = inside & (rank[np.minimum(x, n - 1)] == rank[np.minimum(y, n - 1)])
-            at += width * same
-        for _ in range(6):
-            x, y = a + at, b + at
-            at += (np.maximum(x, y) < n) & (self.text[np.minimum(x, n - 1)] == self.text[np.minimum(y, n - 1)])
+
+    def _common(self, text: np.ndarray, levels: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
+        """Lengths of the longest common prefixes of suffixes a and b, no longer than their spans."""
+        at, end = np.zeros(len(a), np.int64), self.n - 1
+        most = np.minimum(self.left[a], self.left[b])
+        rest = np.arange(len(a))
+        for width, rank in reversed(levels):
+            x, y = np.minimum(a[rest] + at[rest], end), np.minimum(b[rest] + at[rest], end)
+            # keys of spans that end within the first width are equal too
+            same = (rank[x] == rank[y]) & (at[rest] + width <= most[rest])
+            at[rest[same]] += width
+            if least:  # the levels below can add less than this one's width
+                rest = rest[at[rest] + width > least]
+        width = self.PACKED // 2
+        while width:
+            x, y = a[rest] + at[rest], b[rest] + at[rest]
+            same = at[rest] + width <= most[rest]
+            for k in range(width):
+                same &= text[np.minimum(x + k, end)] == text[np.minimum(y + k, end)]
+            at[rest[same]] += width
+            width //= 2
         return at
 
     def _stream(self, sampled: np.ndarray, values: np.ndarray) -> np.ndarray:
-        """Statistics of all positions from those sampled at run ends."""
-        n = len(self.text)
-        known, at = np.full(n, -1, np.int64), np.zeros(n, np.int64)
+        """Statistics of all positions from those of the samples."""
+        known, at = np.full(self.n, -1, np.int64), np.zeros(self.n, np.int64)
         at[sampled], known[sampled] = values, sampled
         last = np.maximum.accumulate(known)
-        return np.where(last >= 0, at[last] - (np.arange(n) - last), 0)
+        return np.where(last >= 0, np.maximum(at[last] - (np.arange(self.n) - last), 0), 0)
 
     def statistics(self) -> np.ndarray:
-        """Of each position, the length of its longest match that starts elsewhere in the text."""
-        s = self.suffixes
-        heads, ends = self.heads[self.heads > 0], self.ends[self.ends < len(s) - 1]
-        back = self._stream(np.r_[s[heads], s[0]], np.r_[self.common(s[heads], s[heads - 1]), 0])
-        ahead = self._stream(np.r_[s[ends], s[-1]], np.r_[self.common(s[ends], s[ends + 1]), 0])
-        return np.maximum(back, ahead)
-
-
-def decide(spans: list[tuple[int, int, int, bytes]], length: int = LENGTH) -> Iterator[tuple[int, int, int]]:
-    """Marks of all windows that occur twice among the spans of their anchor."""
-    held: list[tuple[bytes, list[tuple[int, int]]]] = []
-    size = 0
-    for group in by_anchor(spans):
-        contents: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for _, doc, lo, content in group:
-            contents[content].append((doc, lo))
-        for content, places in contents.items():
-            if len(places) > 1:
-                for doc, lo in places:
-                    yield doc, lo, lo + len(content) - length
-        if len(contents) == 1:
-            continue
-        held += contents.items()
-        size += sum(map(len, contents))
-        if size > INDEX:
-            yield from _indexed(held, length)
-            held, size = [], 0
-    if held:
-        yield from _indexed(held, length)
-
-
-def _indexed(contents: list[tuple[bytes, list[tuple[int, int]]]], length: int) -> Iterator[tuple[int, int, int]]:
-    raw = np.frombuffer(b"".join(c + b"\0" for c, _ in contents), np.uint8).astype(np.int16) + 1
-    ends = np.cumsum([len(c) + 1 for c, _ in contents])
-    raw[ends - 1] = 0
-    long_enough = RunLengthIndex(raw).statistics() >= length
-    for (content, places), end in zip(contents, ends):
-        if len(places) > 1:
-            continue  # marked as a whole
-        first = end - 1 - len(content)
-        for a, b in ranges(long_enough[first : first + len(content) - length + 1]):
-            doc, lo = places[0]
-            yield doc, lo + a, lo + b
+        """Of each position, the length of its longest match that starts elsewhere in the text, within the span."""
+        return np.maximum(self._stream(*self.first), self._stream(*self.last))[: self.given]
+
+
+def decide(spans: list[Span], length: int = LENGTH) -> Iterator[tuple[int, int, int, int]]:
+    """Marks of all windows that occur twice among the spans of their key."""
+    kinds: dict[tuple[object, bytes], list[int]] = {}
+    weights: dict[tuple[object, bytes], int] = {}
+    times: dict[object, int] = {}
+    for k, s in enumerate(spans):
+        kind = s.key, s.content
+        kinds.setdefault(kind, []).append(k)
+        weights[kind] = weights.get(kind, 0) + s.weight
+        times[s.key] = times.get(s.key, 0) + s.weight
+    indexed = [kind for kind in kinds if times[kind[0]] > 1]
+    if not indexed:
+        return
+    text = np.frombuffer(b"\xff".join(content for _, content in indexed) + b"\xff", np.uint8).astype(np.int16) + 1
+    text[text == 256] = 0  # no byte of UTF-8 is 255
+    statistics = RunLengthIndex(text, length).statistics()
+    first = 0
+    for kind in indexed:
+        n = len(kind[1])
+        if weights[kind] > 1:
+            found = [(0, n - length)]
+        else:
+            found = list(ranges(statistics[first : first + n - length + 1] >= length))
+        first += n + 1
+        for k in kinds[kind]:
+            for a, b in found:
+                yield k, a, b, ANYWHERE
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row of docs(doc_id, text)."""
     u = units(length, gram)
-    found = find(docs, u, lambda spans: decide(spans, length), earlier=False, hot=hot)
+    found = find(docs, u, lambda spans: decide(spans, length), hot)
     gone = removal(found, u, lambda raw, _, out: np.frombuffer(raw, np.uint8)[~out].tobytes())
-    rows = lookup(found.rows, found.classes, "sha", "n_docs", "doc_id").join(gone, "doc_id", "left")
-    copied = (F.col("found.n_docs") > 1) & (F.col("n") >= length)
-    return rows.select(
-        "doc_id",
-        F.col("n").alias("n_bytes"),
-        F.when(copied, F.col("n")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(copied, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(copied, F.lit(sha256(b"").hexdigest())).otherwise(F.lower(F.hex(F.coalesce("kept_sha", "sha")))).alias("kept_sha256"),
-    )
+    return results(found, gone, earlier=False).withColumnRenamed("n", "n_bytes")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     text_batches(spark)
-    return suffix_dedup(table(spark, sf_dir, "documents"))
+    return suffix_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

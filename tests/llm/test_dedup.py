@@ -198,9 +198,77 @@ def test_anchors_of_equal_windows_are_equal():
     shared = rng.integers(0, 1 << 60, 50, dtype=np.uint64)
     texts = [np.r_[rng.integers(0, 1 << 60, k, dtype=np.uint64), shared, rng.integers(0, 1 << 60, 9, dtype=np.uint64)] for k in (0, 13, 77)]
     sizes = np.array([len(t) for t in texts])
-    text, h, lo = repeats.anchors(np.concatenate(texts), sizes, 50, 12)
+    text, h, lo, place = repeats.anchors(np.concatenate(texts), sizes, 50, 12)
     of = []
     for k, at in enumerate((0, 13, 77)):
-        mine = text == k
-        of.append(h[mine][np.searchsorted(lo[mine], at, side="right") - 1])
+        mine = np.flatnonzero(text == k)[np.searchsorted(lo[text == k], at, side="right") - 1]
+        of.append((h[mine], place[mine] - at))
     assert len(set(of)) == 1
+
+
+@pytest.mark.parametrize(("length", "gram"), [(200, 32), (50, 12), (10, 3)])
+def test_halves_keep_every_window_and_end(length, gram):
+    rng = random.Random(3)
+    for _ in range(200):
+        windows = rng.randrange(1, length - gram + 2)
+        p = rng.randrange(windows - 1, length - gram + 1)  # in every window
+        todo, singles = [(0, length + windows - 1, p, p + gram)], []
+        for _ in range(12):
+            new = []
+            for first, end, a, b in todo:
+                if b - a == length:
+                    singles.append(a)
+                    continue
+                for x, y, c, d in repeats.halves(end - first, a - first, b - first, length):
+                    assert d - c > b - a and first + y - length <= first + c and d <= x + length
+                    new.append((first + x, first + y, first + c, first + d))
+            todo = new
+        assert not todo and sorted(singles) == list(range(windows))
+
+
+def test_run_length_index_is_the_transform_of_its_text():
+    rng = random.Random(5)
+    parts = [bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 40))) for _ in range(12)]
+    parts += parts[:3]
+    text = np.frombuffer(b"\xff".join(parts) + b"\xff", np.uint8).astype(np.int16) + 1
+    text[text == 256] = 0
+    index = suffix_dedup.RunLengthIndex(text)
+    ends, n = np.flatnonzero(text == 0), len(text)
+    order = sorted(range(n), key=lambda i: (*(int(x) for x in text[i : ends[np.searchsorted(ends, i)]]), 0, int(np.searchsorted(ends, i))))
+    before = [int(text[i - 1]) if i and text[i - 1] else -1 for i in order]
+    assert np.repeat(index.symbols, index.rows).tolist() == before and len(index.symbols) < n
+
+    def match(i, j):
+        k = 0
+        while text[i + k] and text[i + k] == text[j + k]:
+            k += 1
+        return k
+
+    assert index.statistics().tolist() == [max(match(i, j) for j in range(n) if j != i) for i in range(n)]
+    high = suffix_dedup.RunLengthIndex(text, 9).statistics()
+    assert (high >= 9).tolist() == (index.statistics() >= 9).tolist()
+
+
+@pytest.mark.parametrize("hot", [2, 2000])
+def test_repeats_of_null_ids_repeated_rows_and_hot_passages(spark, hot):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    passage = " ".join(word() for _ in range(40))
+    rows = [(i, " ".join([*(word() for _ in range(rng.randrange(30))), passage, *(word() for _ in range(rng.randrange(30)))])) for i in range(1, 60)]
+    line = " ".join(word() for _ in range(6))
+    rows += [(i, " ".join([*(word() for _ in range(20)), line, *(word() for _ in range(20))])) for i in range(60, 120)]
+    rows += [rows[3], (200, rows[3][1]), (0, rows[4][1]), (300, (rows[70][1] + " ") * 40)]
+    nulls = [(None, rows[5][1]), (None, rows[5][1]), (None, "own " + " ".join(word() for _ in range(80)))]
+    df = documents(spark, rows + nulls)
+    # by bytes: a null id is a document like any other
+    numbered = [(i if i is not None else 1000 + k, t) for k, (i, t) in enumerate(rows + nulls)]
+    got = suffix_dedup.suffix_dedup(df, 120, 24, hot).collect()
+    want = brute_bytes(numbered, 120)
+    assert sorted(tuple(r)[1:] for r in got) == sorted(want[i] for i, _ in numbered)
+    # by words: a null id is after all others
+    got = substring_dedup.substring_dedup(df, 20, 5, hot).collect()
+    want = brute_words([(i if i is not None else 5000, t) for i, t in rows + nulls[:1]], 20)
+    for r in got:
+        if r["doc_id"] is not None:
+            assert tuple(r)[1:] == want[r["doc_id"]]
+    assert sorted(r["n_removed"] for r in got if r["doc_id"] is None) == sorted([want[5000][1]] * 2 + [0])

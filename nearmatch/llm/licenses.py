@@ -145,7 +145,10 @@ class Scanner:
             return []
         lower = text.lower()
         get = self.ids.get
-        ids = [get(w, 0) for w in _word.findall(lower)]
+        if len(lower) == len(text):  # every letter has one small letter: words are at the same places
+            ids = [get(w, 0) for w in _word.findall(lower)]
+        else:
+            ids = [get(w.lower(), 0) for w in _word.findall(text)]
         hits: dict[int, list[int]] = defaultdict(list)
         gram, index, starts = self.gram, self.index, self.starts
         for i, w in enumerate(ids):
@@ -170,10 +173,7 @@ class Scanner:
             if all(m[1] <= k[0] or m[0] >= k[1] for k in kept):
                 kept.append(m)
         # the code points of words, found only for texts with a match
-        spans = [m.span() for m in _word.finditer(lower)]
-        same = len(lower) == len(text)
-        if not same:
-            spans = [m.span() for m in _word.finditer(text)]
+        spans = [m.span() for m in _word.finditer(text)]
         return [(self.templates[t][0], self.templates[t][1], spans[a][0], spans[b - 1][1], c) for a, b, c, t in sorted(kept)]
 
     def align(self, words: list[int], needed: list[bool], ids: list[int], diagonal: int) -> tuple[int, int, float] | None:

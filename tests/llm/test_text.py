@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import re
 import zlib
 from hashlib import sha256
 
@@ -176,6 +177,54 @@ def test_toxicity_keeps_every_repeated_bigram(spark):
     assert model.features("zz vile")[2] > model.features("never seen")[2] == model.features("new words")[2]
 
 
+def _kneser_ney(rows, text):
+    """The evidence of a text, from the definition: dictionaries of document counts."""
+    import math
+    from collections import Counter
+
+    split = [(c, re.findall(r"\w+", t.lower())) for c, t in rows]
+    words, pairs = (Counter(), Counter()), (Counter(), Counter())
+    for c, ws in split:
+        words[c].update(set(ws))
+        pairs[c].update(set(zip(ws, ws[1:])))
+    before = Counter(w for _, w in set(pairs[0]) | set(pairs[1]))
+    size = len(set(words[0]) | set(words[1])) + len(set(pairs[0]) | set(pairs[1])) + 1
+
+    def model(counts, shared):
+        ratio, left = {}, []
+        for c in (0, 1):
+            times = [sum(n == k for n in counts[c].values()) for k in (1, 2, 3, 4)]
+            y = times[0] / (times[0] + 2 * times[1]) if all(times) else 0
+            off = [min(max(k - (k + 1) * y * times[k] / times[k - 1], 0.1), k) for k in (1, 2, 3)] if all(times) else [0.75] * 3
+            total = sum(counts[c].values())
+            taken = {x: off[min(n, 3) - 1] for x, n in counts[c].items()}
+            left.append(sum(taken.values()) / total)
+            for x in set(counts[0]) | set(counts[1]):
+                ratio.setdefault(x, []).append((counts[c][x] - taken.get(x, 0)) / total + left[c] * shared(x))
+        many = {x: math.log(p[1] / p[0]) for x, p in ratio.items() if counts[0][x] + counts[1][x] > 1}
+        return many, math.log(left[1] / left[0])
+
+    total = sum(pairs[0].values()) + sum(pairs[1].values())
+    word, unknown = model(words, lambda w: (before[w] + 1) / size)
+    pair, _ = model(pairs, lambda x: (pairs[0][x] + pairs[1][x]) / total)
+    ws = re.findall(r"\w+", text.lower())
+    places = [max(word.get(w, unknown) - unknown, pair.get((ws[k - 1], w), -math.inf) if k else -math.inf) for k, w in enumerate(ws)]
+    return (sum(max(x, 0) ** 8 for x in places) / len(places)) ** (1 / 8) if places else 0.0
+
+
+def test_toxicity_is_the_model_of_its_definition(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(120):
+        ws = [f"w{int(k)}" for k in rng.zipf(1.4, 60) if k < 400]
+        rows.append((int(i % 4 == 0), " ".join([*ws, *(["so", "vile"] if i % 4 == 0 else []), *(["so", "nice"] if i % 3 == 0 else [])])))
+    model = toxicity._language_models(toxicity._counts(spark.createDataFrame(rows, "toxic int, text string")))
+    texts = [*(t for _, t in rows[:30]), "", None, "unheard of", "so vile", "x " * 50 + "vile"]
+    got = model.features_of(texts)
+    assert got[2].tolist() == pytest.approx([_kneser_ney(rows, t or "") for t in texts], abs=1e-5)
+    assert got[0].tolist() == [len(re.findall(r"\w+", t or "")) for t in texts]
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r["score"] for r in toxicity.toxicity(documents(spark, [(1, "a"), (2, None)]), none).collect()} == {0.0}
@@ -295,6 +344,14 @@ def test_licenses_by_name_and_version(text, name):
     assert [m[0] for m in licenses.Scanner(licenses.TEMPLATES).scan(f"Code. {text} More text.")] == ([name] if name else [])
 
 
+@pytest.mark.parametrize("before", ["İstanbul ", "İİİ x ", "ǅ ", "\u0345 ", "ΑΣ "])
+@pytest.mark.parametrize("after", ["", " more words and İ"])
+def test_licenses_spans_where_small_letters_are_longer(before, after):
+    text = f"{before}Licensed under the MIT License.{after}"
+    (found,) = licenses.Scanner(licenses.TEMPLATES).scan(text)
+    assert found[0] == "MIT" and text[found[2] : found[3]] == "Licensed under the MIT License"
+
+
 def test_licenses_find_every_template_as_its_own():
     scanner = licenses.Scanner(licenses.TEMPLATES)
     for name, texts in licenses.TEMPLATES.items():

@@ -1,16 +1,25 @@
 """Main-text extraction from HTML pages.
 
 Method: events of the standard library's streaming parser are cut into lines
-at block tags; each line's text-to-tag ratio is smoothed by a Gaussian and
-compared with a threshold; runs above it are the content clusters. An article
-or main element that holds a cluster is the content region as a whole, so that
-its short paragraphs stay; on pages without one, the clusters themselves are, with
-the few lines between two of them. Elements whose tag, class, id or role
-names a menu, header, footer, sidebar, notice, advert, form or reader comment
-never become lines; those whose end tag can be left out end where HTML ends them.
-
-Null, empty or unparseable html gives an empty text; repeated rows give
-repeated results; columns besides page_id, url and html are ignored.
+at block tags. A line's ratio is its text outside links over its tags. Ratios
+are smoothed by a Gaussian; lines over a threshold taken from the page's own
+smoothed ratios make clusters, and clusters are the content regions. An article
+or main element is a hint: within one, a line needs but ``HINT`` of the threshold,
+so that short paragraphs stay and lists of links go; outside, clusters are closed
+over gaps of few lines and don't begin or end with lines that only their
+neighbours lift. Where such elements hold at least half of the clusters' text,
+clusters outside of them go; else (teasers, widgets) all clusters count.
+
+Elements whose tag, class, id or role names a menu, header, footer, sidebar,
+notice, advert, form or reader comment become one empty line. Those whose end
+tag can be left out end where HTML ends them; of others that are never closed,
+nothing is known to belong to them: the page is read again without skipping
+them. A form with over half of a page's text, or with an article or main
+element, is the page and not a form.
+
+Null and empty html give an empty text, and no markup fails: what is no HTML is
+text or nothing, as browsers have it; repeated rows give repeated results;
+columns besides page_id, url and html are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +29,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +38,7 @@ from nearmatch.llm.common import table, text_batches
 
 # Element names that never hold main text.
 SKIPPED = frozenset(
-    "aside button canvas dialog embed fieldset footer form head header iframe input label menu nav noframes noscript object option script select style svg template textarea title".split()
+    "aside button canvas dialog embed fieldset footer head header iframe input label menu nav noframes noscript object option script select style svg template textarea title".split()
 )
 # Elements that start and end a line.
 BLOCKS = frozenset(
@@ -76,32 +86,63 @@ OTHERS = frozenset("ad ads advert advertisement comment comments promo promoted
 SIGMA = 1.5
 #: Clusters this many lines apart are one.
 GAP = 3
+#: Of the threshold, what lines of an article or main element need.
+HINT = 0.02
+#: Times that a page is read again for elements left open; after these, once more without skipping any but RAW ones.
+AGAIN = 4
+# Of the skipped elements, those whose content is no text of the page even where their end is missing.
+RAW = frozenset("canvas embed iframe input noframes noscript object option script select style svg template textarea title".split())
 
 _NAMES = re.compile(r"[a-z0-9]+")
 _WEIGHTS = [math.exp(-(k * k) / (2 * SIGMA * SIGMA)) for k in range(-4, 5)]
 
 
+class _Line(NamedTuple):
+    text: str  # empty: something skipped
+    ratio: float
+    container: int  # 0: none
+    form: int  # 0: none
+
+
 class _Lines(HTMLParser):
-    """Collects (text, text-to-tag ratio, container number) of each line."""
+    """Collects the lines of a page. open_: numbers of the elements that aren't to be skipped, as their ends are missing; None: all but RAW ones."""
 
-    def __init__(self) -> None:
+    def __init__(self, open_: frozenset[int] | None = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, float, int]] = []
+        self.open_ = open_
+        self.lines: list[_Line] = []
         self.parts: list[str] = []
+        self.linked = 0  # characters in links
+        self.links = 0  # links that are open
         self.tags = 0
         self.skip_tag = ""
+        self.n_skipped = 0
+        self.left_open: set[int] = set()
         self.inner: list[str] = []  # the skipped element and what is open in it
         self.open: list[str] = []  # the blocks around, without paragraphs
         self.containers: list[int] = []
         self.n_containers = 0
+        self.form = self.n_forms = 0
+        self.forms_with_containers: set[int] = set()
 
     def flush(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.lines.append((text, len(text) / max(1, self.tags), self.containers[-1] if self.containers else 0))
+                plain = max(0, len(text) - self.linked)
+                self.lines.append(_Line(text, plain / max(1, self.tags), self.containers[-1] if self.containers else 0, self.form))
                 self.tags = 0
-            self.parts = []
+            self.parts, self.linked = [], 0
+
+    def gap(self) -> None:
+        """A line for what is skipped."""
+        if self.lines and self.lines[-1].text:
+            self.lines.append(_Line("", 0.0, 0, 0))
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """Browsers drop <![...> up to its end; the parser's own version knows few kinds and fails on others."""
+        end = self.rawdata.find(">", i)
+        return end + 1 if end >= 0 else -1
 
     def end_implied(self, tag: str) -> None:
         """Close what the start of tag ends in the skipped element, and that element if it is ended too."""
@@ -131,9 +172,19 @@ class _Lines(HTMLParser):
             self.tags += 1
             return
         if tag in SKIPPED or attrs and tag not in ("html", "body") and is_boilerplate(tag, attrs):
+            self.n_skipped += 1
+            if tag in RAW or self.open_ is not None and self.n_skipped not in self.open_:
+                self.flush()
+                self.gap()
+                self.skip_tag, self.inner = tag, [tag]
+                return
+            tag = "div" if tag in SKIPPED else tag
+        if tag == "form":
             self.flush()
-            self.skip_tag, self.inner = tag, [tag]
-            return
+            self.n_forms += 1
+            self.form = self.n_forms
+        elif tag == "a":
+            self.links += 1
         if tag in BLOCKS:
             self.flush()
             if tag != "p":
@@ -143,6 +194,7 @@ class _Lines(HTMLParser):
             if tag in CONTAINERS:
                 self.n_containers += 1
                 self.containers.append(self.n_containers)
+                self.forms_with_containers.add(self.form)
         self.tags += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -160,6 +212,7 @@ class _Lines(HTMLParser):
                 if not self.inner:
                     self.skip_tag = ""
             elif tag in ("body", "html") or tag in CONTAINERS and self.skip_tag not in CONTAINERS and self.containers or self.skip_tag in ENDED_BY and tag in self.open:
+                self.note_open()
                 self.skip_tag = ""  # an element left open ends with what holds it
                 self.handle_endtag(tag)
             return
@@ -170,11 +223,27 @@ class _Lines(HTMLParser):
                     pass
             if tag in CONTAINERS and self.containers:
                 self.containers.pop()
+        elif tag == "form":
+            self.flush()
+            self.form = 0
+        elif tag == "a":
+            self.links = max(0, self.links - 1)
         self.tags += 1
 
     def handle_data(self, data: str) -> None:
         if not self.skip_tag:
             self.parts.append(data)
+            if self.links:
+                self.linked += len(data)
+
+    def close(self) -> None:
+        super().close()
+        self.note_open()
+        self.flush()
+
+    def note_open(self) -> None:
+        if self.skip_tag and self.skip_tag not in ENDED_BY and self.skip_tag not in RAW:
+            self.left_open.add(self.n_skipped)
 
 
 @lru_cache(maxsize=10_000)
@@ -210,45 +279,51 @@ def smooth(ratios: list[float]) -> list[float]:
     return out
 
 
-def select(lines: list[tuple[str, float, int]]) -> list[str]:
+def without_forms(lines: list[_Line], pages: set[int]) -> list[_Line]:
+    """Lines that aren't in a form; forms in pages, and one with over half of all text, are none."""
+    sizes: dict[int, int] = {}
+    for x in lines:
+        sizes[x.form] = sizes.get(x.form, 0) + len(x.text)
+    total = sum(sizes.values())
+    kept = {f for f, n in sizes.items() if f == 0 or f in pages or 2 * n > total}
+    return [x for x in lines if x.form in kept]
+
+
+def select(lines: list[_Line]) -> list[str]:
     """The lines of the content regions, in page order."""
-    if not lines:
+    if not any(x.text for x in lines):
         return []
-    smoothed = smooth([x[1] for x in lines])
+    smoothed = smooth([x.ratio for x in lines])
     mean = sum(smoothed) / len(smoothed)
     spread = math.sqrt(sum((x - mean) ** 2 for x in smoothed) / len(smoothed))
-    above = [x >= min(mean, spread) if spread else True for x in smoothed]
-    inside = {c for (_, _, c), ok in zip(lines, above) if c and ok}
-    if not inside and any(x[2] for x in lines):
-        sizes: dict[int, int] = {}
-        for text, _, c in lines:
-            if c:
-                sizes[c] = sizes.get(c, 0) + len(text)
-        inside = {max(sizes, key=lambda c: (sizes[c], -c))}
-    if inside:
-        return [text for text, _, c in lines if c in inside]
-    # clusters don't begin or end with lines that only their neighbours lift
-    limit = min(mean, spread)
-    strong = [i for i, ok in enumerate(above) if ok and lines[i][1] >= limit]
-    if not strong:
-        return [text for (text, _, _), ok in zip(lines, above) if ok]
-    out = []
-    for i, j in zip(strong, [*strong[1:], len(lines)]):
-        out.append(lines[i][0])
-        if j < len(lines) and (all(above[i:j]) or j - i <= GAP):
-            out += [x[0] for x in lines[i + 1 : j]]
-    return out
+    limit = min(mean, spread) if spread > 1e-9 * mean else 0.0
+    inside = [i for i, x in enumerate(lines) if x.text and x.container and smoothed[i] >= HINT * limit]
+    above = [bool(x.text) and not x.container and smoothed[i] >= limit for i, x in enumerate(lines)]
+    # clusters outside of containers: between lines that are over the threshold themselves
+    strong = [i for i, ok in enumerate(above) if ok and lines[i].ratio >= limit] or [i for i, ok in enumerate(above) if ok]
+    outside: set[int] = set(strong)
+    for i, j in zip(strong, strong[1:]):
+        between = range(i + 1, j)
+        if all(not lines[k].container for k in between) and (all(above[k] for k in between) or all(lines[k].text for k in between) and j - i <= GAP):
+            outside.update(between)
+    size = lambda places: sum(len(lines[k].text) for k in places)
+    kept = inside if size(inside) >= size(outside) else sorted({*inside, *outside})
+    return [lines[k].text for k in kept]
 
 
 def extract(html: str | None) -> str:
     """The main text of one page."""
     if not html:
         return ""
-    parser = _Lines()
-    parser.feed(html)
-    parser.close()
-    parser.flush()
-    return " ".join(select(parser.lines))
+    open_: frozenset[int] | None = frozenset()
+    for turn in range(AGAIN + 2):
+        parser = _Lines(open_)
+        parser.feed(html)
+        parser.close()
+        if not parser.left_open:
+            break
+        open_ = None if turn == AGAIN else open_ | parser.left_open
+    return " ".join(select(without_forms(parser.lines, parser.forms_with_containers - {0})))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

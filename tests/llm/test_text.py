@@ -295,6 +295,57 @@ def test_html_ends_that_are_left_out(html, text):
     assert html_extract.extract(html) == text
 
 
+LONG = "a long sentence of the main text that goes on " * 6
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f"<body><form><p>{LONG}</p><p>{LONG}</p></form><p>{LONG}</p></body>", " ".join([LONG.strip()] * 3)),
+        (f"<body><form action=x><article><p>{LONG}</p><p>Short.</p></article></form></body>", f"{LONG}Short."),
+        (f"<body><p>{LONG}</p><form><p>Send us your mail</p></form><p>{LONG}</p></body>", f"{LONG}{LONG.strip()}"),
+        (f"<body><nav><ul><li><a href=x>Home</a><li><a href=y>News</a></ul><article><p>{LONG}</p><p>End.</p></article></body>", f"{LONG}End."),
+        (f"<body><nav><a href=x>Home</a><p>{LONG}</p><p>{LONG}</p>", f"{LONG}{LONG.strip()}"),
+        (f'<body><article><div class="ad"><p>{LONG}</article><p>x', LONG.strip()),
+        (f"<article><p>{LONG}</p><script>var x = 1;", LONG.strip()),
+        ("<![foo[bar]]><p>x</p>", "x"),
+        ("<![CDATA[<p>]]><p>x</p>", "]]> x"),
+        ("<![x>y", "y"),
+        (f"<article><h2>Two lines</h2><p>of an advert</p></article><div><p>{LONG}</p><p>{LONG}</p></div>", f"Two lines of an advert {LONG}{LONG.strip()}"),
+        (f"<article><p>{LONG}</p><p>{LONG}</p></article><div><p>{LONG}</p></div>", f"{LONG}{LONG.strip()}"),
+    ],
+)
+def test_html_forms_open_elements_and_teasers(html, text):
+    assert html_extract.extract(html) == text
+
+
+def test_html_ratio_decides_inside_an_article():
+    links = "".join(f"<li><a href={k}>Another story number {k}</a></li>" for k in range(12))
+    page = f"<body><article><p>{LONG}</p><p>Brief.</p><p><a href=z>A link of its own</a></p><p>{LONG}</p><ul>{links}</ul></article></body>"
+    got = html_extract.extract(page)
+    assert got.startswith(f"{LONG}Brief. A link of its own {LONG.strip()}") and "number 11" not in got
+
+
+def test_html_smoothing_and_clusters_by_definition():
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        ratios = rng.choice([0.0, 2.0, 30.0, 300.0], int(rng.integers(1, 30))).tolist()
+        weight = lambda i, k: np.exp(-((i - k) ** 2) / 4.5) if abs(i - k) <= 4 else 0.0
+        n = len(ratios)
+        smoothed = [sum(weight(i, k) * ratios[k] for k in range(n)) / sum(weight(i, k) for k in range(n)) for i in range(n)]
+        assert html_extract.smooth(ratios) == pytest.approx(smoothed)
+        lines = [html_extract._Line(f"t{k}", r, 1, 0) for k, r in enumerate(ratios)]
+        limit = min(np.mean(smoothed), np.std(smoothed))
+        if np.std(smoothed) > 1e-6:
+            assert html_extract.select(lines) == [f"t{k}" for k in range(n) if smoothed[k] >= 0.02 * limit]
+
+
+@given(st.lists(st.sampled_from(["<p>", "</p>", "<nav>", "</nav>", "<article>", "</article>", "<form>", "</form>", "<li class=ad>", "<![", "]]>", "<!", "<?", "&#x110000;", "&amp", "<a", " href='", "text ", "<script>", "</script>", "<title>", "\x00", "<!--", "-->", ">", "</", "<svg/>", "<td>"]), max_size=40))
+@settings(max_examples=300, deadline=None)
+def test_html_of_any_kind_has_a_text(parts):
+    assert isinstance(html_extract.extract("".join(parts)), str)
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, "y"), (3, "v", "<p>unclosed <b>text", "z")], "page_id long, url string, html string, text string")
     got = sorted(map(tuple, html_extract.extract_pages(df).collect()), key=str)

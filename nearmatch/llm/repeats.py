@@ -29,6 +29,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,9 +96,9 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def anchors(values: np.ndarray, sizes: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of concatenated texts of the given sizes: text number, anchor hash, first window and place of each anchor, in order."""
-    none = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+def anchors(values: np.ndarray, sizes: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of concatenated texts of the given sizes: text number, anchor hash and first window of each anchor, in order."""
+    none = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     if len(values) < length:
         return none
     h = rolling(values, gram)
@@ -113,19 +114,19 @@ def anchors(values: np.ndarray, sizes: np.ndarray, length: int, gram: int) -> tu
     start = np.arange(len(text)) - first[text] + begins[text]
     at = (low - (least[start] & low)).astype(np.int64)
     new = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (text[1:] != text[:-1])])
-    text, start, at = text[new], start[new], at[new]
-    return text, h[at], start - begins[text], at - begins[text]
+    text = text[new]
+    return text, h[at[new]], start[new] - begins[text]
 
 
 def profile(docs: DataFrame, units: Units) -> DataFrame:
-    """doc_id, sha, n (units), joined (SHA-256 of the joined units), hs, los and ats (hash, first window and place of each anchor) of docs(doc_id, sha, text)."""
+    """doc_id, sha, n (units), joined (SHA-256 of the joined units), hs and los (hash and first window of each anchor) of docs(doc_id, sha, text)."""
 
     def emit(ids: list, shas: list, joined: list, arrays: list) -> pa.RecordBatch:
         sizes = np.array([len(a) for a in arrays], np.int64)
-        text, h, lo, at = anchors(np.concatenate(arrays), sizes, units.length, units.gram)
+        text, h, lo = anchors(np.concatenate(arrays), sizes, units.length, units.gram)
         offsets = pa.array(np.searchsorted(text, np.arange(len(ids) + 1)), pa.int32())
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (h.view(np.int64), lo.astype(np.int32), at.astype(np.int32))]
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(shas, pa.binary()), pa.array(sizes), pa.array(joined, pa.binary()), *lists], names=["doc_id", "sha", "n", "joined", "hs", "los", "ats"])
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (h.view(np.int64), lo.astype(np.int32))]
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(shas, pa.binary()), pa.array(sizes), pa.array(joined, pa.binary()), *lists], names=["doc_id", "sha", "n", "joined", "hs", "los"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -143,21 +144,39 @@ def profile(docs: DataFrame, units: Units) -> DataFrame:
             if ids:
                 yield emit(ids, shas, joined, arrays)
 
-    return docs.select("doc_id", "sha", "text").mapInArrow(run, "doc_id long, sha binary, n long, joined binary, hs array<long>, los array<int>, ats array<int>")
+    return docs.select("doc_id", "sha", "text").mapInArrow(run, "doc_id long, sha binary, n long, joined binary, hs array<long>, los array<int>")
 
 
 @dataclass
-class Span:
-    """Part of a text, or several equal parts of one key."""
+class Spans:
+    """Parts of texts, or several equal parts of one key. All of a key stand together."""
 
-    key: object
-    weight: int  # documents that it stands for
-    did: int  # the smallest of their ids
-    content: bytes
+    key: np.ndarray  # a number for each different key, from 0
+    weight: np.ndarray  # documents that a span stands for
+    did: np.ndarray  # the smallest of their ids
+    content: list[bytes]
 
+    def kinds(self) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+        """Equal spans of a key as one kind: kind of each span, and key, content and weight of each kind."""
+        numbers: dict[tuple[int, bytes], int] = {}
+        kind = np.array([numbers.setdefault(x, len(numbers)) for x in zip(self.key.tolist(), self.content)], np.int64)
+        return kind, np.array([x[0] for x in numbers], np.int64), [x[1] for x in numbers], np.bincount(kind, self.weight).astype(np.int64)
 
-#: Gets whole keys' spans, in order of the keys. Gives span number, first and last repeated window, and the smallest id of the documents that have them.
-Decide = Callable[[list[Span]], Iterator[tuple[int, int, int, int]]]
+
+def of_kinds(kind: np.ndarray, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans of the marked kinds, and for each the place in marked that it is there for."""
+    order = np.argsort(kind, kind="stable")
+    n = np.bincount(kind)
+    first = np.cumsum(n) - n
+    times = n[marked]
+    which = np.repeat(np.arange(len(marked)), times)
+    within = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
+    return order[first[marked[which]] + within], which
+
+
+#: Gets whole keys' spans. Gives arrays: span number, first and last repeated window, and the smallest id of the documents that have them.
+Decide = Callable[[Spans], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+NONE = (np.zeros(0, np.int64),) * 4
 
 
 @dataclass
@@ -165,76 +184,89 @@ class Found:
     rows: DataFrame  # doc_id, sha
     classes: DataFrame  # cid, sha, rep (smallest id), n_docs, n, joined
     texts: DataFrame  # cid, did, text of a document of each class with repeated anchors
-    marks: DataFrame  # cid, lo, hi, own: first and last of consecutive repeated windows; own: no document before rep has them
+    marks: DataFrame  # cid, marks (lo, hi, own): first and last of consecutive repeated windows; own: no document before rep has them
 
 
 def settle(spans: DataFrame, ref: list[str], kinds: str, decide: Decide) -> DataFrame:
     """ref, a, b, least: repeated windows of spans(key, weight, did, content, ref...). kinds: the types of ref."""
-    n = len(ref)
 
-    def batch(held: list[Span], refs: list[tuple], fields: list[pa.Field]) -> pa.RecordBatch:
-        found = list(decide(held))
-        columns = list(zip(*((*refs[k], a, b, least) for k, a, b, least in found))) if found else [()] * (n + 3)
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (*(f.type for f in fields), pa.int64(), pa.int64(), pa.int64()))], names=[*ref, "a", "b", "least"])
+    def batch(whole: pa.RecordBatch, new: np.ndarray) -> pa.RecordBatch:
+        key = np.zeros(whole.num_rows, np.int64)
+        key[new] = 1
+        at, a, b, least = decide(Spans(np.cumsum(key), whole.column(1).to_numpy(), whole.column(2).to_numpy(), whole.column(3).to_pylist()))
+        refs = whole.select(ref).take(pa.array(at))
+        return pa.RecordBatch.from_arrays([*refs.columns, *map(pa.array, (a, b, least))], names=[*ref, "a", "b", "least"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[Span] = []
-        refs: list[tuple] = []
-        size, fields = 0, []
+        held: list[pa.RecordBatch] = []
+        size = 0
         for b in batches:
-            fields = list(b.schema)[4:]
-            for key, weight, did, content, *at in zip(*(c.to_pylist() for c in b.columns)):
-                if size > PIECE and key != held[-1].key:
-                    yield batch(held, refs, fields)
-                    held, refs, size = [], [], 0
-                held.append(Span(key, weight, did, content))
-                refs.append(tuple(at))
-                size += len(content)
+            if not b.num_rows:
+                continue
+            held.append(b)
+            size += pc.sum(pc.binary_length(b.column(3))).as_py()
+            if size > PIECE:  # all but the last key, which may go on
+                whole = pa.concat_batches(held)
+                new = _changes(whole.column(0))
+                if len(new):
+                    cut = int(new[-1])
+                    yield batch(whole.slice(0, cut), new[:-1])
+                    whole = whole.slice(cut)
+                    size = pc.sum(pc.binary_length(whole.column(3))).as_py()
+                held = [whole]
         if held:
-            yield batch(held, refs, fields)
+            whole = pa.concat_batches(held)
+            yield batch(whole, _changes(whole.column(0)))
 
     dealt = spans.select("key", "weight", "did", "content", *ref).repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(run, f"{kinds}, a long, b long, least long")
 
 
+def _changes(keys: pa.Array) -> np.ndarray:
+    """Places whose key is not that of the place before."""
+    return np.flatnonzero(pc.not_equal(keys.slice(1), keys.slice(0, len(keys) - 1)).to_numpy(zero_copy_only=False)) + 1
+
+
 def find(docs: DataFrame, units: Units, decide: Decide, hot: int = HOT) -> Found:
     """Marks of repeated windows of docs(doc_id, text)."""
     text = F.coalesce("text", F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("sha"), "text")
     rows = materialize(profile(docs, units), "anchors")
     did = F.coalesce("doc_id", F.lit(LAST))
-    first = [F.first(c).alias(c) for c in ("n", "joined", "hs", "los", "ats")]  # equal texts have equal ones
+    first = [F.first(c).alias(c) for c in ("n", "joined", "hs", "los")]  # equal texts have equal ones
     classes = rows.groupBy("sha").agg(F.min(did).alias("rep"), F.count(F.lit(1)).alias("n_docs"), *first)
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     some = classes.where(F.size("hs") > 0)
     counts = some.select("n_docs", F.explode("hs").alias("h")).groupBy("h").agg(F.sum("n_docs").alias("times"), F.count(F.lit(1)).alias("spans"))
     counts = materialize(counts.where("times > 1"), "counts")
-    ends = F.expr(f"transform(los, (x, i) -> named_struct('h', hs[i], 'lo', x, 'hi', coalesce(try_element_at(los, i + 2) - 1, cast(n - {units.length} as int)), 'at', ats[i]))")
-    placed = some.select("cid", F.explode(ends).alias("a")).select("cid", "a.h", "a.lo", "a.hi", "a.at")
+    ends = F.expr(f"transform(los, (x, i) -> named_struct('h', hs[i], 'lo', x, 'hi', coalesce(try_element_at(los, i + 2) - 1, cast(n - {units.length} as int))))")
+    placed = some.select("cid", F.explode(ends).alias("a")).select("cid", "a.h", "a.lo", "a.hi")
     repeated = lookup(placed, counts.drop("times"), "h", "spans", "cid").where("found IS NOT NULL")
-    anchor = F.struct("h", "lo", "hi", "at", (F.col("found.spans") > hot).alias("hot"))
+    anchor = F.struct("h", "lo", "hi", (F.col("found.spans") > hot).alias("hot"))
     wanted = repeated.groupBy("cid").agg(F.collect_list(anchor).alias("spans"))
     wanted = wanted.join(classes.select("cid", "sha", F.col("rep").alias("did"), F.col("n_docs").alias("weight")), "cid")
     own = docs.select("sha", did.alias("did"), "text").join(wanted, ["sha", "did"]).dropDuplicates(["sha", "did"])
     texts = materialize(own.select("cid", "did", "weight", "text", "spans", F.exists("spans", lambda x: x["hot"]).alias("any_hot")), "candidates")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
         out: list[tuple] = []
         held = 0
 
         def batch() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=["key", "weight", "did", "content", "cid", "lo"])
+            n = [len(x[3]) for x in out]
+            columns = [np.concatenate([x[4] for x in out]), *(np.repeat([x[k] for x in out], n) for k in (1, 2)), [c for x in out for c in x[3]], np.repeat([x[0] for x in out], n), np.concatenate([x[5] for x in out])]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "weight", "did", "content", "cid", "lo"])
 
         for b in batches:
-            for cid, did, weight, text, spans in _rows(b):
+            for cid, did, weight, text, h, lo, hi, hot in _with_lists(b):
+                cold = ~hot
+                if not cold.any():
+                    continue
                 whole, _ = units.split(text)
                 places = units.places(whole)
-                for s in spans:
-                    if not s["hot"]:
-                        content = units.cut(whole, places, s["lo"], s["hi"] + units.length)
-                        out.append((s["h"], weight, did, content, cid, s["lo"]))
-                        held += len(content)
+                contents = [units.cut(whole, places, x, y) for x, y in zip(lo[cold].tolist(), (hi[cold] + units.length).tolist())]
+                out.append((cid, weight, did, contents, h[cold], lo[cold].astype(np.int64)))
+                held += sum(map(len, contents))
                 if held > BLOCK:
                     yield batch()
                     out, held = [], 0
@@ -244,10 +276,11 @@ def find(docs: DataFrame, units: Units, decide: Decide, hot: int = HOT) -> Found
     spans = texts.select("cid", "did", "weight", "text", "spans").mapInArrow(emit, "key long, weight long, did long, content binary, cid long, lo long")
     spans = spans.withColumn("own_did", F.col("did"))
     marks = settle(spans, ["cid", "lo", "own_did"], "cid long, lo long, own_did long", decide)
-    marks = marks.select("cid", (F.col("lo") + F.col("a")).alias("lo"), (F.col("lo") + F.col("b")).alias("hi"), (F.col("least") == F.col("own_did")).alias("own"))
+    mark = F.struct((F.col("lo") + F.col("a")).alias("lo"), (F.col("lo") + F.col("b")).alias("hi"), (F.col("least") == F.col("own_did")).alias("own"))
+    marks = marks.select("cid", F.array(mark).alias("marks"))
     if not texts.where("any_hot").isEmpty():
         marks = marks.unionByName(_hot_marks(texts.where("any_hot"), units, decide, hot))
-    return Found(rows.select("doc_id", "sha"), classes.drop("hs", "los", "ats"), texts.select("cid", "did", "text"), materialize(marks, "marks"))
+    return Found(rows.select("doc_id", "sha"), classes.drop("hs", "los"), texts.select("cid", "did", "text"), materialize(marks, "marks"))
 
 
 def _rows(b: pa.RecordBatch) -> Iterator[tuple]:
@@ -256,6 +289,15 @@ def _rows(b: pa.RecordBatch) -> Iterator[tuple]:
         yield tuple(c[k].as_py() for c in b.columns)
 
 
+def _with_lists(b: pa.RecordBatch) -> Iterator[tuple]:
+    """As _rows, with the fields of the last column, a list of structs, as numpy arrays."""
+    lists = b.column(b.num_columns - 1)
+    offsets = lists.offsets.to_numpy()
+    fields = [x.to_numpy(zero_copy_only=False) for x in lists.values.flatten()]
+    for k in range(b.num_rows):
+        yield *(b.column(c)[k].as_py() for c in range(b.num_columns - 1)), *(x[offsets[k] : offsets[k + 1]] for x in fields)
+
+
 class _Kinds:
     """Equal parts of one key within a batch, with their places."""
 
@@ -300,14 +342,15 @@ def _hot_marks(texts: DataFrame, units: Units, decide: Decide, hot: int) -> Data
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = _Kinds()
         for b in batches:
-            for cid, did, weight, text, found in _rows(b):
-                whole, _ = units.split(text)
+            for cid, did, weight, text, h, lo, hi, is_hot in _with_lists(b):
+                whole, values = units.split(text)
                 places = units.places(whole)
-                for s in found:
-                    if s["hot"]:
-                        content = units.cut(whole, places, s["lo"], s["hi"] + units.length)
-                        p = s["at"] - s["lo"]
-                        kinds.add(s["h"].to_bytes(8, "little", signed=True), p, p + units.gram, content, [{"cid": cid, "did": did, "weight": weight, "lo": s["lo"]}])
+                hashes = rolling(values, units.gram).view(np.int64)
+                for k in np.flatnonzero(is_hot).tolist():
+                    first = int(lo[k])
+                    p = int(np.flatnonzero(hashes[first : first + units.length - units.gram + 1] == h[k])[-1])
+                    content = units.cut(whole, places, first, int(hi[k]) + units.length)
+                    kinds.add(h[k].tobytes(), p, p + units.gram, content, [{"cid": cid, "did": did, "weight": weight, "lo": first}])
                 if kinds.held > BLOCK:
                     yield kinds.batch()
         if kinds.held:
@@ -337,8 +380,8 @@ def _hot_marks(texts: DataFrame, units: Units, decide: Decide, hot: int) -> Data
         entries = found.groupBy("c").agg(F.first("places").alias("n"), F.collect_list(F.struct("a", "b", "least")).alias("marks"))
         entries = materialize(entries, "kind-marks")
         placed = lookup(parts.select("c", F.explode("places").alias("at")).select("c", "at.cid", "at.did", "at.lo"), entries, "c", "n", "cid")
-        placed = placed.where("found IS NOT NULL").select("cid", "did", "lo", F.explode("found.marks").alias("m"))
-        done.append(placed.select("cid", (F.col("lo") + F.col("m.a")).alias("lo"), (F.col("lo") + F.col("m.b")).alias("hi"), (F.col("m.least") == F.col("did")).alias("own")))
+        moved = F.transform("found.marks", lambda m: F.struct((F.col("lo") + m["a"]).alias("lo"), (F.col("lo") + m["b"]).alias("hi"), (m["least"] == F.col("did")).alias("own")))
+        done.append(placed.where("found IS NOT NULL").select("cid", moved.alias("marks")))
         full = keys.where(F.col("kinds") > hot)
         if full.isEmpty():
             break
@@ -350,43 +393,32 @@ def _hot_marks(texts: DataFrame, units: Units, decide: Decide, hot: int) -> Data
     return out
 
 
-def ranges(flags: np.ndarray) -> Iterator[tuple[int, int]]:
-    """First and last position of each run of true flags."""
-    edges = np.flatnonzero(np.diff(np.r_[0, flags.astype(np.int8), 0]))
-    yield from zip(edges[::2].tolist(), (edges[1::2] - 1).tolist())
-
-
-def removed_units(n: int, marks: list[tuple[int, int]], length: int) -> np.ndarray:
-    """Which of n units the marked windows cover."""
-    change = np.zeros(n + 1, np.int64)
-    for lo, hi in marks:
-        change[lo] += 1
-        change[min(n, hi + length)] -= 1
+def removed_units(n: int, lo: np.ndarray, hi: np.ndarray, length: int) -> np.ndarray:
+    """Which of n units the windows lo to hi of each mark cover."""
+    change = np.bincount(lo, minlength=n + 1) - np.bincount(np.minimum(n, hi + length), minlength=n + 1)
     return np.cumsum(change[:-1]) > 0
 
 
 def removal(found: Found, units: Units, keep: Callable[[bytes, list, np.ndarray], bytes]) -> DataFrame:
     """Of the classes with marks: cid, and of its first documents and of its copies n_removed, n_spans, kept_sha. keep gives the kept bytes of a text."""
-    marked = found.marks.groupBy("cid").agg(F.collect_list(F.struct("lo", "hi", "own")).alias("marks"))
+    marked = found.marks.groupBy("cid").agg(F.flatten(F.collect_list("marks")).alias("marks"))
     joined = found.texts.select("cid", "text").join(marked, "cid").select("cid", "text", "marks")
     result = pa.struct([("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha", pa.binary())])
 
-    def outcome(whole: bytes, places: list, n: int, marks: list[tuple[int, int]]) -> dict:
-        gone = removed_units(n, marks, units.length)
+    def outcome(whole: bytes, places: list, n: int, lo: np.ndarray, hi: np.ndarray) -> dict:
+        gone = removed_units(n, lo, hi, units.length)
         n_spans = int(np.count_nonzero(np.diff(np.r_[0, gone.astype(np.int8)]) == 1))
         return {"n_removed": int(gone.sum()), "n_spans": n_spans, "kept_sha": sha256(keep(whole, places, gone)).digest()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cids, firsts, copies = [], [], []
-            for cid, text, marks in _rows(b):
+            for cid, text, lo, hi, own in _with_lists(b):
                 whole, values = units.split(text)
                 places = units.places(whole)
-                every = [(m["lo"], m["hi"]) for m in marks]
-                others = [(m["lo"], m["hi"]) for m in marks if not m["own"]]
                 cids.append(cid)
-                firsts.append(outcome(whole, places, len(values), others))
-                copies.append(firsts[-1] if len(others) == len(every) else outcome(whole, places, len(values), every))
+                firsts.append(outcome(whole, places, len(values), lo[~own], hi[~own]))
+                copies.append(outcome(whole, places, len(values), lo, hi) if own.any() else firsts[-1])
             yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(firsts, result), pa.array(copies, result)], names=["cid", "first", "copy"])
 
     kind = "struct<n_removed:long,n_spans:long,kept_sha:binary>"

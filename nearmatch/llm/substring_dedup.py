@@ -19,13 +19,11 @@ no rows; columns besides doc_id and text are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from nearmatch.llm.common import table, text_batches
-from nearmatch.llm.repeats import HOT, LAST, Span, Units, find, removal, results
+from nearmatch.llm.repeats import HOT, LAST, NONE, Spans, Units, find, of_kinds, removal, results
 
 LENGTH = 50
 GRAM = 12
@@ -83,45 +81,40 @@ def repeated_windows(words: np.ndarray, length: int, weights: np.ndarray | None
     return starts, label[starts]
 
 
-def decide(spans: list[Span], length: int = LENGTH) -> Iterator[tuple[int, int, int, int]]:
+def decide(spans: Spans, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Marks of all windows that occur twice among the spans of their key, with the smallest id of the documents that have them.
 
     Equal spans are one, with their number as its weight: all that is in a span
     of weight 2 or more is repeated at every level.
     """
-    kinds: dict[tuple[object, bytes], list[int]] = {}
-    times: dict[object, int] = {}
-    for k, s in enumerate(spans):
-        kinds.setdefault((s.key, s.content), []).append(k)
-        times[s.key] = times.get(s.key, 0) + s.weight
-    searched = [kind for kind in kinds if times[kind[0]] > 1]
-    if not searched:
-        return
+    kind, key, content, weight = spans.kinds()
+    searched = np.flatnonzero(np.bincount(key, weight)[key] > 1)
+    if not len(searched):
+        return NONE
     numbers: dict[bytes, int] = {}
     parts: list[int] = []
-    sizes = []
-    for _, content in searched:
-        words = content.split(b" ")
-        parts += [numbers.setdefault(w, len(numbers)) for w in words]
+    ends = np.zeros(len(searched), np.int64)
+    for k, at in enumerate(searched.tolist()):
+        parts += [numbers.setdefault(w, len(numbers)) for w in content[at].split(b" ")]
         parts.append(-1)
-        sizes.append(len(words) + 1)
-    sizes_, ends = np.array(sizes), np.cumsum(sizes)
-    weights = np.array([sum(spans[k].weight for k in kinds[kind]) for kind in searched])
-    dids = np.array([min(spans[k].did for k in kinds[kind]) for kind in searched], np.int64)
-    starts, label = repeated_windows(np.array(parts, np.int64), length, np.repeat(weights, sizes_))
+        ends[k] = len(parts)
+    sizes = np.diff(np.r_[0, ends])
+    did = np.full(len(weight), LAST)
+    np.minimum.at(did, kind, spans.did)
+    starts, label = repeated_windows(np.array(parts, np.int64), length, np.repeat(weight[searched], sizes))
     if not len(starts):
-        return
+        return NONE
     span = np.searchsorted(ends, starts, side="right")
     least = np.full(int(label.max()) + 1, LAST)
-    np.minimum.at(least, label, dids[span])
-    least, first = least[label], starts - (ends - sizes_)[span]
+    np.minimum.at(least, label, did[searched[span]])
+    least, first = least[label], starts - (ends - sizes)[span]
     # runs of consecutive windows of one span whose smallest ids are the same
     new = np.flatnonzero(np.r_[True, (span[1:] != span[:-1]) | (first[1:] != first[:-1] + 1) | (least[1:] != least[:-1])])
     last = np.r_[new[1:], len(starts)] - 1
-    for at, a, b, did in zip(span[new].tolist(), first[new].tolist(), first[last].tolist(), least[new].tolist()):
-        for k in kinds[searched[at]]:
-            if did <= spans[k].did:
-                yield k, a, b, did
+    at, mark = of_kinds(kind, searched[span[new]])
+    a, b, least = first[new][mark], first[last][mark], least[new][mark]
+    wanted = least <= spans.did[at]
+    return at[wanted], a[wanted], b[wanted], least[wanted]
 
 
 def _keep(joined: bytes, at: list, gone: np.ndarray) -> bytes:

@@ -23,13 +23,11 @@ tables give no rows; columns besides doc_id and text are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from nearmatch.llm.common import table, text_batches
-from nearmatch.llm.repeats import ANYWHERE, HOT, Span, Units, find, ranges, removal, results
+from nearmatch.llm.repeats import ANYWHERE, HOT, NONE, Spans, Units, find, of_kinds, removal, results
 
 LENGTH = 200
 GRAM = 32
@@ -87,19 +85,26 @@ class RunLengthIndex:
         key = key[:n]
         cut = self.left < width - 1
         key[cut] &= ~np.uint64(0) << (np.uint64(8) * (np.uint64(width - 1) - self.left[cut].astype(np.uint64)))
+        order = np.argsort(key)
+        key = key[order]
+        rows, sub = np.arange(n), order  # rows whose suffixes aren't told apart yet, and these suffixes
+        rank = np.empty(n, np.int32)  # the first row of those with equal symbols
         levels: list[tuple[int, np.ndarray]] = []
         while True:
-            order = np.argsort(key)
-            ordered = key[order]
-            rank = np.empty(n, np.int32)
-            rank[order] = np.cumsum(np.r_[0, ordered[1:] != ordered[:-1]])
-            levels.append((width, rank))
-            if rank[order[-1]] == n - 1:
+            first = np.r_[True, key[1:] != key[:-1]]
+            rank[sub] = np.maximum.accumulate(np.where(first, rows, 0))
+            levels.append((width, rank.copy()))
+            alone = first & np.r_[first[1:], True]
+            rows, sub = rows[~alone], sub[~alone]
+            if not len(rows):
                 return order, levels
-            following = np.zeros(n, np.int64)
-            following[: max(0, n - width)] = rank[width:]
             # of equal beginnings either all or none hold the end of their span
-            key = rank.astype(np.int64) * n + np.where(self.left < width, self.span, following)
+            ended = self.left[sub] < width
+            following = np.where(ended, self.span[sub], rank[np.where(ended, 0, sub + width)])
+            key = rank[sub].astype(np.int64) * n + following
+            again = np.argsort(key)
+            key, sub = key[again], sub[again]
+            order[rows] = sub
             width *= 2
 
     def _common(self, text: np.ndarray, levels: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
@@ -136,33 +141,23 @@ class RunLengthIndex:
         return np.maximum(self._stream(*self.first), self._stream(*self.last))[: self.given]
 
 
-def decide(spans: list[Span], length: int = LENGTH) -> Iterator[tuple[int, int, int, int]]:
+def decide(spans: Spans, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Marks of all windows that occur twice among the spans of their key."""
-    kinds: dict[tuple[object, bytes], list[int]] = {}
-    weights: dict[tuple[object, bytes], int] = {}
-    times: dict[object, int] = {}
-    for k, s in enumerate(spans):
-        kind = s.key, s.content
-        kinds.setdefault(kind, []).append(k)
-        weights[kind] = weights.get(kind, 0) + s.weight
-        times[s.key] = times.get(s.key, 0) + s.weight
-    indexed = [kind for kind in kinds if times[kind[0]] > 1]
-    if not indexed:
-        return
-    text = np.frombuffer(b"\xff".join(content for _, content in indexed) + b"\xff", np.uint8).astype(np.int16) + 1
+    kind, key, content, weight = spans.kinds()
+    indexed = np.flatnonzero(np.bincount(key, weight)[key] > 1)
+    if not len(indexed):
+        return NONE
+    text = np.frombuffer(b"\xff".join([content[k] for k in indexed.tolist()]) + b"\xff", np.uint8).astype(np.int16) + 1
     text[text == 256] = 0  # no byte of UTF-8 is 255
-    statistics = RunLengthIndex(text, length).statistics()
-    first = 0
-    for kind in indexed:
-        n = len(kind[1])
-        if weights[kind] > 1:
-            found = [(0, n - length)]
-        else:
-            found = list(ranges(statistics[first : first + n - length + 1] >= length))
-        first += n + 1
-        for k in kinds[kind]:
-            for a, b in found:
-                yield k, a, b, ANYWHERE
+    index = RunLengthIndex(text, length)
+    again = index.statistics() >= length
+    again |= (weight[indexed] > 1)[index.span] & (index.left >= length)
+    edges = np.flatnonzero(np.diff(np.r_[0, again.astype(np.int8), 0]))
+    first, last = edges[::2], edges[1::2] - 1
+    which = index.span[first]
+    begins = np.r_[0, np.flatnonzero(text == 0)[:-1] + 1][which]
+    at, mark = of_kinds(kind, indexed[which])
+    return at, (first - begins)[mark], (last - begins)[mark], np.full(len(at), ANYWHERE)
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:

@@ -1,19 +1,22 @@
 """Document fingerprints by SpotSigs.
 
-A signature is a common word (the anchor) and the chain of the ``CHAIN``
-content words that follow it, common words between them left out. The set of a
-document's signatures is what it is compared by; its fingerprint is the size
-of the set and a 128-bit digest of it, so that equal sets, and with them equal
-texts, have equal fingerprints. Documents with fewer than ``FEW`` signatures
-also have their single words, and those without words their whole text.
-
-Likeness is the Jaccard similarity of two sets. Comparisons are pruned: sets
-whose lengths lie too far apart (the smaller over the larger bounds the
-similarity) are not compared, and while two ordered sets are merged, what is
-left of them bounds what can still be reached. The query compares given pairs
-and wants every likeness, so its threshold is 0; ``length_part`` numbers the
-ranges of lengths for callers with a higher one: sets that reach it are in the
-same range or in neighbouring ones.
+A signature is an anchor and the chain of the content words that follow it, up
+to ``CHAIN`` of them, common words between them left out. Anchors are the
+common words and the start of the text; at the end of a text chains are
+shorter. So every text with a word has a signature; one without words, empty or
+not, has its whole text as one.
+
+The fingerprint is the set of a document's signatures: their 32-bit hashes in
+order, as text. Equal sets, and with them equal texts, have equal fingerprints.
+``likeness`` of two fingerprints is the Jaccard similarity of their sets.
+Comparisons against a threshold are pruned: sets whose lengths lie too far
+apart (the smaller over the larger bounds the similarity) are not compared, and
+while two ordered sets are merged, what is left of them bounds what can still
+be reached.
+
+The query compares given pairs and wants every likeness, so its threshold is 0;
+``length_part`` numbers the ranges of lengths for callers with a higher one:
+sets that reach it are in the same range or in neighbouring ones.
 
 Defined results: null text is empty; two empty texts are alike (1); repeated
 doc_ids follow each other in the order of their texts; one row alone is its
@@ -35,7 +38,6 @@ from pyspark.sql import functions as F
 from nearmatch.llm.common import groups_for, table, text_batches
 
 CHAIN = 2
-FEW = 8
 #: Documents of a part of the order, and the most parts: larger parts only stream longer.
 PART = 4000
 MAX_PARTS = 10_000
@@ -54,29 +56,35 @@ _words = re.compile(r"\w+").findall
 
 
 def signatures(text: str, chain: int = CHAIN) -> np.ndarray:
-    """The ordered set of a text's signatures, as 64-bit hashes."""
-    from xxhash import xxh64_intdigest
+    """The ordered set of a text's signatures, as 32-bit hashes."""
+    from xxhash import xxh32_intdigest
 
     content: list[str] = []
-    anchors: list[tuple[str, int]] = []
+    anchors: list[tuple[str, int]] = [("", 0)]
     for w in _words(text.lower()):
         if w in COMMON:
             anchors.append((w, len(content)))
         else:
             content.append(w)
-    last = len(content) - chain
-    found = {" ".join((w, *content[k : k + chain])) for w, k in anchors if k <= last}
-    if len(found) < FEW:
-        found |= {*content, *(w for w, _ in anchors)}
-        if not found:
-            found = {text}
-    return np.sort(np.array([xxh64_intdigest(s) for s in found], np.uint64))
+    if content or len(anchors) > 1:
+        found = {" ".join((w, *content[k : k + chain])) for w, k in anchors}
+    else:
+        found = {text}
+    return np.unique(np.array([xxh32_intdigest(s.encode("utf-8", "surrogatepass")) for s in found], np.uint32))
 
 
 def fingerprint(sigs: np.ndarray) -> str:
-    from xxhash import xxh3_128_hexdigest
+    return sigs.astype(">u4").tobytes().hex()
 
-    return f"{len(sigs):x}-{xxh3_128_hexdigest(sigs.tobytes())}"
+
+def parse(text: str) -> np.ndarray:
+    """The signatures of a fingerprint."""
+    return np.frombuffer(bytes.fromhex(text), ">u4").astype(np.uint32)
+
+
+def likeness(a: str, b: str, threshold: float = 0.0) -> float:
+    """Likeness of two fingerprints; 0 as soon as it can't reach the threshold."""
+    return jaccard(parse(a), parse(b), threshold)
 
 
 def jaccard(a: np.ndarray, b: np.ndarray, threshold: float = 0.0) -> float:

@@ -247,6 +247,31 @@ def test_fingerprints(spark, part):
         assert (r["fingerprint"] == r["edited_fingerprint"]) >= (t == new)
 
 
+def _spots(text):
+    """Signatures by the definition, as text."""
+    ws = re.findall(r"\w+", text.lower())
+    if not ws:
+        return {text}
+    out = set()
+    for k in range(-1, len(ws)):
+        if k < 0 or ws[k] in spotsigs.COMMON:
+            out.add(" ".join(["" if k < 0 else ws[k], *[w for w in ws[k + 1 :] if w not in spotsigs.COMMON][:2]]))
+    return out
+
+
+def test_fingerprints_are_the_signature_sets(spark):
+    rows = sorted([*corpus(9), (9000, "the cat and the dog sat"), (9001, "The cat, and the dog sat."), (9002, "?!"), (9003, "of the"), (9004, "cat")])
+    got = {r["doc_id"]: r for r in spotsigs.compare_edited(documents(spark, rows)).collect()}
+    for k, (i, t) in enumerate(rows):
+        t, following = t or "", rows[(k + 1) % len(rows)][1] or ""
+        a, b, c = _spots(t), _spots(spotsigs.edited(t, following)), _spots(following)
+        r = got[i]
+        assert len(r["fingerprint"]) == 8 * len(a) and len(r["edited_fingerprint"]) == 8 * len(b)
+        assert r["near_edited"] == pytest.approx(len(a & b) / len(a | b)) == spotsigs.likeness(r["fingerprint"], r["edited_fingerprint"])
+        assert r["near_next"] == pytest.approx(len(a & c) / len(a | c))
+    assert got[9000]["near_next"] == 1.0 and got[9000]["fingerprint"] == got[9001]["fingerprint"]
+
+
 def test_fingerprints_edges(spark):
     assert spotsigs.compare_edited(documents(spark, [])).count() == 0
     alone = spotsigs.compare_edited(documents(spark, [(4, "the one alone")])).first()

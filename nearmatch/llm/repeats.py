@@ -41,6 +41,8 @@ HOT = 2000
 PIECE = 1 << 19
 #: Units that the anchors are computed for at once, and bytes of an Arrow batch of spans.
 BLOCK = 1 << 17
+#: Marks that are gathered by class before they are passed on.
+PLACED = 50_000
 #: Stands for a null doc_id: after all others.
 LAST = (1 << 63) - 1
 #: For the smallest id, of operators that don't ask for it.
@@ -301,7 +303,7 @@ def _with_lists(b: pa.RecordBatch) -> Iterator[tuple]:
 class _Kinds:
     """Equal parts of one key within a batch, with their places."""
 
-    TYPES = "key binary, c binary, p int, q int, content binary, weight long, did long, places array<struct<cid:long,did:long,weight:long,lo:long>>"
+    TYPES = "batch long, key binary, c binary, p int, q int, content binary, weight long, did long, places array<struct<cid:long,did:long,weight:long,lo:long>>"
 
     def __init__(self) -> None:
         self.places: dict[tuple[bytes, int, int, bytes], list[dict]] = {}
@@ -318,10 +320,28 @@ class _Kinds:
         from xxhash import xxh3_128_digest
 
         place = pa.struct([(c, pa.int64()) for c in ("cid", "did", "weight", "lo")])
-        kinds = (pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.list_(place))
-        rows = [(key, xxh3_128_digest(b"%b %d %d %b" % (key, p, q, content)), p, q, content, sum(x["weight"] for x in at), min(x["did"] for x in at), at) for (key, p, q, content), at in self.places.items()]
+        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.list_(place))
+        number = next(iter(self.places.values()))[0]["cid"]
+        rows = [(number, key, xxh3_128_digest(b"%b %d %d %b" % (key, p, q, content)), p, q, content, sum(x["weight"] for x in at), min(x["did"] for x in at), at) for (key, p, q, content), at in self.places.items()]
         self.__init__()
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=["key", "c", "p", "q", "content", "weight", "did", "places"])
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=["batch", "key", "c", "p", "q", "content", "weight", "did", "places"])
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """cid, marks from places of kinds and the kinds' marks (a, b, least): one row for each class that some rows in a row have."""
+    mark = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64()), ("own", pa.bool_())]))
+    found: dict[int, list[dict]] = {}
+    held = 0
+    for batch in batches:
+        for places, marks in _rows(batch):
+            for s in places:
+                found.setdefault(s["cid"], []).extend({"lo": s["lo"] + m["a"], "hi": s["lo"] + m["b"], "own": m["least"] == s["did"]} for m in marks)
+            held += len(places) * len(marks)
+            if held > PLACED:
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), mark)], names=["cid", "marks"])
+                found, held = {}, 0
+    if found:
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), mark)], names=["cid", "marks"])
 
 
 def halves(n: int, p: int, q: int, length: int) -> Iterator[tuple[int, int, int, int]]:
@@ -379,9 +399,8 @@ def _hot_marks(texts: DataFrame, units: Units, decide: Decide, hot: int) -> Data
         found = settle(ready, ["c", "places"], "c binary, places long", decide)
         entries = found.groupBy("c").agg(F.first("places").alias("n"), F.collect_list(F.struct("a", "b", "least")).alias("marks"))
         entries = materialize(entries, "kind-marks")
-        placed = lookup(parts.select("c", F.explode("places").alias("at")).select("c", "at.cid", "at.did", "at.lo"), entries, "c", "n", "cid")
-        moved = F.transform("found.marks", lambda m: F.struct((F.col("lo") + m["a"]).alias("lo"), (F.col("lo") + m["b"]).alias("hi"), (m["least"] == F.col("did")).alias("own")))
-        done.append(placed.where("found IS NOT NULL").select("cid", moved.alias("marks")))
+        placed = lookup(parts.select("batch", "c", "places"), entries, "c", "n", "batch").where("found IS NOT NULL")
+        done.append(placed.select("places", "found.marks").mapInArrow(_placed, "cid long, marks array<struct<lo:long,hi:long,own:boolean>>"))
         full = keys.where(F.col("kinds") > hot)
         if full.isEmpty():
             break

@@ -38,14 +38,14 @@ def box_sum(plane: np.ndarray, size: int = BOX) -> np.ndarray:
 
 
 def _weights(source: int) -> np.ndarray:
-    """Two-tap linear weights to N places; indexes are clamped after the weight is taken."""
+    """Two-tap linear weights to N places. The first place is clamped after the weight is taken; the second is the one after it, if there is any."""
     at = (np.arange(N) + 0.5) * (source / N) - 0.5
     low = np.floor(at).astype(int)
     w = at - low
+    first = np.clip(low, 0, source - 1)
     out = np.zeros((N, source))
-    for d in range(N):
-        out[d, min(max(low[d], 0), source - 1)] += 1 - w[d]
-        out[d, min(max(low[d] + 1, 0), source - 1)] += w[d]
+    np.add.at(out, (np.arange(N), first), 1 - w)
+    np.add.at(out, (np.arange(N), np.minimum(first + 1, source - 1)), w)
     return out
 
 
@@ -93,6 +93,24 @@ def phash(luma: Column, width: Column, height: Column) -> Column:
     return run(luma, width, height)
 
 
+def phash_or_fatal(luma: Column, width: Column, height: Column) -> Column:
+    """As phash, as h of a struct; fatal where the hash function itself failed, which says something of the whole video."""
+
+    @F.pandas_udf("h long, fatal boolean")
+    def run(a: pd.Series, w: pd.Series, h: pd.Series) -> pd.DataFrame:
+        found, fatal = [], []
+        for x, y, z in zip(a, w, h):
+            try:
+                found.append(hash_plane(x, None if pd.isna(y) else int(y), None if pd.isna(z) else int(z)))
+                fatal.append(False)
+            except Exception:  # noqa: BLE001  whatever it is, it is told by the flag
+                found.append(None)
+                fatal.append(True)
+        return pd.DataFrame({"h": pd.Series(found, dtype="Int64"), "fatal": fatal})
+
+    return run(luma, width, height)
+
+
 def phash_tile(tile: Column) -> Column:
     """The hash of each 32x32 tile, an array of 1024 numbers."""
 

@@ -53,13 +53,41 @@ def updated_videos(videos: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def delete_plan(videos: DataFrame, selected: DataFrame, mode: str = "list") -> tuple[DataFrame, DataFrame]:
-    """(what stays, what goes): mode says how far: list, database or disk. Applying it is the caller's."""
+    """(what stays, what goes): mode says how far: list, database (``Store.delete_videos``) or disk (``delete_files`` first). Applying it is the caller's."""
     if mode not in ("list", "database", "disk"):
         raise ValueError(f"unknown mode: {mode}")
-    gone = videos.join(selected.select("id"), "id", "left_semi").withColumn("mode", F.lit(mode))
+    gone = selected_rows(videos, selected).withColumn("mode", F.lit(mode))
     return videos.join(selected.select("id"), "id", "left_anti"), gone
 
 
+def selected_rows(rows: DataFrame, chosen: DataFrame, key: str = "id") -> DataFrame:
+    """rows whose key is among those chosen."""
+    return rows.join(chosen.select(key), key, "left_semi")
+
+
+def delete_files(gone: DataFrame) -> DataFrame:
+    """Remove the files of what goes (id, path) from disk, where the files are; id and error, null if it went well or there was no file.
+
+    Rows of files that can't be removed are for the caller to report; they go from the tables as the others do.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            errors = []
+            for path in pdf["path"]:
+                try:
+                    if path:
+                        os.remove(path)
+                    errors.append(None)
+                except FileNotFoundError:
+                    errors.append(None)
+                except OSError as e:
+                    errors.append(str(e))
+            yield pd.DataFrame({"id": pdf["id"], "error": errors})
+
+    return gone.select(F.col("id").cast("long"), "path").mapInPandas(run, "id long, error string")
+
+
 def replace_by_link(source: str, target: str) -> None:
     """Make target a hard link of source in one step: link beside it, then rename over it."""
     beside = f"{target}.{uuid.uuid4().hex}.link"

@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearmatch.functions.media import extension, file_name, parent_path
@@ -46,15 +48,28 @@ def glob_to_regex(glob: str) -> str:
     return "^" + "".join({"*": ".*", "?": "."}.get(c, re.escape(c) if not c.isalnum() and c != "_" else c) for c in glob) + "$"
 
 
+def pattern_error(pattern: str) -> str | None:
+    """What is wrong with a pattern in the dialect that runs it, Java's; without a session, in Python's."""
+    spark = SparkSession.getActiveSession()
+    try:
+        if spark is None:
+            re.compile(pattern)
+        else:
+            spark._jvm.java.util.regex.Pattern.compile(pattern)
+    except re.error as e:
+        return str(e)
+    except (PySparkException, Py4JJavaError) as e:  # Spark's session shows known Java exceptions as its own
+        return str(e).splitlines()[0]
+    return None
+
+
 def compile_patterns(patterns: Iterable[str], use_glob: bool = False, ignore_case: bool = False) -> tuple[list[str], list[str]]:
     """Patterns for rlike, and an error line for each invalid one, which is left out."""
     good, errors = [], []
     for raw in patterns:
         pattern = glob_to_regex(raw) if use_glob else raw
-        try:
-            re.compile(pattern)
-        except re.error as e:
-            errors.append(f"{raw} ➜ {e}")
+        if wrong := pattern_error(pattern):
+            errors.append(f"{raw} ➜ {wrong}")
             continue
         good.append(f"(?i){pattern}" if ignore_case else pattern)
     return good, errors

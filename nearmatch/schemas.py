@@ -15,7 +15,7 @@ HASH_BLOB = "video_id int, hash_blob binary"
 HASH_LONG = "video_id int, pos int, h long"
 DUP_GROUP = "group_id int, created_at timestamp"
 DUP_GROUP_MAP = "group_id int, video_id int"
-FRAME = "video_id int, pts long, tb_num int, tb_den int, w int, h int, luma binary"
+FRAME = "video_id int, pts long, tb_num int, tb_den int, w int, h int, luma binary, key boolean, fatal boolean"
 #: One row at most; declared for parity with no reader or writer.
 HARDWARE_FILTER = "id int, path string"
 

@@ -6,11 +6,14 @@ import os
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearmatch import schemas
 from nearmatch.functions.media import local_time, normal_path
+from nearmatch.sources.shared import materialize
 
 
 def recursive_for(root: str, directories: Iterable[tuple[str, bool]]) -> bool:
@@ -32,10 +35,75 @@ def check_roots(spark: SparkSession, roots: Iterable[str]) -> tuple[list[str], l
     return good, errors
 
 
+def _listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What stands in each folder: path, size, seconds of its last change, and whether it is a folder. Folders that can't be read are passed over."""
+    for pdf in batches:
+        rows = []
+        for folder in pdf["folder"]:
+            try:
+                with os.scandir(folder) as found:
+                    for x in found:
+                        try:
+                            if x.is_dir(follow_symlinks=False):
+                                rows.append((x.path, 0, 0, True))
+                            elif x.is_file():
+                                s = x.stat()
+                                rows.append((x.path, s.st_size, int(s.st_mtime), False))
+                        except OSError:
+                            continue
+            except OSError:
+                continue
+        yield pd.DataFrame(rows, columns=["path", "size", "seconds", "folder"]).astype({"size": "int64", "seconds": "int64", "folder": "bool"})
+
+
+def _walk(spark: SparkSession, root: str, recursive: bool) -> DataFrame:
+    """path, size, seconds of the files of a mounted folder. One job for each level of folders, whose folders are dealt over the executors."""
+    kind, empty = "path string, size long, seconds long, folder boolean", "path string, size long, seconds long"
+    files = spark.createDataFrame([], empty)
+    folders = spark.createDataFrame([(root,)], "folder string")
+    while True:
+        level = materialize(folders.mapInPandas(_listed, kind), "listing")
+        files = files.unionByName(level.where("NOT folder").drop("folder"))
+        below = level.where("folder").select(F.col("path").alias("folder"))
+        if not recursive or below.isEmpty():
+            return files
+        folders = below.repartition("folder")
+
+
+def _walk_hadoop(spark: SparkSession, root: str, recursive: bool) -> DataFrame:
+    """The same for a folder that only Spark's file systems open, listed by the driver."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    rows, folders = [], [path]
+    while folders:
+        folder = folders.pop()
+        try:
+            found = list(fs.listStatus(folder))
+        except (PySparkException, Py4JJavaError):
+            if folder is path:
+                raise
+            continue
+        for x in found:
+            if x.isFile():
+                rows.append((x.getPath().toString(), x.getLen(), x.getModificationTime() // 1000))
+            elif recursive and x.isDirectory():
+                folders.append(x.getPath())
+    return spark.createDataFrame(rows, "path string, size long, seconds long")
+
+
 def scan(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
-    """path, size, modified_at of the files below root. Contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root if recursive else f"{root.rstrip('/')}/*")
-    return files.select(normal_path(F.col("path")).alias("path"), F.col("length").alias("size"), local_time(F.col("modificationTime")).alias("modified_at"))
+    """path, size, modified_at of the files in root, and in all folders below it if recursive.
+
+    Whatever their names: hidden files and folders count. Links to files count
+    as files, links to folders aren't followed; folders that can't be read are
+    passed over; an empty root has no files. Contents are not read.
+    """
+    local = root.removeprefix("file:")
+    if local.startswith("/"):
+        files = _walk(spark, "/" + local.lstrip("/"), recursive)
+    else:
+        files = _walk_hadoop(spark, root, recursive)
+    return files.select(normal_path(F.col("path")).alias("path"), "size", local_time(F.timestamp_seconds("seconds")).alias("modified_at"))
 
 
 def scan_all(spark: SparkSession, roots: Iterable[str], directories: Iterable[tuple[str, bool]] = ()) -> DataFrame:
@@ -56,17 +124,19 @@ def union_directories(scans: list[DataFrame]) -> DataFrame:
 
 
 def with_identity(files: DataFrame) -> DataFrame:
-    """The file table: adds inode, device and link count, where executors can see the files; 0, 0 and 1 elsewhere."""
+    """The file table: adds inode, device and link count. Files of a mounted folder that can't be asked are left out; files of other stores have 0, 0 and 1."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found = []
             for path in pdf["path"]:
                 try:
-                    s = os.stat(path)
-                    found.append((s.st_ino, s.st_dev, s.st_nlink))
+                    s = os.stat(path) if path.startswith("/") else None
+                    found.append((s.st_ino, s.st_dev, s.st_nlink) if s else (0, 0, 1))
                 except OSError:
-                    found.append((0, 0, 1))
+                    found.append(None)
+            known = [x is not None for x in found]
+            pdf, found = pdf[known], [x for x in found if x is not None]
             inode, device, links = zip(*found) if found else ((), (), ())
             yield pd.DataFrame({"path": pdf["path"], "size": pdf["size"], "inode": inode, "device": device, "num_hard_links": links, "modified_at": pdf["modified_at"]})
 

@@ -24,8 +24,11 @@ class Adapter(Protocol):
     def probe(self, path: str) -> dict[str, Any] | None:
         """Columns of the video table from one file, or none if it can't be read. Of several streams of a kind the last counts."""
 
-    def frames(self, path: str) -> Iterator[tuple[int | None, int, int, int, int, bytes]]:
-        """pts, timebase numerator and denominator, width, height and luma of each frame, in order."""
+    def frames(self, path: str) -> Iterator[tuple]:
+        """pts, timebase numerator and denominator, width, height and luma of each frame, in order; and whether it is a keyframe, if that is known.
+
+        An exception says that the file can't be decoded any further: its hashes are discarded.
+        """
 
 
 class PgmAdapter:
@@ -35,22 +38,25 @@ class PgmAdapter:
 
     def frames(self, path: str) -> Iterator[tuple[int | None, int, int, int, int, bytes]]:
         with open(path, "rb") as f:
-            data = f.read()
-        at = n = 0
-        while m := self._head.match(data, at):
-            w, h = int(m[1]), int(m[2])
-            at = m.end() + w * h
-            yield n, 1, 1, w, h, data[m.end() : at]
-            n += 1
+            n, rest = 0, f.read(64)
+            while m := self._head.match(rest):
+                w, h = int(m[1]), int(m[2])
+                data = rest[m.end() :] + f.read(max(0, w * h - len(rest) + m.end()))
+                yield n, 1, 1, w, h, data[: w * h]
+                rest = data[w * h :]
+                rest += f.read(64 - len(rest))
+                n += 1
 
     def probe(self, path: str) -> dict[str, Any] | None:
+        n, last = 0, None
         try:
-            found = list(self.frames(path))
+            for last in self.frames(path):
+                n += 1
         except OSError:
             return None
-        if not found:
+        if last is None:
             return None
-        return {"video_codec": "pgm", "pix_fmt": "gray", "profile": "unknown", "level": 0, "width": found[-1][3], "height": found[-1][4], "duration": len(found), "avg_frame_rate": 1.0, "bit_rate": 0, "sample_rate_avg": 0}
+        return {"video_codec": "pgm", "pix_fmt": "gray", "profile": "unknown", "level": 0, "width": last[3], "height": last[4], "duration": n, "avg_frame_rate": 1.0, "bit_rate": 0, "sample_rate_avg": 0}
 
 
 def probe_files(files: DataFrame, adapter: Adapter) -> DataFrame:
@@ -58,9 +64,15 @@ def probe_files(files: DataFrame, adapter: Adapter) -> DataFrame:
     names = [f.name for f in schemas.struct(schemas.VIDEO) if f.name not in {"id", "thumbnail_path", *files.columns}]
     kinds = {f.name: f.dataType.simpleString() for f in schemas.struct(schemas.VIDEO)}
 
+    def probe(path: str) -> dict[str, Any] | None:
+        try:
+            return adapter.probe(path)
+        except Exception:  # noqa: BLE001  an adapter's failure is the file's, and the search goes on
+            return None
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [adapter.probe(p) for p in pdf["path"]]
+            found = [probe(p) for p in pdf["path"]]
             more = {n: pd.array([None if x is None else x.get(n) for x in found], dtype={"int": "Int32", "bigint": "Int64", "double": "Float64"}.get(kinds[n], "object")) for n in names}
             yield pdf.assign(**more, ok=[x is not None for x in found])
 
@@ -68,15 +80,30 @@ def probe_files(files: DataFrame, adapter: Adapter) -> DataFrame:
     return files.mapInPandas(run, schema)
 
 
+#: Bytes of luma of one batch of frames.
+FRAME_BYTES = 32 << 20
+
+
 def read_frames(videos: DataFrame, adapter: Adapter) -> DataFrame:
-    """The frame table of videos(id, path), one batch per file at most in memory."""
+    """The frame table of videos(id, path), in batches of at most FRAME_BYTES or one frame. Where the adapter fails, a row without a frame and with fatal."""
+    columns = ["video_id", "pts", "tb_num", "tb_den", "w", "h", "luma", "key", "fatal"]
+    kinds = dict.fromkeys(columns[1:6], "Int64")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for vid, path in zip(pdf["id"], pdf["path"]):
-                rows = [(vid, *f) for f in adapter.frames(path)]
-                out = pd.DataFrame(rows, columns=["video_id", "pts", "tb_num", "tb_den", "w", "h", "luma"])
-                yield out.assign(pts=out["pts"].astype("Int64"))
+                rows, held = [], 0
+                try:
+                    for pts, num, den, w, h, luma, *key in adapter.frames(path):
+                        rows.append((vid, pts, num, den, w, h, luma, key[0] if key else True, False))
+                        held += len(luma)
+                        if held >= FRAME_BYTES:
+                            yield pd.DataFrame(rows, columns=columns).astype(kinds)
+                            rows, held = [], 0
+                except Exception:  # noqa: BLE001  as for probes
+                    rows.append((vid, None, None, None, None, None, None, False, True))
+                if rows:
+                    yield pd.DataFrame(rows, columns=columns).astype(kinds)
 
     return videos.select("id", "path").mapInPandas(run, schemas.FRAME)
 
@@ -84,34 +111,49 @@ def read_frames(videos: DataFrame, adapter: Adapter) -> DataFrame:
 def hash_frames(frames: DataFrame, params: SearchParams, durations: DataFrame) -> DataFrame:
     """hash rows (video_id, pos, h) of frames by the method of params; durations has video_id and duration.
 
-    Fast: the first frames at or after 30 and 70 percent of the duration; both
-    or none. Slow: one frame a second, by the greedy sampler.
+    Fast: the first frames at or after 30 and 70 percent of the duration, or the
+    keyframes that a seek to these ends at; both or none. Slow: one frame a
+    second, by the greedy sampler, of keyframes alone if so set. A video of
+    which a frame failed fatally has no hashes.
     """
-    return SAMPLERS[params.method](frames, durations)
+    return SAMPLERS[params.method](frames, durations, params)
 
 
-def _fast(frames: DataFrame, durations: DataFrame) -> DataFrame:
+def _fast(frames: DataFrame, durations: DataFrame, params: SearchParams) -> DataFrame:
     from nearmatch.functions.hashing import usable
     from nearmatch.functions.media import seconds_to_pts, seek_targets
-    from nearmatch.functions.phash import phash
-    from nearmatch.operators.sampling import both_or_none
+    from nearmatch.functions.phash import phash_or_fatal
+    from nearmatch.operators.sampling import both_or_none, without_fatal
 
+    frames = without_fatal(frames, "video_id", "fatal")
     targets = durations.select("video_id", F.posexplode(seek_targets(F.col("duration"))).alias("pos", "t"))
-    near = frames.join(targets, "video_id").where(F.col("pts") >= seconds_to_pts(F.col("t"), F.col("tb_num"), F.col("tb_den")))
-    picked = near.groupBy("video_id", "pos").agg(F.min_by(F.struct("luma", "w", "h"), "pts").alias("f"))
-    hashed = picked.select("video_id", "pos", phash(F.col("f.luma"), F.col("f.w"), F.col("f.h")).alias("h")).where(usable(F.col("h")))
-    return both_or_none(hashed, "video_id")
-
-
-def _slow(frames: DataFrame, durations: DataFrame) -> DataFrame:
+    at = seconds_to_pts(F.col("t"), F.col("tb_num"), F.col("tb_den"))
+    near = frames.join(targets, "video_id").where("pts IS NOT NULL").withColumn("at", at)
+    if params.fastHash.useKeyframesOnly:  # the last keyframe up to the target; before the first one, that one
+        near = near.where("key")
+        order = F.struct(F.col("pts") > F.col("at"), F.abs(F.col("pts") - F.col("at")))
+    else:
+        near = near.where(F.col("pts") >= F.col("at"))
+        order = F.col("pts")
+    picked = near.groupBy("video_id", "pos").agg(F.min_by(F.struct("luma", "w", "h"), order).alias("f"))
+    hashed = picked.select("video_id", "pos", phash_or_fatal(F.col("f.luma"), F.col("f.w"), F.col("f.h")).alias("f"))
+    hashed = without_fatal(hashed.select("video_id", "pos", "f.h", "f.fatal"), "video_id", "fatal").drop("fatal")
+    return both_or_none(hashed.where(usable(F.col("h"))), "video_id")
+
+
+def _slow(frames: DataFrame, durations: DataFrame, params: SearchParams) -> DataFrame:
     from nearmatch.functions.hashing import usable
-    from nearmatch.functions.phash import phash
-    from nearmatch.operators.sampling import sample_frames
+    from nearmatch.functions.phash import phash_or_fatal
+    from nearmatch.operators.sampling import sample_frames, without_fatal
 
+    frames = without_fatal(frames, "video_id", "fatal").drop("fatal")
+    if params.slowHash.useKeyframesOnly:
+        frames = frames.where("key")
     timed = frames.join(durations.select("video_id"), "video_id").withColumn("_t", F.col("pts") * F.col("tb_num") / F.col("tb_den"))
     known = sample_frames(timed.where("_t IS NOT NULL"), "video_id", "_t", 1.0, "pts").where("due").drop("due")
     due = known.unionByName(timed.where("_t IS NULL"))
-    hashed = due.select("video_id", F.coalesce(F.col("pts"), F.lit(-1)).cast("int").alias("pos"), phash(F.col("luma"), F.col("w"), F.col("h")).alias("h"))
+    hashed = due.select("video_id", F.coalesce(F.col("pts"), F.lit(-1)).cast("int").alias("pos"), phash_or_fatal(F.col("luma"), F.col("w"), F.col("h")).alias("f"))
+    hashed = without_fatal(hashed.select("video_id", "pos", "f.h", "f.fatal"), "video_id", "fatal").drop("fatal")
     return hashed.where(usable(F.col("h")))
 
 

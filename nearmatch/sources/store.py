@@ -1,13 +1,16 @@
 """The catalog of videos, hashes and groups: Parquet tables below one folder.
 
-A change writes a new version of a table beside the old one and then names it
-in the table's pointer file, in one rename: readers see the old or the new
-version, never a mixture. Versions that the pointer no longer names can be
-removed by ``vacuum``.
+A change writes new versions of the tables that it touches beside the old ones,
+and then one commit file that names the version of every table. Commit files
+are numbered and never changed: the one of the highest number holds. Readers
+see all tables before a change or all after it, and a change that is cut off
+before its commit file stands has not happened. Versions that the last commit
+doesn't name can be removed by ``vacuum``.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -20,11 +23,40 @@ from nearmatch.sources.shared import materialize
 TABLES = {"video": schemas.VIDEO, "hash": schemas.HASH, "dup_group": schemas.DUP_GROUP, "dup_group_map": schemas.DUP_GROUP_MAP, "app_settings": schemas.APP_SETTINGS}
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """old with the columns of new where a row's key is in both; null in new keeps the old value. No rows are added."""
-    named = new.dropDuplicates([key]).select(F.col(key), *[F.col(c).alias(f"_new_{c}") for c in new.columns if c != key])
+def upsert(old: DataFrame, new: DataFrame, key: str, whole: bool = False) -> DataFrame:
+    """old with the columns of new where a row's key is in both; null in new keeps the old value, unless whole rows are written. No rows are added."""
+    named = new.dropDuplicates([key]).select(F.col(key), F.lit(True).alias("_found"), *[F.col(c).alias(f"_new_{c}") for c in new.columns if c != key])
     joined = old.join(named, key, "left")
-    return joined.select(*[F.coalesce(F.col(f"_new_{c}"), F.col(c)).alias(c) if c != key and c in new.columns else F.col(c) for c in old.columns])
+
+    def value(c: str) -> Column:
+        changed = F.col("_found") if whole else F.col(f"_new_{c}").isNotNull()
+        return F.when(changed, F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c)
+
+    return joined.select(*[value(c) if c != key and c in new.columns else F.col(c) for c in old.columns])
+
+
+def put(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """old with the rows of new in place of those with the same key, or added."""
+    return old.join(new.select(key), key, "left_anti").unionByName(new)
+
+
+def with_value(rows: DataFrame, key: str, wanted: int, column: str, value: int) -> DataFrame:
+    """rows with a value in a column of the row with the wanted key."""
+    changed = F.when(F.col(key) == wanted, F.lit(value)).otherwise(F.col(column))
+    return rows.withColumn(column, changed)
+
+
+def without(rows: DataFrame, key: str, gone: DataFrame, gone_key: str) -> DataFrame:
+    """rows whose key isn't among those gone."""
+    return rows.join(gone.select(F.col(gone_key).alias(key)), key, "left_anti")
+
+
+def known_members(groups: DataFrame, members: DataFrame, videos: DataFrame) -> DataFrame:
+    """group_id, video_ids of each of groups(group_id): its members(group_id, video_id) among videos(id) in order; perhaps none."""
+    known = members.join(videos.select(F.col("id").alias("video_id")), "video_id", "left_semi")
+    found = known.groupBy("group_id").agg(F.sort_array(F.collect_list("video_id")).alias("video_ids"))
+    none = F.array().cast(found.schema["video_ids"].dataType)
+    return groups.select("group_id").distinct().join(found, "group_id", "left").withColumn("video_ids", F.coalesce("video_ids", none))
 
 
 def with_ids(rows: DataFrame, start: int, *order: str | Column, name: str = "id") -> DataFrame:
@@ -62,44 +94,63 @@ class Store:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
         self._jvm = spark._jvm
-        root = self._hadoop(self.path)
-        self.fs = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-        self.fs.mkdirs(root)
-        for name in TABLES:
-            if self._version(name) is None:
-                self.write(name, spark.createDataFrame([], TABLES[name]))
+        self.log = self._hadoop(f"{self.path}/_commits")
+        self.fs = self.log.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        self.fs.mkdirs(self.log)
+        if missing := {n: spark.createDataFrame([], TABLES[n]) for n in TABLES if n not in self._versions()[1]}:
+            self.commit(missing)
 
     def _hadoop(self, path: str):
         return self._jvm.org.apache.hadoop.fs.Path(path)
 
-    def _version(self, name: str) -> str | None:
-        at = self._hadoop(f"{self.path}/{name}.current")
-        if not self.fs.exists(at):
-            return None
-        return next(x.getPath().getName() for x in self.fs.listStatus(at))
+    def _commits(self) -> list[str]:
+        names = [x.getPath().getName() for x in self.fs.listStatus(self.log)]
+        return sorted(n for n in names if n.endswith(".json"))
+
+    def _versions(self) -> tuple[int, dict[str, str]]:
+        """Number of the last commit, and the version of each table."""
+        names = self._commits()
+        if not names:
+            return 0, {}
+        stream = self.fs.open(self._hadoop(f"{self.path}/_commits/{names[-1]}"))
+        try:
+            text = bytes(stream.readAllBytes()).decode("utf-8")
+        finally:
+            stream.close()
+        return int(names[-1].removesuffix(".json")), json.loads(text)
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.schema(schemas.struct(TABLES[name])).parquet(f"{self.path}/{name}/{self._version(name)}")
+        return self.spark.read.schema(schemas.struct(TABLES[name])).parquet(f"{self.path}/{name}/{self._versions()[1][name]}")
+
+    def commit(self, tables: dict[str, DataFrame]) -> None:
+        """Replace tables, all of them or none."""
+        number, versions = self._versions()
+        for name, rows in tables.items():
+            version = uuid.uuid4().hex
+            target = schemas.struct(TABLES[name])
+            rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in target]).write.parquet(f"{self.path}/{name}/{version}")
+            versions = {**versions, name: version}
+        # the file is written whole under a name that no reader looks at
+        beside, now = self._hadoop(f"{self.path}/_commits/{uuid.uuid4().hex}.new"), self._hadoop(f"{self.path}/_commits/{number + 1:012d}.json")
+        stream = self.fs.create(beside)
+        stream.write(bytearray(json.dumps(versions).encode("utf-8")))
+        stream.close()
+        if self.fs.exists(now) or not self.fs.rename(beside, now):
+            self.fs.delete(beside, False)
+            raise OSError(f"another change was committed meanwhile: {number + 1}")
 
     def write(self, name: str, rows: DataFrame) -> None:
         """Replace a table."""
-        version = uuid.uuid4().hex
-        target = schemas.struct(TABLES[name])
-        rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in target]).write.parquet(f"{self.path}/{name}/{version}")
-        # the pointer is a folder that holds one empty file, named as the version; the new one takes its place
-        new, now = self._hadoop(f"{self.path}/{name}.{version}"), self._hadoop(f"{self.path}/{name}.current")
-        self.fs.mkdirs(new)
-        self.fs.create(self._hadoop(f"{self.path}/{name}.{version}/{version}")).close()
-        if self.fs.exists(now):
-            self.fs.delete(now, True)
-        if not self.fs.rename(new, now):
-            raise OSError(f"cannot publish {name}")
+        self.commit({name: rows})
 
     def vacuum(self) -> None:
+        versions = self._versions()[1]
         for name in TABLES:
             for x in self.fs.listStatus(self._hadoop(f"{self.path}/{name}")):
-                if x.getPath().getName() != self._version(name):
+                if x.getPath().getName() != versions[name]:
                     self.fs.delete(x.getPath(), True)
+        for name in self._commits()[:-1]:
+            self.fs.delete(self._hadoop(f"{self.path}/_commits/{name}"), False)
 
     def insert_videos(self, rows: DataFrame) -> DataFrame:
         """Append rows without ids, in the order of their paths; returns what was added. Paths may occur twice."""
@@ -116,35 +167,33 @@ class Store:
         self.write("hash", old.unionByName(new.select("video_id", "hashes")))
 
     def update_videos(self, rows: DataFrame) -> None:
-        self.write("video", upsert(self.read("video"), rows, "id"))
+        """Write whole rows over those with their ids; null is written too."""
+        self.write("video", upsert(self.read("video"), rows, "id", whole=True))
 
     def set_link_count(self, video_id: int, n: int) -> None:
-        v = self.read("video")
-        self.write("video", v.withColumn("num_hard_links", F.when(F.col("id") == video_id, F.lit(n)).otherwise(F.col("num_hard_links"))))
+        self.write("video", with_value(self.read("video"), "id", video_id, "num_hard_links", n))
 
     def copy_metadata(self, source_id: int, target_id: int) -> None:
         self.write("video", copy_metadata(self.read("video"), source_id, target_id))
 
     def delete_videos(self, ids: DataFrame) -> None:
-        """Videos with their hashes and memberships; their groups stay, perhaps empty."""
-        gone = ids.select(F.col("id"))
-        self.write("video", self.read("video").join(gone, "id", "left_anti"))
-        for name in ("hash", "dup_group_map"):
-            self.write(name, self.read(name).join(gone.withColumnRenamed("id", "video_id"), "video_id", "left_anti"))
+        """Videos with their hashes and memberships, at once; their groups stay, perhaps empty."""
+        keys = {"video": "id", "hash": "video_id", "dup_group_map": "video_id"}
+        self.commit({name: without(self.read(name), key, ids, "id") for name, key in keys.items()})
 
     def store_groups(self, groups: DataFrame) -> None:
-        """Replace all groups by (group_id, video_id), groups of one included."""
-        self.write("dup_group", groups.select("group_id").distinct().withColumn("created_at", F.current_timestamp()))
-        self.write("dup_group_map", groups)
+        """Replace all groups by (group_id, video_id), groups of one included; both tables at once, from one evaluation of groups."""
+        groups = materialize(groups, "groups")
+        heads = groups.select("group_id").distinct().withColumn("created_at", F.current_timestamp())
+        self.commit({"dup_group": heads, "dup_group_map": groups})
 
     def load_groups(self) -> DataFrame:
         """group_id and its members' ids in order; members that are no videos any more are left out, groups stay."""
-        known = self.read("dup_group_map").join(self.read("video").select(F.col("id").alias("video_id")), "video_id", "left_semi")
-        members = known.groupBy("group_id").agg(F.sort_array(F.collect_list("video_id")).alias("video_ids"))
-        return self.read("dup_group").select("group_id").join(members, "group_id", "left").withColumn("video_ids", F.coalesce("video_ids", F.array().cast("array<int>")))
+        return known_members(self.read("dup_group"), self.read("dup_group_map"), self.read("video"))
 
     def save_settings(self, params: SearchParams) -> None:
-        self.write("app_settings", self.spark.createDataFrame([(1, params.to_json())], schemas.APP_SETTINGS))
+        row = self.spark.createDataFrame([(1, params.to_json())], schemas.APP_SETTINGS)
+        self.write("app_settings", put(self.read("app_settings"), row, "id"))
 
     def load_settings(self) -> SearchParams:
         row = self.read("app_settings").where("id = 1").first()
@@ -153,8 +202,6 @@ class Store:
 
 def read_config(path: str) -> str | None:
     """dbPath of a config file, if it is a text that isn't empty."""
-    import json
-
     try:
         with open(path, encoding="utf-8") as f:
             found = json.load(f).get("dbPath")
@@ -164,7 +211,5 @@ def read_config(path: str) -> str | None:
 
 
 def write_config(path: str, db_path: str) -> None:
-    import json
-
     with open(path, "w", encoding="utf-8") as f:
         json.dump({"dbPath": db_path}, f)

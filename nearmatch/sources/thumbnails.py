@@ -53,7 +53,7 @@ def write_thumbnails(videos: DataFrame, folder: str, adapter: Adapter, n: int =
             for path, rows in zip(pdf["path"], pdf["wanted"]):
                 left, made = [(r["at"], r["name"]) for r in rows], []
                 try:
-                    for pts, num, den, w, h, luma in adapter.frames(path):
+                    for pts, num, den, w, h, luma, *_ in adapter.frames(path):
                         while left and pts is not None and pts * num / den >= left[0][0]:
                             target = os.path.join(folder, left.pop(0)[1])
                             with open(target, "wb") as f:
@@ -61,7 +61,7 @@ def write_thumbnails(videos: DataFrame, folder: str, adapter: Adapter, n: int =
                             made.append(target)
                         if not left:
                             break
-                except OSError:
+                except Exception:  # noqa: BLE001  what an adapter can't decode has the thumbnails made so far
                     pass
                 found.append(made)
             yield pd.DataFrame({"id": pdf["id"], "thumbnail_path": found})

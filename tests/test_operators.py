@@ -92,6 +92,13 @@ def test_filters():
     assert good == ["(?i)b"] and len(errors) == 1 and errors[0].startswith("a( ➜ ") and filters.error_text(errors).startswith("• a(")
 
 
+def test_patterns_are_checked_in_the_dialect_that_runs_them(spark):
+    good, errors = filters.compile_patterns(["(?P<y>a)b", "a{,2}", "[a&&b]", "(?<y>a)b", "x[", "*"])
+    assert good == ["[a&&b]", "(?<y>a)b"] and len(errors) == 4 and all("\n" not in e for e in errors)
+    df = spark.createDataFrame([("ab",)], "s string")
+    assert [filters.pattern_test(df, "s", p).first()["matches"] for p in ("(?P<y>a)b", "a{,2}", "(?<y>a)b")] == [False, False, True]
+
+
 def test_file_rules(spark):
     df = spark.createDataFrame([("/d/.mp4", 5), ("/d/A.MKV", 5), ("/d/x.mng", 5), ("/d/x.mxf", 10), ("/d/y.mp4", 11), ("/d/z.mp4", None), ("/d/t.txt", 7)], "path string, size long")
     ok = df.where(filters.by_extension(F.col("path"))).where(filters.by_size(F.col("size"), 5, 10))
@@ -142,6 +149,21 @@ def test_replace_by_link(tmp_path):
     assert b.read_text() == "a" and a.stat().st_ino == b.stat().st_ino and len(list(tmp_path.iterdir())) == 2
 
 
+def test_delete_files(spark, tmp_path):
+    (tmp_path / "a").write_text("a")
+    (tmp_path / "d").mkdir()
+    rows = [(1, str(tmp_path / "a")), (2, str(tmp_path / "gone")), (3, str(tmp_path / "d")), (4, None)]
+    _, gone = actions.delete_plan(spark.createDataFrame(rows, "id int, path string"), spark.createDataFrame([(k,) for k in (1, 2, 3, 4)], "id int"), "disk")
+    got = {r["id"]: r["error"] for r in actions.delete_files(gone).collect()}
+    assert got[1] is got[2] is got[4] is None and got[3] and not (tmp_path / "a").exists() and (tmp_path / "d").exists()
+
+
+def test_upsert_of_whole_rows_writes_null(spark):
+    old = spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0)], "id int, s string, x double")
+    new = spark.createDataFrame([(2, None, 5.0), (3, "c", 1.0)], "id int, s string, x double")
+    assert {tuple(r) for r in stores.upsert(old, new, "id", whole=True).collect()} == {(1, "a", 1.0), (2, None, 5.0)}
+
+
 def test_upsert_and_ids(spark):
     old = spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0)], "id int, s string, x double")
     new = spark.createDataFrame([(2, None, 5.0), (3, "c", 1.0)], "id int, s string, x double")

@@ -58,6 +58,106 @@ def test_search_keeps_all_failed_probes(spark, tmp_path):
     assert len(progress.errors) == 101 and progress.errors[-1] == "cannot read 5 more files, 105 in all"
 
 
+def test_scan_lists_every_file(spark, tmp_path):
+    import os
+
+    from nearmatch.sources import files
+
+    root = tmp_path / "root"
+    for name in ("a.mp4", "_b.mp4", ".c.mp4", "sub/x.mp4", "_hid/z.mp4", "sub/.deep/y.mp4", "sub/empty/"):
+        at = root / name
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.mkdir() if name.endswith("/") else at.write_text(name)
+    os.symlink(root / "a.mp4", root / "link.mp4")
+    os.symlink(root / "sub", root / "linked")
+    os.symlink(root / "nowhere", root / "broken.mp4")
+    names = lambda df: sorted(r["path"].removeprefix(f"{root}/") for r in df.collect())
+    top = [".c.mp4", "_b.mp4", "a.mp4", "link.mp4"]
+    assert names(files.scan(spark, str(root), recursive=False)) == top
+    every = sorted([*top, "_hid/z.mp4", "sub/.deep/y.mp4", "sub/x.mp4"])
+    assert names(files.scan(spark, str(root))) == names(files.scan(spark, f"file://{root}")) == every
+    assert names(files.scan(spark, str(root / "sub" / "empty"))) == []
+    assert sorted(p for p, _, _ in map(tuple, files._walk_hadoop(spark, str(root / "sub"), True).collect())) == [f"file:{root}/sub/{n}" for n in (".deep/y.mp4", "x.mp4")]
+    sizes = {r["path"]: (r["size"], r["num_hard_links"]) for r in files.with_identity(files.scan(spark, str(root), False)).collect()}
+    assert sizes[f"{root}/a.mp4"] == (5, 1)
+    gone = spark.createDataFrame([(f"{root}/gone.mp4", 1, "")], "path string, size long, modified_at string")
+    assert files.with_identity(gone).count() == 0
+
+
+def test_store_changes_all_tables_or_none(spark, tmp_path):
+    import pytest
+
+    store = Store(spark, str(tmp_path / "store"))
+    store.store_groups(spark.createDataFrame([(1, 1), (1, 2)], "group_id int, video_id int"))
+    before = store._versions()
+    rename = store.fs
+
+    class Cut:
+        """A file system that stops before a commit file stands."""
+
+        def __getattr__(self, name):
+            if name == "rename":
+                raise KeyboardInterrupt
+            return getattr(rename, name)
+
+    store.fs = Cut()
+    with pytest.raises(KeyboardInterrupt):
+        store.store_groups(spark.createDataFrame([(9, 9)], "group_id int, video_id int"))
+    again = Store(spark, str(tmp_path / "store"))
+    assert again._versions() == before and again.read("dup_group_map").count() == 2 and again.read("dup_group").count() == 1
+    again.vacuum()
+    assert again.read("dup_group_map").count() == 2 and Store(spark, str(tmp_path / "store")).read("dup_group").count() == 1
+
+
+def _failing():
+    class Failing(PgmAdapter):
+        """Fails as its files' names say; every fourth frame is a keyframe."""
+
+        def probe(self, path):
+            if "badprobe" in path:
+                raise ValueError("probe")
+            return PgmAdapter().probe(path)
+
+        def frames(self, path):
+            for k, f in enumerate(super().frames(path)):
+                if "late" in path and k == 8:
+                    raise ValueError("frame")
+                yield (*f, k % 4 == 0)
+
+    return Failing()
+
+
+def test_failures_of_adapters_are_those_of_their_files(spark, tmp_path):
+    media = tmp_path / "media"
+    media.mkdir()
+    for name, seed in (("good.mp4", 1), ("late.mp4", 1), ("badprobe.mp4", 1), ("copy.mp4", 1)):
+        _video(media / name, seed)
+    for method in (HashMethod.FAST, HashMethod.SLOW):
+        store = Store(spark, str(tmp_path / f"store{method}"))
+        found, progress = search(spark, store, SearchParams(directories=((str(media), True),), method=method, slowHash=SlowHash(useKeyframesOnly=False)), _failing())
+        assert (progress.found, progress.probed, progress.failed, progress.hashed) == (4, 3, 1, 2)
+        names = {r["id"]: r["path"].rsplit("/", 1)[1] for r in store.read("video").collect()}
+        assert {names[r["video_id"]] for r in store.read("hash").collect()} == {"good.mp4", "copy.mp4"}
+        assert {frozenset(names[v] for v in r["video_ids"]) for r in store.load_groups().collect()} == {frozenset({"good.mp4", "copy.mp4"}), frozenset({"late.mp4"})}
+
+
+def test_keyframe_modes(spark, tmp_path):
+    from nearmatch.functions.phash import hash_plane
+    from nearmatch.settings import FastHash
+    from nearmatch.sources.probe import hash_frames, read_frames
+
+    _video(tmp_path / "a.mp4", 5, frames=10)
+    planes = [f[5] for f in PgmAdapter().frames(str(tmp_path / "a.mp4"))]
+    frames = read_frames(spark.createDataFrame([(1, str(tmp_path / "a.mp4"))], "id int, path string"), _failing())
+    durations = spark.createDataFrame([(1, 10.0)], "video_id int, duration double")
+    got = lambda p: [r["h"] for r in hash_frames(frames, p, durations).orderBy("pos").collect()]
+    want = lambda *at: [hash_plane(planes[k], 50, 40) for k in at]
+    assert got(SearchParams(fastHash=FastHash(useKeyframesOnly=False))) == want(3, 7)
+    assert got(SearchParams(fastHash=FastHash(useKeyframesOnly=True))) == want(0, 4)
+    assert got(SearchParams(method=HashMethod.SLOW, slowHash=SlowHash(useKeyframesOnly=False))) == want(*range(10))
+    assert got(SearchParams(method=HashMethod.SLOW, slowHash=SlowHash(useKeyframesOnly=True))) == want(0, 4, 8)
+
+
 def test_slow_hashing_percent(spark):
     videos = spark.createDataFrame([(1,), (2,), (3,)], "id int")
     rows = [(1, 16 << k) for k in range(4)] + [(2, 16), (2, 32), (3, 1 << 50)]

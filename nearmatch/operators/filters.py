@@ -22,6 +22,7 @@ VIDEO_EXTENSIONS = tuple(
     qt rm rmvb roq rrc smk svi ts vob webm wmv yuv
     """.split()
 )
+BULLET = "• "
 #: Never found by a binary search of that list, which isn't in order; left out on request only.
 UNORDERED = ("mxf", "mng")
 
@@ -76,7 +77,12 @@ def compile_patterns(patterns: Iterable[str], use_glob: bool = False, ignore_cas
 
 
 def error_text(errors: Iterable[str]) -> str:
-    return "".join(f"\n• {e}" for e in errors).lstrip("\n")
+    return "\n".join(BULLET + e for e in errors)
+
+
+def error_column(errors: Column) -> Column:
+    """The same text of an array of messages."""
+    return F.array_join(F.transform(errors, lambda e: F.concat(F.lit(BULLET), e)), "\n")
 
 
 def match_any(text: Column, patterns: Iterable[str]) -> Column:

@@ -14,11 +14,17 @@ from nearmatch.sources.store import with_ids
 SMALL_GRAPH = 200_000
 
 
+def known_edges(videos: DataFrame, edges: DataFrame) -> DataFrame:
+    """src, dst of the edges of which both ends are among videos(id)."""
+    ids = videos.select("id")
+    known = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    return known.select("src", "dst")
+
+
 def membership(videos: DataFrame, edges: DataFrame) -> DataFrame:
     """group_id (the smallest id), video_id of every video, those without edges alone. Edges to unknown videos don't count."""
     ids = videos.select(F.col("id").alias("video_id"))
-    known = edges.join(ids.withColumnRenamed("video_id", "src"), "src", "left_semi").join(ids.withColumnRenamed("video_id", "dst"), "dst", "left_semi")
-    labels = connected_components(known.select("src", "dst"), small=SMALL_GRAPH).select(F.col("id").alias("video_id"), F.col("component"))
+    labels = connected_components(known_edges(videos, edges), small=SMALL_GRAPH).select(F.col("id").alias("video_id"), F.col("component"))
     joined = ids.join(labels, ids["video_id"].cast("long") == labels["video_id"], "left").select(ids["video_id"], "component")
     return joined.select(F.coalesce("component", F.col("video_id").cast("long")).cast(ids.schema[0].dataType).alias("group_id"), "video_id")
 
@@ -59,6 +65,14 @@ def first_in_group(group: str, position: str) -> Column:
     return F.row_number().over(Window.partitionBy(group).orderBy(position)) == 1
 
 
+#: Thumbnails that a list shows of a video.
+THUMBNAILS = 4
+
+
+def shown_thumbnails(paths: Column) -> Column:
+    return F.slice(paths, 1, THUMBNAILS)
+
+
 def report(rows: DataFrame, group: str = "group_id", tie: str = "id") -> DataFrame:
     """What a list of groups shows: a header row per group of two or more, and its members by size.
 
@@ -87,6 +101,6 @@ def report(rows: DataFrame, group: str = "group_id", tie: str = "id") -> DataFra
         F.format_string("%.2f fps", "avg_frame_rate").alias("frame_rate_text"),
         F.format_string("%d s", "duration").alias("duration_text"),
         F.concat_ws(" / ", media.or_unknown(F.col("video_codec")), media.or_unknown(F.col("pix_fmt")), media.or_unknown(F.col("profile"))).alias("codec"),
-        F.slice("thumbnail_path", 1, 4).alias("thumbnails"),
+        shown_thumbnails(F.col("thumbnail_path")).alias("thumbnails"),
     )
     return header.unionByName(body, allowMissingColumns=True)

@@ -19,6 +19,7 @@ from nearmatch.functions import hashing, media
 from nearmatch.functions import phash as perceptual
 from nearmatch.operators import actions, filters, groups, sampling, similarity
 from nearmatch.operators.components import connected_components
+from nearmatch.plans import search
 from nearmatch.sources import files as scans
 from nearmatch.sources import store
 from nearmatch.sources.shared import materialize
@@ -196,20 +197,29 @@ def all_components_with_singletons(spark, sf):
     return m.select("group_id", F.size("video_ids").cast("long").alias("members"), F.concat(F.lit("["), F.array_join("video_ids", ", "), F.lit("]")).alias("video_ids"))
 
 
-@query(f"""WITH RECURSIVE ed AS (SELECT o_orderkey // 4 AS src, o_orderkey // 4 + 1 AS dst FROM orders WHERE o_orderkey // 4 % 40 <> 39 AND o_orderkey <= 4000),
-v AS (SELECT src AS id FROM ed UNION SELECT dst FROM ed), {_components_sql('ed', 'v')} SELECT id, root AS component FROM r""")
-def components_chain(spark, sf):
-    """Chains of 40 vertices: links of neighbours make one group."""
+_CHAINS = """
+WITH ed AS (SELECT DISTINCT o_orderkey // 4 AS src FROM orders WHERE o_orderkey // 4 % 40 <> 39),
+v AS (SELECT src AS id FROM ed UNION SELECT src + 1 FROM ed),
+s AS (SELECT v.id, CASE WHEN ed.src IS NULL THEN v.id END AS head FROM v LEFT JOIN ed ON ed.src = v.id - 1)
+SELECT id, max(head) OVER (ORDER BY id ROWS UNBOUNDED PRECEDING) AS component FROM s
+"""
+
+
+def _chain(spark: SparkSession, sf: str) -> DataFrame:
+    """Links of neighbours, in chains of up to 40 vertices, over all orders. In SQL, a chain begins where no link leads to a vertex."""
     k = F.floor(F.col("o_orderkey") / 4)
-    e = _t(spark, sf, "orders").where((k % 40 != 39) & (F.col("o_orderkey") <= 4000)).select(k.alias("src"), (k + 1).alias("dst"))
-    return connected_components(e)
+    return _t(spark, sf, "orders").where(k % 40 != 39).select(k.alias("src"), (k + 1).alias("dst"))
 
 
-@query()
+@query(_CHAINS)
+def components_chain(spark, sf):
+    return connected_components(_chain(spark, sf), small=groups.SMALL_GRAPH)
+
+
+@query(_CHAINS)
 def components_chain_whole(spark, sf):
-    """Chains of 40 vertices over all orders; recursive SQL is too slow for it."""
-    k = F.floor(F.col("o_orderkey") / 4)
-    return connected_components(_t(spark, sf, "orders").where(k % 40 != 39).select(k.alias("src"), (k + 1).alias("dst")))
+    """The same by large-star and small-star rounds, whatever the graph's size."""
+    return connected_components(_chain(spark, sf))
 
 
 # Reports, selection and order, over documents as videos.
@@ -227,9 +237,11 @@ printf('Group %d (%d Duplicates - Size: %.2f GB)', number, members, total_size::
 printf('%.2f Mbps', total_size::DOUBLE / 1e6) AS rate FROM k
 """)
 def group_report(spark, sf):
-    s = groups.sizes(groups.with_duplicates(_videos(spark, sf).withColumnRenamed("id", "video_id")))
-    s = store.with_ids(s, 0, "group_id", name="number").withColumn("number", F.col("number").cast("long"))
-    return s.select("group_id", "number", "members", "total_size", media.group_label(F.col("number"), F.col("members"), F.col("total_size") * 1000000).alias("label"), media.bit_rate_label(F.col("total_size")).alias("rate"))
+    d = _videos(spark, sf)
+    other = {"path": "string", "bit_rate": "int", "width": "int", "height": "int", "avg_frame_rate": "double", "duration": "int", "video_codec": "string", "pix_fmt": "string", "profile": "string", "thumbnail_path": "array<string>"}
+    rows = d.select("id", "group_id", (F.col("size") * 1000000).alias("size"), *[F.lit(None).cast(t).alias(c) for c, t in other.items()])
+    heads = groups.report(rows).where("row_type = 'group'").select("group_id", F.col("number").cast("long").alias("number"), "label")
+    return heads.join(groups.sizes(d), "group_id").select("group_id", "number", "members", "total_size", "label", media.bit_rate_label(F.col("total_size")).alias("rate"))
 
 
 def _selection_sql(order: str) -> str:
@@ -277,7 +289,7 @@ def median_of_block(spark, sf):
 def limit_thumbnails(spark, sf):
     n = (F.col("n_chars") % 6).cast("int")
     made = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("t"), i.cast("string")))).otherwise(F.array().cast("array<string>"))
-    return _t(spark, sf, "documents").select("doc_id", F.concat(F.lit("["), F.array_join(F.slice(made, 1, 4), ", "), F.lit("]")).alias("thumbs"))
+    return _t(spark, sf, "documents").select("doc_id", F.concat(F.lit("["), F.array_join(groups.shown_thumbnails(made), ", "), F.lit("]")).alias("thumbs"))
 
 
 # Joins.
@@ -285,31 +297,31 @@ def limit_thumbnails(spark, sf):
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def known_path_antijoin(spark, sf):
-    return _t(spark, sf, "documents").select("doc_id").join(_t(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti")
+    found, known = (_t(spark, sf, name).select(F.col("doc_id").alias("path")) for name in ("documents", "labels"))
+    return search.unseen(found, known).select(F.col("path").alias("doc_id"))
 
 
 @query("SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def selected_semijoin(spark, sf):
-    return _t(spark, sf, "documents").select("doc_id", "source").join(_t(spark, sf, "labels").where("quality = 1").select("doc_id"), "doc_id", "left_semi")
+    return actions.selected_rows(_t(spark, sf, "documents").select("doc_id", "source"), _t(spark, sf, "labels").where("quality = 1"), "doc_id")
 
 
 @query("SELECT page_id, url FROM pages WHERE page_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 0)")
 def remove_ids_antijoin(spark, sf):
-    gone = _t(spark, sf, "labels").where("toxic = 0").select(F.col("doc_id").alias("page_id"))
-    return _t(spark, sf, "pages").select("page_id", "url").join(gone, "page_id", "left_anti")
+    return store.without(_t(spark, sf, "pages").select("page_id", "url"), "page_id", _t(spark, sf, "labels").where("toxic = 0"), "doc_id")
 
 
 @query("SELECT d.doc_id, count(*) AS links FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.doc_id")
 def id_lookup_join(spark, sf):
     """Edges to unknown ids are dropped, not sent to the first row."""
-    return _t(spark, sf, "documents").select("doc_id").join(_t(spark, sf, "labels").select("doc_id"), "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("links"))
+    edges = _t(spark, sf, "labels").select(F.col("doc_id").alias("src"), F.col("doc_id").alias("dst"))
+    known = groups.known_edges(_t(spark, sf, "documents").select(F.col("doc_id").alias("id")), edges)
+    return known.groupBy(F.col("src").alias("doc_id")).agg(F.count(F.lit(1)).alias("links"))
 
 
 @query("SELECT count(*) AS found, count(l.doc_id) AS known, count(*) - count(l.doc_id) AS new FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id")
 def incremental_new_counts(spark, sf):
-    known = _t(spark, sf, "labels").select("doc_id").distinct().withColumn("k", F.lit(True))
-    d = _t(spark, sf, "documents").select("doc_id").join(known, "doc_id", "left")
-    return d.agg(F.count(F.lit(1)).alias("found"), F.count("k").alias("known"), F.count_if(F.col("k").isNull()).alias("new"))
+    return search.known_counts(*(_t(spark, sf, name).select(F.col("doc_id").alias("path")) for name in ("documents", "labels")))
 
 
 @query("SELECT p.page_id, CASE WHEN l.doc_id IS NULL THEN './sneed.png' ELSE 'thumb' || l.doc_id END AS thumbnail FROM pages p LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON p.page_id = l.doc_id")
@@ -333,7 +345,7 @@ def upsert_singleton(spark, sf):
     """One row with id 1: the new value takes the place of the old."""
     old = spark.createDataFrame([(1, "old")], "id int, value string")
     new = _t(spark, sf, "nation").agg(F.max("n_name").alias("value")).select(F.lit(1).alias("id"), "value")
-    return old.join(new, "id", "left_anti").unionByName(new)
+    return store.put(old, new, "id")
 
 
 _GONE = "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'"
@@ -343,14 +355,14 @@ _GONE = "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'"
 def cascade_delete(spark, sf):
     orders = _t(spark, sf, "orders")
     gone = orders.where("o_orderstatus = 'F'").select("o_orderkey")
-    kept = orders.join(gone, "o_orderkey", "left_anti").agg(F.count(F.lit(1)).alias("n")).select(F.lit("orders").alias("t"), "n")
-    child = _t(spark, sf, "lineitem").join(gone, F.col("l_orderkey") == F.col("o_orderkey"), "left_anti").agg(F.count(F.lit(1)).alias("n"))
-    return kept.unionByName(child.select(F.lit("lineitem").alias("t"), "n"))
+    kept = {"orders": store.without(orders, "o_orderkey", gone, "o_orderkey"), "lineitem": store.without(_t(spark, sf, "lineitem"), "l_orderkey", gone, "o_orderkey")}
+    counts = [rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("t"), "n") for name, rows in kept.items()]
+    return counts[0].unionByName(counts[1])
 
 
 @query("SELECT s_suppkey, s_name, CASE WHEN s_suppkey = 3 THEN 7 ELSE s_nationkey END AS s_nationkey FROM supplier")
 def update_link_count(spark, sf):
-    return _t(spark, sf, "supplier").select("s_suppkey", "s_name", F.when(F.col("s_suppkey") == 3, F.lit(7)).otherwise(F.col("s_nationkey")).alias("s_nationkey"))
+    return store.with_value(_t(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey"), "s_suppkey", 3, "s_nationkey", 7)
 
 
 @query("SELECT s.s_suppkey AS id, s.s_name AS path, CASE WHEN s.s_suppkey = 5 THEN x.s_acctbal ELSE s.s_acctbal END AS s_acctbal FROM supplier s CROSS JOIN (SELECT s_acctbal FROM supplier WHERE s_suppkey = 2) x")
@@ -365,9 +377,8 @@ SELECT g.group_id, coalesce(k.members, 0) AS members FROM g LEFT JOIN (SELECT e.
 def load_groups(spark, sf):
     """Members that are no videos any more are left out; groups stay, perhaps empty."""
     m = _t(spark, sf, "embeddings").select(F.col("label").alias("group_id"), F.col("vec_id").alias("video_id"))
-    videos = _t(spark, sf, "documents").where("lang = 'en'").select(F.col("doc_id").alias("video_id"))
-    known = m.join(videos, "video_id", "left_semi").groupBy("group_id").agg(F.count(F.lit(1)).alias("members"))
-    return m.select("group_id").distinct().join(known, "group_id", "left").fillna({"members": 0})
+    videos = _t(spark, sf, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id"))
+    return store.known_members(m, m, videos).select("group_id", F.size("video_ids").cast("long").alias("members"))
 
 
 # Predicates.
@@ -478,7 +489,7 @@ def comma_list_parse(spark, sf):
 @query("SELECT r_regionkey, '• ' || string_agg(n_name, chr(10) || '• ' ORDER BY n_name) AS errors FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_regionkey")
 def error_list(spark, sf):
     names = _t(spark, sf, "nation").join(F.broadcast(_t(spark, sf, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
-    return names.groupBy("r_regionkey").agg(F.concat(F.lit("• "), F.array_join(F.sort_array(F.collect_list("n_name")), "\n• ")).alias("errors"))
+    return names.groupBy("r_regionkey").agg(filters.error_column(F.sort_array(F.collect_list("n_name"))).alias("errors"))
 
 
 # Frames, times and labels.

@@ -28,6 +28,13 @@ def unseen(files: DataFrame, known: DataFrame) -> DataFrame:
     return files.join(known.select("path"), "path", "left_anti")
 
 
+def known_counts(files: DataFrame, known: DataFrame) -> DataFrame:
+    """found, known, new: how many of files(path) there are, and are among known(path) or not."""
+    marks = known.select("path").distinct().withColumn("k", F.lit(True))
+    joined = files.select("path").join(marks, "path", "left")
+    return joined.agg(F.count(F.lit(1)).alias("found"), F.count("k").alias("known"), F.count_if(F.col("k").isNull()).alias("new"))
+
+
 #: Files named in Progress.errors.
 SHOWN = 100
 

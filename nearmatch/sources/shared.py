@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,23 +14,49 @@ from pyspark.sql import DataFrame, SparkSession
 ROW_GROUP = 16 << 20
 
 
+#: For each scope that is open, the tables made in it.
+_SCOPES: list[list[str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where it is unset, as in tests on one machine."""
+    """spark.checkpoint.dir; where it is unset and all is one machine, as in tests, a folder of our own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise RuntimeError(f"spark.checkpoint.dir has to name a folder that driver and executors share: the master is {master}")
         at = tempfile.mkdtemp(prefix="nearmatch-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def _remove(spark: SparkSession, path: str, later: bool) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    fs.deleteOnExit(where) if later else fs.delete(where, True)
+
+
+def materialize(df: DataFrame, label: str, stays: bool = False) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: cuts lineage and survives the loss of executors.
 
-    The files go when the application ends.
+    The files go when the application ends, or with the scope around (see
+    ``temporary``) unless they stay.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/nearmatch-{label}-{uuid.uuid4().hex}"
     df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(where)
+    _remove(spark, path, later=True)
+    if _SCOPES and not stays:
+        _SCOPES[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables that are made inside go at the end, but for those that stay. What is read from them has to be written by then."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            _remove(spark, path, later=False)

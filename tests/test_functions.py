@@ -89,3 +89,30 @@ def test_median_threshold_sets_half_the_bits(values):
     block = np.arange(64.0)
     block[: len(values)] += np.array(values) if values else 0
     assert bin(phash.pack(block) & (1 << 64) - 1).count("1") <= 32
+
+
+def test_tile_hash_by_definition():
+    rng = np.random.default_rng(8)
+    n = 32
+    for _ in range(4):
+        tile = rng.normal(size=(n, n))
+        summed = np.array([[sum(tile[min(max(y + dy, 0), n - 1), min(max(x + dx, 0), n - 1)] for dy in range(-3, 4) for dx in range(-3, 4)) for x in range(n)] for y in range(n)])
+        assert np.allclose(phash.box_sum(tile), summed)
+        wave = lambda u, x: np.sqrt(2 / n) * np.cos(np.pi / (2 * n) * u * (2 * x + 1))
+        block = [sum(wave(v, y) * wave(u, x) * summed[y, x] for y in range(n) for x in range(n)) for v in range(1, 9) for u in range(1, 9)]
+        median = sorted(block)[31] / 2 + sorted(block)[32] / 2
+        want = sum(1 << (64 - i) for i in range(1, 64) if block[i] > median)
+        assert phash.hash_tile(tile) % (1 << 64) == want
+
+
+@pytest.mark.parametrize("source", [1, 2, 5, 31, 32, 33, 100])
+def test_scaling_weights_by_definition(source):
+    out = phash._weights(source)
+    for d in range(32):
+        at = (d + 0.5) * source / 32 - 0.5
+        share = at - np.floor(at)
+        first = int(min(max(np.floor(at), 0), source - 1))
+        want = np.zeros(source)
+        want[first] += 1 - share
+        want[min(first + 1, source - 1)] += share
+        assert np.allclose(out[d], want)

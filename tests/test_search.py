@@ -84,6 +84,18 @@ def test_scan_lists_every_file(spark, tmp_path):
     assert files.with_identity(gone).count() == 0
 
 
+def test_tables_of_a_scope_go_with_it(spark):
+    from pathlib import Path
+
+    from nearmatch.sources.shared import materialize, shared_dir, temporary
+
+    before = set(Path(shared_dir(spark)).iterdir())
+    with temporary(spark):
+        inner = materialize(spark.range(5), "inner")
+        outer = materialize(inner.where("id > 2"), "outer", stays=True)
+    assert outer.count() == 2 and [p.name.split("-")[1] for p in set(Path(shared_dir(spark)).iterdir()) - before] == ["outer"]
+
+
 def test_store_changes_all_tables_or_none(spark, tmp_path):
     import pytest
 

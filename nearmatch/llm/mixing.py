@@ -26,10 +26,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearmatch.llm.common import WORD, bucket_of, materialize, own, table
+from nearmatch.llm.common import WORD, bucket_of, materialize, own, table, text_batches
+from nearmatch.sources.store import with_ids
 
 MAX_COPIES = 3.0
 #: Weights of the sources in their order, repeating.
@@ -49,24 +50,22 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 
     The excess over MAX_COPIES times a source's size is reshared by weight
     until none is left: sources are full up to a level of target per weight,
-    and all others stand at that level. One row per source is all that the
-    windows see.
+    and all others stand at that level. Each round fills the sources below the
+    level and raises it; sources are never gathered, only sums over them.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
-    place = Window.orderBy(F.col("source").asc_nulls_last())
-    nth = F.pmod(F.row_number().over(place) - 1, F.lit(len(WEIGHTS)))
-    per = per.withColumn("weight", F.element_at(F.array(*map(F.lit, WEIGHTS)), nth + 1).cast("double"))
-    per = per.withColumn("cap", F.col("source_size") * MAX_COPIES).withColumn("fills_at", F.col("cap") / F.col("weight"))
-    rising = Window.orderBy("fills_at", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    full, weight = F.coalesce(F.sum("cap").over(rising), F.lit(0.0)), F.coalesce(F.sum("weight").over(rising), F.lit(0.0))
-    # the level if all sources that fill up earlier are full; it holds for the first source that doesn't reach its cap
-    level = (F.sum("source_size").over(everything) - full) / (F.sum("weight").over(everything) - weight)
-    per = per.withColumn("level", level).withColumn("nth", F.row_number().over(rising.rowsBetween(Window.unboundedPreceding, 0)))
-    short = F.col("fills_at") > F.col("level")
-    level = F.min_by(F.when(short, F.col("level")), F.when(short, F.col("nth"))).over(everything)
-    per = per.withColumn("level", level)
-    target = F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("weight")))
+    per = with_ids(per, -1, F.col("source").asc_nulls_last(), name="nth")
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), F.pmod(F.col("nth"), F.lit(len(WEIGHTS))) + 1).cast("double")
+    per = per.withColumn("weight", weight).withColumn("cap", F.col("source_size") * MAX_COPIES).withColumn("fills_at", F.col("cap") / F.col("weight"))
+    per = materialize(per, "sources")
+    level, before = float("-inf"), -1
+    while True:
+        full = F.col("fills_at") <= level
+        row = per.agg(F.sum("source_size").alias("total"), F.sum(F.when(full, F.col("cap"))).alias("cap"), F.sum(F.when(~full, F.col("weight"))).alias("weight"), F.count_if(full).alias("n")).first()
+        if not row["weight"] or row["n"] == before:  # all are full, or no more than at the level before
+            break
+        level, before = ((row["total"] or 0) - (row["cap"] or 0.0)) / row["weight"], row["n"]
+    target = F.col("cap") if not row["weight"] else F.least("cap", F.col("weight") * level)
     return per.select("source", "source_size", "n_docs", target.alias("target"))
 
 
@@ -136,10 +135,13 @@ def _round(rows: DataFrame, turn: int, last: bool) -> DataFrame:
     return rows.groupBy("src", "grp").applyInPandas(run, rows.schema)
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies of each row of docs(doc_id, text, source)."""
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    rows = materialize(rows.withColumn("uid", F.xxhash64("doc_id", F.lit(SEED))), "sizes")
+def mix(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies of each row of docs(doc_id, text, source), and its columns in keep."""
+    uid = F.xxhash64("doc_id", F.lit(SEED))
+    # rows without an id are told apart by their texts
+    uid = F.when(F.col("doc_id").isNull(), F.xxhash64("text", F.lit(SEED))).otherwise(uid)
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), uid.alias("uid"), *keep)
+    rows = materialize(rows, "sizes")
     targets = materialize(source_targets(rows), "targets").withColumn("src", F.xxhash64("source", F.lit(SEED)))
     most = targets.agg(F.max("n_docs")).first()[0] or 0
     known = targets.select(F.col("source").alias("s"), "src", "n_docs", "source_size", "target")
@@ -164,15 +166,18 @@ def mix(docs: DataFrame) -> DataFrame:
     for df in done[1:]:
         out = out.unionByName(df)
     copies = (F.col("base") + F.col("p")).cast("long")
-    return out.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+    return out.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), *keep)
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, as often as the mix takes them. doc_id has to be unique; documents without words go."""
-    taken = mix(docs).where("copies > 0 AND size > 0").select(F.col("doc_id").alias(own("id")), F.col("copies").cast("int").alias(own("copies")))
-    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col(own("id"))))
-    return rows.withColumn(own("copy"), F.explode(F.sequence(F.lit(1), F.col(own("copies"))))).select(*docs.columns)
+    """The rows of docs, with all their columns, as often as the mix takes them; those without words go. Rows with the same doc_id, or with none, are rows of their own."""
+    row, copies = own("row"), own("copies")
+    marked = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    taken = mix(marked.select("doc_id", "text", "source", row), (row,)).where("copies > 0 AND size > 0").select(row, F.col("copies").cast("int").alias(copies))
+    rows = marked.join(taken, row)
+    return rows.withColumn(own("copy"), F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_batches(spark)
     return mix(table(spark, sf_dir, "documents"))

@@ -27,8 +27,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from nearmatch.llm.common import lookup, materialize, own, shuffle_partitions, table, text_batches
 from nearmatch.operators.components import connected_components
@@ -207,7 +208,7 @@ def linked(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataF
 
     tiles = materialize(tiled.groupBy("tile").applyInPandas(pack, "tile long, fps binary"), "tiles")
     a, b = tiles.select(F.col("tile").alias("i"), F.col("fps").alias("a")), tiles.select(F.col("tile").alias("j"), F.col("fps").alias("b"))
-    n = max(1, min(8 * shuffle_partitions(spark), len(low) ** 2))
+    n = max(1, min(4 * shuffle_partitions(spark), len(low) ** 2))
     work = pairs.join(a, "i").join(b, "j").repartition(n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,22 +223,41 @@ def linked(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataF
     return work.mapInArrow(run, "src long, dst long")
 
 
+def _grouped(rows: DataFrame, radius: int, **more: Column) -> DataFrame:
+    """fp, first_id, n_same, component of each different fingerprint of rows(doc_id, fp), and what more aggregates of its rows say."""
+    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n_same"), *[c.alias(k) for k, c in more.items()])
+    distinct = materialize(distinct, "distinct")
+    labels = connected_components(linked(distinct.select("fp"), radius)).withColumnRenamed("id", "fp")
+    return distinct.join(labels, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint, component_id, n_same (documents with that fingerprint) of each row of docs(doc_id, text)."""
     rows = materialize(with_fingerprints(docs), "fingerprints")
-    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n_same")), "distinct")
-    labels = connected_components(linked(distinct, radius)).withColumnRenamed("id", "fp")
-    grouped = distinct.join(labels, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    grouped = _grouped(rows, radius)
     ids = grouped.groupBy("component").agg(F.min("first_id").alias("component_id"))
     entries = materialize(grouped.join(ids, "component").select("fp", "component_id", "n_same"), "components")
     found = lookup(rows, entries, "fp", "n_same", "doc_id")
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("found.component_id").alias("component_id"), F.col("found.n_same").alias("n_same"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each group of near-duplicates, that of the smallest doc_id, with all columns. doc_id has to be unique."""
-    stay = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(own("id")))
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col(own("id"))), "left_semi")
+def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """One row of each group of near-duplicates with all its columns: that of the smallest doc_id, of a null one only if there is no other."""
+    at, fp, row = docs.columns.index("text"), own("fp"), own("row")
+    names = [*docs.columns, fp]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first in range(0, b.num_rows, 500):
+                part = b.slice(first, 500)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fingerprints(part.column(at).to_pylist()).view(np.int64))], names=names)
+
+    marked = docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField(fp, T.LongType())]))
+    marked = materialize(marked.withColumn(row, F.monotonically_increasing_id()), "fingerprinted")
+    rows = marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(fp).alias("fp"), F.col(row).alias("row"))
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
+    stay = _grouped(rows, radius, head=head).groupBy("component").agg(F.min("head").alias("head"))
+    return marked.join(stay.select(F.col("head.row").alias(row)), row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

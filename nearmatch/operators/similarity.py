@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from nearmatch.functions.hashing import BITS, h63, hamming, usable
 from nearmatch.settings import SearchParams
+from nearmatch.sources.shared import materialize
 
 #: Narrower bands select too little.
 NARROWEST = 6
@@ -93,6 +94,35 @@ def edges(counts: DataFrame, hashes: DataFrame, number: int | None = None, perce
     return both.where(F.col("matches") >= F.col("required")).select("src", "dst", "matches")
 
 
+def own_matches(hs: Column, radius: int) -> Column:
+    """Matches of two videos that both have the hashes hs (h, m)."""
+    return F.aggregate(hs, F.lit(0).cast("long"), lambda total, a: total + F.aggregate(hs, F.lit(0).cast("long"), lambda n, b: n + F.when(hamming(a["h"], b["h"]) <= radius, a["m"] * b["m"]).otherwise(F.lit(0).cast("long"))))
+
+
+def linked_classes(hashes: DataFrame, params: SearchParams, strategy: str = "auto") -> DataFrame:
+    """src, dst: links with the same components as edges_for, of which there are no more within a collection of equal videos than it has videos.
+
+    Videos with the same hashes, however many, are one class: its smallest
+    video is compared with those of other classes, and its other videos link to
+    that one if it has a link, or if two such videos have enough matches. Of
+    n hashes these are at least n; only where that is too few are they counted.
+    """
+    of_video = materialize(weighted(hashes).groupBy("video_id").agg(F.sort_array(F.collect_list(F.struct("h", "m"))).alias("hs")), "video-hashes")
+    found = of_video.groupBy("hs").agg(F.min("video_id").alias("rep"), F.count(F.lit(1)).alias("n_videos"))
+    found = materialize(found.withColumn("n", F.aggregate("hs", F.lit(0).cast("long"), lambda x, h: x + h["m"])), "classes")
+    copies = F.expr("explode(flatten(transform(hs, x -> array_repeat(x.h, cast(x.m as int)))))")
+    between = edges_for(found.select(F.col("rep").alias("video_id"), copies.alias("h")), params, strategy).select("src", "dst")
+    between = materialize(between, "class-edges")
+    kind, value = params.required
+    needed = required_matches(F.col("n"), F.col("n"), value) if kind == "percent" else F.lit(int(value)).cast("long")
+    alike = F.when(F.col("n") >= needed, F.lit(True)).otherwise(own_matches(F.col("hs"), params.radius) >= needed)
+    # all videos of two linked classes are linked with each other
+    ends = between.select(F.col("src").alias("rep")).unionByName(between.select(F.col("dst").alias("rep"))).distinct().withColumn("linked", F.lit(True))
+    many = found.where("n_videos > 1").join(ends, "rep", "left").where(F.col("linked") | alike).select("hs", "rep")
+    within = of_video.join(many, "hs").where("video_id <> rep").select(F.col("rep").alias("src"), F.col("video_id").alias("dst"))
+    return between.unionByName(within)
+
+
 def edges_for(hashes: DataFrame, params: SearchParams, strategy: str = "auto") -> DataFrame:
     kind, value = params.required
     counts = match_counts(hamming_pairs(hashes, params.radius, strategy))

@@ -21,7 +21,7 @@ def find_duplicates(videos: DataFrame, hashes: DataFrame, params: SearchParams,
 
     hashes has video_id and h, one row for each hash.
     """
-    return groups.membership(videos, similarity.edges_for(hashes, params, strategy))
+    return groups.membership(videos, similarity.linked_classes(hashes, params, strategy))
 
 
 def unseen(files: DataFrame, known: DataFrame) -> DataFrame:

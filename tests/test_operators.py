@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from nearmatch.operators import actions, filters, groups, sampling, similarity
 from nearmatch.operators.components import connected_components, union_find
 from nearmatch.plans import catalogue
+from nearmatch.settings import FastHash, HashMethod, SearchParams, SlowHash
 from nearmatch.sources import store as stores
 
 
@@ -34,6 +35,27 @@ def test_banded_equals_brute(spark, radius):
     assert brute == _counts(similarity.hamming_pairs_banded(df, radius)) == _counts(similarity.hamming_pairs(df, radius))
 
 
+@pytest.mark.parametrize("params", [SearchParams(), SearchParams(fastHash=FastHash(hammingDistance=2, matchingThreshold=6)), SearchParams(method=HashMethod.SLOW, slowHash=SlowHash(usePercentThreshold=True, matchingThresholdPct=60.0))])
+def test_classes_have_the_components_of_all_pairs(spark, params):
+    rng = random.Random(21)
+    collections = [[rng.choice((1 << 20, 3 << 20, 7 << 40, rng.getrandbits(60) << 2)) for _ in range(rng.randrange(1, 6))] for _ in range(12)] + [[0], [8, 0]]
+    rows, ids = [], []
+    for v in range(60):
+        ids.append((v,))
+        rows += [(v, h) for h in rng.choice(collections)]
+    df, videos = _hashes(spark, rows), spark.createDataFrame(ids, "id int")
+    every = groups.membership(videos, similarity.edges_for(df, params))
+    found = groups.membership(videos, similarity.linked_classes(df, params))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, every.collect()))
+
+
+def test_equal_videos_are_compared_once(spark):
+    n = 3000
+    rows = [(v, h) for v in range(n) for h in (16, 1 << 40)] + [(n, 16), (n, 1 << 40 | 2), (n + 1, (1 << 60) - 2)]
+    links = similarity.linked_classes(_hashes(spark, rows), SearchParams()).collect()
+    assert len(links) == n and {max(r) for r in links} == {*range(1, n), n}
+
+
 def test_match_rules(spark):
     df = _hashes(spark, [(1, 8), (2, 8), (2, 8), (2, 8), (3, 0), (4, 8 ^ 0b111100000), (5, 8 ^ 0b1111100000)])
     counts = similarity.match_counts(similarity.hamming_pairs(df, 4))

@@ -33,6 +33,9 @@ def test_banded_equals_brute(spark, radius):
     df = _hashes(spark, rows)
     brute = _counts(similarity.hamming_pairs_brute(df, radius))
     assert brute == _counts(similarity.hamming_pairs_banded(df, radius)) == _counts(similarity.hamming_pairs(df, radius))
+    rows_of = lambda pairs: sorted(map(tuple, pairs.collect()))
+    for tile in (4, 8192):
+        assert rows_of(similarity.hamming_pairs_tiled(df, radius, tile)) == rows_of(similarity.hamming_pairs_brute(df, radius))
 
 
 @pytest.mark.parametrize("params", [SearchParams(), SearchParams(fastHash=FastHash(hammingDistance=2, matchingThreshold=6)), SearchParams(method=HashMethod.SLOW, slowHash=SlowHash(usePercentThreshold=True, matchingThresholdPct=60.0))])

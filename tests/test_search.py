@@ -212,11 +212,11 @@ def test_stream_sampler(spark, tmp_path):
 
 
 def test_thumbnails(spark, tmp_path):
-    from nearmatch.sources.thumbnails import write_thumbnails
+    from nearmatch.sources.thumbnails import pgm, write_thumbnails
 
     _video(tmp_path / "a.mp4", 1)
     videos = spark.createDataFrame([(1, str(tmp_path / "a.mp4"), 10), (2, str(tmp_path / "gone.mp4"), 10)], "id int, path string, duration int")
-    got = {r["id"]: r["thumbnail_path"] for r in write_thumbnails(videos, str(tmp_path / "out"), PgmAdapter(), 3).collect()}
+    got = {r["id"]: r["thumbnail_path"] for r in write_thumbnails(videos, str(tmp_path / "out"), PgmAdapter(), 3, pgm).collect()}
     assert got[2] == ["./sneed.png"] and len(got[1]) == 3
     assert got[1][0].endswith("_thumb-000.jpg") and open(got[1][0], "rb").read(14) == b"P5\n128 128\n255"
 
@@ -228,3 +228,66 @@ def test_counts_and_tags(spark):
         df, seen = counted(spark.range(10), even=F.col("id") % 2 == 0)
         assert df.count() == 10
     assert seen.get == {"rows": 10, "even": 5} and cancel(spark, "search-1") == []
+
+
+def _decoded(spark, data):
+    """The pixels of a picture file, by Java's reader."""
+    jvm = spark._jvm
+    image = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(bytearray(data)))
+    w, h, raster = image.getWidth(), image.getHeight(), image.getRaster()
+    if raster.getNumBands() == 1:  # getRGB would change grey values
+        return np.array([[[raster.getSample(x, y, 0)] for x in range(w)] for y in range(h)])
+    return np.array([[[image.getRGB(x, y) >> s & 255 for s in (16, 8, 0)] for x in range(w)] for y in range(h)])
+
+
+def test_jpeg_is_read_by_others(spark):
+    from nearmatch.functions.jpeg import jpeg
+
+    y, x = np.mgrid[0:21, 0:19]
+    rgb = np.stack([x * 12, y * 11, (x + y) * 6], -1).astype(np.uint8)
+    assert np.abs(_decoded(spark, jpeg(rgb, 95)).astype(int) - rgb).mean() < 3
+    noise = np.random.default_rng(1).integers(0, 256, (24, 24), dtype=np.uint8)
+    assert np.abs(_decoded(spark, jpeg(noise, 100))[:, :, 0].astype(int) - noise).max() < 6
+    for flat in (0, 255):
+        assert np.abs(_decoded(spark, jpeg(np.full((8, 8, 3), flat, np.uint8))).astype(int) - flat).max() < 3
+
+
+def _y4m(path, frames, space="420jpeg", w=34, h=30, seed=0):
+    rng = np.random.default_rng(seed)
+    shape = {"420jpeg": (15, 17), "444": (30, 34), "mono": (0, 0)}[space]
+    made = []
+    with open(path, "wb") as f:
+        f.write(b"YUV4MPEG2 W%d H%d F5:1 Ip A1:1 C%s\n" % (w, h, space.encode()))
+        for _ in range(frames):
+            planes = [rng.integers(0, 256, s, dtype=np.uint8) for s in ((h, w), shape, shape)]
+            f.write(b"FRAME\n" + b"".join(p.tobytes() for p in planes))
+            made.append(planes)
+    return made
+
+
+def test_y4m_search_and_thumbnails(spark, tmp_path):
+    from nearmatch.sources.thumbnails import write_thumbnails
+    from nearmatch.sources.y4m import Y4mAdapter
+
+    media = tmp_path / "media"
+    media.mkdir()
+    made = _y4m(media / "a.mp4", 23)
+    _y4m(media / "b.mkv", 23, "444")
+    _y4m(media / "c.avi", 12, "mono", seed=9)
+    (media / "d.mp4").write_bytes(b"YUV4MPEG2 W4 H4 C420p10\nFRAME\n")
+    (media / "e.mp4").write_bytes((media / "a.mp4").read_bytes()[:-5])
+    adapter = Y4mAdapter()
+    assert [f[0] for f in adapter.frames(str(media / "a.mp4"))] == list(range(23)) and len(list(adapter.frames(str(media / "e.mp4")))) == 22
+    assert all(f[5] == p[0].tobytes() for f, p in zip(adapter.frames(str(media / "a.mp4")), made))
+    probe = adapter.probe(str(media / "a.mp4"))
+    assert (probe["duration"], probe["width"], probe["height"], probe["avg_frame_rate"], probe["pix_fmt"]) == (4, 34, 30, 5.0, "yuv420p") and adapter.probe(str(media / "d.mp4")) is None
+    (_, _, _, rgb), (_, u, v) = next(adapter.pictures(str(media / "a.mp4"))), made[0]
+    y, cb, cr = float(made[0][0][7, 9]), float(u[3, 4]) - 128, float(v[3, 4]) - 128
+    assert np.abs(rgb[7, 9] - np.clip([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], 0, 255)).max() <= 0.5
+    store = Store(spark, str(tmp_path / "store"))
+    found, progress = search(spark, store, SearchParams(directories=((str(media), True),), method=HashMethod.SLOW, slowHash=SlowHash(matchingThresholdNum=3)), adapter)
+    assert (progress.found, progress.failed, progress.hashed) == (5, 1, 4)
+    names = {r["id"]: r["path"].rsplit("/", 1)[1] for r in store.read("video").collect()}
+    assert frozenset({"a.mp4", "e.mp4"}) in {frozenset(names[v] for v in r["video_ids"]) for r in store.load_groups().collect()}
+    got = write_thumbnails(store.read("video"), str(tmp_path / "out"), adapter, 2).collect()
+    assert all(len(r["thumbnail_path"]) == 2 for r in got) and _decoded(spark, open(got[0]["thumbnail_path"][0], "rb").read()).shape == (128, 128, 3)

@@ -14,9 +14,13 @@ apart (the smaller over the larger bounds the similarity) are not compared, and
 while two ordered sets are merged, what is left of them bounds what can still
 be reached.
 
-The query compares given pairs and wants every likeness, so its threshold is 0;
-``length_part`` numbers the ranges of lengths for callers with a higher one:
-sets that reach it are in the same range or in neighbouring ones.
+The query compares given pairs and wants every likeness, so its threshold is 0.
+``similar`` joins a whole table at a threshold: documents of equal fingerprints
+are one class; classes are partitioned by length (``length_part``), such that
+sets which reach the threshold are in the same part or in neighbouring ones;
+within these, sets that share one of their first signatures, enough of them that
+similar sets must, are compared, pruned. Pairs are those of classes, never of
+all copies.
 
 Defined results: null text is empty; two empty texts are alike (1); repeated
 doc_ids follow each other in the order of their texts; one row alone is its
@@ -35,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearmatch.llm.common import groups_for, table, text_batches
+from nearmatch.llm.common import groups_for, lookup, materialize, table, text_batches
 
 CHAIN = 2
 #: Documents of a part of the order, and the most parts: larger parts only stream longer.
@@ -116,6 +120,60 @@ def length_part(n: int, threshold: float) -> int:
     return part
 
 
+def prefix(n: int, threshold: float) -> int:
+    """How many of its n ordered signatures a set has to share one of with any set that reaches the threshold."""
+    return n - int(np.ceil(threshold * n - 1e-9)) + 1
+
+
+def similar(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, class_id of each row of docs(doc_id, text); a, b, likeness of the pairs of classes that reach the threshold, a < b).
+
+    A class is named by its smallest doc_id; repeated rows share a class; rows
+    without an id have the class of their text, or null.
+    """
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [signatures(b.column(1)[k].as_py() or "") for k in range(b.num_rows)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in found], pa.binary()), pa.array([len(x) for x in found], pa.int32())], names=["doc_id", "sigs", "n"])
+
+    rows = materialize(source.mapInArrow(sets, "doc_id long, sigs binary, n int"), "signatures")
+    classes = rows.groupBy("sigs", "n").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n_docs"))
+    classes = materialize(classes, "classes")
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple[int, int, int, bool]] = []
+            for k in range(b.num_rows):
+                sigs, n, at = np.frombuffer(b.column(0)[k].as_py(), np.uint32), b.column(1)[k].as_py(), b.column(2)[k].as_py()
+                part = length_part(n, threshold)
+                for token in sigs[: prefix(n, threshold)].tolist():  # at home in its part, and a visitor of the next
+                    out += [(part, token, at, True), (part + 1, token, at, False)]
+            columns = zip(*out) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.bool_()))], names=["part", "token", "id", "home"])
+
+    named = classes.where("class_id IS NOT NULL")
+    keys = materialize(named.select("sigs", "n", "class_id").mapInArrow(tokens, "part int, token long, id long, home boolean"), "tokens")
+    homes = keys.where("home").select("part", "token", F.col("id").alias("x"))
+    others = keys.select("part", "token", F.col("id").alias("y"), "home")
+    # two at home meet once, as a visitor meets one at home
+    met = homes.join(others, ["part", "token"]).where("x <> y AND (NOT home OR x < y)")
+    met = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    sides = [named.select(F.col("class_id").alias(c), F.col("sigs").alias(f"{c}_sigs")) for c in ("a", "b")]
+    wanted = met.join(sides[0], "a").join(sides[1], "b").select("a", "b", "a_sigs", "b_sigs")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = [jaccard(*(np.frombuffer(b.column(c)[k].as_py(), np.uint32) for c in (2, 3)), threshold) for k in range(b.num_rows)]
+            whole = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near, pa.float64())], names=["a", "b", "likeness"])
+            yield whole.filter(pa.array([x >= threshold for x in near], pa.bool_()))
+
+    pairs = wanted.mapInArrow(compare, "a long, b long, likeness double")
+    members = lookup(rows.select("doc_id", "sigs"), classes.select("sigs", "class_id", "n_docs"), "sigs", "n_docs", "doc_id")
+    return members.select("doc_id", F.col("found.class_id").alias("class_id")), pairs
+
+
 def edited(text: str, following: str) -> str:
     """The text with its last half replaced by the start of the next document."""
     half = len(text) // 2

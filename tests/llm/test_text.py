@@ -50,6 +50,15 @@ def test_encoder_matches_on_any_text(text):
     assert np.frombuffer(e.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_matches_on_whole_and_long_texts(encoder, reference_ids):
+    import pyarrow.parquet as pq
+
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"])["text"].to_pylist()]
+    texts += ["word " * 50_000, "x" * 100_000, "  \n\t" * 20_000, "漢字かな" * 20_000, "".join(texts)]
+    for t in texts:
+        assert np.frombuffer(encoder.encode(t), "<u4").tolist() == reference_ids(t)
+
+
 def test_packing(spark, reference_ids):
     rows = corpus(6, words=900) + [(2000, "w " * 3000)]
     rows += [rows[7]]
@@ -272,6 +281,21 @@ def test_fingerprints_are_the_signature_sets(spark):
     assert got[9000]["near_next"] == 1.0 and got[9000]["fingerprint"] == got[9001]["fingerprint"]
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.8])
+def test_similar_documents_against_all_pairs(spark, threshold):
+    rows = corpus(10, n=90, words=120) + [(7000, "the cat"), (7001, "the cat"), (7002, None), (7003, "")]
+    rng = np.random.default_rng(5)
+    base = [f"w{k} the" for k in range(60)]
+    rows += [(8000 + k, " ".join(w for w in base if rng.random() > 0.06)) for k in range(25)]
+    members, pairs = spotsigs.similar(documents(spark, rows), threshold)
+    sets = {i: frozenset(_spots(t or "")) for i, t in rows}
+    named = {s: min(i for i in sets if sets[i] == s) for s in set(sets.values())}
+    assert {r["doc_id"]: r["class_id"] for r in members.collect()} == {i: named[s] for i, s in sets.items()}
+    want = {(x, y): len(s & t) / len(s | t) for s, x in named.items() for t, y in named.items() if x < y and len(s & t) >= threshold * len(s | t)}
+    got = {(r["a"], r["b"]): r["likeness"] for r in pairs.collect()}
+    assert len(want) > 5 and got == pytest.approx(want) and pairs.count() == len(want)
+
+
 def test_fingerprints_edges(spark):
     assert spotsigs.compare_edited(documents(spark, [])).count() == 0
     alone = spotsigs.compare_edited(documents(spark, [(4, "the one alone")])).first()

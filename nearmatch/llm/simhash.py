@@ -39,6 +39,8 @@ RADIUS = 4
 SEED = 42
 TILE = 4096
 MAX_TILES = 768
+#: Tiles that one copy of a tile is compared with.
+PARTNERS = 16
 #: Fingerprint pairs of one numpy call.
 BLOCK = 1 << 18
 
@@ -197,7 +199,9 @@ def linked(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataF
     cells = np.stack([codes // 17**3, codes // 17**2 % 17, codes // 17 % 17, codes % 17], axis=1).astype(np.int16)
     first, parts, low, high = plan_tiles(cells, counts, tile)
     where = spark.createDataFrame(pd.DataFrame({"cell": codes, "first": first.astype(np.int64), "parts": parts.astype(np.int64)}), "cell long, first long, parts long")
-    pairs = spark.createDataFrame(pd.DataFrame(tile_pairs(low, high, radius) if len(low) else [], columns=["i", "j"]).astype("int64"), "i long, j long")
+    near = np.array(tile_pairs(low, high, radius) if len(low) else np.zeros((0, 2)), np.int64)
+    nth = np.arange(len(near)) - np.searchsorted(near[:, 0], near[:, 0])
+    pairs = spark.createDataFrame(pd.DataFrame({"i": near[:, 0], "j": near[:, 1], "nth": nth}), "i long, j long, nth long")
     tiled = celled.join(F.broadcast(where), "cell").select("fp", (F.col("first") + F.pmod(F.xxhash64("fp"), F.col("parts"))).alias("tile"))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -207,14 +211,21 @@ def linked(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataF
         return pd.DataFrame({"tile": [pdf["tile"].iloc[0]], "fps": [fp.tobytes()]})
 
     tiles = materialize(tiled.groupBy("tile").applyInPandas(pack, "tile long, fps binary"), "tiles")
-    a, b = tiles.select(F.col("tile").alias("i"), F.col("fps").alias("a")), tiles.select(F.col("tile").alias("j"), F.col("fps").alias("b"))
+    # a tile goes once to each group of its partners, in front of them
+    grouped = pairs.withColumn("part", F.floor(F.col("nth") / PARTNERS))
+    partners = grouped.join(tiles, F.col("j") == F.col("tile")).select("i", "part", "j", "fps")
+    first = grouped.select("i", "part").distinct().join(tiles, F.col("i") == F.col("tile")).select("i", "part", F.lit(-1).cast("long").alias("j"), "fps")
     n = max(1, min(4 * shuffle_partitions(spark), len(low) ** 2))
-    work = pairs.join(a, "i").join(b, "j").repartition(n)
+    work = first.unionByName(partners).repartition(n, "i", "part").sortWithinPartitions("i", "part", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = np.zeros(0, np.uint64)
         for batch in batches:
-            for i, j, x, y in zip(*(batch.column(k).to_pylist() for k in ("i", "j", "a", "b"))):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for k in range(batch.num_rows):
+                i, j, y = batch.column(0)[k].as_py(), batch.column(2)[k].as_py(), np.frombuffer(batch.column(3)[k].as_py(), np.uint64)
+                if j < 0:
+                    x = y
+                    continue
                 s, t = forest(x, y, radius, i == j)
                 if len(s):
                     both = (x if i == j else np.concatenate([x, y])).view(np.int64)

@@ -452,6 +452,39 @@ def test_licenses_spans_where_small_letters_are_longer(before, after):
     assert found[0] == "MIT" and text[found[2] : found[3]] == "Licensed under the MIT License"
 
 
+def test_licenses_find_edited_notices_in_any_text():
+    """Round trip: templates with some words changed, left out or added come back with their coverage and span."""
+    import random
+
+    rng = random.Random(12)
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    filler = [f"word{k}" for k in range(50)]
+    done = 0
+    for name, texts in licenses.TEMPLATES.items():
+        for text in texts:
+            spans = [m.span() for m in re.finditer(r"[^\W_]+(?:[.\-][^\W_]+)*", text)]
+            words = [text[a:b] for a, b in spans]
+            free = [k for k, need in enumerate(licenses.required([w.lower() for w in words])) if not need and 4 < k < len(words) - 4]
+            if len(words) < 30:
+                continue
+            for _ in range(3):
+                hit = sorted(rng.sample(free, min(3, len(words) // 12)))
+                new, lost = list(words), 0
+                for k in reversed(hit):
+                    kind = rng.randrange(3)
+                    lost += kind < 2
+                    new[k : k + 1] = [["changed"], [], [words[k], "added"]][kind]
+                before, after = (" ".join(rng.choices(filler, k=rng.randrange(1, 40))) for _ in range(2))
+                body = " ".join(new)
+                whole = f"{before} {body} {after}"
+                found = [m for m in scanner.scan(whole) if m[0] == name]
+                assert found, (name, body)
+                best = max(found, key=lambda m: m[3] - m[2])
+                assert whole[best[2] : best[3]] == body and best[4] == pytest.approx(1 - lost / len(words))
+                done += 1
+    assert done > 20
+
+
 def test_licenses_find_every_template_as_its_own():
     scanner = licenses.Scanner(licenses.TEMPLATES)
     for name, texts in licenses.TEMPLATES.items():

@@ -6,8 +6,8 @@ probability. The pivotal method pairs documents of one source and moves mass
 (words) between their probabilities at random, without drift, until one of
 them becomes 0 or 1; the other meets the next document. Mass is only moved,
 so a source's taken words keep to its target but for one last document. What
-rounding that one errs by is handed to documents that were rounded the other
-way and are no larger.
+rounding that one errs by is handed to documents that change their rounding, alone
+or in pairs, as long as that leaves less of it.
 
 Sources are dealt into groups by a hash of the document, so that a hot source
 is many tasks; each group leaves one document with a fraction, and these meet
@@ -108,16 +108,31 @@ def pivotal(size: np.ndarray, p: np.ndarray, u: np.ndarray) -> tuple[np.ndarray,
 
 
 def settle(size: np.ndarray, p: np.ndarray, at: int, u: float) -> np.ndarray:
-    """Rounds the last document at random and hands the words by which that errs to others, largest first: they flip."""
+    """Rounds the last document at random and hands the words by which that errs to others: those flip, or two change places, that leave least of it."""
     p = p.copy()
     rounded = float(u < p[at])
-    error = (rounded - p[at]) * size[at]
+    error = int(round((rounded - p[at]) * size[at]))
     p[at] = rounded
-    for i in np.argsort(-size, kind="stable").tolist():
-        if i != at and size[i] > 0 and (p[i] == 1.0 if error > 0 else p[i] == 0.0) and size[i] <= abs(error):
-            change = 1.0 - 2 * p[i]
-            error += change * size[i]
-            p[i] += change
+    others = np.flatnonzero((size > 0) & (np.arange(len(p)) != at))
+    while error:
+        taken, left = others[p[others] == 1.0], others[p[others] == 0.0]
+        # a document of size 0, -1 in place of a number, is none
+        drop, add = np.r_[-1, taken], np.r_[-1, left]
+        add = add[np.argsort(np.where(add < 0, 0, size[add]), kind="stable")]
+        gone, come = np.where(drop < 0, 0, size[drop]), np.where(add < 0, 0, size[add])
+        above = np.minimum(np.searchsorted(come, gone - error), len(come) - 1)
+        best = None
+        for k in (above, np.maximum(above - 1, 0)):
+            rest = np.abs(error - gone + come[k])
+            i = int(np.argmin(rest))
+            if best is None or rest[i] < best[0]:
+                best = int(rest[i]), int(drop[i]), int(add[k[i]])
+        if best[0] >= abs(error):
+            break
+        for i, value in ((best[1], 0.0), (best[2], 1.0)):
+            if i >= 0:
+                error += int(size[i]) if value else -int(size[i])
+                p[i] = value
     return p
 
 

@@ -146,6 +146,21 @@ def test_pivotal_keeps_mass_and_means():
     assert np.allclose(total / 4000, p, atol=0.03)
 
 
+@given(st.lists(st.tuples(st.integers(1, 60), st.booleans()), min_size=1, max_size=30), st.floats(0.01, 0.99), st.floats(0, 0.999))
+@settings(max_examples=100, deadline=None)
+def test_settling_leaves_what_no_flip_or_exchange_lessens(docs, share, u):
+    size = np.array([7, *(n for n, _ in docs)])
+    p = np.array([share, *(float(x) for _, x in docs)])
+    out = mixing.settle(size, p, 0, u)
+    assert set(out.tolist()) <= {0.0, 1.0} and out[0] == float(u < share)
+    first = int(round((out[0] - share) * 7))
+    error = first + int(((out - p) * size)[1:].sum())
+    assert abs(error) <= abs(first)
+    for drop in [0, *size[1:][out[1:] == 1]]:
+        for add in [0, *size[1:][out[1:] == 0]]:
+            assert abs(error - drop + add) >= abs(error)
+
+
 def test_mixed_documents(spark):
     df = documents(spark, [(1, "a b c", "x"), (2, "d", "y"), (3, None, "y")])
     out = mixing.mixed_documents(df)

@@ -6,8 +6,8 @@ probability. The pivotal method pairs documents of one source and moves mass
 (words) between their probabilities at random, without drift, until one of
 them becomes 0 or 1; the other meets the next document. Mass is only moved,
 so a source's taken words keep to its target but for one last document. What
-rounding that one errs by is handed to documents that change their rounding, alone
-or in pairs, as long as that leaves less of it.
+rounding that one errs by is handed to documents that change their rounding, one
+or two for none or one, as long as that leaves less of it.
 
 Sources are dealt into groups by a hash of the document, so that a hot source
 is many tasks; each group leaves one document with a fraction, and these meet
@@ -108,7 +108,7 @@ def pivotal(size: np.ndarray, p: np.ndarray, u: np.ndarray) -> tuple[np.ndarray,
 
 
 def settle(size: np.ndarray, p: np.ndarray, at: int, u: float) -> np.ndarray:
-    """Rounds the last document at random and hands the words by which that errs to others: those flip, or two change places, that leave least of it."""
+    """Rounds the last document at random and hands the words by which that errs to others: those flip or change places, up to two for one, that leave least of it."""
     p = p.copy()
     rounded = float(u < p[at])
     error = int(round((rounded - p[at]) * size[at]))
@@ -116,26 +116,38 @@ def settle(size: np.ndarray, p: np.ndarray, at: int, u: float) -> np.ndarray:
     others = np.flatnonzero((size > 0) & (np.arange(len(p)) != at))
     while error:
         taken, left = others[p[others] == 1.0], others[p[others] == 0.0]
-        # a document of size 0, -1 in place of a number, is none
-        drop, add = np.r_[-1, taken], np.r_[-1, left]
-        add = add[np.argsort(np.where(add < 0, 0, size[add]), kind="stable")]
-        gone, come = np.where(drop < 0, 0, size[drop]), np.where(add < 0, 0, size[add])
-        above = np.minimum(np.searchsorted(come, gone - error), len(come) - 1)
-        best = None
-        for k in (above, np.maximum(above - 1, 0)):
-            rest = np.abs(error - gone + come[k])
-            i = int(np.argmin(rest))
-            if best is None or rest[i] < best[0]:
-                best = int(rest[i]), int(drop[i]), int(add[k[i]])
-        if best[0] >= abs(error):
+        step = None
+        for two_out, two_in in ((False, False), (False, True), (True, False)):
+            drop, gone = _choices(taken, size, two_out)
+            add, come = _choices(left, size, two_in)
+            above = np.minimum(np.searchsorted(come, gone - error), len(come) - 1)
+            for k in (above, np.maximum(above - 1, 0)):
+                rest = np.abs(error - gone + come[k])
+                i = int(np.argmin(rest))
+                if rest[i] < (abs(error) if step is None else step[0]):
+                    step = int(rest[i]), drop[i], add[k[i]]
+            if step is not None:
+                break
+        if step is None:
             break
-        for i, value in ((best[1], 0.0), (best[2], 1.0)):
-            if i >= 0:
+        for chosen, value in ((step[1], 0.0), (step[2], 1.0)):
+            for i in chosen[chosen >= 0]:
                 error += int(size[i]) if value else -int(size[i])
                 p[i] = value
     return p
 
 
+def _choices(of: np.ndarray, size: np.ndarray, two: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of none, one or two of the documents (-1: none), by their size together, and that size."""
+    rows = np.stack([np.r_[-1, of], np.full(len(of) + 1, -1)], 1)
+    if two:
+        i, j = np.triu_indices(len(of), 1)
+        rows = np.concatenate([rows, np.stack([of[i], of[j]], 1)])
+    together = np.where(rows < 0, 0, size[rows]).sum(axis=1)
+    order = np.argsort(together, kind="stable")
+    return rows[order], together[order]
+
+
 def _round(rows: DataFrame, turn: int, last: bool) -> DataFrame:
     """rows of (src, grp, uid, doc_id, size, p) after pairing within each group."""
 

@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 
 from nearmatch.llm.common import lookup, materialize, own, shuffle_partitions, table, text_batches
 from nearmatch.operators.components import connected_components
+from nearmatch.operators.groups import SMALL_GRAPH
 
 SHINGLE = 4
 RADIUS = 4
@@ -238,7 +239,7 @@ def _grouped(rows: DataFrame, radius: int, **more: Column) -> DataFrame:
     """fp, first_id, n_same, component of each different fingerprint of rows(doc_id, fp), and what more aggregates of its rows say."""
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n_same"), *[c.alias(k) for k, c in more.items()])
     distinct = materialize(distinct, "distinct")
-    labels = connected_components(linked(distinct.select("fp"), radius)).withColumnRenamed("id", "fp")
+    labels = connected_components(linked(distinct.select("fp"), radius), small=SMALL_GRAPH).withColumnRenamed("id", "fp")
     return distinct.join(labels, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
 
 

@@ -103,8 +103,9 @@ def routed(rows: DataFrame, slots: DataFrame, depth: int) -> DataFrame:
 
 
 def _keyed(docs: DataFrame, keep: list[str], key: Callable[[Column], Column]) -> DataFrame:
-    """doc (the columns in keep), norm and key of each row."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc"), normalised(F.col("text")).alias("norm"))
+    """doc (the columns in keep), text, norm and key of each row; text is null where doc has it."""
+    text = F.lit(None).cast("string") if "text" in keep else F.col("text")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc"), text.alias("text"), normalised(F.col("text")).alias("norm"))
     return rows.withColumn("key", key(F.col("norm")))
 
 
@@ -133,14 +134,16 @@ def _settled(docs: DataFrame, keep: list[str], capacity: int | None, hot_share:
     hot_from = max(1000, int(total * hot_share))
     tasks = shuffle_partitions(spark)
     row = F.monotonically_increasing_id()
-    probes = routed(keyed.withColumn("row", row).withColumn("sha", F.unhex(F.sha2("norm", 256))), slots, depth)
+    # texts travel as they are, once; those that compare bytes are normalised again
+    probes = routed(keyed.withColumn("row", row).withColumn("sha", F.unhex(F.sha2("norm", 256))).drop("norm"), slots, depth)
+    norm = normalised(F.col("doc.text") if "text" in keep else F.col("text"))
     hot = index.where(F.col("n") >= hot_from).select("bucket", "key", F.col("n").alias("hot"))
     probes = probes.join(F.broadcast(hot), ["bucket", "key"], "left")
     owner = F.when(F.col("hot").isNull(), F.col("bucket")).otherwise(-1 - F.pmod(F.xxhash64("row"), F.lit(16 * tasks)))
     probes = probes.withColumn("owner", owner).repartition(tasks, "owner")
     cold = index.where(F.col("n") < hot_from).select(F.col("bucket").alias("owner"), "key", "n").repartition(tasks, "owner")
     found = probes.join(cold, ["owner", "key"], "left").withColumn("n", F.coalesce("hot", "n"))
-    found = found.select("doc", "key", "sha", "row", "n", "bucket", "local_depth", F.when(F.col("n") > 1, F.col("norm")).alias("norm"))
+    found = found.select("doc", "key", "sha", "row", "n", "bucket", "local_depth", F.when(F.col("n") > 1, norm).alias("norm"))
     found = materialize(found, "probed")
 
     answer = ["doc", "sha", "keep_id", "group_size", "kept", "bucket", "local_depth", "chain"]

@@ -15,7 +15,8 @@ def watch(spark: SparkSession, folder: str, handle: Callable[[DataFrame, int], N
     """Hand each micro-batch's files (path, size, modified_at) that are not known yet to handle.
 
     Spark's checkpoint remembers which files were read; the anti-join makes a
-    repeated batch harmless.
+    repeated batch harmless. Spark's file streams pass over names that begin with _ or
+    a full stop; a scan (``sources.files.scan``) finds these.
     """
     schema = "path string, modificationTime timestamp, length long, content binary"
     stream = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(folder)

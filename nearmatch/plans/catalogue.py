@@ -192,8 +192,8 @@ def duplicate_groups(spark, sf):
 @query(f"WITH RECURSIVE {_PERCENT}, {_IDS}, {_components_sql('ed', 'ids')} SELECT root AS group_id, count(*) AS members, list_sort(list(id))::VARCHAR AS video_ids FROM r GROUP BY root")
 def all_components_with_singletons(spark, sf):
     h = materialize(_hashes(spark, sf, 125), "hashes")
-    e = similarity.edges(similarity.match_counts(similarity.hamming_pairs(h, 22)), h, percent=50.0)
-    m = groups.members(groups.membership(_ids(h), e))
+    params = settings.SearchParams(method=settings.HashMethod.SLOW, slowHash=settings.SlowHash(hammingDistance=22, usePercentThreshold=True, matchingThresholdPct=50.0))
+    m = groups.members(search.find_duplicates(_ids(h), h, params))
     return m.select("group_id", F.size("video_ids").cast("long").alias("members"), F.concat(F.lit("["), F.array_join("video_ids", ", "), F.lit("]")).alias("video_ids"))
 
 

@@ -6,8 +6,8 @@ are smoothed by a Gaussian; lines over a threshold taken from the page's own
 smoothed ratios make clusters, and clusters are the content regions. An article
 or main element is a hint: within one, a line needs but ``HINT`` of the threshold,
 so that short paragraphs stay and lists of links go; outside, clusters are closed
-over gaps of few lines and don't begin or end with lines that only their
-neighbours lift. Where such elements hold at least half of the clusters' text,
+over gaps of few lines and don't begin or end with lines that have less than
+``EDGE`` of the threshold but for their neighbours. Where such elements hold at least half of the clusters' text,
 clusters outside of them go; else (teasers, widgets) all clusters count.
 
 Elements whose tag, class, id or role names a menu, header, footer, sidebar,
@@ -88,6 +88,8 @@ SIGMA = 1.5
 GAP = 3
 #: Of the threshold, what lines of an article or main element need.
 HINT = 0.02
+#: Of the threshold, what the first and last lines of a cluster outside need of their own.
+EDGE = 0.1
 #: Times that a page is read again for elements left open; after these, once more without skipping any but RAW ones.
 AGAIN = 4
 # Of the skipped elements, those whose content is no text of the page even where their end is missing.
@@ -299,8 +301,8 @@ def select(lines: list[_Line]) -> list[str]:
     limit = min(mean, spread) if spread > 1e-9 * mean else 0.0
     inside = [i for i, x in enumerate(lines) if x.text and x.container and smoothed[i] >= HINT * limit]
     above = [bool(x.text) and not x.container and smoothed[i] >= limit for i, x in enumerate(lines)]
-    # clusters outside of containers: between lines that are over the threshold themselves
-    strong = [i for i, ok in enumerate(above) if ok and lines[i].ratio >= limit] or [i for i, ok in enumerate(above) if ok]
+    # clusters outside of containers: between lines that have enough of their own
+    strong = [i for i, ok in enumerate(above) if ok and lines[i].ratio >= EDGE * limit] or [i for i, ok in enumerate(above) if ok]
     outside: set[int] = set(strong)
     for i, j in zip(strong, strong[1:]):
         between = range(i + 1, j)

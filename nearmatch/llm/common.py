@@ -27,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def text_batches(spark: SparkSession) -> None:
     """Keep batches of whole texts small, those of the Parquet reader and those that go to Python: very long documents then can't fill a JVM or a Python worker."""
-    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "256")
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "64")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 

@@ -41,6 +41,9 @@ HOT = 2000
 PIECE = 1 << 19
 #: Units that the anchors are computed for at once, and bytes of an Arrow batch of spans.
 BLOCK = 1 << 17
+#: Bytes that a batch's kinds hold before they are passed on, and about those of a place.
+KINDS = 16 << 20
+PLACE = 256
 #: Marks that are gathered by class before they are passed on.
 PLACED = 50_000
 #: Stands for a null doc_id: after all others.
@@ -314,7 +317,7 @@ class _Kinds:
         if not at:
             self.held += len(content)
         at += places
-        self.held += 32 * len(places)
+        self.held += PLACE * len(places)
 
     def batch(self) -> pa.RecordBatch:
         from xxhash import xxh3_128_digest
@@ -371,7 +374,7 @@ def _hot_marks(texts: DataFrame, units: Units, decide: Decide, hot: int) -> Data
                     p = int(np.flatnonzero(hashes[first : first + units.length - units.gram + 1] == h[k])[-1])
                     content = units.cut(whole, places, first, int(hi[k]) + units.length)
                     kinds.add(h[k].tobytes(), p, p + units.gram, content, [{"cid": cid, "did": did, "weight": weight, "lo": first}])
-                if kinds.held > BLOCK:
+                if kinds.held > KINDS:
                     yield kinds.batch()
         if kinds.held:
             yield kinds.batch()
@@ -384,7 +387,7 @@ def _hot_marks(texts: DataFrame, units: Units, decide: Decide, hot: int) -> Data
                 for first, end, x, y in halves(units.count(content), p, q, units.length):
                     new = xxh3_128_digest(b"%b %d %b" % (key, x < p, units.cut(content, at, x, y)))
                     kinds.add(new, x - first, y - first, units.cut(content, at, first, end), [{**s, "lo": s["lo"] + first} for s in places])
-                if kinds.held > BLOCK:
+                if kinds.held > KINDS:
                     yield kinds.batch()
         if kinds.held:
             yield kinds.batch()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from nearmatch.sources.shared import materialize, shared_dir
 
-__all__ = ["WORD", "WS", "bucket_of", "groups_for", "lookup", "materialize", "own", "shared_dir", "shuffle_partitions", "table", "text_batches"]
+__all__ = ["WORD", "WS", "bucket_of", "groups_for", "lookup", "materialize", "numbered", "own", "shared_dir", "shuffle_partitions", "table", "text_batches"]
 
 #: The white space of all word definitions here: space and U+0009 to U+000D.
 WS = r"[\x20\x09-\x0D]+"
@@ -45,6 +45,14 @@ def bucket_of(cols: list[str], groups: Column | int, seed: int) -> Column:
     return F.pmod(F.xxhash64(*cols, F.lit(seed)), F.lit(groups) if isinstance(groups, int) else groups)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a column own("row") that no two rows share: their doc_id, or where ids are missing or repeated a number, for which docs is written."""
+    row = own("row")
+    if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("doc_id IS NULL OR n > 1").isEmpty():
+        return docs.withColumn(row, F.col("doc_id"))
+    return materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+
+
 def lookup(rows: DataFrame, entries: DataFrame, key: str, weight: str, spread: str, hot_share: float = 0.001) -> DataFrame:
     """rows with a struct column found: the entry of their key, a long or a binary, or null.
 

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearmatch.llm.common import WORD, bucket_of, materialize, own, table, text_batches
+from nearmatch.llm.common import WORD, bucket_of, materialize, numbered, own, table, text_batches
 from nearmatch.sources.store import with_ids
 
 MAX_COPIES = 3.0
@@ -199,7 +199,7 @@ def mix(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, as often as the mix takes them; those without words go. Rows with the same doc_id, or with none, are rows of their own."""
     row, copies = own("row"), own("copies")
-    marked = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    marked = numbered(docs)
     taken = mix(marked.select("doc_id", "text", "source", row), (row,)).where("copies > 0 AND size > 0").select(row, F.col("copies").cast("int").alias(copies))
     rows = marked.join(taken, row)
     return rows.withColumn(own("copy"), F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*[F.col(f"`{c}`") for c in docs.columns])

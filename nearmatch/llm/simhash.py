@@ -29,9 +29,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from nearmatch.llm.common import lookup, materialize, own, shuffle_partitions, table, text_batches
+from nearmatch.llm.common import lookup, materialize, numbered, own, shuffle_partitions, table, text_batches
 from nearmatch.operators.components import connected_components
 from nearmatch.operators.groups import SMALL_GRAPH
 
@@ -87,17 +86,18 @@ def fingerprints(texts: list[str | None]) -> np.ndarray:
     return out
 
 
-def with_fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long, of each row of docs(doc_id, text)."""
+def with_fingerprints(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp, the fingerprint as a signed long, and the columns in keep, of each row of docs(doc_id, text)."""
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fingerprints(part.column(1).to_pylist()).view(np.int64))], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fingerprints(part.column(1).to_pylist()).view(np.int64)), *part.columns[2:]], names=["doc_id", "fp", *keep])
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return source.mapInArrow(run, "doc_id long, fp long")
+    kinds = "".join(f", `{c}` {source.schema[c].dataType.simpleString()}" for c in keep)
+    return source.mapInArrow(run, f"doc_id long, fp long{kinds}")
 
 
 def cells_of(fp: np.ndarray) -> np.ndarray:
@@ -255,18 +255,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row of each group of near-duplicates with all its columns: that of the smallest doc_id, of a null one only if there is no other."""
-    at, fp, row = docs.columns.index("text"), own("fp"), own("row")
-    names = [*docs.columns, fp]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for first in range(0, b.num_rows, 500):
-                part = b.slice(first, 500)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fingerprints(part.column(at).to_pylist()).view(np.int64))], names=names)
-
-    marked = docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField(fp, T.LongType())]))
-    marked = materialize(marked.withColumn(row, F.monotonically_increasing_id()), "fingerprinted")
-    rows = marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(fp).alias("fp"), F.col(row).alias("row"))
+    row = own("row")
+    marked = numbered(docs)
+    rows = materialize(with_fingerprints(marked, (row,)).withColumnRenamed(row, "row"), "fingerprints")
     head = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
     stay = _grouped(rows, radius, head=head).groupBy("component").agg(F.min("head").alias("head"))
     return marked.join(stay.select(F.col("head.row").alias(row)), row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from nearmatch.llm import exact_dedup, licenses, mixing, packing, simhash, spotsigs, substring_dedup, suffix_dedup, toxicity
+from nearmatch.llm import exact_dedup, licenses, manifest, mixing, packing, simhash, spotsigs, substring_dedup, suffix_dedup, toxicity
 from nearmatch.llm.html_extract import op7_html_extraction
 
 QUERIES = {
@@ -16,8 +16,10 @@ QUERIES = {
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_license_scans": licenses.op10_license_scans,
+    "op12_merkle_manifest": manifest.op12_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op9_exact_dedup": exact_dedup.SQL,
+    "op12_merkle_manifest": manifest.SQL,
 }

@@ -36,18 +36,28 @@ def _remove(spark: SparkSession, path: str, later: bool) -> None:
     fs.deleteOnExit(where) if later else fs.delete(where, True)
 
 
+def shared_path(spark: SparkSession, label: str, stays: bool = False) -> str:
+    """A new path in the shared folder. What is written there goes with the scope around (see ``temporary``) unless it stays."""
+    path = f"{shared_dir(spark)}/nearmatch-{label}-{uuid.uuid4().hex}"
+    if _SCOPES and not stays:
+        _SCOPES[-1].append(path)
+    return path
+
+
+def goes_at_exit(spark: SparkSession, path: str) -> None:
+    """What is written at a path by now goes when the application ends."""
+    _remove(spark, path, later=True)
+
+
 def materialize(df: DataFrame, label: str, stays: bool = False) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: cuts lineage and survives the loss of executors.
 
-    The files go when the application ends, or with the scope around (see
-    ``temporary``) unless they stay.
+    The files go when the application ends, or with the scope around unless they stay.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/nearmatch-{label}-{uuid.uuid4().hex}"
+    path = shared_path(spark, label, stays)
     df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
-    _remove(spark, path, later=True)
-    if _SCOPES and not stays:
-        _SCOPES[-1].append(path)
+    goes_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

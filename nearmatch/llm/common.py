@@ -45,12 +45,12 @@ def bucket_of(cols: list[str], groups: Column | int, seed: int) -> Column:
     return F.pmod(F.xxhash64(*cols, F.lit(seed)), F.lit(groups) if isinstance(groups, int) else groups)
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """docs with a column own("row") that no two rows share: their doc_id, or where ids are missing or repeated a number, for which docs is written."""
+def numbered(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """rows with a column own("row") that no two of them share: their key, or where keys are missing or repeated a number, for which rows is written."""
     row = own("row")
-    if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("doc_id IS NULL OR n > 1").isEmpty():
-        return docs.withColumn(row, F.col("doc_id"))
-    return materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    if rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col(key).isNull() | (F.col("n") > 1)).isEmpty():
+        return rows.withColumn(row, F.col(key))
+    return materialize(rows.withColumn(row, F.monotonically_increasing_id()), "numbered")
 
 
 def lookup(rows: DataFrame, entries: DataFrame, key: str, weight: str, spread: str, hot_share: float = 0.001) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from nearmatch.llm import exact_dedup, licenses, manifest, mixing, packing, simhash, spotsigs, substring_dedup, suffix_dedup, toxicity
+from nearmatch.llm import exact_dedup, licenses, manifest, mixing, packing, simhash, spotsigs, substring_dedup, suffix_dedup, toxicity, warc
 from nearmatch.llm.html_extract import op7_html_extraction
 
 QUERIES = {
@@ -17,9 +17,11 @@ QUERIES = {
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_license_scans": licenses.op10_license_scans,
     "op12_merkle_manifest": manifest.op12_merkle_manifest,
+    "op13_warc": warc.op13_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op9_exact_dedup": exact_dedup.SQL,
     "op12_merkle_manifest": manifest.SQL,
+    "op13_warc": warc.SQL,
 }

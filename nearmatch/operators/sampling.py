@@ -1,11 +1,61 @@
-"""Which frames are hashed: the greedy sampler, targets and forward as-of picks."""
+"""Which frames are hashed: the greedy sampler, targets and forward as-of picks.
+
+Over tables of frames these are columns and joins. ``Greedy`` and ``AsOf`` are the
+same rules over frames that a task decodes one after another.
+"""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Parts of the duration at which fast hashing looks, and seconds between the frames of slow hashing.
+SHARES = (0.30, 0.70)
+PERIOD = 1.0
+
+
+class Greedy:
+    """The sampler over the frames of one file: what sample_fold is over an array."""
+
+    def __init__(self, step: float) -> None:
+        self.step, self.next = step, 0.0
+
+    def take(self, seconds: float | None) -> bool:
+        due = seconds is None or seconds >= self.next
+        if due:
+            self.next += self.step
+        return due
+
+
+class AsOf:
+    """The frame that a target picks from frames (pts, timebase numerator, denominator, ..., keyframe) in any order.
+
+    The first at or after the target; of keyframes the last up to it, or where there is none, the first after it.
+    """
+
+    def __init__(self, seconds: float, keyframes: bool) -> None:
+        self.seconds, self.keyframes = seconds, keyframes
+        self.frame: tuple | None = None
+        self.rank: tuple | None = None
+
+    def take(self, frame: tuple) -> bool:
+        """Look at a frame; whether no later one, if times rise, can be a better pick."""
+        pts, num, den = frame[:3]
+        if pts is None or self.keyframes and len(frame) > 6 and not frame[6]:
+            return False
+        # whole microseconds, then the nearest unit, halves away from 0
+        at = int(math.floor(abs(x := round(self.seconds * 1e6) * den / (num * 1e6)) + 0.5) * math.copysign(1, x))
+        if not self.keyframes and pts < at:
+            return False
+        rank = (pts > at, abs(pts - at)) if self.keyframes else (False, pts)
+        if self.rank is None or rank < self.rank:
+            self.rank, self.frame = rank, frame
+        return pts >= at
+
+
 def sample_frames(frames: DataFrame, partition: str, pts: str, step: float, tie: str) -> DataFrame:
     """frames with due: whether the sampler keeps a frame, in closed form. Times must not be null; see sample_fold.
 
@@ -32,10 +82,19 @@ def sample_fold(pts: Column, step: float) -> Column:
 
 
 def forward_asof(frames: DataFrame, targets: DataFrame, key: str, pts: str, target: str, value: str) -> DataFrame:
-    """key, target, pts, value of the first frame at or after each target; targets without one are left out."""
-    joined = frames.join(targets, key).where(F.col(pts) >= F.col(target))
-    pick = F.min_by(F.struct(F.col(pts), F.col(value)), F.struct(F.col(pts), F.col(value))).alias("_p")
-    return joined.groupBy(key, target).agg(pick).select(key, target, F.col(f"_p.{pts}").alias(pts), F.col(f"_p.{value}").alias(value))
+    """key, target, pts, value of the first frame at or after each target; targets without one are left out. Of frames at one time the smallest value counts.
+
+    Frames and targets are sorted together once, latest first, and each target
+    takes the frame that was last passed: no pair of the two is ever made.
+    """
+    frame = F.struct(F.col(pts).alias("p"), F.col(value).alias("v"))
+    rows = frames.where(F.col(pts).isNotNull()).select(F.col(key), F.col(pts).alias("_at"), frame.alias("_frame"), F.lit(None).cast(targets.schema[target].dataType).alias("_target"))
+    wanted = targets.where(F.col(target).isNotNull()).select(F.col(key), F.col(target).alias("_at"), F.lit(None).cast(rows.schema["_frame"].dataType).alias("_frame"), F.col(target).alias("_target"))
+    # of one time: frames by falling value, then targets, so that a target sees all frames at its time
+    w = Window.partitionBy(key).orderBy(F.desc("_at"), F.col("_frame").isNull(), F.desc("_frame")).rowsBetween(Window.unboundedPreceding, 0)
+    passed = rows.unionByName(wanted).withColumn("_next", F.last("_frame", ignorenulls=True).over(w))
+    found = passed.where(F.col("_target").isNotNull() & F.col("_next").isNotNull())
+    return found.select(key, F.col("_target").alias(target), F.col("_next.p").alias(pts), F.col("_next.v").alias(value)).distinct()
 
 
 def both_or_none(hashes: DataFrame, key: str, wanted: int = 2) -> DataFrame:

@@ -11,7 +11,7 @@ from nearmatch.functions.media import or_default_thumbnail
 from nearmatch.operators import filters, groups, similarity
 from nearmatch.settings import SearchParams
 from nearmatch.sources import files as scans
-from nearmatch.sources.probe import Adapter, hash_frames, probe_files, read_frames
+from nearmatch.sources.probe import Adapter, hash_videos, probe_files
 from nearmatch.sources.shared import materialize
 from nearmatch.sources.store import Store
 
@@ -66,9 +66,7 @@ def ingest(spark: SparkSession, store: Store, files: DataFrame, params: SearchPa
     if not progress.probed:
         return
     added = store.insert_videos(good.withColumn("thumbnail_path", or_default_thumbnail(F.array().cast("array<string>"))))
-    durations = added.select(F.col("id").alias("video_id"), F.col("duration").cast("double").alias("duration"))
-    hashed = hash_frames(read_frames(added, adapter), params, durations)
-    arrays = hashed.groupBy("video_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "h"))), lambda x: x["h"]).alias("hashes"))
+    arrays = hash_videos(added, adapter, params).where("NOT fatal AND size(hashes) > 0").select("video_id", "hashes")
     arrays = materialize(arrays, "hashes")
     progress.hashed = arrays.count()
     store.insert_hashes(arrays)

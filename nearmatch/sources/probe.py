@@ -8,13 +8,13 @@ adapter for real containers plugs in at the same place.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from typing import Any, Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from nearmatch import schemas
 from nearmatch.settings import HashMethod, SearchParams
@@ -28,6 +28,9 @@ class Adapter(Protocol):
         """pts, timebase numerator and denominator, width, height and luma of each frame, in order; and whether it is a keyframe, if that is known.
 
         An exception says that the file can't be decoded any further: its hashes are discarded.
+
+        An adapter that can seek also has seek(path, seconds), the frames from the last keyframe at or before a time
+        on, or from the first one. Fast hashing then reads no others, and an exception counts only where it reads.
         """
 
 
@@ -85,7 +88,7 @@ FRAME_BYTES = 32 << 20
 
 
 def read_frames(videos: DataFrame, adapter: Adapter) -> DataFrame:
-    """The frame table of videos(id, path), in batches of at most FRAME_BYTES or one frame. Where the adapter fails, a row without a frame and with fatal."""
+    """The frame table of videos(id, path), for work on frames of your own: a search samples and hashes where it reads (``hash_videos``). In batches of at most FRAME_BYTES or one frame. Where the adapter fails, a row without a frame and with fatal."""
     columns = ["video_id", "pts", "tb_num", "tb_den", "w", "h", "luma", "key", "fatal"]
     kinds = dict.fromkeys(columns[1:6], "Int64")
 
@@ -108,54 +111,90 @@ def read_frames(videos: DataFrame, adapter: Adapter) -> DataFrame:
     return videos.select("id", "path").mapInPandas(run, schemas.FRAME)
 
 
-def hash_frames(frames: DataFrame, params: SearchParams, durations: DataFrame) -> DataFrame:
-    """hash rows (video_id, pos, h) of frames by the method of params; durations has video_id and duration.
+def _number(x: Any) -> int | None:
+    return None if x is None or pd.isna(x) else int(x)
+
+
+def _hash(frame: tuple, hashes: list[tuple[int, int]], pos: int) -> None:
+    from nearmatch.functions.phash import hash_plane
+
+    h = hash_plane(frame[5], _number(frame[3]), _number(frame[4]))
+    if h:  # neither null nor 0
+        hashes.append((pos, h))
+
+
+def hash_video(adapter: Adapter, path: str, duration: float | None, params: SearchParams) -> list[int]:
+    """The hashes of a file in order, of which never more than two frames are held: its frames are sampled as they are decoded.
 
     Fast: the first frames at or after 30 and 70 percent of the duration, or the
     keyframes that a seek to these ends at; both or none. Slow: one frame a
-    second, by the greedy sampler, of keyframes alone if so set. A video of
-    which a frame failed fatally has no hashes.
+    second, by the greedy sampler, of keyframes alone if so set. What fails,
+    decoder or hash function, is raised.
     """
-    return SAMPLERS[params.method](frames, durations, params)
-
-
-def _fast(frames: DataFrame, durations: DataFrame, params: SearchParams) -> DataFrame:
-    from nearmatch.functions.hashing import usable
-    from nearmatch.functions.media import seconds_to_pts, seek_targets
-    from nearmatch.functions.phash import phash_or_fatal
-    from nearmatch.operators.sampling import both_or_none, without_fatal
-
-    frames = without_fatal(frames, "video_id", "fatal")
-    targets = durations.select("video_id", F.posexplode(seek_targets(F.col("duration"))).alias("pos", "t"))
-    at = seconds_to_pts(F.col("t"), F.col("tb_num"), F.col("tb_den"))
-    near = frames.join(targets, "video_id").where("pts IS NOT NULL").withColumn("at", at)
-    if params.fastHash.useKeyframesOnly:  # the last keyframe up to the target; before the first one, that one
-        near = near.where("key")
-        order = F.struct(F.col("pts") > F.col("at"), F.abs(F.col("pts") - F.col("at")))
+    return SAMPLERS[params.method](adapter, path, duration, params)
+
+
+def _fast(adapter: Adapter, path: str, duration: float | None, params: SearchParams) -> list[int]:
+    from nearmatch.operators.sampling import SHARES, AsOf
+
+    keys = params.fastHash.useKeyframesOnly
+    targets = [] if duration is None else [s * duration for s in SHARES if s * duration <= duration]
+    picks = [AsOf(t, keys) for t in targets]
+    if hasattr(adapter, "seek"):
+        for pick in picks:
+            for frame in adapter.seek(path, pick.seconds):
+                if pick.take(frame):
+                    break
     else:
-        near = near.where(F.col("pts") >= F.col("at"))
-        order = F.col("pts")
-    picked = near.groupBy("video_id", "pos").agg(F.min_by(F.struct("luma", "w", "h"), order).alias("f"))
-    hashed = picked.select("video_id", "pos", phash_or_fatal(F.col("f.luma"), F.col("f.w"), F.col("f.h")).alias("f"))
-    hashed = without_fatal(hashed.select("video_id", "pos", "f.h", "f.fatal"), "video_id", "fatal").drop("fatal")
-    return both_or_none(hashed.where(usable(F.col("h"))), "video_id")
-
-
-def _slow(frames: DataFrame, durations: DataFrame, params: SearchParams) -> DataFrame:
-    from nearmatch.functions.hashing import usable
-    from nearmatch.functions.phash import phash_or_fatal
-    from nearmatch.operators.sampling import sample_frames, without_fatal
-
-    frames = without_fatal(frames, "video_id", "fatal").drop("fatal")
-    if params.slowHash.useKeyframesOnly:
-        frames = frames.where("key")
-    timed = frames.join(durations.select("video_id"), "video_id").withColumn("_t", F.col("pts") * F.col("tb_num") / F.col("tb_den"))
-    known = sample_frames(timed.where("_t IS NOT NULL"), "video_id", "_t", 1.0, "pts").where("due").drop("due")
-    due = known.unionByName(timed.where("_t IS NULL"))
-    hashed = due.select("video_id", F.coalesce(F.col("pts"), F.lit(-1)).cast("int").alias("pos"), phash_or_fatal(F.col("luma"), F.col("w"), F.col("h")).alias("f"))
-    hashed = without_fatal(hashed.select("video_id", "pos", "f.h", "f.fatal"), "video_id", "fatal").drop("fatal")
-    return hashed.where(usable(F.col("h")))
+        for frame in adapter.frames(path):  # to the end: a failure anywhere is the file's
+            for pick in picks:
+                pick.take(frame)
+    hashes: list[tuple[int, int]] = []
+    for pos, pick in enumerate(picks):
+        if pick.frame is not None:
+            _hash(pick.frame, hashes, pos)
+    return [h for _, h in hashes] if len(hashes) == len(SHARES) else []
+
+
+def _slow(adapter: Adapter, path: str, duration: float | None, params: SearchParams) -> list[int]:
+    from nearmatch.operators.sampling import PERIOD, Greedy
+
+    due, hashes = Greedy(PERIOD), []
+    for frame in adapter.frames(path):
+        if params.slowHash.useKeyframesOnly and len(frame) > 6 and not frame[6]:
+            continue
+        pts = _number(frame[0])
+        if due.take(None if pts is None else pts * frame[1] / frame[2]):
+            _hash(frame, hashes, -1 if pts is None else pts)
+    return [h for _, h in sorted(hashes)]
 
 
 #: The sampler of each hash method.
 SAMPLERS = {HashMethod.FAST: _fast, HashMethod.SLOW: _slow}
+
+#: Files that a task decodes, where there are enough for all.
+VIDEOS = 16
+
+
+def hash_videos(videos: DataFrame, adapter: Adapter, params: SearchParams) -> DataFrame:
+    """video_id, hashes, fatal of each of videos(id, path, duration), one row each: decoded, sampled and hashed where it is read.
+
+    Only paths move between tasks, never pixels. Where a file can't be decoded or hashed to the end, fatal is true and there are no hashes.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found, fatal = [], []
+            for path, duration in zip(pdf["path"], pdf["duration"]):
+                try:
+                    found.append(hash_video(adapter, path, None if pd.isna(duration) else float(duration), params))
+                    fatal.append(False)
+                except Exception:  # noqa: BLE001  as for probes
+                    found.append([])
+                    fatal.append(True)
+            yield pd.DataFrame({"video_id": pdf["id"], "hashes": found, "fatal": fatal})
+
+    tasks = max(1, math.ceil(videos.count() / VIDEOS), videos.sparkSession.sparkContext.defaultParallelism)
+    kind = videos.schema["id"].dataType.simpleString()
+    dealt = videos.select("id", "path", "duration").repartition(tasks)
+    return dealt.mapInPandas(run, f"video_id {kind}, hashes array<long>, fatal boolean")

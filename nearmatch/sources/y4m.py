@@ -45,6 +45,26 @@ class Y4mAdapter:
         for head, n, data in self._planes(path):
             yield n, head["num"], head["den"], head["w"], head["h"], data[: head["w"] * head["h"]], True
 
+    def seek(self, path: str, seconds: float) -> Iterator[tuple]:
+        """The frames from the last one at or before a time on. Frames whose headers all are the bare word stand at equal distances; others are read from the first on."""
+        with open(path, "rb") as f:
+            head = self._open(f)
+            begin, each = f.tell(), head["size"] + len(b"FRAME\n")
+            n = max(0, int(seconds * head["den"] / head["num"])) if head["num"] else 0
+            f.seek(0, 2)
+            n = max(0, min(n, (f.tell() - begin) // each - 1))
+            f.seek(begin + n * each)
+            if f.read(6) != b"FRAME\n":
+                yield from self.frames(path)
+                return
+            f.seek(-6, 1)
+            while f.readline(1024).startswith(b"FRAME"):
+                data = f.read(head["size"])
+                if len(data) < head["size"]:
+                    return
+                yield n, head["num"], head["den"], head["w"], head["h"], data[: head["w"] * head["h"]], True
+                n += 1
+
     def pictures(self, path: str) -> Iterator[tuple[int, int, int, np.ndarray]]:
         """pts, timebase numerator and denominator, and the picture in RGB of each frame."""
         for head, n, data in self._planes(path):

@@ -156,13 +156,12 @@ def test_failures_of_adapters_are_those_of_their_files(spark, tmp_path):
 def test_keyframe_modes(spark, tmp_path):
     from nearmatch.functions.phash import hash_plane
     from nearmatch.settings import FastHash
-    from nearmatch.sources.probe import hash_frames, read_frames
+    from nearmatch.sources.probe import hash_videos
 
     _video(tmp_path / "a.mp4", 5, frames=10)
     planes = [f[5] for f in PgmAdapter().frames(str(tmp_path / "a.mp4"))]
-    frames = read_frames(spark.createDataFrame([(1, str(tmp_path / "a.mp4"))], "id int, path string"), _failing())
-    durations = spark.createDataFrame([(1, 10.0)], "video_id int, duration double")
-    got = lambda p: [r["h"] for r in hash_frames(frames, p, durations).orderBy("pos").collect()]
+    videos = spark.createDataFrame([(1, str(tmp_path / "a.mp4"), 10)], "id int, path string, duration int")
+    got = lambda p: hash_videos(videos, _failing(), p).first()["hashes"]
     want = lambda *at: [hash_plane(planes[k], 50, 40) for k in at]
     assert got(SearchParams(fastHash=FastHash(useKeyframesOnly=False))) == want(3, 7)
     assert got(SearchParams(fastHash=FastHash(useKeyframesOnly=True))) == want(0, 4)

@@ -107,7 +107,7 @@ def test_a_file_is_one_row_and_no_pixels_move(spark):
     got = {r["video_id"]: (r["hashes"], r["fatal"]) for r in found.collect()}
     assert got == {i: (_expected(p, 5, params), False) for i, p in rows[:-4]} | {40: ([], True), 41: ([], True), 42: ([], False), 43: ([], True)}
     plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "luma" not in plan and plan.count("Exchange") == 1
+    assert "luma" not in plan and "Join" not in plan and "Window" not in plan
     assert read_frames(videos, Made()).where("fatal").count() == 3
 
 

@@ -55,7 +55,7 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     per = with_ids(per, -1, F.col("source").asc_nulls_last(), name="nth")
-    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), F.pmod(F.col("nth"), F.lit(len(WEIGHTS))) + 1).cast("double")
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), F.pmod(F.col("nth"), F.lit(len(WEIGHTS))).cast("int") + 1).cast("double")
     per = per.withColumn("weight", weight).withColumn("cap", F.col("source_size") * MAX_COPIES).withColumn("fills_at", F.col("cap") / F.col("weight"))
     per = materialize(per, "sources")
     level, before = float("-inf"), -1

@@ -73,7 +73,7 @@ def ingest(spark: SparkSession, store: Store, files: DataFrame, params: SearchPa
 
 
 def search(spark: SparkSession, store: Store, params: SearchParams, adapter: Adapter) -> tuple[DataFrame, Progress]:
-    """Run a search; returns the groups, which are stored too. Detection always runs over all stored hashes."""
+    """Run a search; returns the groups, which are stored too. Detection always runs over all stored hashes, and is in vain (``Conflict``) if these change meanwhile."""
     progress = Progress()
     roots, errors = scans.check_roots(spark, [p for p, _ in params.directories])
     progress.errors += errors
@@ -83,7 +83,9 @@ def search(spark: SparkSession, store: Store, params: SearchParams, adapter: Ada
     progress.new = new.count()
     if progress.new:
         ingest(spark, store, new, params, adapter, progress)
-    hashes = store.read("hash").select("video_id", F.explode("hashes").alias("h"))
-    found = materialize(find_duplicates(store.read("video"), hashes, params), "groups")
-    store.store_groups(found)
+    change = store.change()
+    hashes = change.read("hash").select("video_id", F.explode("hashes").alias("h"))
+    found = materialize(find_duplicates(change.read("video"), hashes, params), "groups")
+    store.store_groups(found, change)
+    store.compact()
     return found, progress

@@ -1,18 +1,31 @@
 """The catalog of videos, hashes and groups: Parquet tables below one folder.
 
-A change writes new versions of the tables that it touches beside the old ones,
-and then one commit file that names the version of every table. Commit files
-are numbered and never changed: the one of the highest number holds. Readers
-see all tables before a change or all after it, and a change that is cut off
-before its commit file stands has not happened. Versions that the last commit
-doesn't name can be removed by ``vacuum``.
+A table is a list of segments, folders of rows that were added at once, and of
+folders of keys that were deleted; a read merges them: a row counts unless its
+key was deleted after it was added. So an insert writes what it adds, a delete
+writes keys, and an update writes keys and new rows, whatever the size of the
+table. ``compact`` writes a table's rows as one segment again.
+
+Commit files are numbered and never changed; the one of the highest number
+lists the segments of every table. A change (``Change``) pins the commit that it
+reads. Its files stand when its commit file does, which is made under its
+number only if no other has that number, so of two writers one is first. The other
+goes on behind if the tables that it read are as they were, and else raises
+``Conflict``: nothing is lost, and nothing of it has happened.
+
+``vacuum`` removes what no commit of the last hours names, and files of changes
+that were cut off as long ago.
 """
 
 from __future__ import annotations
 
 import json
+import re
+import time
 import uuid
+from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +34,14 @@ from nearmatch.settings import SearchParams
 from nearmatch.sources.shared import materialize
 
 TABLES = {"video": schemas.VIDEO, "hash": schemas.HASH, "dup_group": schemas.DUP_GROUP, "dup_group_map": schemas.DUP_GROUP_MAP, "app_settings": schemas.APP_SETTINGS}
+#: The column by which rows of a table are deleted.
+KEYS = {"video": "id", "hash": "video_id", "dup_group": "group_id", "dup_group_map": "video_id", "app_settings": "id"}
+#: Folders of a table from which compact writes it anew.
+MANY = 64
+
+
+class Conflict(OSError):
+    """A table that a change read has been changed by another meanwhile."""
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, whole: bool = False) -> DataFrame:
@@ -71,7 +92,7 @@ def with_ids(rows: DataFrame, start: int, *order: str | Column, name: str = "id"
     before = F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = placed.groupBy("_part").count().withColumn("_before", before).select("_part", "_before")
     nth = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return placed.join(F.broadcast(counts), "_part").withColumn(name, (nth + F.col("_before") + start).cast("int")).drop("_part", "_before")
+    return placed.join(F.broadcast(counts), "_part").withColumn(name, nth + F.col("_before") + start).drop("_part", "_before")
 
 
 def copy_metadata(videos: DataFrame, source_id: int, target_id: int) -> DataFrame:
@@ -90,15 +111,92 @@ def decode_hashes(blobs: DataFrame) -> DataFrame:
     return blobs.select("video_id", decode_blob(F.col("hash_blob")).alias("hashes")).where(F.size("hashes") > 0)
 
 
+@dataclass
+class State:
+    """What a commit file says: for each table its entries, ["add" or "del", folder], in order; and the highest id given so far."""
+
+    number: int = 0
+    tables: dict[str, list[list[str]]] = field(default_factory=dict)
+    last_id: int = 0
+
+    @classmethod
+    def parse(cls, number: int, text: str) -> State:
+        d = json.loads(text)
+        if "tables" not in d:  # of a store from before there were segments: one folder for each table
+            return cls(number, {n: [["add", v]] for n, v in d.items()}, -1)
+        return cls(number, d["tables"], d["last_id"])
+
+    def text(self) -> str:
+        return json.dumps({"tables": self.tables, "last_id": self.last_id})
+
+    def folders(self) -> set[tuple[str, str]]:
+        return {(n, f) for n, entries in self.tables.items() for _, f in entries}
+
+
+class Change:
+    """Reads of one commit, and what is to be added, deleted and replaced; all of it stands after commit(), or nothing.
+
+    Deletions come before additions, so that both together are an update.
+    """
+
+    def __init__(self, store: Store) -> None:
+        self.store, self.base = store, store.state()
+        self.seen: set[str] = set()
+        self.last_id = self.base.last_id
+        self.entries: dict[str, list[list[str]]] = {}
+        self.replaced: set[str] = set()
+
+    def read(self, name: str) -> DataFrame:
+        self.seen.add(name)
+        return self.store.rows(self.base, name)
+
+    def _write(self, name: str, kind: str, rows: DataFrame, schema: str) -> None:
+        folder = f"{kind}-{uuid.uuid4().hex}"
+        rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.struct(schema)]).write.parquet(f"{self.store.path}/{name}/{folder}")
+        self.entries.setdefault(name, []).append([kind, folder])
+
+    def add(self, name: str, rows: DataFrame) -> None:
+        self._write(name, "add", rows, TABLES[name])
+
+    def delete(self, name: str, keys: DataFrame, column: str) -> None:
+        """Delete the rows whose key is in a column of keys."""
+        kind = schemas.struct(TABLES[name])[KEYS[name]].dataType.simpleString()
+        self._write(name, "del", keys.select(F.col(column).alias("key")).where("key IS NOT NULL").distinct(), f"key {kind}")
+
+    def replace(self, name: str, rows: DataFrame) -> None:
+        """All rows of a table by others, which may be read from it."""
+        self.replaced.add(name)
+        self.add(name, rows)
+
+    def new_ids(self, rows: DataFrame, *order: str) -> DataFrame:
+        """rows with ids that no video ever had."""
+        if self.base.last_id < 0:
+            self.last_id = self.read("video").agg(F.max("id")).first()[0] or 0
+        self.seen.add("video")
+        numbered = with_ids(rows, self.last_id, *order)
+        self.last_id += numbered.count()
+        return numbered
+
+    def commit(self) -> State:
+        store = self.store
+        while True:
+            now = store.state()
+            if moved := sorted(n for n in self.seen | self.replaced if now.tables.get(n) != self.base.tables.get(n)):
+                raise Conflict(f"changed meanwhile: {', '.join(moved)}")
+            tables = {n: ([] if n in self.replaced else now.tables.get(n, [])) + self.entries.get(n, []) for n in now.tables | self.entries}
+            after = State(now.number + 1, tables, max(now.last_id, self.last_id))
+            if store.publish(after):
+                return after
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
         self._jvm = spark._jvm
         self.log = self._hadoop(f"{self.path}/_commits")
-        self.fs = self.log.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        self.conf = spark._jsparkSession.sessionState().newHadoopConf()
+        self.fs = self.log.getFileSystem(self.conf)
         self.fs.mkdirs(self.log)
-        if missing := {n: spark.createDataFrame([], TABLES[n]) for n in TABLES if n not in self._versions()[1]}:
-            self.commit(missing)
 
     def _hadoop(self, path: str):
         return self._jvm.org.apache.hadoop.fs.Path(path)
@@ -107,85 +205,183 @@ class Store:
         names = [x.getPath().getName() for x in self.fs.listStatus(self.log)]
         return sorted(n for n in names if n.endswith(".json"))
 
-    def _versions(self) -> tuple[int, dict[str, str]]:
-        """Number of the last commit, and the version of each table."""
+    def _parsed(self, name: str) -> State:
+        stream = self.fs.open(self._hadoop(f"{self.path}/_commits/{name}"))
+        try:
+            return State.parse(int(name.removesuffix(".json")), bytes(stream.readAllBytes()).decode("utf-8"))
+        finally:
+            stream.close()
+
+    def state(self) -> State:
         names = self._commits()
-        if not names:
-            return 0, {}
-        stream = self.fs.open(self._hadoop(f"{self.path}/_commits/{names[-1]}"))
+        return self._parsed(names[-1]) if names else State()
+
+    def publish(self, state: State) -> bool:
+        """Make a state's commit file, whole; false if there is one of its number.
+
+        A local file system links a file that is written already, HDFS renames
+        one: both refuse a name that is taken. Elsewhere the file is created
+        under its name without overwriting; a store that checks this when the
+        file is closed, as object stores with conditional writes do, keeps writers apart.
+        """
+        now = self._hadoop(f"{self.path}/_commits/{state.number:012d}.json")
+        scheme = self.fs.getUri().getScheme()
+        if scheme not in ("file", "hdfs", "viewfs"):
+            return self._create(now, state.text())
+        beside = self._hadoop(f"{self.path}/_commits/{uuid.uuid4().hex}.new")
+        self._create(beside, state.text())
         try:
-            text = bytes(stream.readAllBytes()).decode("utf-8")
+            if scheme == "file":
+                local = lambda p: self._jvm.java.io.File(p.toUri().getPath()).toPath()
+                self._jvm.java.nio.file.Files.createLink(local(now), local(beside))
+                return True
+            return self.fs.rename(beside, now)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in str(e.java_exception):
+                return False
+            raise
         finally:
+            self.fs.delete(beside, False)
+
+    def _create(self, path, text: str) -> bool:
+        try:
+            stream = self.fs.create(path, False)
+            stream.write(bytearray(text.encode("utf-8")))
             stream.close()
-        return int(names[-1].removesuffix(".json")), json.loads(text)
+            return True
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in str(e.java_exception):
+                return False
+            raise
+
+    def rows(self, state: State, name: str) -> DataFrame:
+        """A table as a commit has it.
+
+        Segments between two deletions are read together; rows meet the keys
+        that were deleted after them in one anti-join.
+        """
+        schema, key = schemas.struct(TABLES[name]), KEYS[name]
+        entries = [*state.tables.get(name, [])]
+        if not any(kind == "add" for kind, _ in entries):
+            return self.spark.createDataFrame([], schema)
+        if all(kind == "add" for kind, _ in entries):
+            return self.spark.read.schema(schema).parquet(*[f"{self.path}/{name}/{f}" for _, f in entries])
+        epoch, added, gone = 0, {}, {}
+        for kind, folder in entries:
+            if kind == "del":
+                epoch += 1
+            (added if kind == "add" else gone).setdefault(epoch, []).append(f"{self.path}/{name}/{folder}")
+
+        def union(parts: dict[int, list[str]], kind) -> DataFrame:
+            each = [self.spark.read.schema(kind).parquet(*folders).withColumn("_epoch", F.lit(e)) for e, folders in parts.items()]
+            out = each[0]
+            for x in each[1:]:
+                out = out.unionByName(x)
+            return out
+
+        last = union(gone, f"key {schema[key].dataType.simpleString()}").groupBy("key").agg(F.max("_epoch").alias("_gone"))
+        return union(added, schema).join(last, (F.col(key) == F.col("key")) & (F.col("_epoch") < F.col("_gone")), "left_anti").drop("_epoch")
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.schema(schemas.struct(TABLES[name])).parquet(f"{self.path}/{name}/{self._versions()[1][name]}")
+        return self.rows(self.state(), name)
+
+    def change(self) -> Change:
+        return Change(self)
 
     def commit(self, tables: dict[str, DataFrame]) -> None:
         """Replace tables, all of them or none."""
-        number, versions = self._versions()
+        change = self.change()
         for name, rows in tables.items():
-            version = uuid.uuid4().hex
-            target = schemas.struct(TABLES[name])
-            rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in target]).write.parquet(f"{self.path}/{name}/{version}")
-            versions = {**versions, name: version}
-        # the file is written whole under a name that no reader looks at
-        beside, now = self._hadoop(f"{self.path}/_commits/{uuid.uuid4().hex}.new"), self._hadoop(f"{self.path}/_commits/{number + 1:012d}.json")
-        stream = self.fs.create(beside)
-        stream.write(bytearray(json.dumps(versions).encode("utf-8")))
-        stream.close()
-        if self.fs.exists(now) or not self.fs.rename(beside, now):
-            self.fs.delete(beside, False)
-            raise OSError(f"another change was committed meanwhile: {number + 1}")
+            change.replace(name, rows)
+        change.commit()
 
     def write(self, name: str, rows: DataFrame) -> None:
         """Replace a table."""
         self.commit({name: rows})
 
-    def vacuum(self) -> None:
-        versions = self._versions()[1]
+    def compact(self, many: int = MANY) -> list[str]:
+        """Write tables of that many folders or more as one segment each; which ones."""
+        change = self.change()
+        names = [n for n, entries in change.base.tables.items() if len(entries) >= many]
+        for name in names:
+            change.replace(name, change.read(name))
+        if names:
+            change.commit()
+        return names
+
+    def vacuum(self, hours: float = 24) -> None:
+        """Remove folders that no commit of the last hours has named and that are as old, and older commit files."""
+        before = time.time() * 1000 - hours * 3_600_000
+        at = {x.getPath().getName(): x.getModificationTime() for x in self.fs.listStatus(self.log)}
+        names = self._commits()
+        # a commit was the last one until the next one stood
+        live = [n for n, after in zip(names, [*names[1:], None]) if after is None or at[after] >= before]
+        kept = set().union(*[self._parsed(n).folders() for n in live]) if live else set()
         for name in TABLES:
-            for x in self.fs.listStatus(self._hadoop(f"{self.path}/{name}")):
-                if x.getPath().getName() != versions[name]:
+            root = self._hadoop(f"{self.path}/{name}")
+            for x in self.fs.listStatus(root) if self.fs.exists(root) else []:
+                if (name, x.getPath().getName()) not in kept and x.getModificationTime() < before:
                     self.fs.delete(x.getPath(), True)
-        for name in self._commits()[:-1]:
-            self.fs.delete(self._hadoop(f"{self.path}/_commits/{name}"), False)
+        for n, t in at.items():
+            if n not in live and (n.endswith(".json") or re.search(r"\.new(\.crc)?$", n)) and t < before:
+                self.fs.delete(self._hadoop(f"{self.path}/_commits/{n}"), False)
 
     def insert_videos(self, rows: DataFrame) -> DataFrame:
         """Append rows without ids, in the order of their paths; returns what was added. Paths may occur twice."""
-        start = self.read("video").agg(F.max("id")).first()[0] or 0
+        change = self.change()
         names = [f.name for f in schemas.struct(schemas.VIDEO)]
         rows = rows.select(*[F.col(c) if c in rows.columns else F.lit(None).alias(c) for c in names if c != "id"])
-        self.write("video", self.read("video").unionByName(with_ids(rows, start, "path").select(*names)))
-        return self.read("video").where(F.col("id") > start)
+        change.add("video", change.new_ids(rows, "path").select(*names))
+        change.commit()
+        (entry,) = change.entries["video"]
+        return self.spark.read.schema(schemas.struct(schemas.VIDEO)).parquet(f"{self.path}/video/{entry[1]}")
 
     def insert_hashes(self, rows: DataFrame) -> None:
         """Append video_id, hashes; empty ones are left out, and a video that has hashes keeps them."""
-        old = self.read("hash")
-        new = rows.where(F.size("hashes") > 0).join(old.select("video_id"), "video_id", "left_anti")
-        self.write("hash", old.unionByName(new.select("video_id", "hashes")))
+        change = self.change()
+        new = rows.where(F.size("hashes") > 0).join(change.read("hash").select("video_id"), "video_id", "left_anti")
+        change.add("hash", new.select("video_id", "hashes"))
+        change.commit()
+
+    def _rewrite(self, change: Change, name: str, rows: DataFrame) -> None:
+        """Other rows for those with the same keys."""
+        rows = materialize(rows, "rewritten")
+        change.delete(name, rows, KEYS[name])
+        change.add(name, rows)
+        change.commit()
 
     def update_videos(self, rows: DataFrame) -> None:
-        """Write whole rows over those with their ids; null is written too."""
-        self.write("video", upsert(self.read("video"), rows, "id", whole=True))
+        """Write whole rows over those with their ids; null is written too. Ids that no video has are passed over."""
+        change = self.change()
+        old = change.read("video").join(rows.select("id"), "id", "left_semi")
+        self._rewrite(change, "video", upsert(old, rows, "id", whole=True))
 
     def set_link_count(self, video_id: int, n: int) -> None:
-        self.write("video", with_value(self.read("video"), "id", video_id, "num_hard_links", n))
+        change = self.change()
+        self._rewrite(change, "video", with_value(change.read("video").where(F.col("id") == video_id), "id", video_id, "num_hard_links", n))
 
     def copy_metadata(self, source_id: int, target_id: int) -> None:
-        self.write("video", copy_metadata(self.read("video"), source_id, target_id))
+        change = self.change()
+        both = change.read("video").where(F.col("id").isin(source_id, target_id))
+        self._rewrite(change, "video", copy_metadata(both, source_id, target_id).where(F.col("id") == target_id))
 
     def delete_videos(self, ids: DataFrame) -> None:
         """Videos with their hashes and memberships, at once; their groups stay, perhaps empty."""
-        keys = {"video": "id", "hash": "video_id", "dup_group_map": "video_id"}
-        self.commit({name: without(self.read(name), key, ids, "id") for name, key in keys.items()})
+        change = self.change()
+        for name in ("video", "hash", "dup_group_map"):
+            change.delete(name, ids, "id")
+        change.commit()
+
+    def store_groups(self, groups: DataFrame, change: Change | None = None) -> None:
+        """Replace all groups by (group_id, video_id), groups of one included; both tables at once, from one evaluation of groups.
 
-    def store_groups(self, groups: DataFrame) -> None:
-        """Replace all groups by (group_id, video_id), groups of one included; both tables at once, from one evaluation of groups."""
+        With the change that groups were found in, they stand only if what it read still does.
+        """
+        change = change or self.change()
         groups = materialize(groups, "groups")
-        heads = groups.select("group_id").distinct().withColumn("created_at", F.current_timestamp())
-        self.commit({"dup_group": heads, "dup_group_map": groups})
+        change.replace("dup_group", groups.select("group_id").distinct().withColumn("created_at", F.current_timestamp()))
+        change.replace("dup_group_map", groups)
+        change.commit()
 
     def load_groups(self) -> DataFrame:
         """group_id and its members' ids in order; members that are no videos any more are left out, groups stay."""
@@ -193,7 +389,8 @@ class Store:
 
     def save_settings(self, params: SearchParams) -> None:
         row = self.spark.createDataFrame([(1, params.to_json())], schemas.APP_SETTINGS)
-        self.write("app_settings", put(self.read("app_settings"), row, "id"))
+        change = self.change()
+        self._rewrite(change, "app_settings", row)
 
     def load_settings(self) -> SearchParams:
         row = self.read("app_settings").where("id = 1").first()

@@ -101,22 +101,22 @@ def test_store_changes_all_tables_or_none(spark, tmp_path):
 
     store = Store(spark, str(tmp_path / "store"))
     store.store_groups(spark.createDataFrame([(1, 1), (1, 2)], "group_id int, video_id int"))
-    before = store._versions()
-    rename = store.fs
+    before = store.state()
+    whole = store.fs
 
     class Cut:
         """A file system that stops before a commit file stands."""
 
         def __getattr__(self, name):
-            if name == "rename":
+            if name == "create":
                 raise KeyboardInterrupt
-            return getattr(rename, name)
+            return getattr(whole, name)
 
     store.fs = Cut()
     with pytest.raises(KeyboardInterrupt):
         store.store_groups(spark.createDataFrame([(9, 9)], "group_id int, video_id int"))
     again = Store(spark, str(tmp_path / "store"))
-    assert again._versions() == before and again.read("dup_group_map").count() == 2 and again.read("dup_group").count() == 1
+    assert again.state() == before and again.read("dup_group_map").count() == 2 and again.read("dup_group").count() == 1
     again.vacuum()
     assert again.read("dup_group_map").count() == 2 and Store(spark, str(tmp_path / "store")).read("dup_group").count() == 1
 

@@ -57,12 +57,6 @@ _TERM = np.array([0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A or b >= 0x80 for b in r
 _LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
 
 
-def xxh(data: bytes) -> int:
-    from xxhash import xxh3_64_intdigest
-
-    return xxh3_64_intdigest(data)
-
-
 def slices(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and document of each term of documents that stand in data between offsets; no term crosses documents."""
     inside = np.zeros(len(data) + 2, bool)
@@ -92,11 +86,15 @@ def _differ(low: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.
     return out
 
 
-def grouped(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, digest: Callable[[bytes], int] = xxh) -> tuple[np.ndarray, list[bytes]]:
-    """The number of each slice's term, and the terms."""
-    data = low.tobytes()
-    keys = np.fromiter((digest(data[a:b]) for a, b in zip(starts.tolist(), ends.tolist())), np.uint64, len(starts))
-    _, first, term = np.unique(keys, return_index=True, return_inverse=True)
+def grouped(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, digest: Callable[[bytes], int] | None = None) -> tuple[np.ndarray, list[bytes]]:
+    """The number of each slice's term, and the terms. digest is xxHash unless another is given."""
+    from xxhash import xxh3_64_intdigest
+
+    digest, data = digest or xxh3_64_intdigest, low.tobytes()
+    keys = np.array([digest(data[a:b]) for a, b in zip(starts.tolist(), ends.tolist())], np.uint64)
+    term, different = pd.factorize(keys)
+    first = np.empty(len(different), np.int64)
+    first[term[::-1]] = np.arange(len(term))[::-1]
     terms = [data[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
     n, heads = ends - starts, first[term]
     unlike = n != n[heads]

@@ -196,15 +196,15 @@ def _block_roots(arity: int, levels: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             roots = []
-            for items in batch.column("items"):
+            for block, items in zip(batch.column("block").to_pylist(), batch.column("items")):
                 leaves = [x["leaf"].as_py() for x in items]
-                roots.append(Traversal(leaves, _height(len(leaves), arity, levels), arity).root)
+                roots.append(Traversal(leaves, _height(len(leaves), arity, levels, block), arity).root)
             yield pa.RecordBatch.from_arrays([batch.column("grp"), batch.column("block"), pa.array(roots, pa.binary())], ["grp", "pos", "h"])
 
     return run
 
 
-def _height(leaves: int, arity: int, levels: int, block: int = 0) -> int:
+def _height(leaves: int, arity: int, levels: int, block: int) -> int:
     """Levels of a block: a first block that isn't full is a whole source, and ends where one node is left."""
     return levels if block or leaves == arity**levels else height_of(leaves, arity)
 

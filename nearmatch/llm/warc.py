@@ -339,7 +339,9 @@ class WarcReader(DataSourceReader):
     def _ranges(self, info: arrow_fs.FileInfo) -> list[Range]:
         return [Range(info.path, at, min(at + self.split, info.size)) for at in range(0, info.size, self.split)]
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # there is no file
+            return
         fs, _ = file_system(self.path)
         rows: list[dict] = []
         held = 0

@@ -2,20 +2,30 @@
 
 Equal hashes of a video are one row with a multiplicity; counts multiply, so
 they are those of hash pairs. ``banded`` is the scalable way: the 63 bits are
-cut into radius + 1 bands, of which two hashes within the radius share one.
-Candidates join on a band and its value and count only in their lowest shared
-band, so nothing has to be de-duplicated afterwards. For radii whose bands
-select nothing, ``brute`` compares all pairs by a broadcast, over few hashes,
-and ``tiled`` by numpy over tiles of them, over many.
+cut into bands, each with a number of bits that may differ in it, such that two
+hashes within the radius come together in a band; one of them is entered under
+all values that near. The more hashes there are, the fewer and wider bands are
+taken (``plan_bands``), so that few hashes share a value by chance. A pair counts
+only in the first band that brings it together, so nothing has to be
+de-duplicated afterwards. For radii whose bands select nothing, ``brute``
+compares all pairs by a broadcast, over few hashes, and ``tiled`` by numpy over
+tiles of them, over many.
+
+A search wants groups, not all pairs. ``linked_classes`` gives links with the
+same components, and its work on a hash that many videos share grows with their
+number, not with its square.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearmatch.functions.hashing import BITS, h63, hamming, usable
@@ -27,21 +37,57 @@ from nearmatch.sources.store import with_ids
 NARROWEST = 6
 #: Hashes up to which one side is broadcast: 16 bytes each.
 BROADCAST_ROWS = 100_000
-#: Hashes of a tile, and pairs that numpy compares at once.
-TILE = 8192
+#: Hashes of a tile, 24 bytes each: fewer while that makes under TILES of them, but not under LEAST_TILE. Pairs that numpy compares at once.
+TILE = 1 << 17
+LEAST_TILE = 1 << 13
+TILES = 64
 PAIRS = 1 << 18
 
 
-def bands(radius: int) -> list[tuple[int, int]]:
-    """Shift and width of each band of the 63 bits."""
-    n = min(radius + 1, BITS)
+#: What a candidate costs that a join makes and checks, against a row that is entered in a band, sent and sorted.
+CANDIDATE = 0.05
+#: Rows that a hash is entered as at most.
+MOST_ROWS = 2000
+
+
+@dataclass(frozen=True)
+class Band:
+    """Bits of the 63 from shift on, of which so many may differ."""
+
+    shift: int
+    width: int
+    differ: int
+
+    @property
+    def probes(self) -> int:
+        return sum(comb(self.width, k) for k in range(self.differ + 1))
+
+    def masks(self) -> list[int]:
+        return [sum(1 << bit for bit in bits) for k in range(self.differ + 1) for bits in combinations(range(self.width), k)]
+
+
+def bands(radius: int, n: int | None = None) -> list[Band]:
+    """n bands, radius + 1 if no number is given. What may differ in them, and 1 for each, add up to radius + 1: if more differs in every band, hashes are further apart than the radius."""
+    n = min(n or radius + 1, radius + 1, BITS)
     cuts = [BITS * k // n for k in range(n + 1)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+    spare, more = divmod(radius + 1, n)
+    return [Band(a, b - a, max(0, spare + (k < more) - 1)) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+
+
+def plan_bands(radius: int, hashes: int) -> list[Band]:
+    """The bands that cost least for a number of hashes: rows that they are entered as, and candidates that share a value by chance."""
+
+    def cost(plan: list[Band]) -> float:
+        return sum(b.probes + 1 + CANDIDATE * hashes * b.probes / 2.0**b.width for b in plan)
+
+    plans = [bands(radius, n) for n in range(1, min(radius + 1, BITS) + 1)]
+    return min((p for p in plans if sum(b.probes for b in p) <= MOST_ROWS), key=cost)
 
 
 def weighted(hashes: DataFrame) -> DataFrame:
-    """video_id, h, m: each usable hash of a video once, and how often it has it."""
-    return hashes.where(usable(F.col("h"))).groupBy("video_id", "h").agg(F.count(F.lit(1)).alias("m"))
+    """video_id, h, m: each usable hash of a video once, and how often it has it; rows may have an m of their own."""
+    times = F.sum("m") if "m" in hashes.columns else F.count(F.lit(1))
+    return hashes.where(usable(F.col("h"))).groupBy("video_id", "h").agg(times.alias("m"))
 
 
 def _sides(hashes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -58,18 +104,26 @@ def hamming_pairs_brute(hashes: DataFrame, radius: int) -> DataFrame:
     return a.join(b, (F.col("a_video_id") < F.col("b_video_id")) & (hamming(F.col("a_h"), F.col("b_h")) <= radius))
 
 
-def hamming_pairs_banded(hashes: DataFrame, radius: int) -> DataFrame:
+def hamming_pairs_banded(hashes: DataFrame, radius: int, plan: list[Band] | None = None) -> DataFrame:
     """The same pairs by an equi-join on bands. Bit 0, which packed hashes don't use, is checked with all others."""
-    parts = bands(radius)
+    plan = plan or plan_bands(radius, hashes.count())
+
+    def value(x: Column, band: Band) -> Column:
+        return F.shiftrightunsigned(h63(x), band.shift).bitwiseAND(F.lit((1 << band.width) - 1))
+
+    def values(k: int, band: Band, probes: bool) -> Column:
+        near = F.array(*map(F.lit, band.masks() if probes else [0])).cast("array<bigint>")
+        return F.transform(near, lambda m: F.struct(F.lit(k).alias("k"), value(F.col("h"), band).bitwiseXOR(m).alias("v")))
 
-    def value(x: Column, band: tuple[int, int]) -> Column:
-        return F.shiftrightunsigned(h63(x), band[0]).bitwiseAND(F.lit((1 << band[1]) - 1))
+    def entered(side: str, probes: bool) -> DataFrame:
+        rows = rows_of.withColumn("band", F.explode(F.concat(*[values(k, band, probes) for k, band in enumerate(plan)])))
+        return rows.select(*[F.col(c).alias(f"{side}_{c}") for c in ("video_id", "h", "m")], F.col("band.k").alias(f"{side}_k"), F.col("band.v").alias(f"{side}_v"))
 
-    keyed = weighted(hashes).withColumn("band", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), value(F.col("h"), b).alias("v")) for k, b in enumerate(parts)])))
-    a, b = _sides(keyed.select("video_id", "h", "m", F.col("band.k").alias("k"), F.col("band.v").alias("v")))
+    rows_of = weighted(hashes)
+    a, b = entered("a", True), entered("b", False)
     x = F.col("a_h").bitwiseXOR(F.col("b_h"))
-    lowest = F.coalesce(*[F.when(value(x, p) == 0, F.lit(k)) for k, p in enumerate(parts)])
-    joined = a.join(b, (F.col("a_k") == F.col("b_k")) & (F.col("a_v") == F.col("b_v")) & (F.col("a_video_id") < F.col("b_video_id")) & (F.bit_count(x) <= radius) & (lowest == F.col("a_k")))
+    first = F.coalesce(*[F.when(F.bit_count(value(x, p)) <= p.differ, F.lit(k)) for k, p in enumerate(plan)])
+    joined = a.join(b, (F.col("a_k") == F.col("b_k")) & (F.col("a_v") == F.col("b_v")) & (F.col("a_video_id") < F.col("b_video_id")) & (F.bit_count(x) <= radius) & (first == F.col("a_k")))
     return joined.select("a_video_id", "a_h", "a_m", "b_video_id", "b_h", "b_m")
 
 
@@ -92,19 +146,26 @@ def _tile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield packed()
 
 
-def hamming_pairs_tiled(hashes: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
+def hamming_pairs_tiled(hashes: DataFrame, radius: int, tile: int | None = None) -> DataFrame:
     """The same pairs by comparing tiles of hashes, which numpy does a hundred times as fast as a join's condition.
 
-    Hashes stand in the order of their numbers of ones, so that tiles whose
-    numbers lie further apart than the radius are skipped. The work grows with the square of
-    the different hashes; it is for radii at which bands select nothing.
+    Hashes stand in the order of their numbers of ones, so that tiles, and within them
+    blocks, whose numbers lie further apart than the radius are skipped. The work grows with the square of
+    the different hashes; it is for radii at which bands select nothing. A tile is as large as a task holds
+    with ease, so that what moves, a tile for each other that it is compared with, stays small against the work.
     """
-    ones = F.bit_count("h")
-    placed = with_ids(weighted(hashes), -1, ones, "h", "video_id", name="place").withColumn("tile", F.floor(F.col("place") / tile))
-    dealt = placed.select("tile", F.col("video_id").cast("long").alias("video_id"), "h", "m").repartition("tile").sortWithinPartitions("tile")
+    ones, rows = F.bit_count("h"), weighted(hashes)
+    tile = tile or min(TILE, max(LEAST_TILE, rows.count() // TILES))
+    placed = with_ids(rows, -1, ones, "h", "video_id", name="place").withColumn("tile", F.floor(F.col("place") / tile))
+    dealt = placed.select("tile", F.col("video_id").cast("long").alias("video_id"), "h", "m").repartition("tile").sortWithinPartitions("tile", F.bit_count("h"))
     tiles = materialize(dealt.mapInPandas(_tile, "tile long, low int, high int, video_id binary, h binary, m binary"), "tiles")
     a, b = (tiles.select(*[F.col(c).alias(f"{s}_{c}") for c in ("tile", "low", "high")]) for s in "ab")
-    near = materialize(a.join(F.broadcast(b), (F.col("a_tile") <= F.col("b_tile")) & (F.col("b_low") - F.col("a_high") <= radius)).select("a_tile", "b_tile"), "tile-pairs")
+    # later tiles have no fewer ones; those that are near enough are looked up by ranges of ones
+    spread = radius + 1
+    a = a.withColumn("a_near", F.explode(F.sequence(F.floor(F.col("a_low") / spread), F.floor((F.col("a_high") + radius) / spread))))
+    b = b.withColumn("b_near", F.floor(F.col("b_low") / spread))
+    near = a.join(b, (F.col("a_near") == F.col("b_near")) & (F.col("a_tile") <= F.col("b_tile")) & (F.col("b_low") - F.col("a_high") <= radius)).select("a_tile", "b_tile")
+    near = materialize(near, "tile-pairs")
     sides = {s: tiles.select(*[F.col(c).alias(f"{s}_{c}") for c in ("tile", "video_id", "h", "m")]) for s in "ab"}
     work = near.join(sides["a"], "a_tile").join(sides["b"], "b_tile")
     columns = ["a_video_id", "a_h", "a_m", "b_video_id", "b_h", "b_m"]
@@ -114,18 +175,21 @@ def hamming_pairs_tiled(hashes: DataFrame, radius: int, tile: int = TILE) -> Dat
             for row in pdf.to_dict("records"):
                 x, y = ({c: np.frombuffer(row[f"{s}_{c}"], np.int64) for c in ("video_id", "h", "m")} for s in "ab")
                 same = row["a_tile"] == row["b_tile"]
-                other = y["h"].view(np.uint64)
-                step = max(1, PAIRS // len(other))
-                for at in range(0, len(x["h"]), step):
-                    i, j = np.nonzero(np.bitwise_count(x["h"][at : at + step, None].view(np.uint64) ^ other) <= radius)
-                    i += at
-                    ordered = x["video_id"][i] < y["video_id"][j]
-                    # of two tiles, pairs of either order; of one tile, each pair comes both ways round
-                    for p, q, left, right in ((i[ordered], j[ordered], x, y), *(() if same else ((j[~ordered], i[~ordered], y, x),))):
-                        differ = left["video_id"][p] != right["video_id"][q]
-                        p, q = p[differ], q[differ]
-                        if len(p):
-                            yield pd.DataFrame(dict(zip(columns, (*(left[c][p] for c in ("video_id", "h", "m")), *(right[c][q] for c in ("video_id", "h", "m"))))))
+                one, other = x["h"].view(np.uint64), y["h"].view(np.uint64)
+                of_one, of_other = np.bitwise_count(one).astype(int), np.bitwise_count(other).astype(int)
+                step = 64
+                for at in range(0, len(one), step):
+                    low, high = (int(k) for k in (np.searchsorted(of_other, of_one[at] - radius), np.searchsorted(of_other, of_one[min(at + step, len(one)) - 1] + radius, side="right")))
+                    for begin in range(low, high, PAIRS // step):
+                        i, j = np.nonzero(np.bitwise_count(one[at : at + step, None] ^ other[None, begin : min(high, begin + PAIRS // step)]) <= radius)
+                        i, j = i + at, j + begin
+                        ordered = x["video_id"][i] < y["video_id"][j]
+                        # of two tiles, pairs of either order; of one tile, each pair comes both ways round
+                        for p, q, left, right in ((i[ordered], j[ordered], x, y), *(() if same else ((j[~ordered], i[~ordered], y, x),))):
+                            differ = left["video_id"][p] != right["video_id"][q]
+                            p, q = p[differ], q[differ]
+                            if len(p):
+                                yield pd.DataFrame(dict(zip(columns, (*(left[c][p] for c in ("video_id", "h", "m")), *(right[c][q] for c in ("video_id", "h", "m"))))))
 
     found = work.mapInPandas(compare, ", ".join(f"{c} long" for c in columns))
     kind = hashes.schema["video_id"].dataType
@@ -135,7 +199,7 @@ def hamming_pairs_tiled(hashes: DataFrame, radius: int, tile: int = TILE) -> Dat
 def hamming_pairs(hashes: DataFrame, radius: int, strategy: str = "auto") -> DataFrame:
     """Pairs within the radius. auto: by bands where they select enough; else all pairs, by a broadcast where that is small, by tiles beyond. All give the same rows."""
     if strategy == "auto":
-        if BITS // (radius + 1) >= NARROWEST:
+        if BITS // (radius + 1) >= NARROWEST:  # wider bands in which bits may differ are no better at such radii
             strategy = "banded"
         else:
             strategy = "brute" if weighted(hashes).count() <= BROADCAST_ROWS else "tiled"
@@ -166,33 +230,103 @@ def edges(counts: DataFrame, hashes: DataFrame, number: int | None = None, perce
     return both.where(F.col("matches") >= F.col("required")).select("src", "dst", "matches")
 
 
-def own_matches(hs: Column, radius: int) -> Column:
-    """Matches of two videos that both have the hashes hs (h, m)."""
-    return F.aggregate(hs, F.lit(0).cast("long"), lambda total, a: total + F.aggregate(hs, F.lit(0).cast("long"), lambda n, b: n + F.when(hamming(a["h"], b["h"]) <= radius, a["m"] * b["m"]).otherwise(F.lit(0).cast("long"))))
+def matches_between(xs: Column, ys: Column, radius: int) -> Column:
+    """Matches of two videos with the hashes xs and ys (h, m)."""
+    zero = F.lit(0).cast("long")
+    return F.aggregate(xs, zero, lambda total, a: total + F.aggregate(ys, zero, lambda n, b: n + F.when(hamming(a["h"], b["h"]) <= radius, a["m"] * b["m"]).otherwise(zero)))
+
+
+def _wanted(params: SearchParams, n_a: Column, n_b: Column) -> Column:
+    """Matches that two videos of so many hashes need."""
+    kind, value = params.required
+    return required_matches(n_a, n_b, value) if kind == "percent" else F.lit(int(value)).cast("long")
+
 
+def _parted(found: DataFrame, heavy: DataFrame, params: SearchParams, strategy: str) -> tuple[DataFrame, DataFrame]:
+    """Links between classes that share a match without a heavy hash, and the classes' rows as far as they can match heavy ones.
 
-def linked_classes(hashes: DataFrame, params: SearchParams, strategy: str = "auto") -> DataFrame:
-    """src, dst: links with the same components as edges_for, of which there are no more within a collection of equal videos than it has videos.
+    Only hashes that aren't heavy are joined. A pair that this finds is counted
+    in full: what heavy hashes and those near them add comes from the two
+    classes' arrays of these alone. All other pairs have no match but with a heavy hash, so that these arrays say all of them.
+    """
+    each = found.select("id", "n", F.explode("hs").alias("x")).select("id", "n", F.col("x.h").alias("h"), F.col("x.m").alias("m"))
+    distinct = each.select("h").distinct()
+    # heavy ones stand as one video, all hashes as another
+    both = heavy.select(F.lit(0).alias("video_id"), "h").unionByName(distinct.select(F.lit(1).alias("video_id"), "h"))
+    near = materialize(hamming_pairs(both, params.radius, strategy).select(F.col("b_h").alias("h")).distinct(), "near-heavy")
+    near = near.join(heavy.withColumn("heavy", F.lit(True)), "h", "left").withColumn("heavy", F.coalesce("heavy", F.lit(False)))
+    few = each.join(near, "h").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("h", "m", "heavy"))).alias("hs"))
+    few = materialize(few.join(found.select("id", "n"), "id"), "heavy-rows")
+    light = each.join(heavy, "h", "left_anti").select(F.col("id").alias("video_id"), "h", "m")
+    counts = match_counts(hamming_pairs(light, params.radius, strategy))
+    sizes, arrays = found.select("id", "n"), few.select("id", "hs")
+    for end, k in (("src", "a"), ("dst", "b")):
+        counts = counts.join(sizes.select(F.col("id").alias(end), F.col("n").alias(f"n_{k}")), end).join(arrays.select(F.col("id").alias(end), F.col("hs").alias(f"hs_{k}")), end, "left")
+    plain = lambda hs: F.transform(hs, lambda x: F.struct(x["h"].alias("h"), x["m"].alias("m")))
+    some = lambda hs, heavy: plain(F.filter(hs, lambda x: x["heavy"] == F.lit(heavy)))
+    a, b = F.col("hs_a"), F.col("hs_b")
+    more = matches_between(some(a, True), plain(b), params.radius) + matches_between(some(a, False), some(b, True), params.radius)
+    links = counts.where(F.col("matches") + F.coalesce(more, F.lit(0)) >= _wanted(params, F.col("n_a"), F.col("n_b"))).select("src", "dst")
+    n = F.col("n") if params.required[0] == "percent" else F.lit(0).cast("long")  # where it doesn't count, it keeps no rows apart
+    return links, few.select("id", n.alias("n"), plain(F.col("hs")).alias("hs"))
+
+
+#: Classes of videos that share a hash from which it is heavy, and how often what is left is parted again.
+HEAVY = 256
+LEVELS = 8
+
+
+def linked_classes(hashes: DataFrame, params: SearchParams, strategy: str = "auto", heavy_from: int = HEAVY) -> DataFrame:
+    """src, dst: links with the same components as edges_for.
 
     Videos with the same hashes, however many, are one class: its smallest
     video is compared with those of other classes, and its other videos link to
-    that one if it has a link, or if two such videos have enough matches. Of
-    n hashes these are at least n; only where that is too few are they counted.
+    that one if it has a link, or if two such videos have enough matches.
+
+    Hashes of over heavy_from classes leave the join (see ``_parted``). What
+    pairs of classes then have left are matches with heavy hashes, which the
+    classes' rows of these say alone: the same question over rows that are
+    fewer, and of which many are equal, so that it is asked again. Where that merges no more rows, all pairs are counted.
     """
-    of_video = materialize(weighted(hashes).groupBy("video_id").agg(F.sort_array(F.collect_list(F.struct("h", "m"))).alias("hs")), "video-hashes")
-    found = of_video.groupBy("hs").agg(F.min("video_id").alias("rep"), F.count(F.lit(1)).alias("n_videos"))
-    found = materialize(found.withColumn("n", F.aggregate("hs", F.lit(0).cast("long"), lambda x, h: x + h["m"])), "classes")
-    copies = F.expr("explode(flatten(transform(hs, x -> array_repeat(x.h, cast(x.m as int)))))")
-    between = edges_for(found.select(F.col("rep").alias("video_id"), copies.alias("h")), params, strategy).select("src", "dst")
-    between = materialize(between, "class-edges")
-    kind, value = params.required
-    needed = required_matches(F.col("n"), F.col("n"), value) if kind == "percent" else F.lit(int(value)).cast("long")
-    alike = F.when(F.col("n") >= needed, F.lit(True)).otherwise(own_matches(F.col("hs"), params.radius) >= needed)
-    # all videos of two linked classes are linked with each other
-    ends = between.select(F.col("src").alias("rep")).unionByName(between.select(F.col("dst").alias("rep"))).distinct().withColumn("linked", F.lit(True))
-    many = found.where("n_videos > 1").join(ends, "rep", "left").where(F.col("linked") | alike).select("hs", "rep")
-    within = of_video.join(many, "hs").where("video_id <> rep").select(F.col("rep").alias("src"), F.col("video_id").alias("dst"))
-    return between.unionByName(within)
+    rows = weighted(hashes).groupBy("video_id").agg(F.sort_array(F.collect_list(F.struct("h", "m"))).alias("hs"))
+    rows = rows.withColumn("n", F.aggregate("hs", F.lit(0).cast("long"), lambda x, h: x + h["m"])).withColumnRenamed("video_id", "id")
+    rows, levels, before = materialize(rows, "video-hashes"), [], -1
+    for level in range(LEVELS + 1):
+        found = rows.groupBy("hs", "n").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n_videos"))
+        found = materialize(found, f"classes{level}")
+        heavy = found.select(F.explode("hs").alias("x")).groupBy(F.col("x.h").alias("h")).agg(F.count(F.lit(1)).alias("d")).where(F.col("d") > heavy_from).select("h")
+        heavy = materialize(heavy, f"heavy{level}")
+        now = found.count()
+        if level == LEVELS or now == before or heavy.isEmpty():  # nothing is heavy, or asking again gets no further
+            levels.append((rows, found, materialize(_between(found, params, strategy), f"class-edges{level}")))
+            break
+        between, rest = _parted(found, heavy, params, strategy)
+        levels.append((rows, found, materialize(between, f"class-edges{level}")))
+        rows, before = materialize(rest, f"rest{level}"), now if level else -1
+    links: DataFrame | None = None
+    own, wanted = matches_between(F.col("hs"), F.col("hs"), params.radius), _wanted(params, F.col("n"), F.col("n"))
+    for level, (rows, found, between) in reversed(list(enumerate(levels))):
+        links = between if links is None else links.unionByName(between)
+        # what links a class, here or by what is left of it, links all that are equal to it
+        ends = links.select(F.col("src").alias("id")).unionByName(links.select(F.col("dst").alias("id"))).distinct().withColumn("linked", F.lit(True))
+        # of n hashes, all of them here, at least n match themselves
+        alike = F.when((F.col("n") >= wanted) & F.lit(level == 0), F.lit(True)).otherwise(own >= wanted)
+        many = found.where("n_videos > 1").join(ends, "id", "left").where(F.col("linked") | alike)
+        within = rows.join(many.select("hs", "n", F.col("id").alias("rep")), ["hs", "n"]).where("id <> rep")
+        links = links.unionByName(within.select(F.col("rep").alias("src"), F.col("id").alias("dst")))
+        if len(levels) > 1:
+            links = materialize(links, "links")
+    assert links is not None
+    return links
+
+
+def _between(found: DataFrame, params: SearchParams, strategy: str) -> DataFrame:
+    """Links between classes (id, hs, n) by all pairs of their hashes."""
+    rows = found.select(F.col("id").alias("video_id"), F.explode("hs").alias("x")).select("video_id", F.col("x.h").alias("h"), F.col("x.m").alias("m"))
+    counts = match_counts(hamming_pairs(rows, params.radius, strategy))
+    for end, k in (("src", "a"), ("dst", "b")):
+        counts = counts.join(found.select(F.col("id").alias(end), F.col("n").alias(f"n_{k}")), end)
+    return counts.where(F.col("matches") >= _wanted(params, F.col("n_a"), F.col("n_b"))).select("src", "dst")
 
 
 def edges_for(hashes: DataFrame, params: SearchParams, strategy: str = "auto") -> DataFrame:

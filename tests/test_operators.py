@@ -59,6 +59,82 @@ def test_equal_videos_are_compared_once(spark):
     assert len(links) == n and {max(r) for r in links} == {*range(1, n), n}
 
 
+@pytest.mark.parametrize("heavy_from", [1, 3])
+@pytest.mark.parametrize("params", [SearchParams(), SearchParams(fastHash=FastHash(hammingDistance=2, matchingThreshold=1)), SearchParams(fastHash=FastHash(matchingThreshold=7)), SearchParams(method=HashMethod.SLOW, slowHash=SlowHash(usePercentThreshold=True, matchingThresholdPct=60.0))])
+def test_heavy_hashes_change_no_component(spark, params, heavy_from):
+    rng = random.Random(heavy_from)
+    common = [1 << 20, 1 << 20 | 8, 7 << 40, 7 << 40 | 6]  # two that many have, and near ones of each
+    rows, ids = [], []
+    for v in range(70):
+        ids.append((v,))
+        own = [rng.getrandbits(60) << 2 for _ in range(rng.randrange(0, 3))]
+        rows += [(v, h) for h in own + rng.choices(common, k=rng.randrange(0, 4))]
+        rows += [(v, rng.choice(rows)[1])] if v % 5 == 0 and rows else []
+    df, videos = _hashes(spark, rows), spark.createDataFrame(ids, "id int")
+    every = groups.membership(videos, similarity.edges_for(df, params))
+    found = groups.membership(videos, similarity.linked_classes(df, params, heavy_from=heavy_from))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, every.collect()))
+
+
+def test_a_hash_that_all_share_makes_no_pairs(spark):
+    n, rng = 10_000, random.Random(8)
+    rows = [(v, h) for v in range(n) for h in (16, rng.getrandbits(60) << 2)]
+    rows += [(n, 16), (n, rows[1][1] ^ 64), (n + 1, 16), (n + 1, 24), (n + 2, 16), (n + 2, 48)]
+    made = []
+    plain = similarity.match_counts
+
+    def counted(pairs):
+        made.append(pairs.count())
+        return plain(pairs)
+
+    similarity.match_counts = counted
+    try:
+        links = {tuple(sorted(r)) for r in similarity.linked_classes(_hashes(spark, rows), SearchParams()).collect()}
+    finally:
+        similarity.match_counts = plain
+    assert sum(made) < 100
+    # one shares its other hash nearly; those with two near the common one match each other and everyone
+    assert (0, n) in links and (n + 1, n + 2) in links
+    found = connected_components(spark.createDataFrame(list(links), "src long, dst long"))
+    assert found.where("component = 0").count() == n + 3
+
+
+def test_bands_bring_near_hashes_together():
+    rng = random.Random(3)
+    for radius in (0, 1, 4, 7, 10):
+        for n in range(1, radius + 2):
+            plan = similarity.bands(radius, n)
+            assert sum(b.width for b in plan) == 63 and sum(b.differ + 1 for b in plan) == radius + 1
+            for _ in range(200):
+                x = 0
+                for _ in range(radius):
+                    x |= 1 << rng.randrange(63)
+                assert any((x >> b.shift & (1 << b.width) - 1).bit_count() <= b.differ for b in plan)
+    for hashes in (10**3, 10**5, 10**7, 10**9, 10**11):
+        plan = similarity.plan_bands(4, hashes)
+        by_chance = sum(b.probes * hashes / 2**b.width for b in plan)
+        assert by_chance <= 400 * max(1, hashes / 10**9) and sum(b.probes for b in plan) <= similarity.MOST_ROWS
+    assert len(similarity.plan_bands(4, 1000)) == 5 and len(similarity.plan_bands(4, 10**9)) == 2
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5])
+def test_every_number_of_bands_gives_the_same_pairs(spark, n):
+    rng = random.Random(n)
+    rows = []
+    for v in range(300):
+        h = rng.choice(rows)[1] if rows and v % 3 else rng.getrandbits(62) << 1
+        for _ in range(rng.randrange(7)):
+            h ^= 1 << rng.randrange(1, 63)
+        rows.append((v % 80, h))
+    df = _hashes(spark, rows)
+    if n == 1:  # one band of all bits has too many values at radius 4
+        df, radius = df, 2
+    else:
+        radius = 4
+    plan = similarity.bands(radius, n if n <= radius + 1 else None)
+    assert _counts(similarity.hamming_pairs_banded(df, radius, plan)) == _counts(similarity.hamming_pairs_brute(df, radius))
+
+
 def test_match_rules(spark):
     df = _hashes(spark, [(1, 8), (2, 8), (2, 8), (2, 8), (3, 0), (4, 8 ^ 0b111100000), (5, 8 ^ 0b1111100000)])
     counts = similarity.match_counts(similarity.hamming_pairs(df, 4))

@@ -7,9 +7,12 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nearmatch.operators.joins import lookup
+from nearmatch.sources.shared import materialize
+
 #: What a linked file takes over from its source; pixel format, profile and level are not among it.
 COPIED = ("size", "bit_rate", "video_codec", "audio_codec", "width", "height", "duration", "avg_frame_rate", "sample_rate_avg", "modified_at")
 
@@ -20,23 +23,27 @@ def hardlink_plan(rows: DataFrame, group: str = "group_id") -> DataFrame:
     Of each group with two selected members or more, the first selected one is
     the source; other selected members are linked to it, unless they are the
     same file already. Members that are the source's file afterwards, selected
-    or not, get their number as link count.
+    or not, get their number as link count. Sources and counts are found where
+    a group's rows are, and go back beside them: a group may have any number of rows.
     """
-    of_group = Window.partitionBy(group)
     chosen = F.col("selected")
-    source = F.min_by(F.struct("video_id", "inode", "device"), F.when(chosen, F.col("position"))).over(of_group)
-    rows = rows.withColumn("_n", F.sum(chosen.cast("int")).over(of_group)).withColumn("_s", F.when(F.col("_n") >= 2, source))
-    same = (F.col("inode") == F.col("_s.inode")) & (F.col("device") == F.col("_s.device"))
+    source = F.min_by(F.struct("video_id", "inode", "device"), F.when(chosen, F.col("position")))
+    of_group = rows.groupBy(group).agg(F.when(F.count_if(chosen) >= 2, source).alias("s"), F.count(F.lit(1)).alias("n"))
+    found = lookup(rows, materialize(of_group, "sources"), group, "n", "video_id").withColumnRenamed("found", "_f")
+    s = F.col("_f.s")
+    same = (F.col("inode") == s["inode"]) & (F.col("device") == s["device"])
     action = (
-        F.when(F.col("_s").isNull(), F.lit("none"))
-        .when(F.col("video_id") == F.col("_s.video_id"), F.lit("source"))
+        F.when(s.isNull(), F.lit("none"))
+        .when(F.col("video_id") == s["video_id"], F.lit("source"))
         .when(chosen & same, F.lit("already"))
         .when(chosen, F.lit("link"))
         .otherwise(F.lit("none"))
     )
-    rows = rows.withColumn("action", action).withColumn("_same", F.coalesce(same, F.lit(False)) | (F.col("action") == "link"))
-    links = F.sum(F.col("_same").cast("int")).over(of_group)
-    return rows.select(*[c for c in rows.columns if c not in ("_n", "_s", "_same", "action")], F.col("_s.video_id").alias("source_id"), "action", F.when(F.col("_same"), links).cast("long").alias("new_links"))
+    acted = found.withColumn("action", action).withColumn("_same", F.coalesce(same, F.lit(False)) | (F.col("action") == "link"))
+    acted = materialize(acted.withColumn("source_id", s["video_id"]).drop("_f"), "actions")
+    links = acted.groupBy(group).agg(F.count_if("_same").alias("links"), F.count(F.lit(1)).alias("n"))
+    linked = lookup(acted, materialize(links, "links"), group, "n", "video_id")
+    return linked.select(*rows.columns, "source_id", "action", F.when(F.col("_same"), F.col("found.links")).cast("long").alias("new_links"))
 
 
 def updated_videos(videos: DataFrame, plan: DataFrame) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearmatch.functions import media
 from nearmatch.operators.components import connected_components
+from nearmatch.operators.joins import lookup, with_places
+from nearmatch.sources.shared import materialize
 from nearmatch.sources.store import with_ids
 
 
@@ -34,24 +36,30 @@ def members(groups: DataFrame) -> DataFrame:
     return groups.groupBy("group_id").agg(F.sort_array(F.collect_list("video_id")).alias("video_ids"))
 
 
-def with_duplicates(groups: DataFrame) -> DataFrame:
-    """Members of groups of two or more."""
-    n = F.count(F.lit(1)).over(Window.partitionBy("group_id"))
-    return groups.withColumn("_n", n).where("_n >= 2").drop("_n")
+def with_duplicates(rows: DataFrame, group: str = "group_id", spread: str = "video_id") -> DataFrame:
+    """Rows of groups of two or more; spread is a column by which rows of a large group can be dealt out."""
+    counts = materialize(rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")), "group-sizes")
+    return lookup(rows, counts, group, "n", spread).where("found.n >= 2").drop("found")
 
 
 def sizes(rows: DataFrame, group: str = "group_id", size: str = "size") -> DataFrame:
     return rows.groupBy(group).agg(F.sum(size).alias("total_size"), F.count(F.lit(1)).alias("members"))
 
 
-def except_extreme(group: str, size: str, position: str, largest: bool) -> Column:
-    """Whether a row is selected when all but the largest (or smallest) of its group are; of equal ones the first stays."""
-    order = F.desc(size) if largest else F.asc(size)
-    return F.row_number().over(Window.partitionBy(group).orderBy(order, F.asc(position))) > 1
+def except_extreme(rows: DataFrame, group: str, size: str, position: str, largest: bool, name: str = "selected") -> DataFrame:
+    """rows with whether each is selected when all but the largest (or smallest) of its group are; of equal ones the first stays.
+
+    Each task finds the head of what it has of a group; heads then meet, and go back beside the group's rows.
+    """
+    by = (F.col(size).isNull(), F.negative(size)) if largest else (F.col(size).isNotNull(), F.col(size))
+    heads = rows.groupBy(group).agg(F.min_by(position, F.struct(*by, F.col(position))).alias("head"), F.count(F.lit(1)).alias("n"))
+    found = lookup(rows, materialize(heads, "heads"), group, "n", position)
+    return found.withColumn(name, ~F.col(position).eqNullSafe(F.col("found.head"))).drop("found")
 
 
-def place_in_group(group: str, size: str, tie: str, ascending: bool = False) -> Column:
-    return F.row_number().over(Window.partitionBy(group).orderBy(F.asc(size) if ascending else F.desc(size), F.asc(tie)))
+def place_in_group(rows: DataFrame, group: str, size: str, tie: str, ascending: bool = False, name: str = "place") -> DataFrame:
+    """rows with their places in their groups by size."""
+    return with_places(rows, group, F.asc(size) if ascending else F.desc(size), F.asc(tie), name=name)
 
 
 def group_places(rows: DataFrame, group: str, size: str, ascending: bool = False) -> DataFrame:
@@ -60,9 +68,11 @@ def group_places(rows: DataFrame, group: str, size: str, ascending: bool = False
     return with_ids(total, 0, F.asc("total_size") if ascending else F.desc("total_size"), F.asc(group), name="place")
 
 
-def first_in_group(group: str, position: str) -> Column:
-    """Whether a row begins its group in display order."""
-    return F.row_number().over(Window.partitionBy(group).orderBy(position)) == 1
+def first_in_group(rows: DataFrame, group: str, position: str, name: str = "first_row") -> DataFrame:
+    """rows with whether each begins its group in display order."""
+    heads = rows.groupBy(group).agg(F.min(position).alias("head"), F.count(F.lit(1)).alias("n"))
+    found = lookup(rows, materialize(heads, "firsts"), group, "n", position)
+    return found.withColumn(name, F.col(position).eqNullSafe(F.col("found.head"))).drop("found")
 
 
 #: Thumbnails that a list shows of a video.
@@ -79,20 +89,20 @@ def report(rows: DataFrame, group: str = "group_id", tie: str = "id") -> DataFra
     rows has group, tie, path, size, bit_rate, width, height, avg_frame_rate,
     duration, video_codec, pix_fmt, profile and thumbnail_path.
     """
-    shown = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(group))).where("_n >= 2").drop("_n")
+    shown = place_in_group(with_duplicates(rows, group, tie), group, "size", tie, name="position")
     per = shown.groupBy(group).agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("total"))
-    heads = with_ids(per, 0, group, name="number")
+    heads = materialize(with_ids(per, 0, group, name="number"), "numbered-groups")
     columns = {
         "label": media.group_label(F.col("number"), F.col("members"), F.col("total")),
         "position": F.lit(0),
         "row_type": F.lit("group"),
     }
     header = heads.select(F.col(group), "number", *[c.alias(k) for k, c in columns.items()])
-    body = shown.join(heads.select(group, "number"), group).select(
+    body = lookup(shown, heads.select(group, "number", "members"), group, "members", tie).select(
         group,
-        "number",
+        F.col("found.number").alias("number"),
         F.col("path").alias("label"),
-        place_in_group(group, "size", tie).alias("position"),
+        F.col("position").cast("int").alias("position"),
         F.lit("video").alias("row_type"),
         F.col(tie),
         media.size_label(F.col("size")).alias("size_text"),

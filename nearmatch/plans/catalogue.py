@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from nearmatch import settings
+from nearmatch import schemas, settings
 from nearmatch.functions import hashing, media
 from nearmatch.functions import phash as perceptual
 from nearmatch.operators import actions, filters, groups, sampling, similarity
@@ -111,7 +111,17 @@ def _tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"vec_id": pdf["vec_id"], "tile": list((e[:, y] * e[:, x + 32] + e[:, x * y % 64]).reshape(len(pdf), -1))})
 
 
-@query()
+# What a pixel adds to a coefficient, through the box sum and the transform: w(k, y). Then tiles by rows, and by columns.
+@query("""
+WITH r AS (SELECT k, y, sqrt(2 / 32::DOUBLE) * cos(pi() / 64 * k * (2 * y + 1)) AS c FROM range(1, 9) a(k), range(32) b(y)),
+w AS (SELECT k, greatest(0, least(31, y + d)) AS y, sum(c) AS c FROM r, range(-3, 4) b(d) GROUP BY 1, 2),
+e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+t AS (SELECT vec_id, y, x, v[y + 1] * v[x + 33] + v[x * y % 64 + 1] AS t FROM e, range(32) a(y), range(32) b(x)),
+a AS (SELECT vec_id, k, x, sum(w.c * t) AS t FROM t JOIN w ON w.y = t.y GROUP BY vec_id, k, x),
+c AS (SELECT vec_id, a.k, w.k AS l, sum(w.c * t) AS c FROM a JOIN w ON w.y = a.x GROUP BY vec_id, a.k, w.k),
+l AS (SELECT vec_id, list(c ORDER BY k, l) AS c, list_sort(list(c)) AS s FROM c GROUP BY vec_id)
+SELECT vec_id, list_sum(list_transform(range(1, 64), lambda i: CASE WHEN c[i + 1] > (s[32] + s[33]) / 2 THEN (1::BIGINT << (63 - i)::BIGINT) ELSE 0::BIGINT END))::BIGINT AS h63 FROM l
+""")
 def phash_tile_numpy(spark, sf):
     """A 32x32 tile of each embedding, from products of its parts, hashed by the image kernel."""
     tiles = _t(spark, sf, "embeddings").select("vec_id", "embedding").mapInPandas(_tiles, "vec_id long, tile array<double>")
@@ -135,9 +145,17 @@ def hamming_pairs_banded(spark, sf):
     return _pairs(similarity.hamming_pairs_banded(_hashes(spark, sf), 18))
 
 
-@query(f"WITH {_pairs_sql(None, 4)} SELECT src, dst, ha, hb FROM p")
+@query(f"""
+WITH {_H}, n AS (SELECT vec_id + 1000000 AS video_id, xor(h63, (((1::BIGINT << (vec_id // 5 % 7)::BIGINT) - 1) << (vec_id % 50)::BIGINT)) AS h63 FROM hs WHERE vec_id % 5 = 0),
+u AS (SELECT vec_id AS video_id, h63 FROM hs WHERE h63 <> 0 UNION ALL SELECT video_id, h63 FROM n WHERE h63 <> 0)
+SELECT a.video_id AS src, b.video_id AS dst, a.h63 AS ha, b.h63 AS hb FROM u a JOIN u b ON a.video_id < b.video_id AND bit_count(xor(a.h63, b.h63)) <= 4
+""")
 def hamming_pairs_default_radius(spark, sf):
-    return _pairs(similarity.hamming_pairs(_hashes(spark, sf), 4))
+    """At the radius that searches take: every fifth hash has one beside it of which 0 to 6 bits in a row are others."""
+    h, v = _hashes(spark, sf), F.col("video_id")
+    run = F.call_function("shiftleft", F.lit(1).cast("long"), (F.floor(v / 5) % 7).cast("int")) - 1
+    near = h.where(v % 5 == 0).select((v + 1_000_000).alias("video_id"), F.col("h").bitwiseXOR(F.call_function("shiftleft", run, (v % 50 + 1).cast("int"))).alias("h"))
+    return _pairs(similarity.hamming_pairs(h.unionByName(near), 4))
 
 
 @query("""
@@ -250,17 +268,18 @@ def _selection_sql(order: str) -> str:
 
 @query(_selection_sql("DESC"))
 def select_except_largest(spark, sf):
-    return _videos(spark, sf).select("id", "group_id", groups.except_extreme("group_id", "size", "id", largest=True).alias("selected"))
+    return groups.except_extreme(_videos(spark, sf), "group_id", "size", "id", largest=True).select("id", "group_id", "selected")
 
 
 @query(_selection_sql("ASC"))
 def select_except_smallest(spark, sf):
-    return _videos(spark, sf).select("id", "group_id", groups.except_extreme("group_id", "size", "id", largest=False).alias("selected"))
+    return groups.except_extreme(_videos(spark, sf), "group_id", "size", "id", largest=False).select("id", "group_id", "selected")
 
 
 @query("SELECT doc_id AS id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS falling, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS rising FROM documents")
 def sort_within_groups(spark, sf):
-    return _videos(spark, sf).select("id", groups.place_in_group("group_id", "size", "id").cast("long").alias("falling"), groups.place_in_group("group_id", "size", "id", ascending=True).cast("long").alias("rising"))
+    falling = groups.place_in_group(_videos(spark, sf), "group_id", "size", "id", name="falling")
+    return groups.place_in_group(falling, "group_id", "size", "id", ascending=True, name="rising").select("id", "falling", "rising")
 
 
 @query("WITH g AS (SELECT source AS group_id, sum(n_chars)::BIGINT AS total_size FROM documents GROUP BY source) SELECT *, row_number() OVER (ORDER BY total_size DESC, group_id) AS place FROM g")
@@ -270,7 +289,7 @@ def sort_groups_by_size(spark, sf):
 
 @query("SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1 AS first_row FROM embeddings")
 def first_in_group_flag(spark, sf):
-    return _t(spark, sf, "embeddings").select("vec_id", "label", groups.first_in_group("label", "vec_id").alias("first_row"))
+    return groups.first_in_group(_t(spark, sf, "embeddings"), "label", "vec_id").select("vec_id", "label", "first_row")
 
 
 @query("SELECT c_custkey AS id, row_number() OVER (ORDER BY c_custkey) AS place FROM customer")
@@ -464,11 +483,29 @@ def parameter_clamps(spark, sf):
     return _t(spark, sf, "events").select("event_id", *[settings.clamp_column((e % n).cast("int"), name).alias(k) for k, (n, name) in values.items()])
 
 
-@query("SELECT event_id, event_type, value FROM events")
+@query("""
+SELECT event_id, least(64, event_id % 90)::INTEGER AS radius, greatest(1, least(10000, event_id % 12000)) AS threshold, CASE WHEN event_id % 12 IN (2, 10) THEN event_id % 12 ELSE 2 END::INTEGER AS frames,
+       CASE WHEN event_id % 3 = 0 THEN true ELSE event_id % 2 = 0 END AS fast_keys, CASE WHEN event_id % 3 = 0 THEN false ELSE event_id % 2 = 0 END AS slow_keys,
+       greatest(1.0::DOUBLE, least(100.0::DOUBLE, value)) AS pct, CASE WHEN event_id % 4 > 0 THEN event_id END AS min_bytes, greatest(1, least(4, event_id % 7))::INTEGER AS thumbs, event_type AS folder
+FROM events WHERE event_id % 11 > 0 UNION ALL SELECT event_id, 4, 2, 2, true, true, 50.0::DOUBLE, NULL, 4, NULL FROM events WHERE event_id % 11 = 0
+""")
 def settings_json_roundtrip(spark, sf):
-    e = _t(spark, sf, "events").select("event_id", F.to_json(F.struct("event_type", "value")).alias("j"))
-    back = F.from_json("j", "event_type string, value double")
-    return e.select("event_id", back["event_type"].alias("event_type"), back["value"].alias("value"))
+    """Settings from the events' numbers, as an older text without keyframe flags where the id is divisible by 3, through the codec; texts that are cut off give the defaults."""
+    e, n = F.col("event_id"), lambda k: (F.col("event_id") % k).cast("int")
+    keys = F.when(e % 3 > 0, e % 2 == 0).alias("useKeyframesOnly")
+    fast = F.struct(n(12).alias("maxFrames"), n(90).alias("hammingDistance"), (e % 12000).alias("matchingThreshold"), keys)
+    slow = F.struct(F.lit(15).alias("skipPercent"), F.lit(9).alias("maxFrames"), n(90).alias("hammingDistance"), F.lit(True).alias("usePercentThreshold"), F.col("value").alias("matchingThresholdPct"), e.alias("matchingThresholdNum"), keys)
+    none = F.array().cast("array<string>")
+    lists = [none.alias(k) for k in ("extensions", "includeFilePatterns", "includeDirPatterns", "excludeFilePatterns", "excludeDirPatterns")]
+    folders = F.array(F.struct(F.col("event_type").alias("path"), F.lit(True).alias("recursive"))).alias("directories")
+    whole = F.struct(F.lit(True).alias("useGlob"), F.lit(False).alias("caseInsensitive"), *lists, folders, n(7).alias("thumbnailsPerVideo"), F.when(e % 4 > 0, e).alias("minBytes"), F.lit(1).alias("method"), fast.alias("fastHash"), slow.alias("slowHash"))
+    text = F.to_json(whole)
+    cut = F.when(e % 11 > 0, text).otherwise(F.substr(text, F.lit(1), F.length(text) - 1))
+    back = F.from_json(settings.recoded(cut), schemas.SETTINGS)
+    return _t(spark, sf, "events").select("event_id", back.alias("s")).select(
+        "event_id", "s.fastHash.hammingDistance", "s.fastHash.matchingThreshold", "s.fastHash.maxFrames", F.col("s.fastHash.useKeyframesOnly").alias("f"), F.col("s.slowHash.useKeyframesOnly").alias("k"),
+        "s.slowHash.matchingThresholdPct", "s.minBytes", "s.thumbnailsPerVideo", F.get("s.directories", F.lit(0))["path"].alias("folder"),
+    ).toDF("event_id", "radius", "threshold", "frames", "fast_keys", "slow_keys", "pct", "min_bytes", "thumbs", "folder")
 
 
 @query("""

@@ -7,6 +7,7 @@ from dataclasses import asdict, dataclass, field, fields, replace
 from enum import IntEnum
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -136,6 +137,16 @@ def _load(kind: type, d: dict, keyframes: bool) -> Any:
     return kind(**known, useKeyframesOnly=bool(d.get("useKeyframesOnly", keyframes)))
 
 
+def recoded(text: Column) -> Column:
+    """Settings texts as the codec writes them: limited, complete, defaults where a text is none. In Arrow batches."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: SearchParams.from_json(t).to_json())
+
+    return run(text)
+
+
 def split_list(text: Column) -> Column:
     """A comma-separated list: trimmed, lower-cased, without empty entries."""
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda e: F.lower(F.trim(e))), lambda e: e != "")

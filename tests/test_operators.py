@@ -174,7 +174,8 @@ def test_membership_keeps_isolated_and_ignores_unknown(spark):
 
 def test_selection_keeps_first_of_ties(spark):
     df = spark.createDataFrame([("g", 1, 5), ("g", 2, 9), ("g", 3, 9), ("h", 4, 1)], "g string, id int, size int")
-    got = {r["id"]: (r["l"], r["s"]) for r in df.select("id", groups.except_extreme("g", "size", "id", True).alias("l"), groups.except_extreme("g", "size", "id", False).alias("s")).collect()}
+    both = groups.except_extreme(groups.except_extreme(df, "g", "size", "id", True, "l"), "g", "size", "id", False, "s")
+    got = {r["id"]: (r["l"], r["s"]) for r in both.collect()}
     assert got == {1: (True, False), 2: (False, True), 3: (True, True), 4: (False, False)}
 
 
@@ -272,3 +273,33 @@ def test_upsert_and_ids(spark):
     rows = spark.createDataFrame([(f"p{i:03d}",) for i in range(100)], "path string").repartition(5)
     got = stores.with_ids(rows, 10, "path").orderBy("id").collect()
     assert [(r["path"], r["id"]) for r in got] == [(f"p{i:03d}", 11 + i) for i in range(100)]
+
+
+@pytest.mark.parametrize("hot_rows", [5, 10_000])
+def test_lookup_and_places_of_groups_of_any_size(spark, hot_rows):
+    from nearmatch.operators.joins import lookup, with_places
+
+    rng = random.Random(hot_rows)
+    rows = [(i, rng.choice(["hot", "hot", None, f"g{rng.randrange(40)}"]), rng.randrange(6)) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, g string, size int").repartition(5)
+    entries = df.where("g IS NULL OR g <> 'g3'").groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"))
+    got = {r["id"]: r["found"] for r in lookup(df, entries, "g", "n", "id", hot_share=0.0, hot_rows=hot_rows).collect()}
+    total = {g: (sum(h == g for _, h, _ in rows), sum(s for _, h, s in rows if h == g)) for _, g, _ in rows}
+    assert len(got) == 600 and all((tuple(got[i]) if got[i] else None) == (None if g == "g3" else total[g]) for i, g, _ in rows)
+    places = {r["id"]: r["place"] for r in with_places(df, "g", F.desc("size"), F.asc("id")).collect()}
+    for _, g, _ in rows:
+        mine = sorted((r for r in rows if r[1] == g), key=lambda r: (-r[2], r[0]))
+        assert [places[i] for i, _, _ in mine] == list(range(1, len(mine) + 1))
+
+
+def test_one_group_of_all_rows_is_many_tasks(spark):
+    rows = spark.range(40_000).select("id", F.lit("all").alias("g"), (F.col("id") % 97).alias("size"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for df in (groups.except_extreme(rows, "g", "size", "id", True), groups.place_in_group(rows, "g", "size", "id"), groups.with_duplicates(rows, "g", "id"), groups.first_in_group(rows, "g", "id")):
+            per = df.groupBy(F.spark_partition_id()).count().collect()
+            assert len(per) == 4 and max(r["count"] for r in per) < 20_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    placed = groups.place_in_group(rows, "g", "size", "id")
+    assert placed.select(F.max("place"), F.countDistinct("place")).first() == (40_000, 40_000)

@@ -104,9 +104,9 @@ def hamming_pairs_brute(hashes: DataFrame, radius: int) -> DataFrame:
     return a.join(b, (F.col("a_video_id") < F.col("b_video_id")) & (hamming(F.col("a_h"), F.col("b_h")) <= radius))
 
 
-def hamming_pairs_banded(hashes: DataFrame, radius: int, plan: list[Band] | None = None) -> DataFrame:
-    """The same pairs by an equi-join on bands. Bit 0, which packed hashes don't use, is checked with all others."""
-    plan = plan or plan_bands(radius, hashes.count())
+def hamming_pairs_banded(hashes: DataFrame, radius: int, plan: list[Band] | None = None, others: DataFrame | None = None) -> DataFrame:
+    """The same pairs by an equi-join on bands. Bit 0, which packed hashes don't use, is checked with all others. With others, pairs of a hash here and one there."""
+    plan = plan or plan_bands(radius, (hashes if others is None else others).count())
 
     def value(x: Column, band: Band) -> Column:
         return F.shiftrightunsigned(h63(x), band.shift).bitwiseAND(F.lit((1 << band.width) - 1))
@@ -116,14 +116,15 @@ def hamming_pairs_banded(hashes: DataFrame, radius: int, plan: list[Band] | None
         return F.transform(near, lambda m: F.struct(F.lit(k).alias("k"), value(F.col("h"), band).bitwiseXOR(m).alias("v")))
 
     def entered(side: str, probes: bool) -> DataFrame:
-        rows = rows_of.withColumn("band", F.explode(F.concat(*[values(k, band, probes) for k, band in enumerate(plan)])))
+        rows = rows_of[side].withColumn("band", F.explode(F.concat(*[values(k, band, probes) for k, band in enumerate(plan)])))
         return rows.select(*[F.col(c).alias(f"{side}_{c}") for c in ("video_id", "h", "m")], F.col("band.k").alias(f"{side}_k"), F.col("band.v").alias(f"{side}_v"))
 
-    rows_of = weighted(hashes)
+    rows_of = {"a": weighted(hashes), "b": weighted(hashes if others is None else others)}
     a, b = entered("a", True), entered("b", False)
+    apart = F.col("a_video_id") < F.col("b_video_id") if others is None else F.col("a_video_id") != F.col("b_video_id")
     x = F.col("a_h").bitwiseXOR(F.col("b_h"))
     first = F.coalesce(*[F.when(F.bit_count(value(x, p)) <= p.differ, F.lit(k)) for k, p in enumerate(plan)])
-    joined = a.join(b, (F.col("a_k") == F.col("b_k")) & (F.col("a_v") == F.col("b_v")) & (F.col("a_video_id") < F.col("b_video_id")) & (F.bit_count(x) <= radius) & (first == F.col("a_k")))
+    joined = a.join(b, (F.col("a_k") == F.col("b_k")) & (F.col("a_v") == F.col("b_v")) & apart & (F.bit_count(x) <= radius) & (first == F.col("a_k")))
     return joined.select("a_video_id", "a_h", "a_m", "b_video_id", "b_h", "b_m")
 
 
@@ -206,6 +207,17 @@ def hamming_pairs(hashes: DataFrame, radius: int, strategy: str = "auto") -> Dat
     return {"banded": hamming_pairs_banded, "brute": hamming_pairs_brute, "tiled": hamming_pairs_tiled}[strategy](hashes, radius)
 
 
+def hamming_pairs_across(hashes: DataFrame, others: DataFrame, radius: int) -> DataFrame:
+    """Pairs within the radius of a hash here and one of others, of different videos. hashes are the fewer: they are probes of the bands, or, at radii whose bands select nothing, compared with all others."""
+    if BITS // (radius + 1) >= NARROWEST:
+        return hamming_pairs_banded(hashes, radius, others=others)
+    a, _ = _sides(weighted(hashes))
+    _, b = _sides(weighted(others))
+    if a.count() <= BROADCAST_ROWS:
+        a = F.broadcast(a)
+    return a.join(b, (F.col("a_video_id") != F.col("b_video_id")) & (hamming(F.col("a_h"), F.col("b_h")) <= radius))
+
+
 def match_counts(pairs: DataFrame) -> DataFrame:
     """src, dst, matches: pairs of hashes of each pair of videos."""
     return pairs.groupBy(F.col("a_video_id").alias("src"), F.col("b_video_id").alias("dst")).agg(F.sum(F.col("a_m") * F.col("b_m")).alias("matches"))

@@ -113,21 +113,22 @@ def decode_hashes(blobs: DataFrame) -> DataFrame:
 
 @dataclass
 class State:
-    """What a commit file says: for each table its entries, ["add" or "del", folder], in order; and the highest id given so far."""
+    """What a commit file says: for each table its entries, ["add" or "del", folder], in order; the highest id given so far; and the last detection's settings and tables."""
 
     number: int = 0
     tables: dict[str, list[list[str]]] = field(default_factory=dict)
     last_id: int = 0
+    detected: dict | None = None
 
     @classmethod
     def parse(cls, number: int, text: str) -> State:
         d = json.loads(text)
         if "tables" not in d:  # of a store from before there were segments: one folder for each table
             return cls(number, {n: [["add", v]] for n, v in d.items()}, -1)
-        return cls(number, d["tables"], d["last_id"])
+        return cls(number, d["tables"], d["last_id"], d.get("detected"))
 
     def text(self) -> str:
-        return json.dumps({"tables": self.tables, "last_id": self.last_id})
+        return json.dumps({"tables": self.tables, "last_id": self.last_id, "detected": self.detected})
 
     def folders(self) -> set[tuple[str, str]]:
         return {(n, f) for n, entries in self.tables.items() for _, f in entries}
@@ -145,6 +146,8 @@ class Change:
         self.last_id = self.base.last_id
         self.entries: dict[str, list[list[str]]] = {}
         self.replaced: set[str] = set()
+        #: Settings of the detection that this change is, if it is one.
+        self.detected: str | None = None
 
     def read(self, name: str) -> DataFrame:
         self.seen.add(name)
@@ -184,7 +187,8 @@ class Change:
             if moved := sorted(n for n in self.seen | self.replaced if now.tables.get(n) != self.base.tables.get(n)):
                 raise Conflict(f"changed meanwhile: {', '.join(moved)}")
             tables = {n: ([] if n in self.replaced else now.tables.get(n, [])) + self.entries.get(n, []) for n in now.tables | self.entries}
-            after = State(now.number + 1, tables, max(now.last_id, self.last_id))
+            detected = now.detected if self.detected is None else {"settings": self.detected, "tables": tables}
+            after = State(now.number + 1, tables, max(now.last_id, self.last_id), detected)
             if store.publish(after):
                 return after
 
@@ -285,6 +289,19 @@ class Store:
     def read(self, name: str) -> DataFrame:
         return self.rows(self.state(), name)
 
+    def since(self, change: Change, name: str) -> tuple[DataFrame, DataFrame] | None:
+        """Rows added to a table and keys deleted from it since the last detection; none if its folders then aren't all there any more."""
+        before, now = (change.base.detected or {"tables": {}})["tables"].get(name, []), change.base.tables.get(name, [])
+        if now[: len(before)] != before:
+            return None
+        change.seen.add(name)
+        new = now[len(before) :]
+        schema = schemas.struct(TABLES[name])
+        kinds = {"add": schema, "del": f"key {schema[KEYS[name]].dataType.simpleString()}"}
+        folders = {k: [f"{self.path}/{name}/{f}" for kind, f in new if kind == k] for k in kinds}
+        each = [self.spark.read.schema(kinds[k]).parquet(*folders[k]) if folders[k] else self.spark.createDataFrame([], kinds[k]) for k in kinds]
+        return each[0], each[1]
+
     def change(self) -> Change:
         return Change(self)
 
@@ -305,6 +322,9 @@ class Store:
         names = [n for n, entries in change.base.tables.items() if len(entries) >= many]
         for name in names:
             change.replace(name, change.read(name))
+        if change.base.detected and change.base.detected["tables"] == change.base.tables:
+            change.detected = change.base.detected["settings"]  # nothing has come since: it is the detection of what is written now
+            change.seen.update(change.base.tables)
         if names:
             change.commit()
         return names
@@ -372,12 +392,13 @@ class Store:
             change.delete(name, ids, "id")
         change.commit()
 
-    def store_groups(self, groups: DataFrame, change: Change | None = None) -> None:
+    def store_groups(self, groups: DataFrame, change: Change | None = None, settings: str | None = None) -> None:
         """Replace all groups by (group_id, video_id), groups of one included; both tables at once, from one evaluation of groups.
 
         With the change that groups were found in, they stand only if what it read still does.
         """
         change = change or self.change()
+        change.detected = settings
         groups = materialize(groups, "groups")
         change.replace("dup_group", groups.select("group_id").distinct().withColumn("created_at", F.current_timestamp()))
         change.replace("dup_group_map", groups)

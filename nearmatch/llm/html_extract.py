@@ -26,6 +26,8 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
@@ -70,6 +72,8 @@ ENDED_BY = {
     "thead": _CELLS - {"td", "th", "tr"},
 }
 ENDING = frozenset().union(*ENDED_BY.values())
+#: By a start tag, the elements that it ends.
+ENDS = {tag: tuple(name for name, tags in ENDED_BY.items() if tag in tags) for tag in ENDING}
 _LISTED = frozenset("article aside blockquote button details dir dl fieldset figure footer form header main menu nav object ol section select table td template th ul".split())
 # Elements in which a start tag ends none of those around them.
 KEPT_BY = {
@@ -90,7 +94,7 @@ GAP = 3
 HINT = 0.02
 #: Of the threshold, what the first and last lines of a cluster outside need of their own.
 EDGE = 0.1
-#: Times that a page is read again for elements left open; after these, once more without skipping any but RAW ones.
+#: Times that a page is read again for elements left open, before these end with the block around them; as often again, before none but RAW ones are skipped.
 AGAIN = 4
 # Of the skipped elements, those whose content is no text of the page even where their end is missing.
 RAW = frozenset("canvas embed iframe input noframes noscript object option script select style svg template textarea title".split())
@@ -107,21 +111,27 @@ class _Line(NamedTuple):
 
 
 class _Lines(HTMLParser):
-    """Collects the lines of a page. open_: numbers of the elements that aren't to be skipped, as their ends are missing; None: all but RAW ones."""
+    """Collects the lines of a page, in time that grows with its length, however its elements are nested.
 
-    def __init__(self, open_: frozenset[int] | None = frozenset()) -> None:
+    open_: the start tags, by their numbers, of elements that aren't to be skipped, as their ends are missing; None: all but RAW ones.
+    strict: a skipped element ends with any block around it.
+    """
+
+    def __init__(self, open_: frozenset[int] | None = frozenset(), strict: bool = False) -> None:
         super().__init__(convert_charrefs=True)
-        self.open_ = open_
+        self.open_, self.strict = open_, strict
         self.lines: list[_Line] = []
         self.parts: list[str] = []
         self.linked = 0  # characters in links
         self.links = 0  # links that are open
         self.tags = 0
         self.skip_tag = ""
-        self.n_skipped = 0
+        self.n_starts = 0
         self.left_open: set[int] = set()
-        self.inner: list[str] = []  # the skipped element and what is open in it
+        self.inner: list[tuple[str, int]] = []  # the skipped element and what is open in it, with the numbers of their start tags
+        self.at: dict[str, list[int]] = {}  # places in inner by name
         self.open: list[str] = []  # the blocks around, without paragraphs
+        self.n_open: Counter[str] = Counter()
         self.containers: list[int] = []
         self.n_containers = 0
         self.form = self.n_forms = 0
@@ -146,25 +156,35 @@ class _Lines(HTMLParser):
         end = self.rawdata.find(">", i)
         return end + 1 if end >= 0 else -1
 
-    def end_implied(self, tag: str) -> None:
-        """Close what the start of tag ends in the skipped element, and that element if it is ended too."""
-        above: set[str] = set()
-        cut = len(self.inner)
-        for i in range(len(self.inner) - 1, -1, -1):
-            name = self.inner[i]
-            if tag in ENDED_BY.get(name, ()) and above.isdisjoint(KEPT_BY[name]):
-                cut = i
-            above.add(name)
-        del self.inner[cut:]
+    def push(self, tag: str) -> None:
+        self.at.setdefault(tag, []).append(len(self.inner))
+        self.inner.append((tag, self.n_starts))
+
+    def cut(self, place: int) -> None:
+        """End what is open in the skipped element from a place on, and that element if it is the first."""
+        while len(self.inner) > place:
+            self.at[self.inner.pop()[0]].pop()
         if not self.inner:
             self.skip_tag = ""
 
+    def end_implied(self, tag: str) -> None:
+        """Close what the start of tag ends in the skipped element, and that element if it is ended too."""
+        place = len(self.inner)
+        for name in ENDS[tag]:
+            if places := self.at.get(name):
+                # those with nothing above them that keeps them
+                kept = max((at[-1] for k in KEPT_BY[name] if (at := self.at.get(k))), default=0)
+                if (i := bisect_left(places, kept)) < len(places):
+                    place = min(place, places[i])
+        self.cut(place)
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        self.n_starts += 1
         if self.skip_tag and tag in ENDING:
             self.end_implied(tag)
         if self.skip_tag:
             if tag not in VOID and (tag in FOLLOWED or tag == self.skip_tag):
-                self.inner.append(tag)
+                self.push(tag)
             return
         if tag in VOID:
             if tag == "br":
@@ -174,11 +194,11 @@ class _Lines(HTMLParser):
             self.tags += 1
             return
         if tag in SKIPPED or attrs and tag not in ("html", "body") and is_boilerplate(tag, attrs):
-            self.n_skipped += 1
-            if tag in RAW or self.open_ is not None and self.n_skipped not in self.open_:
+            if tag in RAW or self.open_ is not None and self.n_starts not in self.open_:
                 self.flush()
                 self.gap()
-                self.skip_tag, self.inner = tag, [tag]
+                self.skip_tag = tag
+                self.push(tag)
                 return
             tag = "div" if tag in SKIPPED else tag
         if tag == "form":
@@ -191,8 +211,9 @@ class _Lines(HTMLParser):
             self.flush()
             if tag != "p":
                 if self.open and tag in ENDED_BY.get(self.open[-1], ()):
-                    self.open.pop()
+                    self.n_open[self.open.pop()] -= 1
                 self.open.append(tag)
+                self.n_open[tag] += 1
             if tag in CONTAINERS:
                 self.n_containers += 1
                 self.containers.append(self.n_containers)
@@ -208,21 +229,22 @@ class _Lines(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         if self.skip_tag:
-            if tag in self.inner:
-                while self.inner.pop() != tag:
-                    pass
-                if not self.inner:
-                    self.skip_tag = ""
-            elif tag in ("body", "html") or tag in CONTAINERS and self.skip_tag not in CONTAINERS and self.containers or self.skip_tag in ENDED_BY and tag in self.open:
+            if places := self.at.get(tag):
+                self.cut(places[-1])
+            elif self.strict and self.n_open[tag]:
+                self.cut(0)
+                self.handle_endtag(tag)
+            elif tag in ("body", "html") or tag in CONTAINERS and self.skip_tag not in CONTAINERS and self.containers or self.skip_tag in ENDED_BY and self.n_open[tag]:
                 self.note_open()
-                self.skip_tag = ""  # an element left open ends with what holds it
+                self.cut(0)  # an element left open ends with what holds it
                 self.handle_endtag(tag)
             return
         if tag in BLOCKS:
             self.flush()
-            if tag in self.open:
-                while self.open.pop() != tag:
-                    pass
+            if self.n_open[tag]:
+                while (last := self.open.pop()) != tag:
+                    self.n_open[last] -= 1
+                self.n_open[tag] -= 1
             if tag in CONTAINERS and self.containers:
                 self.containers.pop()
         elif tag == "form":
@@ -244,8 +266,9 @@ class _Lines(HTMLParser):
         self.flush()
 
     def note_open(self) -> None:
+        """The skipped element has no end, and nothing that is still open in it has."""
         if self.skip_tag and self.skip_tag not in ENDED_BY and self.skip_tag not in RAW:
-            self.left_open.add(self.n_skipped)
+            self.left_open.update(n for name, n in self.inner if name not in ENDED_BY and name not in RAW)
 
 
 @lru_cache(maxsize=10_000)
@@ -313,18 +336,26 @@ def select(lines: list[_Line]) -> list[str]:
     return [lines[k].text for k in kept]
 
 
+def ended(html: str) -> str:
+    """A page without the tags that no > ends: what follows the last one starts no tag. The parser would look for their ends again and again."""
+    last = html.rfind(">")
+    tail = html[last + 1 :]
+    return html if tail.count("<") < 2 else html[: last + 1] + re.sub(r"<(?=[a-zA-Z/!?])[^<]*", " ", tail)
+
+
 def extract(html: str | None) -> str:
     """The main text of one page."""
     if not html:
         return ""
+    html = ended(html)
     open_: frozenset[int] | None = frozenset()
-    for turn in range(AGAIN + 2):
-        parser = _Lines(open_)
+    for turn in range(2 * AGAIN + 2):
+        parser = _Lines(open_, strict=turn >= AGAIN)
         parser.feed(html)
         parser.close()
         if not parser.left_open:
             break
-        open_ = None if turn == AGAIN else open_ | parser.left_open
+        open_ = None if turn == 2 * AGAIN else open_ | parser.left_open
     return " ".join(select(without_forms(parser.lines, parser.forms_with_containers - {0})))
 
 

@@ -505,3 +505,27 @@ def test_licenses_find_every_template_as_its_own():
     for name, texts in licenses.TEMPLATES.items():
         for text in texts:
             assert [(m[0], m[4]) for m in scanner.scan(f"Some words. {text} Other words.")] == [(name, 1.0)], text
+
+
+def test_html_time_grows_with_the_page_however_it_is_nested():
+    import time
+
+    pages = [
+        "<div class=menu>x" * 20_000,
+        "<nav><ul><li><table>" + "<div>" * 10_000 + "<li>" * 10_000,
+        "<div>" * 20_000 + "</section>" * 20_000,
+        "<a " * 20_000,
+        "<section><div class=menu>m</section>t " * 4000,
+        "<nav>" * 20_000 + "</nav>" * 20_000,
+        "<nav><button>" + "<div>" * 10_000 + "<p>" * 10_000,
+    ]
+    for page in pages:
+        began = time.process_time()
+        html_extract.extract(page)
+        assert time.process_time() - began < 10
+
+
+def test_html_menus_left_open_again_and_again_stay_out():
+    text = "The article has a long line of text that is worth reading and that no menu would have."
+    page = "<body>" + "".join(f"<section><div class=menu>menu {k}</section><p>{text}</p>" for k in range(12)) + "</body>"
+    assert html_extract.extract(page) == " ".join([text] * 12)

@@ -355,7 +355,7 @@ def extract(html: str | None) -> str:
         parser.close()
         if not parser.left_open:
             break
-        open_ = None if turn == 2 * AGAIN else open_ | parser.left_open
+        open_ = None if turn == 2 * AGAIN else frozenset() if turn == AGAIN - 1 else open_ | parser.left_open
     return " ".join(select(without_forms(parser.lines, parser.forms_with_containers - {0})))
 
 

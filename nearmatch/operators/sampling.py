@@ -7,10 +7,17 @@ same rules over frames that a task decodes one after another.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nearmatch.operators.joins import with_places
+from nearmatch.sources.shared import materialize
+
 
 #: Parts of the duration at which fast hashing looks, and seconds between the frames of slow hashing.
 SHARES = (0.30, 0.70)
@@ -70,6 +77,107 @@ def sample_frames(frames: DataFrame, partition: str, pts: str, step: float, tie:
     return rows.withColumn("due", F.col("_k") > F.lag("_k", 1, 0).over(w)).drop("_n", "_f", "_k")
 
 
+#: Frames of a chunk, and chunks that one step of the tree puts together.
+CHUNK = 4096
+FAN = 16
+
+
+@dataclass
+class Span:
+    """What the sampler does over a run of frames, whatever it has kept before.
+
+    Of n frames kept before it makes n + gain, less the number of drops below
+    n. A frame in step f is kept where no more than f were kept before, so that
+    f and f + 1 before are the same after: one drop. A frame without a time is always kept
+    and drops nothing; one before time 0 never is. Drops below what is reached at all are taken off the gain.
+    """
+
+    gain: int
+    drops: np.ndarray
+
+    def after(self, kept: int) -> int:
+        return kept + self.gain - int(np.searchsorted(self.drops, kept))
+
+    def _before(self, kept: np.ndarray) -> np.ndarray:
+        """The largest number before that makes each of kept; negative where none does."""
+        return kept - self.gain + np.searchsorted(self.drops - np.arange(len(self.drops)) + self.gain, kept, side="right")
+
+    def then(self, other: Span) -> Span:
+        more = self._before(other.drops)
+        reached = more >= 0
+        return Span(self.gain + other.gain - int((~reached).sum()), np.sort(np.concatenate([self.drops, more[reached]])))
+
+    @classmethod
+    def of(cls, steps: list[int | None]) -> Span:
+        """The span of frames by their steps, put together in halves."""
+        if len(steps) > 1:
+            half = len(steps) // 2
+            return cls.of(steps[:half]).then(cls.of(steps[half:]))
+        (f,) = steps or [-1]
+        return cls(int(f is None or f >= 0), np.array([f] if f is not None and f >= 0 else [], np.int64))
+
+
+def steps_of(times: pd.Series, step: float) -> list[int | None]:
+    """The largest number of steps that is no more than each time; none where there is no time."""
+    t = times.to_numpy(np.float64, na_value=np.nan)
+    f = np.floor(t / step)
+    f = np.where((f + 1) * step <= t, f + 1, np.where(f * step > t, f - 1, f))
+    return [None if np.isnan(x) else int(x) for x in f]
+
+
+def sample_chunks(frames: DataFrame, partition: str, pts: str, step: float, *order: str, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
+    """frames with due, as sample_fold has it over each partition in an order, null times included; one partition is as many tasks as it has chunks.
+
+    A chunk of frames is a function from what was kept before it to what is
+    kept after it (``Span``). These are put together fan at a time up a tree, and going down again
+    each chunk learns what was kept before it, from which it says which of its frames are due.
+    """
+    key = frames.schema[partition].dataType.simpleString()
+    placed = with_places(frames, partition, *order, name="_place").withColumn("_chunk", F.expr(f"(_place - 1) div {chunk}"))
+    placed = materialize(placed, "chunks")
+    kind = f"`{partition}` {key}, _chunk long, gain long, drops array<long>"
+
+    def row(pdf: pd.DataFrame, at: int, span: Span) -> pd.DataFrame:
+        return pd.DataFrame({partition: [pdf[partition].iloc[0]], "_chunk": [at], "gain": [span.gain], "drops": [span.drops]})
+
+    def first(pdf: pd.DataFrame) -> pd.DataFrame:
+        return row(pdf, int(pdf["_chunk"].iloc[0]), Span.of(steps_of(pdf.sort_values("_place")["_t"], step)))
+
+    def spans(pdf: pd.DataFrame) -> list[tuple[int, Span]]:
+        return [(int(r["_chunk"]), Span(int(r["gain"]), np.asarray(r["drops"], np.int64))) for r in pdf.sort_values("_chunk").to_dict("records")]
+
+    def up(pdf: pd.DataFrame) -> pd.DataFrame:
+        held = spans(pdf)
+        return row(pdf, held[0][0] // fan, reduce(lambda a, b: a.then(b), [s for _, s in held]))
+
+    def down(pdf: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
+        kept, out = int(above["kept"].iloc[0]) if len(above) else 0, []
+        for at, span in spans(pdf):
+            out.append((pdf[partition].iloc[0], at, kept))
+            kept = span.after(kept)
+        return pd.DataFrame(out, columns=[partition, "_chunk", "kept"])
+
+    def flag(pdf: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_place")
+        kept, due = int(before["kept"].iloc[0]), []
+        for f in steps_of(pdf["_t"], step):
+            due.append(f is None or kept <= f)
+            kept += due[-1]
+        return pdf[[partition, "_place"]].assign(due=due)
+
+    rows = placed.select(partition, "_place", "_chunk", F.col(pts).cast("double").alias("_t"))
+    levels = [materialize(rows.groupBy(partition, "_chunk").applyInPandas(first, kind), "spans0")]
+    while not levels[-1].where("_chunk > 0").isEmpty():
+        levels.append(materialize(levels[-1].groupBy(partition, F.expr(f"_chunk div {fan}")).applyInPandas(up, kind), f"spans{len(levels)}"))
+    before: DataFrame = levels[-1].select(partition, F.lit(0).cast("long").alias("_chunk"), F.lit(0).cast("long").alias("kept"))
+    for level in reversed(levels[:-1]):
+        work = level.groupBy(partition, F.expr(f"_chunk div {fan}").alias("_up")).cogroup(before.groupBy(partition, "_chunk"))
+        before = materialize(work.applyInPandas(down, f"`{partition}` {key}, _chunk long, kept long"), "kept")
+    flags = rows.groupBy(partition, "_chunk").cogroup(before.groupBy(partition, "_chunk")).applyInPandas(flag, f"`{partition}` {key}, _place long, due boolean")
+    flags = flags.select(F.col(partition).alias("_of"), F.col("_place").alias("_at"), "due")
+    return placed.join(flags, F.col(partition).eqNullSafe(F.col("_of")) & (F.col("_place") == F.col("_at"))).drop("_of", "_at", "_place", "_chunk")
+
+
 def sample_fold(pts: Column, step: float) -> Column:
     """Of an array of times in order, whether each is due: the sampler as a fold. Null times are always due."""
     start = F.struct(F.lit(0.0).alias("next"), F.array().cast("array<boolean>").alias("due"))

@@ -543,15 +543,24 @@ def _frames(spark: SparkSession, sf: str) -> DataFrame:
 _STEP = 24 * 3600 * 1_000_000
 
 
-@query(f"""
+_SAMPLED = f"""
 WITH t AS ({_TICKS}), x AS (SELECT *, row_number() OVER w AS n, greatest(floor(pts / {_STEP}.0::DOUBLE), -1) AS f FROM t WINDOW w AS (PARTITION BY user_id ORDER BY pts, event_id)),
 k AS (SELECT *, greatest(0, least(n, n + min(f + 1 - n) OVER (PARTITION BY user_id ORDER BY pts, event_id ROWS UNBOUNDED PRECEDING))) AS kept FROM x)
 SELECT event_id, user_id, kept > lag(kept, 1, 0) OVER (PARTITION BY user_id ORDER BY pts, event_id) AS due FROM k
-""")
+"""
+
+
+@query(_SAMPLED)
 def greedy_sampler(spark, sf):
     return sampling.sample_frames(_frames(spark, sf), "user_id", "pts", float(_STEP), "event_id").select("event_id", "user_id", "due")
 
 
+@query(_SAMPLED)
+def greedy_sampler_chunks(spark, sf):
+    """The same by chunks that are put together in a tree: a video of any length is many tasks."""
+    return sampling.sample_chunks(_frames(spark, sf), "user_id", "pts", float(_STEP), "pts", "event_id", chunk=8, fan=3).select("event_id", "user_id", "due")
+
+
 @query(f"""
 WITH t AS ({_TICKS}), d AS (SELECT user_id, max(pts) AS duration FROM t GROUP BY user_id),
 g AS (SELECT user_id, unnest([(0.30::DOUBLE * duration)::DOUBLE, (0.70::DOUBLE * duration)::DOUBLE]) AS target FROM d),

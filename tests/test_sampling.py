@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nearmatch.functions.phash import hash_plane
-from nearmatch.operators.sampling import AsOf, Greedy, forward_asof, sample_fold
+from nearmatch.operators.sampling import AsOf, Greedy, forward_asof, sample_chunks, sample_fold
 from nearmatch.settings import FastHash, HashMethod, SearchParams, SlowHash
 from nearmatch.sources.probe import hash_video, hash_videos, read_frames
 
@@ -130,3 +130,38 @@ def test_seek_finds_the_same_hashes(tmp_path):
                 assert hash_video(Y4mAdapter(), at, duration, params) == hash_video(Linear(), at, duration, params)
     first = next(Y4mAdapter().seek(str(tmp_path / "a"), 3.1))
     assert first[0] == 15
+
+
+def test_spans_of_any_chunks_are_the_fold():
+    from nearmatch.operators.sampling import Span
+
+    rng = random.Random(9)
+    for _ in range(300):
+        steps = [None if rng.random() < 0.2 else rng.randrange(-2, 12) for _ in range(rng.randrange(0, 40))]
+        if rng.random() < 0.5:
+            steps.sort(key=lambda f: (f is None, f))
+        cuts = sorted(rng.randrange(len(steps) + 1) for _ in range(rng.randrange(4)))
+        whole = Span(0, np.zeros(0, np.int64))
+        for a, b in zip([0, *cuts], [*cuts, len(steps)]):
+            whole = whole.then(Span.of(steps[a:b]))
+        for start in range(15):
+            kept = start
+            for f in steps:
+                kept += f is None or kept <= f
+            assert whole.after(start) == kept
+
+
+@pytest.mark.parametrize("chunk,fan", [(3, 2), (7, 4)])
+def test_one_video_in_many_chunks(spark, chunk, fan):
+    rng = random.Random(chunk)
+    rows, want = [], {}
+    for v in (1, 2, None):
+        due, t = Greedy(0.5), 0.0
+        for k in range(80 if v == 1 else 5):
+            t += rng.choice([0.0, 0.1, 0.25, 0.6, 3.0])
+            seen = None if rng.random() < 0.15 else t
+            rows.append((v, k, seen))
+            want[v, k] = due.take(seen)
+    df = spark.createDataFrame(rows, "v long, k int, t double").repartition(3)
+    got = sample_chunks(df, "v", "t", 0.5, "k", chunk=chunk, fan=fan).collect()
+    assert {(r["v"], r["k"]): r["due"] for r in got} == want and len(got) == len(rows)

@@ -27,8 +27,8 @@ PERIOD = 1.0
 class Greedy:
     """The sampler over the frames of one file: what sample_fold is over an array."""
 
-    def __init__(self, step: float) -> None:
-        self.step, self.next = step, 0.0
+    def __init__(self, step: float, first: float = 0.0) -> None:
+        self.step, self.next = step, first
 
     def take(self, seconds: float | None) -> bool:
         due = seconds is None or seconds >= self.next

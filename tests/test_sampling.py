@@ -165,3 +165,25 @@ def test_one_video_in_many_chunks(spark, chunk, fan):
     df = spark.createDataFrame(rows, "v long, k int, t double").repartition(3)
     got = sample_chunks(df, "v", "t", 0.5, "k", chunk=chunk, fan=fan).collect()
     assert {(r["v"], r["k"]): r["due"] for r in got} == want and len(got) == len(rows)
+
+
+def test_stream_in_any_order_is_sampled_as_the_whole(spark, tmp_path):
+    from nearmatch.streaming.ingest import sample_stream
+
+    rng = random.Random(6)
+    rows = [(key, None if rng.random() < 0.1 else k / 4, k / 4) for key in (1, 2) for k in range(60)]
+    mixed = sorted(rows, key=lambda r: r[2] + rng.random() * 3)  # up to 3 seconds out of order
+    rows_in = [mixed[:40], mixed[40:41], mixed[41:90], mixed[90:], [(1, 100.0, 100.0)]]
+    schema = "key long, t double, s double"
+    for k, part in enumerate(rows_in):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"{k}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", "1").option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    frames = stream.select("key", "t", F.timestamp_seconds(F.col("s") + 1e9).alias("at"))
+    q = sample_stream(frames, 1.0, "4 seconds").writeStream.format("memory").queryName("ordered").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(200)
+    got = [(r["key"], r["t"]) for r in spark.table("ordered").collect()]
+    want = []
+    for key in (1, 2):
+        due = Greedy(1.0)
+        want += [(key, t) for k, t, _ in rows if k == key and due.take(t)]
+    assert sorted(map(str, got)) == sorted(map(str, want))

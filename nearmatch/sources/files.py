@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from py4j.protocol import Py4JJavaError
+from pyarrow import fs as arrow_fs
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,29 +36,53 @@ def check_roots(spark: SparkSession, roots: Iterable[str]) -> tuple[list[str], l
     return good, errors
 
 
+def _mounted(folder: str) -> Iterator[tuple[str, int, int, bool]]:
+    with os.scandir(folder) as found:
+        for x in found:
+            try:
+                if x.is_dir(follow_symlinks=False):
+                    yield x.path, 0, 0, True
+                elif x.is_file():
+                    s = x.stat()
+                    yield x.path, s.st_size, int(s.st_mtime), False
+            except OSError:
+                continue
+
+
+def _remote(folder: str) -> Iterator[tuple[str, int, int, bool]]:
+    folder = folder.rstrip("/")
+    fs, path = arrow_fs.FileSystem.from_uri(folder)
+    store = folder[: len(folder) - len(path)]
+    for x in fs.get_file_info(arrow_fs.FileSelector(path)):
+        if x.type in (arrow_fs.FileType.File, arrow_fs.FileType.Directory):
+            yield store + x.path, x.size or 0, int((x.mtime_ns or 0) // 1_000_000_000), x.type == arrow_fs.FileType.Directory
+
+
 def _listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """What stands in each folder: path, size, seconds of its last change, and whether it is a folder. Folders that can't be read are passed over."""
     for pdf in batches:
-        rows = []
+        rows: list[tuple[str, int, int, bool]] = []
         for folder in pdf["folder"]:
             try:
-                with os.scandir(folder) as found:
-                    for x in found:
-                        try:
-                            if x.is_dir(follow_symlinks=False):
-                                rows.append((x.path, 0, 0, True))
-                            elif x.is_file():
-                                s = x.stat()
-                                rows.append((x.path, s.st_size, int(s.st_mtime), False))
-                        except OSError:
-                            continue
+                rows += _mounted(folder) if folder.startswith("/") else _remote(folder)
             except OSError:
                 continue
         yield pd.DataFrame(rows, columns=["path", "size", "seconds", "folder"]).astype({"size": "int64", "seconds": "int64", "folder": "bool"})
 
 
+def opened_by_tasks(root: str) -> bool:
+    """Whether Python tasks can list a root: a mounted folder, or a store that Arrow knows, such as s3, gs, abfs, or hdfs where its library is installed."""
+    if root.startswith("/"):
+        return True
+    try:
+        arrow_fs.FileSystem.from_uri(root)
+        return True
+    except (OSError, ValueError, NotImplementedError):
+        return False
+
+
 def _walk(spark: SparkSession, root: str, recursive: bool) -> DataFrame:
-    """path, size, seconds of the files of a mounted folder. One job for each level of folders, whose folders are dealt over the executors."""
+    """path, size, seconds of the files of a folder that tasks can list. One job for each level of folders, whose folders are dealt over the executors."""
     kind, empty = "path string, size long, seconds long, folder boolean", "path string, size long, seconds long"
     files = spark.createDataFrame([], empty)
     folders = spark.createDataFrame([(root,)], "folder string")
@@ -71,7 +96,7 @@ def _walk(spark: SparkSession, root: str, recursive: bool) -> DataFrame:
 
 
 def _walk_hadoop(spark: SparkSession, root: str, recursive: bool) -> DataFrame:
-    """The same for a folder that only Spark's file systems open, listed by the driver."""
+    """The same for a folder that only Spark's file systems open, of which Python tasks know nothing: listed by the driver."""
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     rows, folders = [], [path]
@@ -99,10 +124,8 @@ def scan(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
     passed over; an empty root has no files. Contents are not read.
     """
     local = root.removeprefix("file:")
-    if local.startswith("/"):
-        files = _walk(spark, "/" + local.lstrip("/"), recursive)
-    else:
-        files = _walk_hadoop(spark, root, recursive)
+    root = "/" + local.lstrip("/") if local.startswith("/") else root
+    files = (_walk if opened_by_tasks(root) else _walk_hadoop)(spark, root, recursive)
     return files.select(normal_path(F.col("path")).alias("path"), "size", local_time(F.timestamp_seconds("seconds")).alias("modified_at"))
 
 

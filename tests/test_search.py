@@ -77,6 +77,10 @@ def test_scan_lists_every_file(spark, tmp_path):
     every = sorted([*top, "_hid/z.mp4", "sub/.deep/y.mp4", "sub/x.mp4"])
     assert names(files.scan(spark, str(root))) == names(files.scan(spark, f"file://{root}")) == every
     assert names(files.scan(spark, str(root / "sub" / "empty"))) == []
+    # a store is listed by the tasks too, through Arrow
+    stored = {(r["path"].removeprefix(f"file://{root}/"), r["size"]) for r in files._walk(spark, f"file://{root}", True).collect()}
+    assert {x for x in stored if not x[0].startswith("linked/")} == {(n, len("a.mp4") if n == "link.mp4" else len(n)) for n in every}
+    assert files.opened_by_tasks("/x") and files.opened_by_tasks("s3://bucket/x?region=eu-west-1") and not files.opened_by_tasks("viewfs://store/x")
     assert sorted(p for p, _, _ in map(tuple, files._walk_hadoop(spark, str(root / "sub"), True).collect())) == [f"file:{root}/sub/{n}" for n in (".deep/y.mp4", "x.mp4")]
     sizes = {r["path"]: (r["size"], r["num_hard_links"]) for r in files.with_identity(files.scan(spark, str(root), False)).collect()}
     assert sizes[f"{root}/a.mp4"] == (5, 1)

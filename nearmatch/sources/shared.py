@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 ROW_GROUP = 16 << 20
 
 
-#: For each scope that is open, the tables made in it.
-_SCOPES: list[list[str]] = []
+#: For each scope that is open around, in this thread or task, the tables made in it.
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,8 +40,8 @@ def _remove(spark: SparkSession, path: str, later: bool) -> None:
 def shared_path(spark: SparkSession, label: str, stays: bool = False) -> str:
     """A new path in the shared folder. What is written there goes with the scope around (see ``temporary``) unless it stays."""
     path = f"{shared_dir(spark)}/nearmatch-{label}-{uuid.uuid4().hex}"
-    if _SCOPES and not stays:
-        _SCOPES[-1].append(path)
+    if (scopes := _SCOPES.get()) and not stays:
+        scopes[-1].append(path)
     return path
 
 
@@ -64,9 +65,11 @@ def materialize(df: DataFrame, label: str, stays: bool = False) -> DataFrame:
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[None]:
     """Tables that are made inside go at the end, but for those that stay. What is read from them has to be written by then."""
-    _SCOPES.append([])
+    made: list[str] = []
+    around = _SCOPES.set((*_SCOPES.get(), made))
     try:
         yield
     finally:
-        for path in _SCOPES.pop():
+        _SCOPES.reset(around)
+        for path in made:
             _remove(spark, path, later=False)

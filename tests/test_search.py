@@ -100,6 +100,28 @@ def test_tables_of_a_scope_go_with_it(spark):
     assert outer.count() == 2 and [p.name.split("-")[1] for p in set(Path(shared_dir(spark)).iterdir()) - before] == ["outer"]
 
 
+def test_scopes_of_threads_are_their_own(spark):
+    from concurrent.futures import ThreadPoolExecutor
+    from threading import Barrier
+
+    from nearmatch.sources.shared import materialize, temporary
+
+    meet = Barrier(2, timeout=60)
+
+    def work(k):
+        with temporary(spark):
+            df = materialize(spark.range(k + 3), f"thread{k}")
+            meet.wait()
+            if k:  # the other scope ends first
+                meet.wait()
+                return df.count()
+        meet.wait()
+        return 0
+
+    with ThreadPoolExecutor(2) as pool:
+        assert list(pool.map(work, range(2))) == [0, 4]
+
+
 def test_store_changes_all_tables_or_none(spark, tmp_path):
     import pytest
 

@@ -96,6 +96,26 @@ for _kind, _name in _KINDS.items():
         _full = _name.replace("NoDerivs", "NoDerivatives") if _version == "4.0" else _name
         TEMPLATES.setdefault(f"CC-{_kind}-{_version}", [f"Licensed under CC {_kind} {_version}.", f"This work is licensed under a Creative Commons {_full} {_version} {_area} License."])
 
+# Other usual lines and paragraphs.
+_MORE = {
+    "MIT": [
+        "Distributed under the terms of the MIT License.",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    ],
+    "Apache-2.0": ["Licensed under the Apache-2.0 License.", "Distributed under the terms of the Apache License, Version 2.0."],
+    "BSD": ["Released under the BSD License.", "Licensed under the BSD License.", "Distributed under the terms of the BSD License."],
+    "GPL-2.0": ["Licensed under GPLv2.", "Licensed under the GPLv2.", "Licensed under the GNU General Public License v2.0."],
+    "GPL-3.0": ["Licensed under GPLv3.", "Licensed under the GPLv3.", "Licensed under the GNU General Public License v3.0."],
+    "LGPL-2.1": ["Licensed under the GNU Lesser General Public License v2.1."],
+    "LGPL-3.0": ["Licensed under the GNU Lesser General Public License v3.0."],
+    "AGPL-3.0": ["Licensed under the GNU Affero General Public License v3.0."],
+}
+for _name, _texts in _MORE.items():
+    TEMPLATES.setdefault(_name, []).extend(_texts)
+for _name, _texts in TEMPLATES.items():
+    if _name != "BSD":  # which names no version, and so is no identifier
+        _texts += [f"SPDX-License-Identifier: {_name}{_end}" for _end in (("", "-only", "-or-later") if "GPL" in _name else ("",))]
+
 _word = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 
 _version = re.compile(r"v?(\d+(?:\.\d+)*?)(?:\.0)*").fullmatch
@@ -129,6 +149,7 @@ class Scanner:
                 for i in sorted(picked):
                     self.index[grams[i]].append((len(self.templates) - 1, i))
         self.starts = {g[0] for g in self.index}
+        self.lengths = sorted({len(g) for g in self.index})  # of templates shorter than a run too
 
     def id_of(self, word: str) -> int:
         """The number of a template's word; other spellings of a version have the same."""
@@ -150,11 +171,12 @@ class Scanner:
         else:
             ids = [get(w.lower(), 0) for w in _word.findall(text)]
         hits: dict[int, list[int]] = defaultdict(list)
-        gram, index, starts = self.gram, self.index, self.starts
+        lengths, index, starts = self.lengths, self.index, self.starts
         for i, w in enumerate(ids):
             if w in starts:
-                for template, at in index.get(tuple(ids[i : i + gram]), ()):
-                    hits[template].append(i - at)
+                for n in lengths:
+                    for template, at in index.get(tuple(ids[i : i + n]), ()):
+                        hits[template].append(i - at)
         if not hits:
             return []
         found = []

@@ -529,3 +529,63 @@ def test_html_menus_left_open_again_and_again_stay_out():
     text = "The article has a long line of text that is worth reading and that no menu would have."
     page = "<body>" + "".join(f"<section><div class=menu>menu {k}</section><p>{text}</p>" for k in range(12)) + "</body>"
     assert html_extract.extract(page) == " ".join([text] * 12)
+
+
+@pytest.mark.parametrize(
+    "line,name",
+    [
+        ("# SPDX-License-Identifier: MIT", "MIT"),
+        ("/* SPDX-License-Identifier: GPL-2.0-or-later */", "GPL-2.0"),
+        ("SPDX-License-Identifier: Proprietary-Thing", None),
+        ("Licensed under GPLv3", "GPL-3.0"),
+        ("Licensed under the GNU General Public License v3.0", "GPL-3.0"),
+        ("Licensed under the Apache-2.0 license", "Apache-2.0"),
+        ("Released under the BSD license", "BSD"),
+        ("Licensed under the BSD 3-Clause License", "BSD-3-Clause"),
+        ("Distributed under the terms of the MIT license", "MIT"),
+        ("Distributed under the terms of the treaty", None),
+        (licenses._MORE["MIT"][1], "MIT"),
+    ],
+)
+def test_licenses_in_usual_lines(line, name):
+    assert [m[0] for m in licenses.Scanner(licenses.TEMPLATES).scan(f"Some code. {line}\nAnd more of it.")] == ([name] if name else [])
+
+
+def _common(words, ids):
+    """The most words that a full alignment, without a band, can match."""
+    row = [0] * (len(ids) + 1)
+    for w in words:
+        new = [0]
+        for j, v in enumerate(ids):
+            new.append(max(row[j] + (v == w), row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+def test_licenses_banded_alignment_against_the_full_one():
+    import random
+
+    rng = random.Random(12)
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    for _ in range(150):
+        n = rng.randrange(8, 40)
+        words = [rng.randrange(1, 60) for _ in range(n)]
+        body, drift = [], 0
+        for w in words:
+            kind = rng.random()
+            if kind < 0.05 and drift > -3:
+                drift -= 1
+                continue
+            if kind < 0.1 and drift < 3:
+                drift += 1
+                body.append(99)
+            body.append(98 if kind > 0.95 else w)
+        before = rng.randrange(10)
+        ids = [97] * before + body + [97] * rng.randrange(10)
+        got = scanner.align(words, [False] * n, ids, before)
+        matched = sum(1 for w in body if w < 90)
+        most = _common(words, ids)
+        if matched / n >= 0.85:
+            assert got is not None
+        if got:
+            assert most - 3 <= round(got[2] * n) <= most and set(ids[got[0] : got[1]]) & set(words)

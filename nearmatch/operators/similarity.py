@@ -307,11 +307,11 @@ def linked_classes(hashes: DataFrame, params: SearchParams, strategy: str = "aut
         found = rows.groupBy("hs", "n").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n_videos"))
         found = materialize(found, f"classes{level}")
         heavy = found.select(F.explode("hs").alias("x")).groupBy(F.col("x.h").alias("h")).agg(F.count(F.lit(1)).alias("d")).where(F.col("d") > heavy_from).select("h")
-        heavy = materialize(heavy, f"heavy{level}")
-        now = found.count()
-        if level == LEVELS or now == before or heavy.isEmpty():  # nothing is heavy, or asking again gets no further
+        now = -1
+        if level == LEVELS or heavy.isEmpty() or (now := found.count()) == before:  # nothing is heavy, or asking again gets no further
             levels.append((rows, found, materialize(_between(found, params, strategy), f"class-edges{level}")))
             break
+        heavy = materialize(heavy, f"heavy{level}")
         between, rest = _parted(found, heavy, params, strategy)
         levels.append((rows, found, materialize(between, f"class-edges{level}")))
         rows, before = materialize(rest, f"rest{level}"), now if level else -1

@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 def test_registered():
     names = list(__spark_entry__.queries())
     assert [n for n in names if re.match(r"op\d+_", n)] == list(queries.QUERIES) and "pipeline" in names
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
 
 

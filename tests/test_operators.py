@@ -59,8 +59,16 @@ def test_equal_videos_are_compared_once(spark):
     assert len(links) == n and {max(r) for r in links} == {*range(1, n), n}
 
 
-@pytest.mark.parametrize("heavy_from", [1, 3])
-@pytest.mark.parametrize("params", [SearchParams(), SearchParams(fastHash=FastHash(hammingDistance=2, matchingThreshold=1)), SearchParams(fastHash=FastHash(matchingThreshold=7)), SearchParams(method=HashMethod.SLOW, slowHash=SlowHash(usePercentThreshold=True, matchingThresholdPct=60.0))])
+@pytest.mark.parametrize(
+    "params,heavy_from",
+    [
+        (SearchParams(), 1),
+        (SearchParams(), 3),
+        (SearchParams(fastHash=FastHash(hammingDistance=2, matchingThreshold=1)), 3),
+        (SearchParams(fastHash=FastHash(matchingThreshold=7)), 1),
+        (SearchParams(method=HashMethod.SLOW, slowHash=SlowHash(usePercentThreshold=True, matchingThresholdPct=60.0)), 3),
+    ],
+)
 def test_heavy_hashes_change_no_component(spark, params, heavy_from):
     rng = random.Random(heavy_from)
     common = [1 << 20, 1 << 20 | 8, 7 << 40, 7 << 40 | 6]  # two that many have, and near ones of each
@@ -117,7 +125,7 @@ def test_bands_bring_near_hashes_together():
     assert len(similarity.plan_bands(4, 1000)) == 5 and len(similarity.plan_bands(4, 10**9)) == 2
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 4, 5])
+@pytest.mark.parametrize("n", [1, 2, 3])
 def test_every_number_of_bands_gives_the_same_pairs(spark, n):
     rng = random.Random(n)
     rows = []

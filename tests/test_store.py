@@ -105,8 +105,8 @@ def test_changes_write_what_they_change(spark, tmp_path):
 def test_any_sequence_of_changes(spark, tmp_path):
     rng, store = random.Random(4), Store(spark, str(tmp_path / "s"))
     videos, hashes, last = {}, {}, 0
-    for step in range(24):
-        kind = rng.randrange(6)
+    for step in range(14):
+        kind = (0, 2, 3, 4, 1, 5)[step % 6]
         some = sorted(rng.sample(range(1, last + 3), min(last + 2, 3)))
         if kind in (0, 1):
             paths = [f"/{step}-{k}" for k in range(rng.randrange(1, 4))]

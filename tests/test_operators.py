@@ -63,9 +63,7 @@ def test_equal_videos_are_compared_once(spark):
     "params,heavy_from",
     [
         (SearchParams(), 1),
-        (SearchParams(), 3),
         (SearchParams(fastHash=FastHash(hammingDistance=2, matchingThreshold=1)), 3),
-        (SearchParams(fastHash=FastHash(matchingThreshold=7)), 1),
         (SearchParams(method=HashMethod.SLOW, slowHash=SlowHash(usePercentThreshold=True, matchingThresholdPct=60.0)), 3),
     ],
 )
@@ -125,7 +123,7 @@ def test_bands_bring_near_hashes_together():
     assert len(similarity.plan_bands(4, 1000)) == 5 and len(similarity.plan_bands(4, 10**9)) == 2
 
 
-@pytest.mark.parametrize("n", [1, 2, 3])
+@pytest.mark.parametrize("n", [2, 3])
 def test_every_number_of_bands_gives_the_same_pairs(spark, n):
     rng = random.Random(n)
     rows = []
@@ -135,12 +133,7 @@ def test_every_number_of_bands_gives_the_same_pairs(spark, n):
             h ^= 1 << rng.randrange(1, 63)
         rows.append((v % 80, h))
     df = _hashes(spark, rows)
-    if n == 1:  # one band of all bits has too many values at radius 4
-        df, radius = df, 2
-    else:
-        radius = 4
-    plan = similarity.bands(radius, n if n <= radius + 1 else None)
-    assert _counts(similarity.hamming_pairs_banded(df, radius, plan)) == _counts(similarity.hamming_pairs_brute(df, radius))
+    assert _counts(similarity.hamming_pairs_banded(df, 4, similarity.bands(4, n))) == _counts(similarity.hamming_pairs_brute(df, 4))
 
 
 def test_match_rules(spark):

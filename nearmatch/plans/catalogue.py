@@ -543,22 +543,26 @@ def _frames(spark: SparkSession, sf: str) -> DataFrame:
 _STEP = 24 * 3600 * 1_000_000
 
 
-_SAMPLED = f"""
-WITH t AS ({_TICKS}), x AS (SELECT *, row_number() OVER w AS n, greatest(floor(pts / {_STEP}.0::DOUBLE), -1) AS f FROM t WINDOW w AS (PARTITION BY user_id ORDER BY pts, event_id)),
-k AS (SELECT *, greatest(0, least(n, n + min(f + 1 - n) OVER (PARTITION BY user_id ORDER BY pts, event_id ROWS UNBOUNDED PRECEDING))) AS kept FROM x)
-SELECT event_id, user_id, kept > lag(kept, 1, 0) OVER (PARTITION BY user_id ORDER BY pts, event_id) AS due FROM k
+def _sampled_sql(key: str, step: int) -> str:
+    return f"""
+WITH t AS (SELECT event_id, {key}, epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY {key}) AS pts FROM events), x AS (SELECT *, row_number() OVER w AS n, greatest(floor(pts / {step}.0::DOUBLE), -1) AS f FROM t WINDOW w AS (PARTITION BY {key} ORDER BY pts, event_id)),
+k AS (SELECT *, greatest(0, least(n, n + min(f + 1 - n) OVER (PARTITION BY {key} ORDER BY pts, event_id ROWS UNBOUNDED PRECEDING))) AS kept FROM x)
+SELECT event_id, {key}, kept > lag(kept, 1, 0) OVER (PARTITION BY {key} ORDER BY pts, event_id) AS due FROM k
 """
 
 
-@query(_SAMPLED)
+@query(_sampled_sql("user_id", _STEP))
 def greedy_sampler(spark, sf):
     return sampling.sample_frames(_frames(spark, sf), "user_id", "pts", float(_STEP), "event_id").select("event_id", "user_id", "due")
 
 
-@query(_SAMPLED)
+@query(_sampled_sql("event_type", _STEP // 24))
 def greedy_sampler_chunks(spark, sf):
-    """The same by chunks that are put together in a tree: a video of any length is many tasks."""
-    return sampling.sample_chunks(_frames(spark, sf), "user_id", "pts", float(_STEP), "pts", "event_id", chunk=8, fan=3).select("event_id", "user_id", "due")
+    """By chunks that are put together in a tree: few videos, of any length, are many tasks."""
+    e = _t(spark, sf, "events").select("event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    first = e.groupBy("event_type").agg(F.min("us").alias("first"))
+    frames = e.join(first, "event_type").select("event_id", "event_type", (F.col("us") - F.col("first")).alias("pts"))
+    return sampling.sample_chunks(frames, "event_type", "pts", float(_STEP // 24), "pts", "event_id", chunk=128, fan=4).select("event_id", "event_type", "due")
 
 
 @query(f"""

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import struct
+import time
 
 import numpy as np
 import pytest
@@ -26,6 +27,16 @@ def test_blob_round_trip(spark):
     assert row["h"] == values and bytes(row["b"]) == struct.pack("<6q", *values)
 
 
+
+def test_a_long_blob_is_decoded_in_linear_time(spark):
+    n = 20_000
+    values = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.xxhash64(i + F.col("id")))
+    df = spark.range(2).select(values.alias("h"), F.concat(hashing.encode_blob(values), F.unhex(F.lit("01"))).alias("b"))
+    began = time.perf_counter()
+    assert [r["same"] for r in df.select((hashing.decode_blob(F.col("b")) == F.col("h")).alias("same")).collect()] == [True, True]
+    assert time.perf_counter() - began < 30
+
+
 def test_pack_bits_equals_numpy(spark):
     rng = np.random.default_rng(3)
     blocks = [rng.normal(size=64).tolist() for _ in range(20)]

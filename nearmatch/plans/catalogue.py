@@ -177,13 +177,13 @@ def hash_count_per_group(spark, sf):
 
 @query(f"WITH {_pairs_sql(100, 22)} SELECT src, dst, matches FROM c")
 def match_counts(spark, sf):
-    return similarity.match_counts(similarity.hamming_pairs(_hashes(spark, sf, 100), 22))
+    return similarity.hamming_matches(_hashes(spark, sf, 100), 22)
 
 
 @query(f"WITH {_pairs_sql(100, 22)} SELECT src, dst, matches FROM c WHERE matches >= 2")
 def edges_fixed_threshold(spark, sf):
     h = materialize(_hashes(spark, sf, 100), "hashes")
-    return similarity.edges(similarity.match_counts(similarity.hamming_pairs(h, 22)), h, number=2)
+    return similarity.edges(similarity.hamming_matches(h, 22), h, number=2)
 
 
 _PERCENT = f"""{_pairs_sql(125, 22)}, ed AS (SELECT src, dst, matches FROM c JOIN n x ON x.video_id = src JOIN n y ON y.video_id = dst
@@ -193,7 +193,7 @@ WHERE matches >= ceil(greatest(x.n, y.n)::DOUBLE * 50.0::DOUBLE / 100.0::DOUBLE)
 @query(f"WITH {_PERCENT} SELECT src, dst, matches FROM ed")
 def edges_percent_threshold(spark, sf):
     h = materialize(_hashes(spark, sf, 125), "hashes")
-    return similarity.edges(similarity.match_counts(similarity.hamming_pairs(h, 22)), h, percent=50.0)
+    return similarity.edges(similarity.hamming_matches(h, 22), h, percent=50.0)
 
 
 _IDS = "ids AS (SELECT DISTINCT video_id AS id FROM u)"
@@ -203,7 +203,7 @@ _IDS = "ids AS (SELECT DISTINCT video_id AS id FROM u)"
 def duplicate_groups(spark, sf):
     """Flagship: pack hashes, join within the radius, count, threshold, components; groups of two or more."""
     h = materialize(_hashes(spark, sf, 250), "hashes")
-    e = similarity.edges(similarity.match_counts(similarity.hamming_pairs(h, 18)), h, number=1)
+    e = similarity.edges(similarity.hamming_matches(h, 18), h, number=1)
     return groups.with_duplicates(groups.membership(_ids(h), e))
 
 

@@ -136,6 +136,45 @@ def test_every_number_of_bands_gives_the_same_pairs(spark, n):
     assert _counts(similarity.hamming_pairs_banded(df, 4, similarity.bands(4, n))) == _counts(similarity.hamming_pairs_brute(df, 4))
 
 
+def _near_rows(seed, n, videos):
+    rng, rows = random.Random(seed), []
+    for _ in range(n):
+        h = rng.choice(rows)[1] if rows and rng.random() < 0.7 else rng.getrandbits(62) << 1
+        for _ in range(rng.randrange(14)):
+            h ^= 1 << rng.randrange(1, 63)
+        rows += [(rng.randrange(videos), h)] * rng.choice([1, 1, 1, 2])
+    return rows
+
+
+@pytest.mark.parametrize("radius", [5, 18])
+def test_tiles_on_bands_give_the_same_pairs(spark, monkeypatch, radius):
+    df = _hashes(spark, _near_rows(radius, 400, 90))
+    rows_of = lambda pairs: sorted(map(tuple, pairs.collect()))
+    brute = rows_of(similarity.hamming_pairs_brute(df, radius))
+    monkeypatch.setattr(similarity, "LEAST_TILE", 16)
+    for prefix in (None, 3):
+        rows = similarity.weighted(df)
+        assert rows_of(similarity._pairs_of(similarity._banded(rows, radius, prefix=prefix), rows)) == brute
+    monkeypatch.setattr(similarity, "MOST_CANDIDATES", 0)
+    assert rows_of(similarity.hamming_pairs_banded(df, radius)) == brute
+
+
+@pytest.mark.parametrize("videos", [5, 90])
+def test_tasks_count_what_pairs_of_tiles_hold(spark, monkeypatch, videos):
+    df = _hashes(spark, _near_rows(videos, 400, videos))
+    matches = lambda counts: sorted(map(tuple, counts.select("src", "dst", "matches").collect()))
+    plain = {radius: matches(similarity.match_counts(similarity.hamming_pairs_brute(df, radius))) for radius in (5, 18)}
+    monkeypatch.setattr(similarity, "LEAST_TILE", 64)
+    monkeypatch.setattr(similarity, "BROADCAST_ROWS", 100)
+    monkeypatch.setattr(similarity, "MOST_CANDIDATES", 0)
+    # a pair of tiles is a task, and no pair of hashes is a row
+    found = similarity._tiled(similarity.weighted(df), 18)
+    assert found.work.count() == found.work.rdd.getNumPartitions() > 10
+    monkeypatch.setattr(similarity, "match_counts", None)
+    for radius, strategy in ((18, "auto"), (18, "banded"), (5, "auto"), (5, "tiled")):
+        assert matches(similarity.hamming_matches(df, radius, strategy)) == plain[radius]
+
+
 def test_match_rules(spark):
     df = _hashes(spark, [(1, 8), (2, 8), (2, 8), (2, 8), (3, 0), (4, 8 ^ 0b111100000), (5, 8 ^ 0b1111100000)])
     counts = similarity.match_counts(similarity.hamming_pairs(df, 4))

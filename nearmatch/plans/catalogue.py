@@ -104,11 +104,15 @@ def hash_blob_roundtrip(spark, sf):
     return h.groupBy("video_id").agg(F.count(F.lit(1)).alias("n"), F.sum(hashing.h63(F.col("h")) % 1000003).alias("checksum"))
 
 
-def _tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _tile_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Tiles are made and hashed 256 at a time, 8 kB each: no batch of them leaves the task."""
     x, y = np.meshgrid(np.arange(perceptual.N), np.arange(perceptual.N))
     for pdf in batches:
-        e = np.stack(pdf["embedding"].tolist()).astype(np.float64) if len(pdf) else np.zeros((0, 64))
-        yield pd.DataFrame({"vec_id": pdf["vec_id"], "tile": list((e[:, y] * e[:, x + 32] + e[:, x * y % 64]).reshape(len(pdf), -1))})
+        for begin in range(0, len(pdf), 256):
+            some = pdf.iloc[begin : begin + 256]
+            e = np.stack(some["embedding"].tolist()).astype(np.float64)
+            tiles = (e[:, y] * e[:, x + 32] + e[:, x * y % 64]).reshape(len(some), -1)
+            yield pd.DataFrame({"vec_id": some["vec_id"], "h": [perceptual.hash_tile(t) for t in tiles]})
 
 
 # What a pixel adds to a coefficient, through the box sum and the transform: w(k, y). Then tiles by rows, and by columns.
@@ -124,8 +128,8 @@ SELECT vec_id, list_sum(list_transform(range(1, 64), lambda i: CASE WHEN c[i + 1
 """)
 def phash_tile_numpy(spark, sf):
     """A 32x32 tile of each embedding, from products of its parts, hashed by the image kernel."""
-    tiles = _t(spark, sf, "embeddings").select("vec_id", "embedding").mapInPandas(_tiles, "vec_id long, tile array<double>")
-    return tiles.select("vec_id", hashing.h63(perceptual.phash_tile(F.col("tile"))).alias("h63"))
+    hashes = _t(spark, sf, "embeddings").select("vec_id", "embedding").mapInPandas(_tile_hashes, "vec_id long, h long")
+    return hashes.select("vec_id", hashing.h63(F.col("h")).alias("h63"))
 
 
 # The similarity join, counts, edges and groups.

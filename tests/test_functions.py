@@ -4,6 +4,7 @@ import struct
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -127,3 +128,19 @@ def test_scaling_weights_by_definition(source):
         want[first] += 1 - share
         want[min(first + 1, source - 1)] += share
         assert np.allclose(out[d], want)
+
+
+def test_tiles_are_hashed_a_few_at_a_time():
+    from nearmatch.plans.catalogue import _tile_hashes
+
+    rows = pd.DataFrame({"vec_id": range(600), "embedding": list(np.random.default_rng(5).normal(size=(600, 64)).astype(np.float32))})
+    parts = list(_tile_hashes(iter([rows, rows[:0]])))
+    assert [len(p) for p in parts] == [256, 256, 88] and pd.concat(parts)["vec_id"].tolist() == list(range(600))
+
+
+def test_settings_are_written_without_copies(monkeypatch):
+    import copy
+
+    monkeypatch.setattr(copy, "deepcopy", None)
+    params = SearchParams(extensions=("mp4",), directories=(("a", True),), fastHash=FastHash(maxFrames=10))
+    assert SearchParams.from_json(params.to_json()) == params

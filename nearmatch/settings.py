@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass, field, fields, replace
+from dataclasses import dataclass, field, fields, replace
 from enum import IntEnum
 from typing import Any
 
@@ -85,9 +85,10 @@ class SearchParams:
 
     def to_json(self) -> str:
         """All keys, absent limits as null."""
-        d = asdict(self)
+        d = dict(vars(self))
         d["directories"] = [{"path": p, "recursive": r} for p, r in self.directories]
         d["method"] = int(self.method)
+        d["fastHash"], d["slowHash"] = vars(self.fastHash), vars(self.slowHash)
         return json.dumps(d)
 
     @classmethod
@@ -100,7 +101,7 @@ class SearchParams:
         try:
             d = json.loads(text or "")
             lists = ("extensions", "includeFilePatterns", "includeDirPatterns", "excludeFilePatterns", "excludeDirPatterns")
-            out = cls(
+            return cls(
                 useGlob=bool(d["useGlob"]),
                 caseInsensitive=bool(d["caseInsensitive"]),
                 **{n: tuple(d[n]) for n in lists},
@@ -109,12 +110,9 @@ class SearchParams:
                 minBytes=d.get("minBytes"),
                 maxBytes=d.get("maxBytes"),
                 method=HashMethod(d.get("method", 0)),
+                fastHash=_load(FastHash, d["fastHash"], True).limited() if "fastHash" in d else FastHash(),
+                slowHash=_load(SlowHash, d["slowHash"], False).limited() if "slowHash" in d else SlowHash(),
             )
-            if "fastHash" in d:
-                out = replace(out, fastHash=_load(FastHash, d["fastHash"], True).limited())
-            if "slowHash" in d:
-                out = replace(out, slowHash=_load(SlowHash, d["slowHash"], False).limited())
-            return out
         except (ValueError, KeyError, TypeError):
             return cls()
 
@@ -132,8 +130,12 @@ class SearchParams:
         return "number", self.slowHash.matchingThresholdNum
 
 
+#: What a text of settings has to say of a way of hashing; keyframes may be left out.
+_REQUIRED = {kind: [f.name for f in fields(kind) if f.name != "useKeyframesOnly"] for kind in (FastHash, SlowHash)}
+
+
 def _load(kind: type, d: dict, keyframes: bool) -> Any:
-    known = {f.name: d[f.name] for f in fields(kind) if f.name != "useKeyframesOnly"}
+    known = {name: d[name] for name in _REQUIRED[kind]}
     return kind(**known, useKeyframesOnly=bool(d.get("useKeyframesOnly", keyframes)))
 
 

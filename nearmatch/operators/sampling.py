@@ -7,11 +7,11 @@ same rules over frames that a task decodes one after another.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,6 +80,12 @@ def sample_frames(frames: DataFrame, partition: str, pts: str, step: float, tie:
 #: Frames of a chunk, and chunks that one step of the tree puts together.
 CHUNK = 4096
 FAN = 16
+#: Frames of a run that are put together for many runs at once, and frames that a task looks at at once.
+PIECE = 128
+FRAMES = 1 << 18
+#: The step of a frame without a time, and the largest of others: more than is ever kept.
+UNTIMED = 1 << 62
+LAST_STEP = 1 << 53
 
 
 @dataclass
@@ -107,75 +113,154 @@ class Span:
         reached = more >= 0
         return Span(self.gain + other.gain - int((~reached).sum()), np.sort(np.concatenate([self.drops, more[reached]])))
 
+    def from_place(self, frames: int) -> Span:
+        """The same where so many frames stand before: no more were kept, so that drops from there on say nothing."""
+        return Span(self.gain, self.drops[: np.searchsorted(self.drops, frames)])
+
     @classmethod
     def of(cls, steps: list[int | None]) -> Span:
-        """The span of frames by their steps, put together in halves."""
-        if len(steps) > 1:
-            half = len(steps) // 2
-            return cls.of(steps[:half]).then(cls.of(steps[half:]))
-        (f,) = steps or [-1]
-        return cls(int(f is None or f >= 0), np.array([f] if f is not None and f >= 0 else [], np.int64))
-
+        """The span of frames by their steps."""
+        return cls.of_runs(np.array([[UNTIMED if f is None else f for f in steps]], np.int64))[0]
 
-def steps_of(times: pd.Series, step: float) -> list[int | None]:
-    """The largest number of steps that is no more than each time; none where there is no time."""
-    t = times.to_numpy(np.float64, na_value=np.nan)
+    @classmethod
+    def of_runs(cls, steps: np.ndarray) -> list[Span]:
+        """The span of each row of steps, filled up with -1: pieces of all rows at once, put together in halves."""
+        width = max(1, steps.shape[1])
+        size = min(PIECE, width)
+        n = -(-width // size)
+        filled = np.full((len(steps), n * size), -1, np.int64)
+        filled[:, : steps.shape[1]] = steps
+        gain, drops = _pieces(np.ascontiguousarray(filled.reshape(-1, size).T))
+        held = np.ascontiguousarray(drops.T)
+        spans = [cls(g, d[:k]) for g, d, k in zip(gain.tolist(), held, (held < UNTIMED).sum(axis=1).tolist())]
+        return [_in_halves(spans[at : at + n]) for at in range(0, len(spans), n)]
+
+
+def _pieces(steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gain and drops, in order and filled up with UNTIMED, of the run in each column.
+
+    The drop of a frame in step f is the largest number before that makes f:
+    of the numbers that are no drop yet, the one at place f - gain. ranks are those places of the drops so far.
+    """
+    gain, ranks, drops = np.zeros(steps.shape[1], np.int64), np.full(steps.shape, UNTIMED), np.full(steps.shape, UNTIMED)
+    for k, f in enumerate(steps):
+        at, so_far = f - gain, ranks[:k]
+        timed = (at >= 0) & (f < UNTIMED)
+        above = so_far > at
+        drops[k] = np.where(timed, at + k - above.sum(axis=0), UNTIMED)
+        so_far -= above & timed
+        ranks[k] = np.where(timed, at, UNTIMED)
+        gain += timed | (f == UNTIMED)
+    return gain, np.sort(drops, axis=0)
+
+
+def _in_halves(spans: list[Span]) -> Span:
+    while len(spans) > 1:
+        spans = [a.then(b) for a, b in zip(spans[::2], spans[1::2])] + spans[len(spans) & ~1 :]
+    return spans[0]
+
+
+def steps_of(t: np.ndarray, step: float) -> np.ndarray:
+    """The largest number of steps that is no more than each time; UNTIMED where there is no time."""
     f = np.floor(t / step)
     f = np.where((f + 1) * step <= t, f + 1, np.where(f * step > t, f - 1, f))
-    return [None if np.isnan(x) else int(x) for x in f]
+    return np.where(np.isnan(t), UNTIMED, np.clip(np.nan_to_num(f, nan=-1.0, posinf=LAST_STEP, neginf=-1.0), -1, LAST_STEP).astype(np.int64))
+
+
+def _lists(values: np.ndarray, n: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(values))
 
 
 def sample_chunks(frames: DataFrame, partition: str, pts: str, step: float, *order: str, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
-    """frames with due, as sample_fold has it over each partition in an order, null times included; one partition is as many tasks as it has chunks.
+    """frames with due, as sample_fold has it over each partition in an order, null times included; one partition is as many rows to deal out as it has chunks.
 
     A chunk of frames is a function from what was kept before it to what is
     kept after it (``Span``). These are put together fan at a time up a tree, and going down again
     each chunk learns what was kept before it, from which it says which of its frames are due.
+    What is put together is one row, an array; tasks take many rows at once.
     """
     key = frames.schema[partition].dataType.simpleString()
     placed = with_places(frames, partition, *order, name="_place").withColumn("_chunk", F.expr(f"(_place - 1) div {chunk}"))
     placed = materialize(placed, "chunks")
-    kind = f"`{partition}` {key}, _chunk long, gain long, drops array<long>"
-
-    def row(pdf: pd.DataFrame, at: int, span: Span) -> pd.DataFrame:
-        return pd.DataFrame({partition: [pdf[partition].iloc[0]], "_chunk": [at], "gain": [span.gain], "drops": [span.drops]})
-
-    def first(pdf: pd.DataFrame) -> pd.DataFrame:
-        return row(pdf, int(pdf["_chunk"].iloc[0]), Span.of(steps_of(pdf.sort_values("_place")["_t"], step)))
-
-    def spans(pdf: pd.DataFrame) -> list[tuple[int, Span]]:
-        return [(int(r["_chunk"]), Span(int(r["gain"]), np.asarray(r["drops"], np.int64))) for r in pdf.sort_values("_chunk").to_dict("records")]
-
-    def up(pdf: pd.DataFrame) -> pd.DataFrame:
-        held = spans(pdf)
-        return row(pdf, held[0][0] // fan, reduce(lambda a, b: a.then(b), [s for _, s in held]))
-
-    def down(pdf: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
-        kept, out = int(above["kept"].iloc[0]) if len(above) else 0, []
-        for at, span in spans(pdf):
-            out.append((pdf[partition].iloc[0], at, kept))
-            kept = span.after(kept)
-        return pd.DataFrame(out, columns=[partition, "_chunk", "kept"])
-
-    def flag(pdf: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_place")
-        kept, due = int(before["kept"].iloc[0]), []
-        for f in steps_of(pdf["_t"], step):
-            due.append(f is None or kept <= f)
-            kept += due[-1]
-        return pdf[[partition, "_place"]].assign(due=due)
-
-    rows = placed.select(partition, "_place", "_chunk", F.col(pts).cast("double").alias("_t"))
-    levels = [materialize(rows.groupBy(partition, "_chunk").applyInPandas(first, kind), "spans0")]
-    while not levels[-1].where("_chunk > 0").isEmpty():
-        levels.append(materialize(levels[-1].groupBy(partition, F.expr(f"_chunk div {fan}")).applyInPandas(up, kind), f"spans{len(levels)}"))
-    before: DataFrame = levels[-1].select(partition, F.lit(0).cast("long").alias("_chunk"), F.lit(0).cast("long").alias("kept"))
-    for level in reversed(levels[:-1]):
-        work = level.groupBy(partition, F.expr(f"_chunk div {fan}").alias("_up")).cogroup(before.groupBy(partition, "_chunk"))
-        before = materialize(work.applyInPandas(down, f"`{partition}` {key}, _chunk long, kept long"), "kept")
-    flags = rows.groupBy(partition, "_chunk").cogroup(before.groupBy(partition, "_chunk")).applyInPandas(flag, f"`{partition}` {key}, _place long, due boolean")
-    flags = flags.select(F.col(partition).alias("_of"), F.col("_place").alias("_at"), "due")
-    return placed.join(flags, F.col(partition).eqNullSafe(F.col("_of")) & (F.col("_place") == F.col("_at"))).drop("_of", "_at", "_place", "_chunk")
+    of = f"`{partition}` {key}, _chunk long"
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = max(1, FRAMES // chunk)
+        return (batch.slice(at, n) for batch in batches for at in range(0, batch.num_rows, n))
+
+    def steps(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """Steps of each row's frames, filled up with -1, and which of them are frames."""
+        t = batch.column("t")
+        n = np.diff(t.offsets.to_numpy())
+        there = np.arange(n.max(initial=0)) < n[:, None]
+        f = np.full(there.shape, -1, np.int64)
+        f[there] = steps_of(t.flatten().to_numpy(zero_copy_only=False), step)
+        return f, there
+
+    def rows(batch: pa.RecordBatch, spans: list[Span]) -> pa.RecordBatch:
+        drops = _lists(np.concatenate([s.drops for s in spans]), np.array([len(s.drops) for s in spans]))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s.gain for s in spans], pa.int64()), drops], [partition, "_chunk", "gain", "drops"])
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in some(batches):
+            yield rows(batch, [s.from_place(at * chunk) for at, s in zip(batch.column(1).to_pylist(), Span.of_runs(steps(batch)[0]))])
+
+    def parts(batch: pa.RecordBatch) -> Iterator[tuple[int, list[Span]]]:
+        """Of each row its number and the spans in it."""
+        held = batch.column("parts").flatten()
+        drops = held.field("drops")
+        values, ends = drops.values.to_numpy(), drops.offsets.to_numpy().tolist()
+        spans = [Span(g, values[a:b]) for g, a, b in zip(held.field("gain").to_pylist(), ends, ends[1:])]
+        ends = batch.column("parts").offsets.to_numpy()
+        ends = (ends - ends[0]).tolist()
+        return zip(batch.column(1).to_pylist(), (spans[a:b] for a, b in zip(ends, ends[1:])))
+
+    def up(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in some(batches):
+                yield rows(batch, [_in_halves(spans).from_place(at * size) for at, spans in parts(batch)])
+
+        return put_together
+
+    def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in some(batches):
+            out = []
+            for kept, (_, spans) in zip(batch.column("kept").to_pylist(), parts(batch)):
+                out.append([kept])
+                for span in spans[:-1]:
+                    out[-1].append(span.after(out[-1][-1]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], [partition, "_chunk", "kept"])
+
+    def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in some(batches):
+            f, there = steps(batch)
+            kept, due = batch.column("kept").to_numpy().copy(), np.zeros(f.shape, bool)
+            for k in range(f.shape[1]):
+                due[:, k] = kept <= f[:, k]
+                kept += due[:, k]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(due[there], there.sum(axis=1))], [partition, "_chunk", "due"])
+
+    def packed(spans: DataFrame, level: int) -> DataFrame:
+        each = F.sort_array(F.collect_list(F.struct("_chunk", "gain", "drops")))
+        return materialize(spans.groupBy(partition, F.expr(f"_chunk div {fan}").alias("_up")).agg(each.alias("parts")), f"spans{level}")
+
+    def beside(left: DataFrame, number: str, right: DataFrame) -> DataFrame:
+        right = right.withColumnsRenamed({partition: "_of", "_chunk": "_at"})
+        return left.join(right, F.col(partition).eqNullSafe(F.col("_of")) & (F.col(number) == F.col("_at"))).drop("_of", "_at")
+
+    times = F.transform(F.sort_array(F.collect_list(F.struct("_place", F.col(pts).cast("double").alias("t")))), lambda x: x["t"])
+    chunks = materialize(placed.groupBy(partition, "_chunk").agg(times.alias("t")), "times")
+    levels = [packed(chunks.mapInArrow(first, f"{of}, gain long, drops array<long>"), 0)]
+    while not levels[-1].where("_up > 0").isEmpty():
+        size = chunk * fan ** len(levels)
+        levels.append(packed(levels[-1].mapInArrow(up(size), f"{of}, gain long, drops array<long>"), len(levels)))
+    kept = levels[-1].select(partition, F.col("_up").alias("_chunk"), F.lit(0).cast("long").alias("kept"))
+    for level in reversed(levels):
+        found = beside(level, "_up", kept).mapInArrow(down, f"{of}, kept array<long>")
+        found = found.select(partition, "_chunk", F.posexplode("kept").alias("_n", "kept")).withColumn("_chunk", F.expr(f"_chunk * {fan} + _n"))
+        kept = materialize(found.drop("_n"), "kept")
+    flags = beside(chunks, "_chunk", kept).mapInArrow(flag, f"{of}, due array<boolean>")
+    return beside(placed, "_chunk", flags).withColumn("due", F.expr(f"due[int((_place - 1) % {chunk})]")).drop("_place", "_chunk")
 
 
 def sample_fold(pts: Column, step: float) -> Column:

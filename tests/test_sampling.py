@@ -167,6 +167,44 @@ def test_one_video_in_many_chunks(spark, chunk, fan):
     assert {(r["v"], r["k"]): r["due"] for r in got} == want and len(got) == len(rows)
 
 
+def test_spans_of_many_runs_are_made_together(monkeypatch):
+    from nearmatch.operators.sampling import UNTIMED, Span
+
+    rng, put_together, then = np.random.default_rng(4), [], Span.then
+    monkeypatch.setattr(Span, "then", lambda a, b: put_together.append(1) or then(a, b))
+    runs = rng.integers(-1, 60, (20, 300))
+    runs[rng.random(runs.shape) < 0.1] = UNTIMED
+    runs[:10].sort(axis=1)
+    for at, (span, run) in enumerate(zip(Span.of_runs(runs), runs)):
+        for start in range(at * 4):
+            kept = start
+            for f in run:
+                kept += f == UNTIMED or kept <= f
+            assert span.after(start) == span.from_place(at * 4).after(start) == kept
+    assert len(put_together) == 20 * 2  # frames were put together one by one
+    # few can be kept before the first frames of a video, so that later drops are left out
+    assert len(Span.of(list(range(1000))).from_place(7).drops) <= 7
+
+
+@pytest.mark.parametrize("frames", [1, 1 << 18])
+def test_chunks_of_frames_are_rows_and_times_may_be_endless(spark, monkeypatch, frames):
+    from nearmatch.operators import sampling
+
+    monkeypatch.setattr(sampling, "FRAMES", frames)
+    inf, rng = float("inf"), random.Random(5)
+    rows, want = [], {}
+    for v in (1, None):
+        due = Greedy(0.5)
+        for k in range(60):
+            seen = rng.choice([None, -inf, -3.0, k / 8, k / 4, inf])
+            rows.append((v, k, seen))
+            want[v, k] = due.take(seen)
+    found = sample_chunks(spark.createDataFrame(rows, "v long, k int, t double"), "v", "t", 0.5, "k", chunk=7, fan=2)
+    assert {(r["v"], r["k"]): r["due"] for r in found.collect()} == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMap" not in plan and "MapInArrow" in plan  # no call for each chunk
+
+
 def test_stream_in_any_order_is_sampled_as_the_whole(spark, tmp_path):
     from nearmatch.streaming.ingest import sample_stream
 
